@@ -24,7 +24,7 @@ from . import textnum as tn
 #: Rows of the sample on which cost and selectivity are estimated.
 SAMPLE_ROWS = 400
 #: Thresholds of the rules beyond the two base rules. Clean prose stays far below each of them.
-MAX_SYMBOLS_PER_100_WORDS = 100
+MAX_SYMBOLS_PER_100_WORDS = 20
 MAX_DUP_LINE_PERCENT = 60
 MIN_MEAN_WORD_CHARS, MAX_MEAN_WORD_CHARS = 1.5, 25.0
 
