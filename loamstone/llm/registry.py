@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op03_token_output as op03
 from . import op08_quality_rules as op08
 
 
@@ -15,6 +17,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08.score(_docs(spark, sf_dir))
 
 
-QUERIES = {"op8_quality_rules": op8_quality_rules}
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03.encode_and_read(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op3_token_output": op3_token_output, "op8_quality_rules": op8_quality_rules}
 
 ORACLE_SQL: dict[str, str] = {}
