@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import op03_token_output as op03
+from . import op06_jaccard_join as op06
 from . import op08_quality_rules as op08
 
 
@@ -21,6 +22,10 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03.encode_and_read(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op3_token_output": op3_token_output, "op8_quality_rules": op8_quality_rules}
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op06.classes(_docs(spark, sf_dir))
+
+
+QUERIES = {"op3_token_output": op3_token_output, "op6_jaccard_join": op6_jaccard_join, "op8_quality_rules": op8_quality_rules}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -120,7 +120,8 @@ def sequence_hash(words: np.ndarray, seed: int) -> int:
     """Of a whole sequence, order and length included."""
     n = len(words)
     _grow(n + 1)
-    return int(mix(np.array([(mix(words + U(seed)) * _powers[:n]).sum(dtype=U) + U(n) * U(0xA0761D6478BD642F)], dtype=U))[0])
+    total = (mix(words + U(seed)) * _powers[:n]).sum(dtype=U, keepdims=True)
+    return int(mix(total + np.array([n], dtype=U) * U(0xA0761D6478BD642F))[0])
 
 
 def crc32_of_ids(ids: list) -> list[int | None]:
