@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op02_pfair_mixing as op02
 from . import op03_token_output as op03
+from . import op05_jump_shards as op05
 from . import op06_jaccard_join as op06
 from . import op08_quality_rules as op08
 
@@ -26,6 +28,15 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06.classes(_docs(spark, sf_dir))
 
 
-QUERIES = {"op3_token_output": op3_token_output, "op6_jaccard_join": op6_jaccard_join, "op8_quality_rules": op8_quality_rules}
+def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op02.plan(_docs(spark, sf_dir))
+
+
+def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op05.assign(_docs(spark, sf_dir), 40)
+
+
+_ALL = (op2_pfair_mixing, op3_token_output, op5_jump_shards, op6_jaccard_join, op8_quality_rules)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}
