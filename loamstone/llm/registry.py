@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import op02_pfair_mixing as op02
 from . import op03_token_output as op03
 from . import op05_jump_shards as op05
 from . import op06_jaccard_join as op06
 from . import op08_quality_rules as op08
+from . import op09_decontaminate as op09
+from . import op10_chat_format as op10
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +39,20 @@ def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05.assign(_docs(spark, sf_dir), 40)
 
 
-_ALL = (op2_pfair_mixing, op3_token_output, op5_jump_shards, op6_jaccard_join, op8_quality_rules)
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09.report(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1, whose texts are control strings of another template."""
+    found = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    words = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", words), (-1, 1, "assistant", words)], "conv_id long, turn long, role string, text string")
+    extra = extra.select(*[F.col(c).cast(found.schema[c].dataType) for c in found.columns])
+    return op10.format_and_read(found.unionByName(extra))
+
+
+_ALL = (op2_pfair_mixing, op3_token_output, op5_jump_shards, op6_jaccard_join, op8_quality_rules, op9_decontaminate, op10_chat_format)
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}
