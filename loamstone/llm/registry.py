@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import op02_pfair_mixing as op02
 from . import op03_token_output as op03
+from . import op04_disclosure as op04
 from . import op05_jump_shards as op05
 from . import op06_jaccard_join as op06
 from . import op08_quality_rules as op08
@@ -52,7 +53,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.format_and_read(found.unionByName(extra))
 
 
-_ALL = (op2_pfair_mixing, op3_token_output, op5_jump_shards, op6_jaccard_join, op8_quality_rules, op9_decontaminate, op10_chat_format)
+def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op04.find(_docs(spark, sf_dir))
+
+
+_ALL = (op2_pfair_mixing, op3_token_output, op4_disclosure, op5_jump_shards, op6_jaccard_join, op8_quality_rules, op9_decontaminate, op10_chat_format)
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}
