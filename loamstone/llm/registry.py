@@ -11,6 +11,7 @@ from . import op03_token_output as op03
 from . import op04_disclosure as op04
 from . import op05_jump_shards as op05
 from . import op06_jaccard_join as op06
+from . import op07_class_lm as op07
 from . import op08_quality_rules as op08
 from . import op09_decontaminate as op09
 from . import op10_chat_format as op10
@@ -57,7 +58,11 @@ def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04.find(_docs(spark, sf_dir))
 
 
-_ALL = (op2_pfair_mixing, op3_token_output, op4_disclosure, op5_jump_shards, op6_jaccard_join, op8_quality_rules, op9_decontaminate, op10_chat_format)
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op07.score(_docs(spark, sf_dir))
+
+
+_ALL = (op2_pfair_mixing, op3_token_output, op4_disclosure, op5_jump_shards, op6_jaccard_join, op7_class_lm, op8_quality_rules, op9_decontaminate, op10_chat_format)
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}
