@@ -47,7 +47,7 @@ HOT_KEEP = 128
 #: Added to a broadcast shingle's frequency, so that it comes after all others.
 HOT = 1 << 40
 #: Shingles per bucket of the counting step.
-BUCKET_SHINGLES = 3_000_000
+BUCKET_SHINGLES = 1_500_000
 #: Ids of candidate documents that may be broadcast: 8 bytes each.
 BROADCAST_IDS = 2_000_000
 
@@ -175,7 +175,7 @@ def _count(table: pa.Table) -> pa.Table:
 
 
 def _hot_members(hot_tokens, hot_counts):
-    """Hot shingles of every text whose prefix can reach them, one of every other text, with the number of its shingles that are not hot."""
+    """The hot shingles that each text's prefix can reach, one at least, with the number of its shingles that are not hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, counts = hot_tokens.value, hot_counts.value
@@ -188,9 +188,10 @@ def _hot_members(hot_tokens, hot_counts):
                 mine = found[_among(found, hot)] if len(hot) else found[:0]
                 rest = len(found) - len(mine)
                 if len(mine):
-                    if rest >= _prefix(len(found)) + MAX_MATCHES - 1:
-                        mine = mine[:1]  # out of the prefix's reach, but ``rest`` is needed
-                    out.append((k1, mine, counts[np.searchsorted(hot, mine)] + HOT, rest))
+                    df = counts[np.searchsorted(hot, mine)]
+                    # the longest prefix holds so many of them, the rarest; one at least, as ``rest`` is needed
+                    first = np.lexsort((mine.view(np.int64), df))[: max(1, _prefix(len(found)) + MAX_MATCHES - 1 - rest)]
+                    out.append((k1, mine[first], df[first] + HOT, rest))
             if out:
                 n = [len(m) for _, m, _, _ in out]
                 yield pa.RecordBatch.from_arrays([_signed(np.repeat(np.array([k for k, *_ in out], dtype=np.uint64), n)), _signed(np.concatenate([m for _, m, _, _ in out])), pa.array(np.concatenate([c for *_, c, _ in out]).astype(np.int64)), pa.array(np.repeat([r for *_, r in out], n).astype(np.int64))], ["key", "token", "df", "rest"])
