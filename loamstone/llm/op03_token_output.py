@@ -272,6 +272,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([keys, pa.array(base + ends - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
+def written_order(docs: DataFrame) -> list[Column]:
+    """The order of the rows in the files that ``docs`` was read from: part number, file name, row in the file.
+
+    ``docs`` must be read from Parquet files directly."""
+    name = F.col("_metadata.file_name")
+    return [F.coalesce(F.regexp_extract(name, "part-([0-9]+)", 1).try_cast("long"), F.lit(-1)), name, F.col("_metadata.row_index")]
+
+
 def read_digests(docs: DataFrame, path: str) -> DataFrame:
     """Read the segments at ``path`` and return per document where its ids start, how many they are, and their crc32.
 

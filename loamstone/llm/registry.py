@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import op01_toxicity as op01
 from . import op02_pfair_mixing as op02
 from . import op03_token_output as op03
 from . import op04_disclosure as op04
@@ -62,7 +63,12 @@ def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op07.score(_docs(spark, sf_dir))
 
 
-_ALL = (op2_pfair_mixing, op3_token_output, op4_disclosure, op5_jump_shards, op6_jaccard_join, op7_class_lm, op8_quality_rules, op9_decontaminate, op10_chat_format)
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return op01.score(docs, op01.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+_ALL = (op1_toxicity, op2_pfair_mixing, op3_token_output, op4_disclosure, op5_jump_shards, op6_jaccard_join, op7_class_lm, op8_quality_rules, op9_decontaminate, op10_chat_format)
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}
