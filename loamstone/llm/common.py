@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that one task ranks at most, on average, in ``numbered``.
-ROWS_PER_CHUNK = 100_000
+ROWS_PER_CHUNK = 5_000
 
 
 def shared_dir(spark: SparkSession) -> str:
