@@ -1,6 +1,9 @@
-"""All registered queries of the claims engine, by name."""
+"""All registered queries of the claims engine, by name, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import changing, reading, searching, streamed, texts
+
+_PARTS = (reading, changing, searching, texts, streamed)
+QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
