@@ -11,7 +11,9 @@ from .collected import Collected
 query = Collected()
 QUERIES, ORACLE_SQL = query.queries, query.sql
 
-_NOW = F.lit("2024-07-01").cast("date")
+def _now():
+    return F.lit("2024-07-01").cast("date")
+
 
 
 @query("""
@@ -170,7 +172,7 @@ select count(*) as live_files, count(*) filter (where relative_path in (select s
   max(case when never_mined then greatest(date_diff('day', cast(last_indexed as date), date '2024-07-01'), 0) end) as oldest_unmined_days
 from source_files where not deleted""")
 def coverage_breadth(m):
-    return stats.coverage(m.source_files, m.symbols, m.facts, m.claims, _NOW)
+    return stats.coverage(m.source_files, m.symbols, m.facts, m.claims, _now())
 
 
 @query("""

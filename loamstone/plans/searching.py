@@ -1,2 +1,34 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Full-text queries."""
+
+from __future__ import annotations
+
+from loamstone.operators import search
+
+from .collected import Collected
+
+query = Collected()
+QUERIES, ORACLE_SQL = query.queries, query.sql
+
+_SEARCH = """
+with docs as (select id, kind, status, list_filter(string_split_regex(translate(lower(concat_ws(' ', body, source_quote)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') as t from facts),
+size as (select count(*) as n_docs, avg(len(t)) as avg_dl from docs),
+posts as (select id, kind, status, len(t) as dl, term, count(*) as tf from (select id, kind, status, t, unnest(t) as term from docs) where term in (TERMS) group by 1, 2, 3, 4, 5),
+df as (select term, count(*) as df from posts group by 1),
+w as (select posts.*, greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 0) as raw, n_docs, avg_dl from posts join df using (term), size),
+scored as (select id, kind, status, sum(case when raw <= 0 then 1e-6 else raw end * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl)) order by term) as score, count(*) as n from w group by 1, 2, 3)
+select id, kind, round(score, 6) as score from scored where n = NEEDED and status = 'active' KIND order by round(score, 6) desc, id limit 10"""
+
+
+@query(_SEARCH.replace("TERMS", "'license', 'the'").replace("NEEDED", "2").replace("KIND", ""))
+def bm25_search(m):
+    return search.search(m.facts, ["license", "the"])
+
+
+@query(_SEARCH.replace("TERMS", "'of'").replace("NEEDED", "1").replace("KIND", "and kind = 'todo'"))
+def bm25_search_by_kind(m):
+    return search.search(m.facts, ["of"], kind="todo")
+
+
+@query()
+def bm25_prefix_search(m):
+    return search.search(m.facts, ["the"], prefixes=("licen",))

@@ -1,2 +1,58 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Batch twins of the streaming jobs, and the model hook with its deterministic stand-in."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from loamstone.operators import generated
+from loamstone.streaming import jobs
+
+from .collected import Collected
+
+query = Collected()
+QUERIES, ORACLE_SQL = query.queries, query.sql
+
+
+@query("""
+with g as (select *, case when ts - lag(ts) over (partition by repo order by ts) < interval 30 minutes then 0 else 1 end as fresh from tool_calls),
+s as (select *, sum(fresh) over (partition by repo order by ts rows unbounded preceding) as batch from g)
+select repo, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as started_at, count(*) as n_events, string_agg(distinct path, ',' order by path) as paths from s group by repo, batch""")
+def debounced_batches(m):
+    return jobs.debounced(m.tool_calls)
+
+
+@query("""
+select call_id, row_number() over (partition by session, cast(ts as date) order by ts, call_id) <= 2 as admitted from tool_calls""")
+def daily_budget_admission(m):
+    return jobs.daily_budget(m.tool_calls, 2).select("call_id", "admitted")
+
+
+@query("""
+select repo, path, arg_min(call_id, (ts, call_id)) as call_id, count(*) as n_joined from tool_calls group by repo, path, time_bucket(interval 10 minutes, ts, timestamp '1970-01-01')""")
+def dedup_inflight(m):
+    return jobs.in_flight(m.tool_calls)
+
+
+@query()
+def token_bucket_admission(m):
+    return jobs.token_bucket(m.tool_calls, rate=1 / 36000, burst=5)
+
+
+@query()
+def two_level_admission(m):
+    return jobs.two_level(m.tool_calls, (1 / 36000, 1 / 36000), (5.0, 2.0))
+
+
+@query()
+def cron_next_runs(m):
+    schedules = m.spark.createDataFrame([("a", "*/15 * * * *"), ("b", "0 3 * * 1"), ("c", "30 12 1,15 * *"), ("d", "0 0 29 2 *")], "repo string, cron string")
+    return jobs.next_runs(schedules, dt.datetime(2024, 1, 10, 10, 7))
+
+
+@query("""
+select id as subject_id, p.predicate, p.predicate || ' of ' || symbol_name as object_text, p.confidence from symbols,
+  (values ('purpose', 0.7e0), ('usage_pattern', 0.6e0), ('complexity', 0.6e0), ('stability', 0.5e0)) p(predicate, confidence) where import_path = 'Brand#3'""")
+def llm_stub_generate(m):
+    return generated.generate(m.symbols.filter("import_path = 'Brand#3'"), generated.stand_in).select("subject_id", "predicate", "object_text", F.col("confidence"))
