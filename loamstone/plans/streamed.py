@@ -30,9 +30,9 @@ def daily_budget_admission(m):
 
 
 @query("""
-select repo, path, arg_min(call_id, (ts, call_id)) as call_id, count(*) as n_joined from tool_calls group by repo, path, time_bucket(interval 10 minutes, ts, timestamp '1970-01-01')""")
+select repo, path, arg_min(call_id, (ts, call_id)) as call_id, count(*) as n_joined from tool_calls group by repo, path, time_bucket(interval 1 day, ts, timestamp '1970-01-01')""")
 def dedup_inflight(m):
-    return jobs.in_flight(m.tool_calls)
+    return jobs.in_flight(m.tool_calls, "1 day")
 
 
 @query()
