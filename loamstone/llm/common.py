@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that one task ranks at most, on average, in ``numbered``.
 ROWS_PER_CHUNK = 5_000
+#: Rows and bytes of a batch that goes to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 2_000, "16m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +26,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loamstone/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: str = BATCH_BYTES) -> Iterator[None]:
+    """Bound what goes to a Python worker at once, for the jobs that run inside; rows may be very long."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: this cuts lineage, and a lost executor costs nothing that was written."""
     spark = df.sparkSession
@@ -29,7 +47,8 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with small_batches(spark):
+        writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

@@ -317,8 +317,8 @@ def classes(docs: DataFrame) -> DataFrame:
 def apply(docs: DataFrame) -> DataFrame:
     """The documents without those that are in the component of a document of smaller id; of repeated rows one stays."""
     found = stored(classes(docs), "classes")
-    stays = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    ids = stays.select("doc_id").distinct()
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    goes = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    few = goes.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(goes) if few else goes, "doc_id", "left_anti").select(*docs.columns)  # a null id stays
     repeated = found.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

@@ -16,10 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Words of a window.
 WINDOW = 10
 #: Windows that may be broadcast (about 200 bytes each); beyond, the join is shuffled by word.
 BROADCAST_WINDOWS = 200_000
+#: Contaminated texts that may be broadcast (16 bytes each); beyond, documents are shuffled.
+BROADCAST_TEXTS = 1_000_000
 
 #: Characters that are no part of a word: ASCII without digits and small letters.
 _BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -83,6 +87,7 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFra
 def apply(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents that hold no window of any item; a text is dropped wherever it stands."""
     spans = _hits(docs, benchmark, size)
-    bad = spans.filter("start is not null").select(F.col("doc_id").alias("_bad_id"), F.col("h").alias("_bad_text")).distinct()
+    bad = stored(spans.filter("start is not null").select(F.col("doc_id").alias("_bad_id"), F.col("h").alias("_bad_text")).distinct(), "contaminated")
+    few = bad.count() <= BROADCAST_TEXTS
     on = docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["_bad_text"])
-    return docs.join(bad, on, "left_anti")
+    return docs.join(F.broadcast(bad) if few else bad, on, "left_anti")
