@@ -131,7 +131,7 @@ def blame_lines(texts: DataFrame, key: str = "path", text: str = "text") -> Data
 def log_entries(texts: DataFrame, key: str = "path", text: str = "text", end: str = "---END---") -> DataFrame:
     """(sha, author, at, subject, message) of a log whose entries end with a marker line."""
     entries = texts.select(key, F.posexplode(F.split(text, end)).alias("entry_no", "entry")).withColumn("p", F.split(F.regexp_replace("entry", r"^\s+", ""), "\n", 5)).filter(F.size("p") >= 4)
-    return entries.select(key, "entry_no", F.col("p")[0].alias("sha"), F.col("p")[1].alias("author"), F.col("p")[2].alias("at"), F.col("p")[3].alias("subject"), F.trim(F.coalesce(F.get("p", F.lit(4)), F.lit(""))).alias("message"))
+    return entries.select(key, "entry_no", F.col("p")[0].alias("sha"), F.col("p")[1].alias("author"), F.col("p")[2].alias("at"), F.col("p")[3].alias("subject"), F.regexp_replace(F.coalesce(F.get("p", F.lit(4)), F.lit("")), r"^\s+|\s+\z", "").alias("message"))
 
 
 def validation_error(subject_id: Column, predicate: Column, source_file: Column, confidence: Column, tier: Column, predicates: tuple[str, ...], tiers: tuple[str, ...] = ("structural", "semantic", "meta")) -> Column:
