@@ -48,6 +48,8 @@ HOT_KEEP = 128
 HOT = 1 << 40
 #: Shingles per bucket of the counting step.
 BUCKET_SHINGLES = 1_500_000
+#: Tasks that a posting list is dealt to when its members meet the pivot.
+LIST_PARTS = 16
 #: Ids of candidate documents that may be broadcast: 8 bytes each.
 BROADCAST_IDS = 2_000_000
 
@@ -287,7 +289,10 @@ def join(docs: DataFrame) -> Joined:
     # 4. pivots: per posting list and class of sizes, all against the smallest id
     sized = posts.withColumn("scale", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT))))
     pivots = sized.groupBy("token", "scale").agg(F.min(F.struct("node", "n")).alias("pivot")).select("token", "scale", F.col("pivot.node").alias("a"), F.col("pivot.n").alias("an"))
-    stars = sized.join(pivots, ["token", "scale"]).filter("node <> a").filter((F.least("n", "an") * 100) >= (F.greatest("n", "an") * PERCENT)).select("a", F.col("node").alias("b")).distinct()
+    # a long list meets its pivot in several tasks
+    parts = F.array(*[F.lit(k) for k in range(LIST_PARTS)])
+    dealt = sized.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(LIST_PARTS)).cast("int"))
+    stars = dealt.join(pivots.withColumn("part", F.explode(parts)), ["token", "scale", "part"]).filter("node <> a").filter((F.least("n", "an") * 100) >= (F.greatest("n", "an") * PERCENT)).select("a", F.col("node").alias("b")).distinct()
     stars = stored(stars, "stars")
     links = verified(stars, "star-links")
 
