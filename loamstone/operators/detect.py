@@ -92,3 +92,40 @@ def replaced_facts(facts: DataFrame, corrections: DataFrame) -> DataFrame:
     last = corrections.filter(F.col("action").isin("correct", "supersede")).groupBy("fact_id").agg(F.max(F.struct("ord", "action", "new_body")).alias("c"))
     joined = facts.join(last, facts["id"] == last["fact_id"])
     return joined.select("fact_id", "subject_id", "kind", F.col("c.new_body").alias("body"), F.col("c.action").alias("source_ref"), F.lit("correction").alias("source_type"), F.lit("active").alias("status"))
+
+
+def without_dangling(rows: DataFrame, facts: DataFrame, columns: tuple[str, ...] = ("fact_id", "nearest_id")) -> DataFrame:
+    """Rows with references to facts that no longer exist set to null."""
+    for n, c in enumerate(columns):
+        known = facts.select(F.col("id").alias(f"_id{n}"))
+        rows = rows.join(known, F.col(c) == F.col(f"_id{n}"), "left").withColumn(c, F.col(f"_id{n}")).drop(f"_id{n}")
+    return rows
+
+
+def located(entries: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The symbol now at each entry's place (entry_id, file, start_line, end_line): of several the smallest id; null where there is none."""
+    placed = symbols.select(F.col("id").alias("symbol_id"), "file", F.col("start_line").alias("s"), F.col("end_line").alias("e"))
+    e = entries.alias("e").join(placed.alias("p"), (F.col("e.file") == F.col("p.file")) & (F.col("p.s") <= F.col("e.end_line")) & (F.col("p.e") >= F.col("e.start_line")), "left")
+    return e.groupBy("entry_id").agg(F.min("symbol_id").alias("symbol_id"))
+
+
+def calibration(pairs: DataFrame, now: Column, days: int = 90) -> DataFrame:
+    """Nearest-body pairs with the time from which they no longer count."""
+    return pairs.withColumn("expires_at", F.date_add(now, days))
+
+
+def unexpired(rows: DataFrame, now: Column) -> DataFrame:
+    return rows.filter(F.col("expires_at") >= now)
+
+
+def section_verdicts(sections: DataFrame, replies: DataFrame) -> DataFrame:
+    """Verdict per section from replies (section, reply as JSON): accurate, stale or unclear; an unreadable reply is unclear."""
+    parsed = F.from_json(F.regexp_replace("reply", r"^\s*```(?:json)?\s*|\s*```\s*\z", ""), "verdict string, reason string")
+    said = F.lower(parsed["verdict"])
+    joined = sections.join(replies, "section", "left")
+    return joined.select("section", F.when(said.isin("accurate", "stale"), said).otherwise("unclear").alias("verdict"), parsed["reason"].alias("reason"))
+
+
+def unchanged_warning(previous: Column, head: Column, n_changes: Column) -> Column:
+    """Whether two different revisions gave no difference at all."""
+    return (previous != head) & (n_changes == 0)

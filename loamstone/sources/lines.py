@@ -144,3 +144,21 @@ def validation_error(subject_id: Column, predicate: Column, source_file: Column,
         .when(~confidence.between(0, 1) | confidence.isNull(), "confidence out of range")
         .when(~tier.isin(*tiers) | tier.isNull(), "unknown tier")
     )
+
+
+def invariants(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+    """Statements that something must hold (assertions, panics, lint exceptions) with the function they stand in."""
+    numbered = lines(texts, key, text)
+    name = F.nullif(F.regexp_extract("line", r"^func (?:\([^)]*\) )?([A-Za-z_][A-Za-z0-9_]*)", 1), F.lit(""))
+    placed = numbered.withColumn("function", F.last(name, ignorenulls=True).over(_running(key)))
+    form = F.regexp_extract("line", r"(?:^|[^A-Za-z0-9_])(require\.[A-Za-z]+|assert\.[A-Za-z]+|panic)\(", 1)
+    kind = F.when(F.col("line").contains("//nolint"), "nolint").when(form == "panic", "panic").when(form.startswith("require"), "require").when(form.startswith("assert"), "assert")
+    return placed.withColumn("form", kind).filter("form is not null").select(key, "line_no", "form", "function", F.trim("line").alias("statement"))
+
+
+def manifest_of(paths: DataFrame) -> DataFrame:
+    """(doc, pattern): each Markdown file watches the code of its folder, by extension."""
+    placed = paths.withColumn("folder", F.regexp_replace("path", "[^/]*$", "")).withColumn("extension", F.regexp_extract("path", r"\.([A-Za-z0-9]+)\z", 1))
+    docs = placed.filter("extension = 'md'").select("folder", F.col("path").alias("doc"))
+    code = placed.filter(F.col("extension").isin("go", "py", "ts", "tsx", "sh")).select("folder", "extension").distinct()
+    return docs.join(code, "folder").select("doc", F.concat("folder", F.lit("*."), "extension").alias("pattern"))

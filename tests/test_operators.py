@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamstone.functions import text as T
-from loamstone.operators import generated, joins, merge, reads, search, stats
+from loamstone.operators import detect, generated, joins, merge, reads, search, stats
 from loamstone.sources import code, lines, tables
 from loamstone.streaming import jobs
 
@@ -175,3 +175,25 @@ def test_model_hook(spark):
     symbols = spark.createDataFrame([(1, "p", "A"), (2, "p", "B")], "id long, import_path string, symbol_name string")
     assert generated.generate(symbols, generated.stand_in).count() == 8
     assert generated.parsed("no json") == {} and generated.parsed("```json\n{}\n```") == {}
+
+
+def test_detectors(spark):
+    rows = spark.createDataFrame([(1, 2), (9, 1)], "fact_id long, nearest_id long")
+    facts = spark.createDataFrame([(1,), (2,)], "id long")
+    assert sorted(map(tuple, detect.without_dangling(rows, facts).collect()), key=str) == [(1, 2), (None, 1)]
+    entries = spark.createDataFrame([("e", "f", 5, 9), ("g", "f", 50, 51)], "entry_id string, file string, start_line int, end_line int")
+    symbols = spark.createDataFrame([(7, "f", 9, 20), (8, "f", 1, 5)], "id long, file string, start_line int, end_line int")
+    assert {r["entry_id"]: r["symbol_id"] for r in detect.located(entries, symbols).collect()} == {"e": 7, "g": None}
+    sections = spark.createDataFrame([("a",), ("b",), ("c",)], "section string")
+    replies = spark.createDataFrame([("a", '```json\n{"verdict": "Stale", "reason": "r"}\n```'), ("b", "none")], "section string, reply string")
+    assert {r["section"]: r["verdict"] for r in detect.section_verdicts(sections, replies).collect()} == {"a": "stale", "b": "unclear", "c": "unclear"}
+    now = F.lit("2024-01-01").cast("date")
+    assert detect.unexpired(detect.calibration(rows, now), F.lit("2024-05-01").cast("date")).count() == 0
+
+
+def test_invariants_and_manifest(spark):
+    source = "func (s *S) Do() {\n\tif x {\n\t\tpanic(\"no\")\n\t}\n}\nfunc TestIt(t *T) {\n\trequire.NoError(t, err)\n}\n"
+    found = lines.invariants(spark.createDataFrame([("f", source)], "path string, text string")).collect()
+    assert sorted((r["line_no"], r["form"], r["function"]) for r in found) == [(3, "panic", "Do"), (7, "require", "TestIt")]
+    paths = spark.createDataFrame([("a/README.md",), ("a/x.go",), ("a/y.go",), ("b/z.py",)], "path string")
+    assert list(map(tuple, lines.manifest_of(paths).collect())) == [("a/README.md", "a/*.go")]
