@@ -48,6 +48,8 @@ HOT_KEEP = 128
 HOT = 1 << 40
 #: Shingles per bucket of the counting step.
 BUCKET_SHINGLES = 1_500_000
+#: Most buckets, at which a text slice still gives each of them little.
+MAX_BUCKETS = 1 << 22
 #: Tasks that a posting list is dealt to when its members meet the pivot.
 LIST_PARTS = 16
 #: Ids of candidate documents that may be broadcast: 8 bytes each.
@@ -121,16 +123,15 @@ def _deal(buckets: int, hot_tokens):
             own = np.repeat(np.arange(len(keys)), sizes)
             bucket = (flat >> bits).astype(np.int64) if bits is not None else np.zeros(len(flat), np.int64)
             order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            present, begin = np.unique(bucket[order], return_index=True)
             key_of = np.array(keys, dtype=np.uint64)
             rows = {"bucket": [], "docs": [], "sizes": [], "tokens": []}
-            for b in range(buckets):
-                at = order[cut[b] : cut[b + 1]]
-                if len(at):
-                    docs, n = np.unique(own[at], return_counts=True)
-                    rows["bucket"].append(b), rows["docs"].append(key_of[docs].tobytes()), rows["sizes"].append(n.astype(np.uint16 if n.max() < 65536 else np.uint32).tobytes())
-                    # the top bits are the bucket's; six bytes of the others are kept
-                    rows["tokens"].append(flat[at].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() if buckets >= 1 else b"")
+            for b, lo, hi in zip(present.tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)]):
+                at = order[lo:hi]
+                docs, n = np.unique(own[at], return_counts=True)
+                rows["bucket"].append(b), rows["docs"].append(key_of[docs].tobytes()), rows["sizes"].append(n.astype(np.uint16 if n.max() < 65536 else np.uint32).tobytes())
+                # the top bits are the bucket's; six bytes of the others are kept
+                rows["tokens"].append(flat[at].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *[pa.array(rows[c], pa.binary()) for c in ("docs", "sizes", "tokens")]], list(rows))
 
     return run
@@ -142,38 +143,43 @@ def _among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[at] == values
 
 
-def _count(table: pa.Table) -> pa.Table:
-    """Shingles of a bucket that two or more different texts hold: rows of (key, token, df)."""
-    keys, tokens = [], []
-    for docs, sizes, packed in zip(*(table.column(c) for c in ("docs", "sizes", "tokens"))):
-        own = np.frombuffer(docs.as_buffer(), dtype=np.uint64)
-        raw = sizes.as_buffer()
-        n = np.frombuffer(raw, dtype=np.uint16 if raw.size == 2 * len(own) else np.uint32)
-        body = np.frombuffer(packed.as_buffer(), dtype=np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(body), 8), dtype=np.uint8)
-        wide[:, :6] = body
-        tokens.append(wide.view(np.uint64)[:, 0]), keys.append(np.repeat(own, n))
-    key, token = np.concatenate(keys), np.concatenate(tokens)
-    del keys, tokens
-    order = np.argsort(token, kind="stable")
-    key, token = key[order], token[order]
-    start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    often = np.diff(np.r_[start, len(token)]) > 1  # most shingles end here
-    keep = np.repeat(often, np.diff(np.r_[start, len(token)]))
-    key, token = key[keep], token[keep]
-    order = np.lexsort((key, token))
-    key, token = key[order], token[order]
-    if len(key):
-        once = np.r_[True, (key[1:] != key[:-1]) | (token[1:] != token[:-1])]  # equal texts of different slices
-        key, token = key[once], token[once]
+def _counted(buckets: int):
+    # bucket numbers are the top bits of a token; with the six bytes kept they make its identity
+    shift = np.uint64(min(48, 64 - (buckets.bit_length() - 1)))
+
+    def count(table: pa.Table) -> pa.Table:
+        """Shingles of a bucket that two or more different texts hold: rows of (key, token, df)."""
+        keys, tokens = [], []
+        for docs, sizes, packed in zip(*(table.column(c) for c in ("docs", "sizes", "tokens"))):
+            own = np.frombuffer(docs.as_buffer(), dtype=np.uint64)
+            raw = sizes.as_buffer()
+            n = np.frombuffer(raw, dtype=np.uint16 if raw.size == 2 * len(own) else np.uint32)
+            body = np.frombuffer(packed.as_buffer(), dtype=np.uint8).reshape(-1, 6)
+            wide = np.zeros((len(body), 8), dtype=np.uint8)
+            wide[:, :6] = body
+            tokens.append(wide.view(np.uint64)[:, 0]), keys.append(np.repeat(own, n))
+        key, token = np.concatenate(keys), np.concatenate(tokens)
+        del keys, tokens
+        order = np.argsort(token, kind="stable")
+        key, token = key[order], token[order]
         start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        df = np.repeat(np.diff(np.r_[start, len(token)]), np.diff(np.r_[start, len(token)]))
-        key, token, df = key[df > 1], token[df > 1], df[df > 1]
-    else:
-        df = np.empty(0, np.int64)
-    # bucket numbers are part of a token's identity; they go into the top bits again
-    bucket = np.uint64(table.column("bucket")[0].as_py()) << np.uint64(48)
-    return pa.table({"key": _signed(key), "token": _signed(token + bucket), "df": pa.array(df.astype(np.int64))})
+        often = np.diff(np.r_[start, len(token)]) > 1  # most shingles end here
+        keep = np.repeat(often, np.diff(np.r_[start, len(token)]))
+        key, token = key[keep], token[keep]
+        order = np.lexsort((key, token))
+        key, token = key[order], token[order]
+        if len(key):
+            once = np.r_[True, (key[1:] != key[:-1]) | (token[1:] != token[:-1])]  # equal texts of different slices
+            key, token = key[once], token[once]
+            start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            df = np.repeat(np.diff(np.r_[start, len(token)]), np.diff(np.r_[start, len(token)]))
+            key, token, df = key[df > 1], token[df > 1], df[df > 1]
+        else:
+            df = np.empty(0, np.int64)
+        bucket = np.uint64(table.column("bucket")[0].as_py()) << shift
+        return pa.table({"key": _signed(key), "token": _signed(token | bucket), "df": pa.array(df.astype(np.int64))})
+
+    return count
 
 
 def _hot_members(hot_tokens, hot_counts):
@@ -248,10 +254,10 @@ def join(docs: DataFrame) -> Joined:
     hot_tokens = spark.sparkContext.broadcast(tokens[order])
     hot_counts = spark.sparkContext.broadcast(hot_rows.column("df").to_numpy()[order])
     buckets = 8
-    while buckets * BUCKET_SHINGLES < n_tokens and buckets < 1 << 15:
+    while buckets * BUCKET_SHINGLES < n_tokens and buckets < MAX_BUCKETS:
         buckets *= 2
     dealt = narrow.mapInArrow(_deal(buckets, hot_tokens), "bucket int, docs binary, sizes binary, tokens binary")
-    counted = dealt.groupBy("bucket").applyInArrow(_count, "key long, token long, df long")
+    counted = dealt.groupBy("bucket").applyInArrow(_counted(buckets), "key long, token long, df long")
     often = counted.withColumn("rest", F.lit(None).cast("long"))
     if len(tokens):
         often = often.unionByName(narrow.mapInArrow(_hot_members(hot_tokens, hot_counts), "key long, token long, df long, rest long").dropDuplicates(["key", "token"]))
