@@ -41,6 +41,8 @@ TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_SYMBOLS = 2000, 4000, 6000
 LANDMARKS = 512
 PIECE, DECAY = 14, 0.5
 ROUNDS, EPOCHS, RIDGE = 8, 60, 3e-5
+#: Decision value below which a clean piece is not kept for the next round.
+EASY = -1.5
 #: Clean texts per toxic one for which the probability is meant.
 CLEAN_WEIGHT = 8.0
 #: Pieces of a clean text that a round adds.
@@ -169,11 +171,15 @@ def _weighted(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(texts: list[str], toxic: np.ndarray) -> Model:
-    """Fit the machine on most texts and the probability on the others."""
+    """As ``train_coded``, from texts."""
+    return train_coded([_sampled(symbols(t), TRAIN_SYMBOLS) for t in texts], toxic)
+
+
+def train_coded(coded: list[np.ndarray], toxic: np.ndarray) -> Model:
+    """Fit the machine on most texts (as symbols) and the probability on the others."""
     toxic = np.asarray(toxic, dtype=bool)
     if not len(toxic) or toxic.all() or not toxic.any():
         return Model(np.empty(0, np.int64), np.empty(0, np.float32), 0.0, -1e3)
-    coded = [_sampled(symbols(t), TRAIN_SYMBOLS) for t in texts]
     fit = np.arange(len(coded)) % 3 != 2
     marks, sure = _landmarks([s for s, f in zip(coded, fit) if f], toxic[fit])
 
@@ -187,9 +193,8 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     values, vectors = np.linalg.eigh(kernel)
     sound = values > 1e-6 * values.max()
     whiten = (vectors[:, sound] / np.sqrt(values[sound])).astype(np.float32)  # landmarks x rank
-    project = np.zeros((_SIZE, 1), dtype=np.int32)
-    project[at, 0] = np.arange(1, len(at) + 1)
-    project = project[:, 0]
+    project = np.zeros(_SIZE, dtype=np.int32)
+    project[at] = np.arange(1, len(at) + 1)
     lift = np.vstack([np.zeros((1, whiten.shape[1]), np.float32), phi.T @ whiten])  # feature -> vector
 
     def vectors_of(pieces: list[np.ndarray]) -> np.ndarray:
@@ -204,10 +209,14 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     def fitted(x: np.ndarray, y: np.ndarray, c: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Squared hinge with ridge and costs, by Newton steps on the points inside the margin; the last weight is the offset."""
         for _ in range(EPOCHS):
-            inside = y * (x @ w) < 1
-            xi, ci = x[inside], c[inside]
-            hessian = (xi * ci[:, None]).T @ xi + RIDGE * np.eye(len(w))
-            new = np.linalg.solve(hessian, xi.T @ (ci * y[inside]))
+            inside = np.flatnonzero(y * (x @ w[:-1].astype(np.float32) + w[-1]) < 1)
+            hessian, pull = RIDGE * np.eye(len(w)), np.zeros(len(w))
+            for at_ in range(0, len(inside), 2048):
+                part = inside[at_ : at_ + 2048]
+                xi = np.c_[x[part], np.ones(len(part))].astype(np.float64)
+                hessian += (xi * c[part][:, None]).T @ xi
+                pull += xi.T @ (c[part] * y[part])
+            new = np.linalg.solve(hessian, pull)
             done = np.allclose(new, w, atol=1e-6)
             w = new
             if done:
@@ -237,10 +246,10 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
             (guilty if toxic[i] else fair).extend(coded[i][a : a + PIECE + 6] for a in starts)
         clean = np.r_[clean, vectors_of(fair)]
         x = np.r_[vectors_of(guilty), certain, clean]
-        x = np.c_[x, np.ones(len(x))].astype(np.float64)
         y = np.r_[np.ones(len(guilty) + len(certain)), -np.ones(len(clean))]
         cost = np.r_[np.full(len(guilty), 0.25 / max(len(guilty), 1)), np.full(len(certain), 0.25 / max(len(certain), 1)), np.full(len(clean), 0.5 / len(clean))]
         w = fitted(x, y, cost, w)
+        clean = clean[clean @ w[:-1].astype(np.float32) + w[-1] > EASY]  # the others come again if they ever matter
         fold = (phi.T @ (whiten @ w[:-1]) / np.sqrt(PIECE)).astype(np.float32)
     model = Model(at, fold, 1.0, 0.0)
     table = model.table()
@@ -305,7 +314,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     spaced = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.substring("text", (F.floor(k * (n - width) / (parts - 1)) + 1).cast("int"), F.lit(width))), "\n")
     bounded = texts.withColumn("text", F.when(n > parts * width, spaced).otherwise(F.col("text")))
     rows = bounded.select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")
-    return train([t or "" for t in rows.column("text").to_pylist()], np.array(rows.column("toxic").to_pylist()) == 1)
+    toxic, coded = np.array(rows.column("toxic").to_pylist()) == 1, [_sampled(symbols(t.as_py() or ""), TRAIN_SYMBOLS) for t in rows.column("text")]
+    del rows
+    return train_coded(coded, toxic)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
