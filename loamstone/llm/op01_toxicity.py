@@ -24,6 +24,7 @@ empty result; extra columns are ignored; a null doc_id is not held out.
 
 from __future__ import annotations
 
+import heapq
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -42,7 +43,7 @@ LANDMARKS = 512
 PIECE, DECAY = 14, 0.5
 ROUNDS, EPOCHS, RIDGE = 8, 60, 3e-5
 #: Decision value below which a clean piece is not kept for the next round.
-EASY = -1.5
+EASY = -1.05
 #: Clean texts per toxic one for which the probability is meant.
 CLEAN_WEIGHT = 8.0
 #: Pieces of a clean text that a round adds.
@@ -145,8 +146,9 @@ def _landmarks(texts: list[np.ndarray], toxic: np.ndarray) -> tuple[list[np.ndar
         a, b = held[True][word] + 0.5, held[False][word] + 0.5
         return a * np.log(a / (n1 + 1) / (b / (n0 + 1)))
 
-    tied = sorted(held[True], key=lambda w: (-ratio(w), w))[: LANDMARKS // 2]
-    common = [w for w, _ in sorted(held[False].items(), key=lambda x: (-x[1], x[0])) if w not in set(tied)][: LANDMARKS - len(tied)]
+    tied = heapq.nsmallest(LANDMARKS // 2, held[True], key=lambda w: (-ratio(w), w))
+    taken = set(tied)
+    common = heapq.nsmallest(LANDMARKS - len(tied), (w for w in held[False] if w not in taken), key=lambda w: (-held[False][w], w))
     sure = sorted(w for w, n in held[True].items() if n >= SURE_TEXTS and not held[False][w])
     return [np.frombuffer(b"\0" + w + b"\0", dtype=np.uint8) for w in tied + common], sure
 
@@ -204,7 +206,7 @@ def train_coded(coded: list[np.ndarray], toxic: np.ndarray) -> Model:
             known = project[f]
             hit = known > 0
             row += w[hit] @ lift[known[hit]]
-        return out / np.sqrt(PIECE)
+        return out / np.float32(np.sqrt(PIECE))
 
     def fitted(x: np.ndarray, y: np.ndarray, c: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Squared hinge with ridge and costs, by Newton steps on the points inside the margin; the last weight is the offset."""
