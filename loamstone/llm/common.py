@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Rows that one task ranks at most, on average, in ``numbered``.
 ROWS_PER_CHUNK = 5_000
 #: Rows and bytes of a batch that goes to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 2_000, "16m"
+BATCH_ROWS, BATCH_BYTES = 1_000, "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:

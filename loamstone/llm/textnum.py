@@ -13,7 +13,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are processed at a time; a longer single text is processed alone.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
+
+#: Arrow's own allocators keep what they free; a worker lives through many stages and shares its executor's memory.
+pa.set_memory_pool(pa.system_memory_pool())
 
 U = np.uint64
 _RADIX = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
