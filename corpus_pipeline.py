@@ -14,28 +14,43 @@ from loamstone.llm import op02_pfair_mixing, op03_token_output, op06_jaccard_joi
 from loamstone.llm.common import stored
 
 
+#: Rows and bytes that go to a Python worker at once; texts may be very long, and executors small.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+def bounded(spark: SparkSession) -> None:
+    """Set the session's batch sizes: a stage's result is written after its function has returned."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every quality rule."""
+    bounded(spark)
     return op08_quality_rules.apply(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the smallest id, of each group of near-duplicates."""
+    bounded(spark)
     return op06_jaccard_join.apply(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
+    bounded(spark)
     return op09_decontaminate.apply(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order in which Pfair scheduling interleaves their sources."""
+    bounded(spark)
     return op02_pfair_mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token segments in the order of the mix, read back as digests per document."""
+    bounded(spark)
     return op03_token_output.encode_and_read(docs, public_tokenizers.path("word_bpe_49k.json"), order=op03_token_output.written_order(docs))
 
 
