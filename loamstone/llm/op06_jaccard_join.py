@@ -307,12 +307,15 @@ def join(docs: DataFrame) -> Joined:
     classed = posts.join(labels, F.col("node") == F.col("id"), "left").withColumn("class", F.coalesce("label", "node")).drop("id", "label")
     several = classed.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi")
     classed = stored(classed.join(several, "token", "left_semi"), "classed")
-    bounds = classed.groupBy("token", "class").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("reach"))
-    x, y = bounds.select("token", *[F.col(c).alias(f"x_{c}") for c in ("class", "low", "high", "reach")]), bounds.select("token", *[F.col(c).alias(f"y_{c}") for c in ("class", "low", "high", "reach")])
-    meets = x.join(y, "token").filter("x_class < y_class and x_low <= y_reach and y_low <= x_reach and 100 * x_high >= 80 * y_low and 100 * y_high >= 80 * x_low".replace("80", str(PERCENT))).select("token", "x_class", "y_class")
-    part = lambda side: classed.select("token", F.col("class").alias(f"{side}_class"), *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "p", "need", "rank", "reach")])
+    # members of one class that all the bounds treat alike are one cell, so no join makes more rows than there are pairs within the bounds
+    same = ["token", "class", "n", "need", "rank"]
+    cells = classed.select(*same, "p", "reach").distinct()
+    side = lambda df, s: df.select("token", *[F.col(c).alias(f"{s}_{c}") for c in df.columns if c != "token"])
+    keys = lambda s: ["token", *[f"{s}_{c}" for c in same[1:]]]
     bounded = "x_n <= y_reach and y_n <= x_reach and 100 * x_n >= 80 * y_n and 100 * y_n >= 80 * x_n and x_rank < x_p + least(x_need, y_need) - 1 and y_rank < y_p + least(x_need, y_need) - 1".replace("80", str(PERCENT))
-    met = meets.join(part("x"), ["token", "x_class"]).join(part("y"), ["token", "y_class"]).filter(bounded)
+    meets = side(cells, "x").join(side(cells, "y"), "token").filter(f"x_class < y_class and {bounded}").select(*keys("x"), *keys("y")[1:])
+    members = classed.select(*same, "node")
+    met = meets.join(side(members, "x"), keys("x")).join(side(members, "y"), keys("y"))
     pairs = met.groupBy(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("x_need", "y_need")).alias("need")).filter("shared >= need").select("a", "b")
     more = verified(pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "class-links")
     for used in (posts, sets, stars, classed, wanted):
