@@ -275,3 +275,34 @@ def test_mixed_keeps_rows_in_order(spark, docs):
     by_id = {r["doc_id"]: (r["position"], r["offset"]) for r in op02.plan(docs, block_rows=4, period=60).collect() if r["doc_id"] is not None and r["doc_id"] < 9000}
     written = [r["doc_id"] for r in spread.orderBy(*op03.written_order(spread)).collect() if r["doc_id"] in by_id]
     assert written == sorted(written, key=by_id.get)
+
+
+def test_mixing_keeps_irrational_weights_over_many_blocks(spark):
+    """Over tens of thousands of slots, of which many ranges are filled apart; a weight below 1 / 720 gets no more than itself."""
+    from pyspark.sql import functions as F
+
+    ratios = {"a": math.pi, "b": math.e, "c": math.sqrt(2), "d": 1 / 997}
+    weights = {s: w / sum(ratios.values()) for s, w in ratios.items()}
+    sizes = {s: int(w * 30_000) for s, w in weights.items()}
+    docs = spark.range(sum(sizes.values())).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("t"))
+    upto, source = 0, F.lit(None)
+    for s, n in sizes.items():
+        source = F.when((F.col("doc_id") >= upto) & (F.col("doc_id") < upto + n), s).otherwise(source)
+        upto += n
+    found = op02.plan(docs.withColumn("source", source), weights, block_rows=1).select("slot", "source", "release", "deadline", "block", "position").collect()
+    assert len(found) == upto
+    assert all(r["release"] <= r["slot"] < r["deadline"] and abs(r["release"] - r["block"] / weights[r["source"]]) < 1.001 for r in found)
+    by_slot = {r["slot"]: r for r in found}
+    assert len(by_slot) == upto
+    given, ordered = Counter(), sorted(by_slot)
+    for slot in range(29_000):
+        given[by_slot[slot]["source"]] += 1
+        assert all(abs(given[s] - w * (slot + 1)) < 1.000001 for s, w in weights.items())
+    assert [by_slot[s]["position"] for s in ordered] == list(range(upto))
+    assert not set(op02.slots_of(weights, op02.unit_of(weights, sizes)).values()) & {0}
+
+
+def test_mixing_with_shuffled_blocks(spark, docs, monkeypatch):
+    expected = Counter(map(tuple, op02.plan(docs, block_rows=4).collect()))
+    monkeypatch.setattr(op02, "BROADCAST_BLOCKS", 0)
+    assert Counter(map(tuple, op02.plan(docs, block_rows=4).collect())) == expected
