@@ -6,6 +6,10 @@ the rarest word of each window is looked up in the documents, and each hit fixes
 length bound (the window must end inside the document) and the positional bound (it must start inside) are applied, and the
 window's words are then compared one by one.
 
+Few windows are broadcast. Many are joined by shuffled rows of one word each, without texts; only the passages in which a window
+may start, cut from each text with an overlap, meet their candidates for the comparison, so what is shuffled grows with the
+words of the documents and with the places that pass both bounds, not with the square of a document's length.
+
 Defined cases: a null or empty text has no words and is hit by nothing; an item without words has no window; repeated rows get
 equal results, one each; equal items all count; an empty benchmark leaves every document clean; extra columns pass through
 ``apply``; a null doc_id stays null.
@@ -22,6 +26,8 @@ from .common import stored
 WINDOW = 10
 #: Windows that may be broadcast (about 200 bytes each); beyond, the join is shuffled by word.
 BROADCAST_WINDOWS = 200_000
+#: Starts of windows in a passage, the unit in which texts are compared beyond that bound.
+PASSAGE_WORDS = 1_000
 #: Contaminated texts that may be broadcast (16 bytes each); beyond, documents are shuffled.
 BROADCAST_TEXTS = 1_000_000
 
@@ -51,23 +57,47 @@ def _hits(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     hint = F.broadcast if small else (lambda df: df)
     worded = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("h"), words_of(F.col("text")).alias("w"))
     known = windows.select(F.explode("window").alias("word")).distinct()
-    counts = worded.select(F.explode("w").alias("word")).join(hint(known), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = worded.select(F.explode("w").alias("word"))
+    if small:
+        counts = words.join(hint(known), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    else:  # counted before they are dealt out by word
+        counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(known, "word", "left_semi")
     # the rarest word of each window and its place in it; a word that no document has can't be hit, nor its window
     placed = windows.select("item_id", "window", F.posexplode("window").alias("at", "word")).join(hint(counts), "word", "left")
     rarest = placed.groupBy("item_id", "window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word"), F.col("at"))).alias("r")).filter("r.n > 0")
     # windows of equal words are compared once; items are attached after
     necessary = rarest.groupBy("window").agg(F.first("r").alias("r"), F.array_sort(F.collect_set("item_id")).alias("items"))
     table = necessary.select(F.col("r.word").alias("word"), F.col("r.at").alias("at"), "window", "items")
+    if not small:
+        return _shuffled_hits(worded, table, size)
     # one more row, of a word that no text can hold, gives every document its own row
     own = docs.sparkSession.sql("select ' ' as word, 0 as at").select("word", "at", F.lit(None).cast("array<string>").alias("window"), F.lit(None).cast(table.schema["items"].dataType).alias("items"))
     each = worded.select("doc_id", "h", "w", F.posexplode(F.concat("w", F.array(F.lit(" ")))).alias("pos", "word"))
     start = F.col("pos") - F.col("at")
     inside = (start >= 0) & (start + F.size("window") <= F.size("w"))
     same = F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("window")) == F.col("window")
-    joined = each.join(hint(table.unionByName(own)), "word").filter(F.col("window").isNull() | (inside & same))
+    joined = each.join(F.broadcast(table.unionByName(own)), "word").filter(F.col("window").isNull() | (inside & same))
     return joined.select("doc_id", "h", F.size("w").cast("long").alias("n_words"), F.when(F.col("window").isNotNull(), start).alias("start"), (start + F.size("window")).alias("end"), "items")
 
 
+def _shuffled_hits(worded: DataFrame, table: DataFrame, size: int) -> DataFrame:
+    """The rows of ``_hits`` for windows that are too many to be broadcast."""
+    n_words = F.size("w").cast("long").alias("n_words")
+    items = table.schema["items"].dataType
+    own = worded.select("doc_id", "h", n_words, F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(None).cast(items).alias("items"))
+    each = worded.select("doc_id", "h", F.size("w").alias("size"), F.posexplode("w").alias("pos", "word"))
+    start = F.col("pos") - F.col("at")
+    found = each.join(table, "word").filter((start >= 0) & (start + F.size("window") <= F.col("size")))
+    found = found.select("doc_id", "h", F.floor(start / PASSAGE_WORDS).cast("int").alias("passage"), start.alias("start"), "window", "items")
+    cut = F.sequence(F.lit(0), F.floor((F.size("w") - 1) / PASSAGE_WORDS).cast("int"))
+    passages = worded.filter(F.size("w") > 0).select("doc_id", "h", n_words, F.explode(F.transform(cut, lambda c: F.struct(c.alias("passage"), F.slice("w", c * PASSAGE_WORDS + 1, F.lit(PASSAGE_WORDS + size - 1)).alias("part")))).alias("p"))
+    passages = passages.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "n_words", F.col("p.passage").alias("_passage"), F.col("p.part").alias("part"))
+    on = found["doc_id"].eqNullSafe(passages["_id"]) & (found["h"] == passages["_h"]) & (found["passage"] == passages["_passage"])
+    same = F.slice("part", F.col("start") - F.col("passage") * PASSAGE_WORDS + 1, F.size("window")) == F.col("window")
+    hits = found.join(passages, on).filter(same)
+    return own.unionByName(hits.select("doc_id", "h", "n_words", "start", (F.col("start") + F.size("window")).alias("end"), "items"))
+
+
 def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     spans = _hits(docs, benchmark, size)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -144,3 +145,28 @@ def test_numbering_splits_groups(spark):
 def test_written_shards(spark, docs, tmp_path):
     op05_jump_shards.write_shards(docs, str(tmp_path / "shards"), 5)
     assert spark.read.parquet(str(tmp_path / "shards")).count() == docs.count()
+
+
+def _shuffled_bytes(spark):
+    time.sleep(1)  # the listener is asynchronous
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_decontamination_by_many_windows(spark, docs, monkeypatch):
+    """Beyond the bound for broadcasts the report is the same, and a long text is not shuffled once per word."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(3000)]
+    long = spark.createDataFrame([(70_000, " ".join(words)), (70_001, " ".join(words[:5] * 3)), (70_001, " ".join(words[:5] * 3)), (None, words[7]), (70_002, "")], "doc_id long, text string")
+    items = [("a", " ".join(words[995:1020])), ("b", " ".join(words[2990:])), ("c", words[7]), ("d", " ".join(words[:5] * 2)), ("e", " ".join(words[2995:] + words[:5]))]
+    benchmark = spark.createDataFrame(items, "item_id string, text string").unionByName(spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").selectExpr("cast(item_id as string) as item_id", "text"))
+    both = docs.select("doc_id", "text").unionByName(long)
+    expected = sorted(map(repr, op09_decontaminate.report(both, benchmark).collect()))
+    kept = sorted(repr(r["doc_id"]) for r in op09_decontaminate.apply(both, benchmark).collect())
+    monkeypatch.setattr(op09_decontaminate, "BROADCAST_WINDOWS", 0)
+    before = _shuffled_bytes(spark)
+    assert {r["doc_id"]: r["n_hit"] for r in op09_decontaminate.report(long, benchmark).collect()} == {70_000: 36, 70_001: 15, 70_002: 0, None: 1}
+    assert _shuffled_bytes(spark) - before < 5_000_000
+    assert sorted(map(repr, op09_decontaminate.report(both, benchmark).collect())) == expected
+    assert sorted(repr(r["doc_id"]) for r in op09_decontaminate.apply(both, benchmark).collect()) == kept
