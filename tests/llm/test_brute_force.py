@@ -139,21 +139,103 @@ def test_class_lm(docs, rows):
     assert sum(r["score"] for r in found if r["held_out"]) > sum(r["base_score"] for r in found if r["held_out"])
 
 
+def test_class_lm_scores(docs, rows):
+    """Classes of the other words by their neighbours, class bigrams and scores, by plain loops over the texts; the head's classes are the operator's."""
+    import numpy as np
+
+    from loamstone.llm import textnum as tn
+
+    head_words = 150
+    tokens = [[*WORD.findall(low(t)), None] for _, t in rows]
+    trained = [t for (i, _), t in zip(rows, tokens) if i is None or zlib.crc32(str(i).encode()) % 10]
+    counts = Counter(w for t in trained for w in t)
+
+    def number(word):
+        raw = np.frombuffer(word.encode(), dtype=np.uint8)
+        return tn.span_hashes(raw, np.array([0]), np.array([len(raw)]))[0]
+
+    numbers = {w: number(w) for w in counts if w is not None}
+    chosen = sorted(numbers, key=lambda w: (-counts[w], int(numbers[w].view(np.int64))))[:head_words]
+    place = {w: k for k, w in enumerate(sorted(chosen, key=lambda w: int(numbers[w])))} | {None: head_words}
+    pairs = np.zeros((head_words + 1, head_words + 1))
+    for t in trained:
+        for before, word in zip([None, *t], t):
+            if before in place and word in place:
+                pairs[place[before], place[word]] += 1
+    own = op07.exchange(pairs)
+    of = {w: int(own[k]) for w, k in place.items()}
+    after, ahead = {}, {}
+    for t in trained:
+        for before, word, next_ in zip([None, *t], t, [*t[1:], None]):
+            if word not in place and counts[word] >= op07.MIN_COUNT:
+                if next_ in place:
+                    after.setdefault(word, Counter())[of[next_]] += 1
+                if before in place:
+                    ahead.setdefault(word, Counter())[of[before]] += 1
+    head_grid = np.zeros((op07.CLASSES, op07.CLASSES))
+    for a in place:
+        for b in place:
+            head_grid[of[a], of[b]] += pairs[place[a], place[b]]
+    grid, found = head_grid, {}
+    for sweep in range(op07.TAIL_SWEEPS):
+        smooth = grid + op07.FLOOR
+        rows_, cols = smooth.sum(axis=1), smooth.sum(axis=0)
+        for w in set(after) | set(ahead):
+            gains = []
+            for c in range(op07.CLASSES - 1):
+                gain = sum(n * math.log(smooth[c, x] / rows_[c]) for x, n in after.get(w, {}).items())
+                gains.append(gain + sum(n * math.log(smooth[x, c] / cols[c]) for x, n in ahead.get(w, {}).items()))
+            best = max(gains)
+            found[w] = next(c for c, g in enumerate(gains) if g >= best - 1e-9)
+        grid = head_grid.copy()
+        for w, c in found.items():
+            for x, n in after.get(w, {}).items():
+                grid[c, x] += n
+            for x, n in ahead.get(w, {}).items():
+                grid[x, c] += n
+    of |= found
+    rare = op07.RARE
+    steps, mass, words = Counter(), Counter(), Counter()
+    for t in trained:
+        for before, word in zip([None, *t], t):
+            steps[of.get(before, rare), of.get(word, rare)] += 1
+    for w, n in counts.items():
+        mass[of.get(w, rare)] += n + op07.ADD
+    once = max(op07.ADD, sum(n == 1 for n in counts.values()))
+    mass[rare] += once
+    total, size = sum(steps.values()), op07.ALL_CLASSES
+    before_, after_ = Counter(), Counter()
+    for (x, y), n in steps.items():
+        before_[x] += n
+        after_[y] += n
+
+    def log_p(t):
+        p = 0.0
+        for a, b in zip([None, *t], t):
+            x, y = of.get(a, rare), of.get(b, rare)
+            p += math.log10((steps[x, y] + op07.BACK * (after_[y] + 1) / (total + size)) / (before_[x] + op07.BACK))
+            p += math.log10((counts[b] + op07.ADD if counts[b] else once) / mass[y])
+        return p
+
+    expected = sorted((str(i), log_p(t)) for (i, _), t in zip(rows, tokens))
+    got = sorted((str(r["doc_id"]), r["score"]) for r in op07.score(docs, head_words).collect())
+    assert [i for i, _ in got] == [i for i, _ in expected] and len(found) > 100
+    assert all(abs(x - y) < 1e-6 * max(1, abs(y)) for (_, x), (_, y) in zip(got, expected))
+
+
 def test_class_lm_is_a_distribution():
     """Emissions of a class and one unseen word sum to one, and so do transitions."""
     import numpy as np
 
     rng = np.random.default_rng(1)
-    pairs = rng.integers(0, 5, (op07.ITEMS, op07.ITEMS))
-    seen = np.r_[np.ones(op07.HEAD), rng.integers(1, 9, op07.SHAPES), 1]
-    tokens = seen * 3
-    model = op07.Model(np.arange(op07.HEAD, dtype=np.uint64) * 256, pairs, seen, tokens)
+    grid = rng.integers(0, 50, (op07.ALL_CLASSES, op07.ALL_CLASSES)).astype(float)
+    of, totals = rng.integers(0, op07.ALL_CLASSES, 3000), rng.integers(1, 9, 3000)
+    sums = [np.bincount(of, weights=x, minlength=op07.ALL_CLASSES) for x in (totals, np.ones(3000), totals == 1)]
+    model = op07.Model(grid, *sums)
     assert np.allclose((10**model.step).sum(axis=1), 1)
-    member = model.of[:, None] == np.arange(op07.CLASSES)
-    mass = (member * (tokens + op07.ADD * seen)[:, None]).sum(axis=0)
-    unseen = op07.ADD * member[op07.HEAD : op07.ITEMS - 1].any(axis=0)
-    full = member.any(axis=0)
-    assert np.allclose(((mass + unseen) / 10**model.denominator)[full], 1)
+    shares = np.bincount(of, weights=10 ** model.emissions(totals, of), minlength=op07.ALL_CLASSES)
+    shares[op07.RARE] += 10 ** model.emissions(np.array([0]), np.array([op07.RARE]))[0]
+    assert np.allclose(shares, 1)
 
 
 def test_exchange_finds_planted_classes():
