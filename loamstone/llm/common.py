@@ -17,9 +17,13 @@ BATCH_ROWS, BATCH_BYTES = 1_000, "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A local session without one gets a folder of its own; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or f"file://{tempfile.gettempdir()}/loamstone-shared").rstrip("/")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = f"file://{tempfile.gettempdir()}/loamstone-shared"
+    return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -63,6 +67,14 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def numbered(df: DataFrame, group: list[str], order: list[Column], name: str = "n", spread: Column | None = None, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Number the rows of each group from 0 without a gap, in an order that ``spread`` and ``order`` fix.
 

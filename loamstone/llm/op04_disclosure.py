@@ -1,16 +1,21 @@
 """Personal data, and the terms that give it away.
 
 Base kinds (email, ip, card, phone) are found by pattern. Around them the information-theoretic part works on the corpus: a
-value e found in df(e) of N documents has IC(e) = -log2(df(e) / N) bits; a term t standing near it reveals PMI(e; t) =
-log2(p(e | t) / p(e)) of these bits, where p(e | t) is the share of the documents that hold t in which it stands near e. A term
-whose PMI reaches ``GENERALISE`` of IC(e) is a disclosing term for e; in documents that hold e, ``sanitised`` generalises it
-to its class of word, or, from ``REMOVE`` on, removes it. A pair needs ``MIN_TEXTS`` different texts as evidence, so that
-copies of one text prove nothing. All counts are over all documents.
-
-Only terms within ``NEAR`` words of a mention are paired with it, so the pairs grow with the mentions, never with their square.
-
-Defined cases: a null or empty text has no spans; repeated rows get equal results and count as documents; an empty table gives an
-empty result; extra columns pass through ``sanitised``; a null doc_id stays null; spans of one kind never overlap.
+value e found in df(e) of N documents has IC(e) = -log2(df(e) / N) bits; a term t of the same documents reveals PMI(e; t) =
+log2(p(e | t) / p(e)) of these bits. p(e | t) is estimated over whole documents: the share of the documents with t that also hold e,
+discounted by m / (m + ``SMOOTH``), where m is the number of different texts that hold both, so that few texts, or many copies of one,
+prove little. A term is a disclosing term for e if the bits it leaves, IC(e) - PMI(e; t) = -log2 p(e | t), are at most ``LEFT_BITS`` and
+at most the share ``LEFT_SHARE`` of IC(e). In every document that holds e, wherever the term stands, ``sanitised`` generalises it to its
+class of word, or removes it where at most ``REMOVE_BITS`` are left. All counts are over all documents.
+
+Values that stand in exactly the same texts are judged as one. A value of a single text can never reach the bound, as the discount alone leaves
+-log2(1 / (1 + ``SMOOTH``)) bits, so its terms are not counted at all. Terms are listed once per text, not once per value, so what
+moves grows with the texts that hold values.
+
+A term is a run of letters and digits, any character beyond ASCII included, A-Z taken as a-z, outside all base spans; its number of
+documents counts it anywhere. Defined cases: a null or empty text has no spans; repeated rows get equal results and count as
+documents; an empty table gives an empty result; extra columns pass through ``sanitised``, whatever their names; a null doc_id stays
+null; spans of one kind never overlap.
 """
 
 from __future__ import annotations
@@ -24,19 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from . import textnum as tn
+from .common import discard, free_name, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on either side of a mention whose terms are paired with it.
-NEAR = 20
-#: Different texts in which a term must stand near a value.
-MIN_TEXTS = 3
-#: Shares of a value's information from which a term is generalised and removed.
-GENERALISE, REMOVE = 0.9, 0.97
-#: Letters of the shortest term.
-MIN_LETTERS = 4
-#: Hashes that may be broadcast (8 bytes each); beyond, the joins are shuffled.
-BROADCAST_HASHES = 2_000_000
+#: Weight against small numbers of texts.
+SMOOTH = 1.0
+#: Bits of a value, and share of its information, that a disclosing term may leave; and the bits at which it is removed.
+LEFT_BITS, LEFT_SHARE, REMOVE_BITS = 0.75, 0.1, 0.35
+#: Rows of a few numbers that may be broadcast (about 50 bytes each); beyond, the joins are shuffled.
+BROADCAST_ROWS = 1_000_000
+#: Bytes of text whose terms are counted at a time.
+SLICE = 4_000_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -44,8 +48,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{%d,}" % MIN_LETTERS)
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_TERM = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
+_BREAKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -73,7 +77,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base kinds, by start and then kind."""
     found = [(a, b, "email") for a, b in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        parts = [p.lstrip("0") for p in m[0].split(".")]  # short before they are read as numbers
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
             found.append((*m.span(), "ip"))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -115,64 +120,57 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, t) for v, t in zip(zip(*rows) if rows else [()] * 7, types)]], ["doc_id", "h", *names])
 
 
-def _terms_near(text: str) -> Iterator[tuple[int, str]]:
-    """(value, term) for every term within ``NEAR`` words of a mention and outside all mentions."""
-    spans = base_spans(text)
-    words = [m.span() for m in _WORD.finditer(text)]
-    starts, ends = np.array([a for a, _ in words]), np.array([b for _, b in words])
-    free = np.ones(len(words), dtype=bool)
-    for a, b, _ in spans:
+def _terms(text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """The places of a text's terms outside all base spans, and their hashes."""
+    buf, off = tn.text_bytes(pa.array([text]))
+    hashes = tn.Words(buf, off, _BREAKS).hashes(True)
+    places = [m.span() for m in _TERM.finditer(text)]
+    starts, ends = np.array([a for a, _ in places], dtype=np.int64), np.array([b for _, b in places], dtype=np.int64)
+    free = np.ones(len(places), dtype=bool)
+    for a, b, _ in base_spans(text):
         free[np.searchsorted(ends, a, side="right") : np.searchsorted(starts, b)] = False
-    for span in spans:
-        lo, hi = np.searchsorted(ends, span[0], side="right"), np.searchsorted(starts, span[1])
-        value = _value(text, span)
-        for w in range(max(0, lo - NEAR), min(len(words), hi + NEAR)):
-            if free[w]:
-                for m in _TERM.finditer(text[words[w][0] : words[w][1]]):
-                    yield value, m[0].lower()
+    return [places[k] for k in np.flatnonzero(free)], hashes[free].view(np.int64)
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, t) for every different term of each text."""
     for batch in batches:
-        rows = [(h, e, _hash(t)) for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for e, t in sorted(set(_terms_near(text)))]
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (zip(*rows) if rows else [()] * 3)], ["h", "e", "t"])
+        for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = np.unique(_terms(text)[1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), h, dtype=np.int64)), pa.array(found)], ["h", "t"])
 
 
-def _holding(terms):
-    """How many texts of a batch hold each wanted term."""
+def _counts(wanted):
+    """How many texts of a batch hold each term; with ``wanted``, a sorted broadcast array, only of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = frozenset(terms.value.tolist())
-        known: dict[str, int | None] = {}
+        few = None if wanted is None else wanted.value
         for batch in batches:
-            counts: dict[int, int] = {}
-            for text in batch.column(0).to_pylist():
-                held = set()
-                for t in set(_TERM.findall((text or "").lower())):
-                    if t not in known:
-                        if len(known) > 300_000:
-                            known.clear()
-                        known[t] = h if (h := _hash(t)) in wanted else None
-                    if known[t] is not None:
-                        held.add(known[t])
-                for h in held:
-                    counts[h] = counts.get(h, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["t", "n"])
+            buf, off = tn.text_bytes(batch.column(0))
+            for a, b in tn.slices(off, SLICE):
+                w = tn.Words(buf[off[a] : off[b]], off[a : b + 1] - off[a], _BREAKS)
+                t, own = w.hashes(True).view(np.int64), w.owners()
+                if few is not None:
+                    at = np.minimum(np.searchsorted(few, t), max(len(few) - 1, 0))
+                    known = few[at] == t if len(few) else np.zeros(len(t), bool)
+                    t, own = t[known], own[known]
+                order = np.lexsort((t, own))
+                t, own = t[order], own[order]
+                once = np.r_[True, (t[1:] != t[:-1]) | (own[1:] != own[:-1])][: len(t)]
+                terms, n = np.unique(t[once], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n.astype(np.int64))], ["t", "n"])
 
     return run
 
 
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("remove", pa.bool_())]))
     for batch in batches:
-        out = []
-        for text, terms, removed in zip(*(c.to_pylist() for c in batch.columns[1:4])):
-            wanted, gone, taken = set(terms), set(removed or ()), [(a, b) for a, b, _ in base_spans(text)]
-            spans = []
-            for m in _TERM.finditer(text):
-                if (t := _hash(m[0].lower())) in wanted and not any(a < m.end() and m.start() < b for a, b in taken):
-                    spans.append({"start": m.start(), "stop": m.end(), "remove": t in gone})
-            out.append(spans)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("remove", pa.bool_())])))], ["h", "terms"])
+        for h, text, told in zip(*(c.to_pylist() for c in batch.columns[:3])):
+            remove = {t["t"]: t["remove"] for t in told}
+            places, hashes = _terms(text)
+            spans = [{"start": a, "stop": b, "remove": remove[t]} for (a, b), t in zip(places, hashes.tolist()) if t in remove]
+            yield pa.RecordBatch.from_arrays([pa.array([h], pa.int64()), pa.array([spans], kind)], ["h", "terms"])
 
 
 def _with_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,53 +185,54 @@ def _with_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(lines, pa.string()), pa.array(n_terms, pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term"])
 
 
-def disclosures(docs: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(e, t, disclosure) of all disclosing pairs, and (h, e, t) where they stand; ``scanned`` has h and entities per row."""
+def _hint(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
+def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
+    """(h, t, remove): the disclosing terms of every different text that holds a value they disclose."""
     spark = docs.sparkSession
-    total = max(scanned.count(), 1)
+    total = float(max(scanned.count(), 1))
     held = scanned.filter(F.size("entities") > 0).groupBy("h").agg(F.first("entities").alias("entities"), F.count(F.lit(1)).alias("rows"))
     mentions = stored(held.select("h", "rows", F.explode("entities").alias("e")), "mentions")
-    values = mentions.groupBy("e").agg(F.sum("rows").alias("df"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= MIN_TEXTS)
-    mentions = mentions.join(values.select("e"), "e", "left_semi")
-    wanted = stored(mentions.select("h").distinct(), "mentioning")
-    few = wanted.count() <= BROADCAST_HASHES
-    texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted) if few else wanted, "h", "left_semi")
-    near = stored(texts.dropDuplicates(["h"]).mapInArrow(_near, "h long, e long, t long"), "near")
-    pairs = near.join(mentions.select("h", "e", "rows"), ["h", "e"]).groupBy("e", "t").agg(F.sum("rows").alias("both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= MIN_TEXTS)
-    pairs = stored(pairs, "pairs")
-    terms = pairs.select("t").distinct()
-    n_terms = terms.count()
-    text = docs.select(F.col("text").cast("string").alias("text"))
-    if n_terms <= BROADCAST_HASHES:
-        sent = spark.sparkContext.broadcast(np.array(terms.toArrow().column("t").to_numpy(), dtype=np.int64))
-        counts = text.mapInArrow(_holding(sent), "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    else:
-        counts = text.mapInArrow(_all_terms, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).join(terms, "t", "left_semi")
-    bits = -F.log2(F.col("df") / F.lit(float(total)))
-    pmi = F.log2((F.col("both") / F.col("n")) / (F.col("df") / F.lit(float(total))))
-    told = pairs.join(values.select("e", "df"), "e").join(counts, "t").withColumn("disclosure", F.when(bits > 0, F.round(pmi / bits, 9)))
-    told = stored(told.filter(F.col("disclosure") >= GENERALISE).select("e", "t", "disclosure"), "told")
-    discard(pairs)
-    return told, near
-
-
-def _all_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts: dict[int, int] = {}
-        for text in batch.column(0).to_pylist():
-            for t in set(_TERM.findall((text or "").lower())):
-                counts[_hash(t)] = counts.get(_hash(t), 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["t", "n"])
-
-
-def _term_spans(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(h, terms): spans of disclosing terms, per different text that has any."""
-    told, near = disclosures(docs, scanned)
-    per_text = stored(near.join(told, ["e", "t"]).groupBy("h").agg(F.collect_set("t").alias("t"), F.collect_set(F.when(F.col("disclosure") >= REMOVE, F.col("t"))).alias("gone")), "told-texts")
-    few = per_text.count() <= BROADCAST_HASHES // 100
+    # values of exactly the same texts are one group g; a group of too few texts can disclose nothing
+    shares = F.col("texts") / (F.col("texts") + SMOOTH)
+    same = [F.bit_xor(F.xxhash64("h", F.lit(k))) for k in (1, 2)]
+    values = mentions.groupBy("e").agg(F.sum("rows").alias("df"), F.count(F.lit(1)).alias("texts"), F.xxhash64(*same).alias("g")).filter(-F.log2(shares) <= LEFT_BITS)
+    values = stored(values, "values")
+    grouped = stored(mentions.join(_hint(values.select("e", "g"), values.count() <= BROADCAST_ROWS), "e").select("h", "rows", "g").distinct(), "grouped")
+    wanted = grouped.select("h").distinct()
     texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
-    held = texts.join(F.broadcast(per_text) if few else per_text, "h").dropDuplicates(["h"]).select("h", "text", "t", "gone")
-    return held.mapInArrow(_locate, "h long, terms array<struct<start:long,stop:long,remove:boolean>>")
+    listed = stored(texts.join(_hint(wanted, wanted.count() <= BROADCAST_ROWS), "h", "left_semi").dropDuplicates(["h"]).mapInArrow(_held, "h long, t long"), "listed")
+    few_grouped = grouped.count() <= BROADCAST_ROWS
+    pairs = listed.join(_hint(grouped, few_grouped), "h").groupBy("g", "t").agg(F.sum("rows").alias("both"), F.count(F.lit(1)).alias("texts"))
+    pairs = stored(pairs.filter(-F.log2(shares) <= LEFT_BITS), "pairs")
+    terms = stored(pairs.select("t").distinct(), "pair-terms")
+    sent = None
+    if terms.count() <= BROADCAST_ROWS:
+        sent = spark.sparkContext.broadcast(np.sort(terms.toArrow().column("t").to_numpy()).astype(np.int64))
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counts(sent), "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    left = -F.log2(F.col("both") / F.col("n") * shares)
+    bits = -F.log2(F.col("df") / F.lit(total))
+    groups = values.groupBy("g").agg(F.max("df").alias("df"))  # values of one group have the same df
+    told = pairs.join(groups, "g").join(counts, "t").withColumn("left", left).filter((F.col("left") <= LEFT_BITS) & (F.col("left") <= bits * LEFT_SHARE))
+    told = stored(told.select("g", "t", (F.col("left") <= REMOVE_BITS).alias("remove")), "told")
+    found = listed.join(_hint(grouped.select("h", "g"), few_grouped), "h").join(_hint(told, told.count() <= BROADCAST_ROWS), ["g", "t"])
+    found = stored(found.groupBy("h", "t").agg(F.max("remove").alias("remove")), "disclosed")
+    for used in (mentions, values, grouped, listed, pairs, terms, told):
+        discard(used)
+    return found
+
+
+def _term_spans(docs: DataFrame, scanned: DataFrame) -> tuple[DataFrame, bool]:
+    """(h, terms): spans of disclosing terms, per different text that has any; and whether they are few enough to be broadcast."""
+    found = disclosures(docs, scanned)
+    told = found.groupBy("h").agg(F.collect_list(F.struct("t", "remove")).alias("told"))  # no more than the text's own terms
+    texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
+    held = texts.join(_hint(told, found.count() <= BROADCAST_ROWS), "h").dropDuplicates(["h"]).select("h", "text", "told")
+    terms = stored(held.mapInArrow(_locate, "h long, terms array<struct<start:long,stop:long,remove:boolean>>"), "terms")
+    discard(found)
+    return terms, (terms.agg(F.sum(F.size("terms") + 1)).first()[0] or 0) <= BROADCAST_ROWS
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
@@ -245,16 +244,15 @@ def _scanned(docs: DataFrame) -> DataFrame:
 def find(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, counts and digest of the base kinds, all spans, and n_term, the number of disclosing terms."""
     scanned = _scanned(docs)
-    terms = stored(_term_spans(docs, scanned), "terms")
-    few = terms.count() <= BROADCAST_HASHES // 100
-    joined = scanned.join(F.broadcast(terms) if few else terms, "h", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base_spans", "terms")
+    terms, few = _term_spans(docs, scanned)
+    joined = scanned.join(_hint(terms, few), "h", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base_spans", "terms")
     key = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(_with_terms, f"doc_id {key}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long")
 
 
 def class_of(word: str) -> str:
     """What a disclosing term is generalised to."""
-    return "[name]" if word[:1].isupper() else "[word]"
+    return "[number]" if word.isdigit() else "[name]" if word[:1].isupper() else "[word]"
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,8 +272,11 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced by its kind, and disclosing terms generalised or removed; columns unchanged."""
-    terms = stored(_term_spans(docs, _scanned(docs)), "terms").withColumnRenamed("h", "__h").withColumnRenamed("terms", "__terms")
+    scanned = _scanned(docs)
+    terms, few = _term_spans(docs, scanned)
+    discard(scanned)
+    key, spans = free_name(docs, "h"), free_name(docs, "terms")
+    named = terms.select(F.col("h").alias(key), F.col("terms").alias(spans))
     others = [c for c in docs.columns if c != "text"]
-    few = terms.count() <= BROADCAST_HASHES // 100
-    joined = docs.join(F.broadcast(terms) if few else terms, F.xxhash64(docs["text"].cast("string")) == terms["__h"], "left").select(*[docs[c] for c in others], F.col("text").cast("string").alias("text"), "__terms")
-    return joined.mapInArrow(_clean, joined.drop("__terms").schema).select(*docs.columns)
+    joined = docs.join(_hint(named, few), F.xxhash64(docs["text"].cast("string")) == named[key], "left").select(*[docs[c] for c in others], docs["text"].cast("string").alias("text"), named[spans])
+    return joined.mapInArrow(_clean, joined.drop(spans).schema).select(*docs.columns)
