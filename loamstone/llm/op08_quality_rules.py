@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 
-#: Rows of the sample on which cost and selectivity are estimated.
+#: Different rows of the sample on which cost and selectivity are estimated; only their hashes are sorted, so no task gathers texts for it.
 SAMPLE_ROWS = 400
 #: Thresholds of the rules beyond the two base rules. Clean prose stays far below each of them.
 MAX_SYMBOLS_PER_100_WORDS = 20
@@ -33,11 +33,12 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 
 class Measures:
-    """Lazily computed counts of a run of texts; each is computed for the texts that are asked for only."""
+    """Counts of a run of texts."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray):
         self.buf, self.off = buf, off
         self._words: tn.Words | None = None
+        self._lines: tuple[np.ndarray, np.ndarray] | None = None
 
     def take(self, alive: np.ndarray) -> Measures:
         """The same texts without those that are not alive."""
@@ -65,7 +66,19 @@ class Measures:
     def n_symbols(self) -> np.ndarray:
         return self._sum(_SYMBOL[self.buf])
 
+    def n_lines(self) -> np.ndarray:
+        return self.lines[0]
+
+    def n_dup_lines(self) -> np.ndarray:
+        return self.lines[1]
+
+    @property
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        if self._lines is None:
+            self._lines = self._count_lines()
+        return self._lines
+
+    def _count_lines(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each text: lines with a word, and those of them that are equal to an earlier line."""
         ends = np.flatnonzero(self.buf == 10)
         full = self.off[:-1] < self.off[1:]
@@ -105,32 +118,68 @@ class Measures:
         return np.bincount(own, weights=covered, minlength=n_texts).astype(np.int64)
 
 
-def _too_few_words(m: Measures) -> np.ndarray:
-    return m.n_words() < 50
+class Cascade:
+    """A run of texts of which rules reject some. A measure is computed once per text, for the texts alive when a rule first asks for it."""
+
+    def __init__(self, buf: np.ndarray, off: np.ndarray):
+        self._whole = self._left = Measures(buf, off)
+        self._n = len(off) - 1
+        self.alive = np.arange(self._n)
+        self._known: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # the texts it is known of, and values
+
+    def __call__(self, name: str) -> np.ndarray:
+        """A measure of the texts alive."""
+        if name not in self._known:
+            values = np.zeros(self._n, dtype=np.int64)
+            values[self.alive] = getattr(self._left, name)()
+            self._known[name] = self.alive, values
+        return self._known[name][1][self.alive]
+
+    def reject(self, out: np.ndarray) -> None:
+        self.alive, self._left = self.alive[~out], self._left.take(~out)
 
+    def whole(self, names: list[str]) -> list[np.ndarray]:
+        """Measures of all texts; what the cascade knows is not computed again."""
+        others: dict[int, tuple[np.ndarray, Measures]] = {}  # texts alive at one time are among those alive before, so their number tells which
+        out = []
+        for name in names:
+            at, values = self._known.get(name, (np.arange(0), np.zeros(self._n, dtype=np.int64)))
+            if len(at) < self._n:
+                if len(at) not in others:
+                    rest = np.ones(self._n, dtype=bool)
+                    rest[at] = False
+                    others[len(at)] = rest, self._whole.take(rest)
+                rest, measures = others[len(at)]
+                values[rest] = getattr(measures, name)()
+            out.append(values)
+        return out
 
-def _repetitive(m: Measures) -> np.ndarray:
-    return 100 * m.n_repeat_words() > 50 * m.n_words()
 
+def _too_few_words(m: Cascade) -> np.ndarray:
+    return m("n_words") < 50
 
-def _symbols(m: Measures) -> np.ndarray:
-    return 100 * m.n_symbols() > MAX_SYMBOLS_PER_100_WORDS * m.n_words()
 
+def _repetitive(m: Cascade) -> np.ndarray:
+    return 100 * m("n_repeat_words") > 50 * m("n_words")
 
-def _dup_lines(m: Measures) -> np.ndarray:
-    total, again = m.lines()
-    return 100 * again > MAX_DUP_LINE_PERCENT * total
 
+def _symbols(m: Cascade) -> np.ndarray:
+    return 100 * m("n_symbols") > MAX_SYMBOLS_PER_100_WORDS * m("n_words")
 
-def _word_length(m: Measures) -> np.ndarray:
-    chars, words = m.word_chars(), m.n_words()
+
+def _dup_lines(m: Cascade) -> np.ndarray:
+    return 100 * m("n_dup_lines") > MAX_DUP_LINE_PERCENT * m("n_lines")
+
+
+def _word_length(m: Cascade) -> np.ndarray:
+    chars, words = m("word_chars"), m("n_words")
     return (chars < MIN_MEAN_WORD_CHARS * words) | (chars > MAX_MEAN_WORD_CHARS * words)
 
 
 @dataclass(frozen=True)
 class Rule:
     name: str
-    rejects: Callable[[Measures], np.ndarray]
+    rejects: Callable[[Cascade], np.ndarray]
     base: bool = False
 
 
@@ -149,49 +198,52 @@ class Estimate:
 
 
 def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """Cost and selectivity of each rule on the ``sample_rows`` rows of smallest hash, best rule first."""
-    rows = docs.select("text", F.xxhash64("doc_id", "text").alias("_h")).orderBy("_h").limit(sample_rows).select("text").toArrow()
+    """Cost and selectivity of each rule on the ``sample_rows`` rows of smallest hash, repeats once, best rule first."""
+    keyed = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    highest = keyed.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    rows = keyed.filter(F.col("h") <= F.lit(highest)).dropDuplicates(["h"]).select("text").toArrow()
     buf, off = tn.text_bytes(rows.column("text"))
     found = []
     for rule in rules:
         began, rejected = time.perf_counter(), 0
         for a, b in tn.slices(off):
-            rejected += int(rule.rejects(Measures(buf[off[a] : off[b]], off[a : b + 1] - off[a])).sum())
+            rejected += int(rule.rejects(Cascade(buf[off[a] : off[b]], off[a : b + 1] - off[a])).sum())
         found.append(Estimate(rule.name, (time.perf_counter() - began) / max(len(buf) / 1e6, 1e-3), rejected / max(len(off) - 1, 1)))
     return sorted(found, key=lambda e: (-e.per_cost, e.name))
 
 
-def _judge(m: Measures, order: list[Rule]) -> np.ndarray:
+def _judge(m: Cascade, order: list[Rule]) -> np.ndarray:
     """Index of the rule that rejects each text, or -1; each rule sees the texts still alive."""
-    by = np.full(len(m.off) - 1, -1)
-    alive = np.arange(len(by))
+    by = np.full(len(m.alive), -1)
     for k, rule in enumerate(order):
-        if not len(alive):
+        if not len(m.alive):
             break
         out = rule.rejects(m)
-        by[alive[out]] = k
-        alive, m = alive[~out], m.take(~out)
+        by[m.alive[out]] = k
+        m.reject(out)
     return by
 
 
+_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
 def _measured(order: list[Rule], detail: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = tn.text_bytes(batch.column(batch.num_columns - 1))
             for a, b in tn.slices(off):
-                m = Measures(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+                m = Cascade(buf[off[a] : off[b]], off[a : b + 1] - off[a])
                 by = _judge(m, order)
-                names = [order[k].name if k >= 0 else None for k in by]
                 part = batch.slice(a, b - a)
                 if not detail:
-                    kept = pa.array(by < 0)
-                    part = part.filter(kept)
+                    part = part.filter(pa.array(by < 0))
                     if part.num_rows:
                         yield part
                     continue
-                words, repeat = m.n_words(), m.n_repeat_words()
-                cols = [part.column(0), words, m.word_chars(), m.n_symbols(), m.lines()[1], repeat, (words < 50) | (100 * repeat > 50 * words), by < 0, pa.array(names, pa.string())]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"])
+                found = m.whole(_NAMES)
+                failed = (found[0] < 50) | (100 * found[4] > 50 * found[0])
+                names = [order[k].name if k >= 0 else None for k in by]
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, (*found, failed, by < 0)), pa.array(names, pa.string())], ["doc_id", *_NAMES, "base_failed", "kept", "rejected_by"])
 
     return run
 
