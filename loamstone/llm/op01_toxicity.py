@@ -15,10 +15,10 @@ The decision is linear in the kernel values, so landmark weights fold into one w
 scored by table look-ups and a sliding sum over every window of ``PIECE`` symbols, and its score is that of its worst window, made a
 probability on training texts that the machine has not seen.
 
-The model is fitted on at most ``TRAIN_TOXIC`` and ``TRAIN_CLEAN`` labelled texts, the ones of smallest hash, and at most ``TRAIN_SYMBOLS`` symbols
-of each, taken around evenly spaced places; texts of the held-out fold are never among them. Defined cases: null and empty
+The model is fitted on at most ``TRAIN_TOXIC`` and ``TRAIN_CLEAN`` labelled texts, whole ones, the ids of smallest hash; texts of the
+held-out fold are never among them. They come to the driver as one byte a character. Defined cases: null and empty
 texts score like the emptiest text; repeated rows get equal scores; labels that are null or whose document is missing are
-ignored, repeated labels count once; without labelled texts of both classes every score is 0; an empty table gives an
+ignored, repeated labels count once, and of several texts of a labelled id the one of smallest hash; without labelled texts of both classes every score is 0; an empty table gives an
 empty result; extra columns are ignored; a null doc_id is not held out.
 """
 
@@ -38,7 +38,7 @@ from . import textnum as tn
 
 #: Every fifth document by crc32 of the id is held out.
 FOLDS = 5
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_SYMBOLS = 2000, 4000, 6000
+TRAIN_TOXIC, TRAIN_CLEAN = 2000, 4000
 LANDMARKS = 512
 PIECE, DECAY = 14, 0.5
 ROUNDS, EPOCHS, RIDGE = 8, 60, 3e-5
@@ -127,14 +127,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -500, 500)))
 
 
-def _sampled(s: np.ndarray, limit: int) -> np.ndarray:
-    if len(s) <= limit:
-        return s
-    parts = limit // 600
-    starts = np.linspace(0, len(s) - 600, parts).astype(int)
-    return np.concatenate([s[a : a + 600] for a in starts])
-
-
 def _landmarks(texts: list[np.ndarray], toxic: np.ndarray) -> tuple[list[np.ndarray], list[bytes]]:
     """Words, by likelihood ratio with the label and by frequency in clean texts, between two breaks; and the sure words."""
     held = {True: Counter(), False: Counter()}
@@ -172,9 +164,21 @@ def _weighted(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.repeat(_PRICE, [len(f) for f in found])
 
 
+def nystroem(marks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features of the landmarks, their values for each landmark, and the whitening of their kernel matrix (landmarks by rank)."""
+    weighted = [_weighted(m) for m in marks]
+    at = np.unique(np.concatenate([f for f, _ in weighted]))
+    phi = np.zeros((len(marks), len(at)), dtype=np.float32)
+    for row, (f, w), m in zip(phi, weighted, marks):
+        np.add.at(row, np.searchsorted(at, f), w / np.sqrt(len(m)))
+    values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
+    sound = values > 1e-6 * values.max()
+    return at, phi, (vectors[:, sound] / np.sqrt(values[sound])).astype(np.float32)
+
+
 def train(texts: list[str], toxic: np.ndarray) -> Model:
     """As ``train_coded``, from texts."""
-    return train_coded([_sampled(symbols(t), TRAIN_SYMBOLS) for t in texts], toxic)
+    return train_coded([symbols(t) for t in texts], toxic)
 
 
 def train_coded(coded: list[np.ndarray], toxic: np.ndarray) -> Model:
@@ -185,16 +189,7 @@ def train_coded(coded: list[np.ndarray], toxic: np.ndarray) -> Model:
     fit = np.arange(len(coded)) % 3 != 2
     marks, sure = _landmarks([s for s, f in zip(coded, fit) if f], toxic[fit])
 
-    # explicit features of the landmarks; everything else acts through them
-    weighted = [_weighted(m) for m in marks]
-    at = np.unique(np.concatenate([f for f, _ in weighted]))
-    phi = np.zeros((len(marks), len(at)), dtype=np.float32)
-    for row, (f, w), m in zip(phi, weighted, marks):
-        np.add.at(row, np.searchsorted(at, f), w / np.sqrt(len(m)))
-    kernel = (phi @ phi.T).astype(np.float64)
-    values, vectors = np.linalg.eigh(kernel)
-    sound = values > 1e-6 * values.max()
-    whiten = (vectors[:, sound] / np.sqrt(values[sound])).astype(np.float32)  # landmarks x rank
+    at, phi, whiten = nystroem(marks)
     project = np.zeros(_SIZE, dtype=np.int32)
     project[at] = np.arange(1, len(at) + 1)
     lift = np.vstack([np.zeros((1, whiten.shape[1]), np.float32), phi.T @ whiten])  # feature -> vector
@@ -310,15 +305,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     for value, most in ((0, TRAIN_CLEAN), (1, TRAIN_TOXIC)):
         side = known.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = side if chosen is None else chosen.unionByName(side)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # TRAIN_TOXIC + TRAIN_CLEAN rows at most
-    # evenly spaced stretches stand for a text beyond the training bound
-    n, width, parts = F.length("text"), 800, TRAIN_SYMBOLS // 600
-    spaced = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.substring("text", (F.floor(k * (n - width) / (parts - 1)) + 1).cast("int"), F.lit(width))), "\n")
-    bounded = texts.withColumn("text", F.when(n > parts * width, spaced).otherwise(F.col("text")))
-    rows = bounded.select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")
-    toxic, coded = np.array(rows.column("toxic").to_pylist()) == 1, [_sampled(symbols(t.as_py() or ""), TRAIN_SYMBOLS) for t in rows.column("text")]
-    del rows
-    return train_coded(coded, toxic)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # TRAIN_TOXIC + TRAIN_CLEAN ids at most
+    one = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"))
+    rows = one.mapInArrow(_coded, "doc_id string, coded binary, toxic int").toArrow().sort_by("doc_id")
+    return train_coded([np.frombuffer(c.as_buffer(), dtype=np.uint8) for c in rows.column("coded")], np.array(rows.column("toxic").to_pylist()) == 1)
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        coded = [symbols(t or "").tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(coded, pa.binary()), batch.column(2).cast(pa.int32())], ["doc_id", "coded", "toxic"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
