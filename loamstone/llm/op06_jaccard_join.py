@@ -13,7 +13,12 @@ Shingles in at least one of ``HOT_SHARE`` documents of some slice are counted ap
 by the mean set size times ``HOT_KEEP``, whatever the corpus size), so that no task receives the posting list of a
 shingle that every document holds just to count it.
 
-Shingles and texts are compared by 64-bit hashes. Defined cases: null, empty and wordless texts have the empty set and link
+A posting list's length is counted before anything is joined by it: lists of more than ``LIST_ROWS`` members are dealt to as many tasks as
+they need, both where members meet the pivot and where classes meet.
+
+Shingles and texts are compared by 64-bit hashes; while shingles are counted, six bytes of a hash besides its bucket's bits
+tell them apart, and buckets grow with the corpus, so that two shingles of a bucket are mixed up with the chance of
+``BUCKET_SHINGLES`` in 2 ** 48 at any size. That costs a candidate more, which verification by whole hashes rejects. Defined cases: null, empty and wordless texts have the empty set and link
 with nothing; texts of fewer words than a shingle have one shingle, their whole word sequence; repeated rows and equal texts
 are linked; rows of one doc_id are one node; a row with a null doc_id takes the component of equal texts, and a text that has
 only null ids links with nothing else; an empty table gives an empty
@@ -48,10 +53,10 @@ HOT_KEEP = 128
 HOT = 1 << 40
 #: Shingles per bucket of the counting step.
 BUCKET_SHINGLES = 1_500_000
-#: Most buckets, at which a text slice still gives each of them little.
-MAX_BUCKETS = 1 << 22
-#: Tasks that a posting list is dealt to when its members meet the pivot.
-LIST_PARTS = 16
+#: Most buckets that an int can number.
+MAX_BUCKETS = 1 << 30
+#: Members of a posting list that one task handles.
+LIST_ROWS = 500
 #: Ids of candidate documents that may be broadcast: 8 bytes each.
 BROADCAST_IDS = 2_000_000
 
@@ -233,7 +238,10 @@ class Joined:
         """One row per document row: doc_id, n_shingles, component_id."""
         worded = self.digest.filter("n_shingles > 0")
         nodes = worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
-        labels = components(self.links)
+        # the texts of one id are one node
+        held = worded.filter("doc_id is not null").join(nodes, ["k1", "k2"]).groupBy("doc_id").agg(F.collect_set("node").alias("nodes")).filter(F.size("nodes") > 1)
+        tied = held.select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b")).filter("a <> b")
+        labels = components(self.links.unionByName(tied))
         known = nodes.join(labels, F.col("node") == F.col("id"), "left").select("k1", "k2", F.coalesce("label", "node").alias("component_id"))
         full = worded.join(known, ["k1", "k2"], "left").select("doc_id", "n_shingles", "component_id")
         return full.unionByName(self.digest.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
@@ -279,9 +287,15 @@ def join(docs: DataFrame) -> Joined:
     reach = F.floor(((F.col("n") - F.col("rank") + F.col("need") - 1) * (100 + PERCENT)) / F.lit(PERCENT) - F.col("n") + 1e-9)
     posts = posts.withColumn("reach", reach.cast("long")).filter(F.col("reach") * 100 >= F.col("n") * PERCENT)
     posts = stored(posts, "postings")
-    # postings of one member link nothing
-    lists = posts.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    posts = stored(posts.join(lists, "token", "left_semi"), "shared-postings")
+    # postings of one member link nothing; long lists, which are few, are told apart before anything is dealt by list
+    lists = stored(posts.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "lists")
+    long_lists = lists.filter(F.col("members") > LIST_ROWS).select("token", F.ceil(F.col("members") / LIST_ROWS).cast("int").alias("parts"))
+    hint = F.broadcast if long_lists.count() <= BROADCAST_IDS else (lambda df: df)
+    short = posts.join(hint(long_lists), "token", "left_anti").join(lists.filter(F.col("members") <= LIST_ROWS), "token", "left_semi").withColumn("parts", F.lit(1))
+    both = short.unionByName(posts.join(hint(long_lists), "token"))
+    shared = stored(both.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "shared-postings")
+    discard(posts), discard(lists)
+    posts, each_part = shared, F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
 
     # 3. the sets of the texts that any posting list names
     wanted = stored(posts.select(F.col("node").alias("doc_id")).distinct(), "wanted")
@@ -294,26 +308,25 @@ def join(docs: DataFrame) -> Joined:
 
     # 4. pivots: per posting list and class of sizes, all against the smallest id
     sized = posts.withColumn("scale", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT))))
-    pivots = sized.groupBy("token", "scale").agg(F.min(F.struct("node", "n")).alias("pivot")).select("token", "scale", F.col("pivot.node").alias("a"), F.col("pivot.n").alias("an"))
-    # a long list meets its pivot in several tasks
-    parts = F.array(*[F.lit(k) for k in range(LIST_PARTS)])
-    dealt = sized.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(LIST_PARTS)).cast("int"))
-    stars = dealt.join(pivots.withColumn("part", F.explode(parts)), ["token", "scale", "part"]).filter("node <> a").filter((F.least("n", "an") * 100) >= (F.greatest("n", "an") * PERCENT)).select("a", F.col("node").alias("b")).distinct()
+    pivots = sized.groupBy("token", "scale").agg(F.min(F.struct("node", "n")).alias("pivot"), F.max("parts").alias("parts"))
+    pivots = pivots.select("token", "scale", F.col("pivot.node").alias("a"), F.col("pivot.n").alias("an"), each_part.alias("part"))
+    stars = sized.join(pivots, ["token", "scale", "part"]).filter("node <> a").filter((F.least("n", "an") * 100) >= (F.greatest("n", "an") * PERCENT)).select("a", F.col("node").alias("b")).distinct()
     stars = stored(stars, "stars")
     links = verified(stars, "star-links")
 
     # 5. what is left: members of one list in different classes, by class bounds, then by all the bounds and matches
     labels = components(links)
     classed = posts.join(labels, F.col("node") == F.col("id"), "left").withColumn("class", F.coalesce("label", "node")).drop("id", "label")
-    several = classed.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi")
-    classed = stored(classed.join(several, "token", "left_semi"), "classed")
+    several = classed.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("parts").alias("parts")).filter("lo <> hi")
+    classed = stored(classed.join(several.select("token", each_part.alias("part")), ["token", "part"], "left_semi"), "classed")
     # members of one class that all the bounds treat alike are one cell, so no join makes more rows than there are pairs within the bounds
     same = ["token", "class", "n", "need", "rank"]
-    cells = classed.select(*same, "p", "reach").distinct()
-    side = lambda df, s: df.select("token", *[F.col(c).alias(f"{s}_{c}") for c in df.columns if c != "token"])
+    cells = classed.select(*same, "p", "reach", "parts").distinct()
+    dealt_cells = cells.withColumn("part", F.pmod(F.xxhash64(*same), F.col("parts")).cast("int"))
+    side = lambda df, s: df.select(*[c if c in ("token", "part") else F.col(c).alias(f"{s}_{c}") for c in df.columns])
     keys = lambda s: ["token", *[f"{s}_{c}" for c in same[1:]]]
     bounded = "x_n <= y_reach and y_n <= x_reach and 100 * x_n >= 80 * y_n and 100 * y_n >= 80 * x_n and x_rank < x_p + least(x_need, y_need) - 1 and y_rank < y_p + least(x_need, y_need) - 1".replace("80", str(PERCENT))
-    meets = side(cells, "x").join(side(cells, "y"), "token").filter(f"x_class < y_class and {bounded}").select(*keys("x"), *keys("y")[1:])
+    meets = side(dealt_cells, "x").join(side(cells.withColumn("part", each_part), "y"), ["token", "part"]).filter(f"x_class < y_class and {bounded}").select(*keys("x"), *keys("y")[1:])
     members = classed.select(*same, "node")
     met = meets.join(side(members, "x"), keys("x")).join(side(members, "y"), keys("y"))
     pairs = met.groupBy(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("x_need", "y_need")).alias("need")).filter("shared >= need").select("a", "b")
