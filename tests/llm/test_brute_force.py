@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from loamstone.llm import op02_pfair_mixing as op02
@@ -91,10 +92,12 @@ def test_jaccard_join(docs, rows):
     same(op06.classes(docs), expected)
 
 
-def test_jaccard_join_of_large_groups(spark):
+@pytest.mark.parametrize("list_rows", [op06.LIST_ROWS, 7])
+def test_jaccard_join_of_large_groups(spark, monkeypatch, list_rows):
     """Near copies of one text, which differ pairwise by more than a copy differs from it, and texts that share a passage."""
     import random
 
+    monkeypatch.setattr(op06, "LIST_ROWS", list_rows)
     random.seed(5)
     base = [f"b{i}" for i in range(150)]
     texts = []
@@ -125,6 +128,13 @@ def test_jaccard_join_of_large_groups(spark):
     assert found == {i: find(i) for i in range(len(texts))}
 
 
+def test_jaccard_join_of_an_id_with_two_texts(spark):
+    """Rows of one id are one node, whichever of its texts links."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    table = spark.createDataFrame([(5, a), (5, b), (2, b), (9, a), (7, c), (None, c), (None, a)], "doc_id long, text string")
+    assert Counter(map(tuple, op06.classes(table).collect())) == Counter([(5, 26, 2), (5, 26, 2), (2, 26, 2), (9, 26, 2), (7, 26, 7), (None, 26, 7), (None, 26, 2)])
+
+
 def test_class_lm(docs, rows):
     tokens = [[*WORD.findall(low(t)), None] for _, t in rows]
     held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]

@@ -73,6 +73,70 @@ def test_toxicity_learns_and_tolerates_insertions():
     assert score("") < 0.5
 
 
+def _kernel_features(s):
+    """Every subsequence of four symbols whose steps skip at most one symbol, by its price; and where it starts."""
+    found = {}
+    for i in range(len(s)):
+        for j in range(i + 1, min(i + 3, len(s))):
+            for k in range(j + 1, min(j + 3, len(s))):
+                for m in range(k + 1, min(k + 3, len(s))):
+                    key = (i, tuple(int(x) for x in (s[i], s[j], s[k], s[m])))
+                    found[key] = found.get(key, 0) + op01_toxicity.DECAY ** (m - i - 3)
+    return found
+
+
+def _kernel(a, b):
+    sums = []
+    for s in (a, b):
+        total = {}
+        for (_, f), v in _kernel_features(s).items():
+            total[f] = total.get(f, 0) + v
+        sums.append(total)
+    return sum(v * sums[1].get(f, 0) for f, v in sums[0].items()) / np.sqrt(len(a) * len(b))
+
+
+def test_subsequence_kernel_and_nystroem_against_plain_loops():
+    words = ["grumbix", "grum-bix", "zottel", "otter", "a", "zot tel", "kwackhead", "quack"]
+    marks = [op01_toxicity.symbols(w) for w in words]
+    plain = np.array([[_kernel(a, b) for b in marks] for a in marks])
+    at, phi, whiten = op01_toxicity.nystroem(marks)
+    assert np.allclose(phi @ phi.T, plain, atol=1e-4)
+    mapped = plain @ whiten
+    assert np.allclose(mapped @ mapped.T, plain, atol=1e-3)  # the landmarks keep their kernel
+    # gaps keep most of an insult's subsequences
+    assert plain[0, 1] > 0.9 * plain[0, 0] > 10 * plain[0, 2]
+
+
+def test_window_scores_against_plain_loops():
+    rng = random.Random(9)
+    texts = [_sentences(rng, "grumbix" if k % 2 else None, 12) for k in range(60)]
+    model = op01_toxicity.train(texts, np.array([k % 2 == 1 for k in range(60)]))
+    weight = dict(zip(model.at.tolist(), model.weight.tolist()))
+    for text in [*texts[:4], "", "grumbix", "x y"]:
+        s = op01_toxicity.symbols(text)
+        values = [0.0] * len(s)
+        for (start, f), v in _kernel_features(s).items():
+            values[start] += v * weight.get(((f[0] << 5 | f[1]) << 5 | f[2]) << 5 | f[3], 0.0)
+        plain = max(sum(values[a : a + op01_toxicity.PIECE]) for a in range(max(1, len(s) - op01_toxicity.PIECE + 1)))
+        assert abs(op01_toxicity.window_sums(op01_toxicity.places(s, model.table())).max() - plain) < 1e-3 * max(1, abs(plain))
+
+
+def test_toxicity_trains_on_whole_texts(spark):
+    """What makes a long text toxic may stand anywhere in it; of the texts of one id one counts."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for k in range(400):
+        filler = [_sentences(rng, None, 30) for _ in range(60)]
+        if k % 2:
+            filler[rng.randrange(60)] = _sentences(rng, "kwackhead", 30)
+        rows += [(k, " ".join(filler))] * (1 + (k == 3))
+        labels.append((k, k % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = op01_toxicity.score(docs, op01_toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()
+    held = [r for r in found if r["held_out"]]
+    assert len(held) > 50 and sum((r["predicted"] == 1) == (r["doc_id"] % 2 == 1) for r in held) >= 0.95 * len(held)
+
+
 def test_toxicity_table(spark, docs, empty):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     model = op01_toxicity.fit(docs, labels)
