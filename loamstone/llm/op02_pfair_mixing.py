@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, stored
+from .common import free_name, numbered, stored
 
 #: Rows of a block.
 BLOCK_ROWS = 16
@@ -186,8 +186,9 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block
     """All rows and columns of ``docs``, in the order of the mix: partitions follow each other, and rows in a partition too."""
     order = plan(docs, weights, block_rows, period).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("position").alias("_position"), F.col("offset").alias("_offset"))
     # rows that share an id and a source take the first of their places, next to each other
-    order = order.groupBy("_id", "_source").agg(F.min(F.struct("_position", "_offset")).alias("__mix_at"))
+    at = free_name(docs, "_mix_at")
+    order = order.groupBy("_id", "_source").agg(F.min(F.struct("_position", "_offset")).alias(at))
     on = docs["doc_id"].eqNullSafe(order["_id"]) & docs["source"].cast("string").eqNullSafe(order["_source"])
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = docs.join(order, on).select(*[docs[c] for c in docs.columns], "__mix_at")
-    return placed.repartitionByRange(n, "__mix_at").sortWithinPartitions("__mix_at").drop("__mix_at")
+    placed = docs.join(order, on).select(*[docs[c] for c in docs.columns], order[at])
+    return placed.repartitionByRange(n, at).sortWithinPartitions(at).drop(at)
