@@ -140,27 +140,18 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), h, dtype=np.int64)), pa.array(found)], ["h", "t"])
 
 
-def _counts(wanted):
-    """How many texts of a batch hold each term; with ``wanted``, a sorted broadcast array, only of these."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        few = None if wanted is None else wanted.value
-        for batch in batches:
-            buf, off = tn.text_bytes(batch.column(0))
-            for a, b in tn.slices(off, SLICE):
-                w = tn.Words(buf[off[a] : off[b]], off[a : b + 1] - off[a], _BREAKS)
-                t, own = w.hashes(True).view(np.int64), w.owners()
-                if few is not None:
-                    at = np.minimum(np.searchsorted(few, t), max(len(few) - 1, 0))
-                    known = few[at] == t if len(few) else np.zeros(len(t), bool)
-                    t, own = t[known], own[known]
-                order = np.lexsort((t, own))
-                t, own = t[order], own[order]
-                once = np.r_[True, (t[1:] != t[:-1]) | (own[1:] != own[:-1])][: len(t)]
-                terms, n = np.unique(t[once], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n.astype(np.int64))], ["t", "n"])
-
-    return run
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of a slice hold each term."""
+    for batch in batches:
+        buf, off = tn.text_bytes(batch.column(0))
+        for a, b in tn.slices(off, SLICE):
+            w = tn.Words(buf[off[a] : off[b]], off[a : b + 1] - off[a], _BREAKS)
+            t, own = w.hashes(True).view(np.int64), w.owners()
+            order = np.lexsort((t, own))
+            t, own = t[order], own[order]
+            once = np.r_[True, (t[1:] != t[:-1]) | (own[1:] != own[:-1])][: len(t)]
+            terms, n = np.unique(t[once], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n.astype(np.int64))], ["t", "n"])
 
 
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +182,6 @@ def _hint(df: DataFrame, few: bool) -> DataFrame:
 
 def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """(h, t, remove): the disclosing terms of every different text that holds a value they disclose."""
-    spark = docs.sparkSession
     total = float(max(scanned.count(), 1))
     held = scanned.filter(F.size("entities") > 0).groupBy("h").agg(F.first("entities").alias("entities"), F.count(F.lit(1)).alias("rows"))
     mentions = stored(held.select("h", "rows", F.explode("entities").alias("e")), "mentions")
@@ -207,11 +197,7 @@ def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     few_grouped = grouped.count() <= BROADCAST_ROWS
     pairs = listed.join(_hint(grouped, few_grouped), "h").groupBy("g", "t").agg(F.sum("rows").alias("both"), F.count(F.lit(1)).alias("texts"))
     pairs = stored(pairs.filter(-F.log2(shares) <= LEFT_BITS), "pairs")
-    terms = stored(pairs.select("t").distinct(), "pair-terms")
-    sent = None
-    if terms.count() <= BROADCAST_ROWS:
-        sent = spark.sparkContext.broadcast(np.sort(terms.toArrow().column("t").to_numpy()).astype(np.int64))
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counts(sent), "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counts, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
     left = -F.log2(F.col("both") / F.col("n") * shares)
     bits = -F.log2(F.col("df") / F.lit(total))
     groups = values.groupBy("g").agg(F.max("df").alias("df"))  # values of one group have the same df
@@ -219,7 +205,7 @@ def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     told = stored(told.select("g", "t", (F.col("left") <= REMOVE_BITS).alias("remove")), "told")
     found = listed.join(_hint(grouped.select("h", "g"), few_grouped), "h").join(_hint(told, told.count() <= BROADCAST_ROWS), ["g", "t"])
     found = stored(found.groupBy("h", "t").agg(F.max("remove").alias("remove")), "disclosed")
-    for used in (mentions, values, grouped, listed, pairs, terms, told):
+    for used in (mentions, values, grouped, listed, pairs, told):
         discard(used)
     return found
 
