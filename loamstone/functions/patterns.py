@@ -37,11 +37,30 @@ TRAILING = r"[.!?:;]+$"
 SENSITIVE = r"(?i)(password|secret|token|credential|api_key)"
 MARKER = r"(?i)\b(TODO|FIXME|XXX|HACK|NOTE|WHY)[\s:](.*)"
 BACKTICK = r"`([A-Za-z_][A-Za-z0-9_.]*)`"
-DOTTED = r"\b([a-zA-Z_][a-zA-Z0-9_]*\.[A-Z][a-zA-Z0-9_]*)\b"
+#: One alternation, which takes what it matches: dotted, camel case, snake case, Pascal case.
+PROSE = (
+    r"\b([a-zA-Z_][a-zA-Z0-9_]*\.[A-Z][a-zA-Z0-9_]*)\b|\b([a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*)\b"
+    r"|\b([a-zA-Z][a-zA-Z0-9]*_[a-zA-Z0-9_]+)\b|\b([A-Z][a-z]+[A-Z][a-zA-Z0-9]*)\b"
+)
 CAMEL = r"\b([a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*)\b"
 SNAKE = r"\b([a-zA-Z][a-zA-Z0-9]*_[a-zA-Z0-9_]+)\b"
 PASCAL = r"\b([A-Z][a-z]+[A-Z][a-zA-Z0-9]*)\b"
+TERMS = (PASCAL, CAMEL, SNAKE)
 PACKAGE = r"k8s\.io/[a-zA-Z0-9_/-]+"
+RELATIVE_PACKAGE = r"(?:^|[\s`\"])([a-z][a-z0-9_-]*/[a-z][a-z0-9_/-]*)"
+NO_PACKAGE = ("com/", "org/", "io/", "forum/", "msg/", "dev/", "authn/")
+URL_LINE = r"https?://|git://"
+QUOTED_PATH = r"`([./~]?[a-zA-Z0-9_-]+(?:/[a-zA-Z0-9_.~*-]+)+(?:\.[a-zA-Z0-9]+)?/?)`"
+BARE_PATH = r"(?:^|\s)([./]?[a-zA-Z0-9_-]+(?:/[a-zA-Z0-9_.-]+)+\.[a-zA-Z0-9]{1,10})(?:\s|$|[,;:)])"
+GO_IMPORT = r"`([a-zA-Z][a-zA-Z0-9.-]+\.[a-zA-Z]{2,}/[a-zA-Z0-9_./-]+)`"
+LINK = r"\[([^\]]+)\]\(([^)]+)\)"
+BRANCH_PREFIXES = ("feature/", "fix/", "bugfix/", "hotfix/", "release/", "chore/", "docs/", "refactor/", "perf/", "ci/")
+SLASH_PAIRS = ("if/else", "true/false", "input/output", "read/write", "get/set", "push/pull", "client/server", "src/dst", "dx/dy", "req/res", "stdin/stdout", "yes/no", "on/off", "open/close", "start/stop")
+CODE_EXTENSIONS = (
+    "go", "py", "ts", "tsx", "js", "jsx", "rs", "rb", "java", "kt", "swift", "c", "cpp", "h", "hpp", "cs", "php", "sh", "bash", "zsh",
+    "yaml", "yml", "json", "toml", "md", "sql", "html", "css", "scss", "proto", "graphql", "tf",
+)
+UNSEARCHED_FOLDERS = (".git", "vendor", "node_modules", "_output")
 SOURCE_LINE = r"(?m)^\s*-\s+\[([^\]]+)\]\(([^)]+)\)\s*$"
 SOURCE_LINK = r"^/([^?#]+?)/-/blob/([^?#]+)\?(?:[^#]*&)?L(\d+)(?:-(\d+))?(?:[#&].*)?$"
 GENERATED_SUFFIXES = ("_generated.go", "pb.go")
@@ -51,6 +70,7 @@ MARKER_KINDS = {"TODO": "todo", "FIXME": "todo", "XXX": "todo", "HACK": "quirk",
 TRIVIAL_COMMITS = ("chore", "ci", "docs", "style")
 #: Words of an error text, most specific first, and its category.
 ERROR_CATEGORIES = (
+    (("context canceled", "context deadline exceeded"), "context_canceled"),
     (("unique constraint",), "unique_constraint_violation"),
     (("check constraint",), "check_constraint_violation"),
     (("foreign key constraint",), "foreign_key_constraint"),
@@ -67,7 +87,6 @@ STALE_DAYS = 7
 
 
 def java(pattern: str) -> str:
-    """The Java pattern of the same meaning."""
-    edge = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-    out = pattern.replace(r"\b", edge)
+    """The Java pattern of the same meaning. Every ``\\b`` here stands beside a word character that the pattern itself asks for."""
+    out = re.sub(r"\\b(?=$|[)|])", "(?![A-Za-z0-9_])", pattern).replace(r"\b", "(?<![A-Za-z0-9_])")
     return out if "(?m)" in pattern else re.sub(r"\$$", r"\\z", out)

@@ -38,14 +38,39 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+#: What every match of a rule holds, as plain text or as a cheap pattern: most texts are passed over by it.
+_SIGNS = {"email": "@", "ssn": "-", "secret_key": "sk-", "host_token": "ghp_", "access_key": "AKIA", "phone_intl": "+"}
+_SIGN_PATTERNS = {"ip": r"[0-9]\.[0-9]{1,3}\.[0-9]", "phone_us": r"[0-9][-.\s][0-9]{4}"}
+#: An address is tried once per run of its characters, and where the last match ended.
+_EMAIL = r"(?:\G|(?<![a-zA-Z0-9._%+\-]))[a-zA-Z0-9._%+\-]++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+
+
+def _has_sign(text: Column, name: str) -> Column:
+    return text.contains(_SIGNS[name]) if name in _SIGNS else text.rlike(_SIGN_PATTERNS[name])
+
+
+def _rule(name: str, pattern: str) -> str:
+    return _EMAIL if name == "email" else P.java(pattern)
+
+
 def redact_pii(text: Column) -> Column:
-    for _, pattern, by in P.REDACTIONS:
-        text = _replaced(text, pattern, by.replace("[", "\\[").replace("]", "\\]"))
-    return _replaced(text, P.MENTION, "$1" + P.REDACTED_MENTION)
+    """Every rule in turn, each over what the one before left."""
+    for name, pattern, by in P.REDACTIONS:
+        text = _let(text, _redaction(name, _rule(name, pattern), by.replace("[", "\\[").replace("]", "\\]")))
+    return _let(text, lambda t: F.when(t.contains("@"), _replaced(t, P.MENTION, "$1" + P.REDACTED_MENTION)).otherwise(t))
+
+
+def _redaction(name: str, pattern: str, by: str):
+    return lambda t: F.when(_has_sign(t, name), F.regexp_replace(t, pattern, by)).otherwise(t)
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)``, where the value is computed once."""
+    return F.transform(F.array(value), then)[0]
 
 
 def contains_pii(text: Column) -> Column:
-    found = [text.rlike(P.java(p)) for _, p, _ in P.REDACTIONS] + [text.rlike(P.java(P.MENTION))]
+    found = [_has_sign(text, n) & text.rlike(_rule(n, p)) for n, p, _ in P.REDACTIONS] + [text.contains("@") & text.rlike(P.java(P.MENTION))]
     return F.coalesce(reduce(lambda a, b: a | b, found), F.lit(False))
 
 
@@ -127,9 +152,53 @@ def error_category(message: Column) -> Column:
     return F.when(message.isNull(), P.NO_ERROR).otherwise(out)
 
 
+def first_bytes(text: Column, n: int) -> Column:
+    """The longest start of a text of at most ``n`` bytes that cuts no character in two."""
+    whole = text.cast("binary")
+    # a cut in the middle of a character leaves up to three of its bytes, which are taken back
+    starts = F.filter(F.sequence(F.lit(n), F.lit(max(0, n - 3)), F.lit(-1)), lambda k: ~F.hex(F.substring(whole, k + 1, 1)).rlike("^[89AB]"))
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.substring(whole, F.lit(1), F.coalesce(F.get(starts, F.lit(0)), F.lit(n))).cast("string"))
+
+
+def truncated(text: Column, n: int, end: str = "...") -> Column:
+    """A text of more than ``n`` bytes is cut to ``n``, the final dots among them."""
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.concat(first_bytes(text, max(0, n - len(end))), F.lit(end)))
+
+
 def strip_control(text: Column, max_bytes: int = 4096) -> Column:
-    """Without control characters but tabs; at most ``max_bytes`` characters."""
-    return F.substring(F.regexp_replace(text, r"[\p{Cntrl}&&[^\t]]", ""), 1, max_bytes)
+    """Without control characters but tabs; at most ``max_bytes`` bytes."""
+    return first_bytes(F.regexp_replace(text, r"[\p{Cntrl}&&[^\t]]", ""), max_bytes)
+
+
+def version_triple(text: Column) -> Column:
+    """[major, minor, patch] of a version like 2.46.1 in a text; null where there is none."""
+    parts = [F.regexp_extract(text, r"(\d+)\.(\d+)\.(\d+)", k) for k in (1, 2, 3)]
+    return F.when(parts[0] != "", F.array(*[p.cast("int") for p in parts]))
+
+
+def normal_path(path: Column) -> Column:
+    """A path without '.', '..' and empty segments; '..' at the root is dropped."""
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(
+        F.split(path, "/"),
+        none,
+        lambda out, s: F.when(s.isin("", "."), out).when(s == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(s))),
+    )
+    return F.array_join(kept, "/")
+
+
+def folder_of(path: Column) -> Column:
+    """The folder of a path, '' at the root."""
+    return F.regexp_replace(path, "/?[^/]*$", "")
+
+
+def go_kind(declared: Column) -> Column:
+    """Kind of a Go object by the checker's word for it; anything else is a variable."""
+    return F.when(declared == "TypeName", "type").when(declared == "Func", "func").when(declared == "Const", "const").otherwise("var")
+
+
+def go_visibility(name: Column) -> Column:
+    return F.when(F.coalesce(name, F.lit("")) == "", "private").when(name.rlike(r"^\p{Lu}"), "public").otherwise("internal")
 
 
 def clamp_confidence(c: Column) -> Column:

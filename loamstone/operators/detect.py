@@ -63,12 +63,17 @@ def enrichment_cost(symbols: DataFrame, budget: int) -> DataFrame:
     return per.select("repo", "calls", within.cast("long").alias("calls_in_budget"), F.round(within * CALL_COST_USD, 6).alias("cost_usd"))
 
 
-def documents_near(changed: DataFrame, documents: DataFrame, skipped: tuple[str, ...] = ("changelog.md",)) -> DataFrame:
-    """Documents (path) in the folders of changed files or in any folder above them."""
-    parts = F.split("path", "/")
-    folders = changed.select(F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("folder")).distinct()
-    own = documents.filter(~F.lower(T.base_name(F.col("path"))).isin(*skipped)).withColumn("folder", F.regexp_replace("path", "/?[^/]*$", ""))
-    return own.join(folders, "folder", "left_semi").select("path")
+# Fixed values.
+NO_DOCUMENTATION = ("changelog.md", "changes.md", "history.md")
+
+
+def documents_near(changed: DataFrame, deleted: DataFrame, documents: DataFrame) -> DataFrame:
+    """Markdown documents (path) in the folders of changed and deleted files, and in the folder above a changed one, but for the root above."""
+    own, above = T.folder_of(F.col("path")), T.folder_of(T.folder_of(F.col("path")))
+    folders = changed.select(F.explode(F.array(own, F.nullif(above, F.lit("")))).alias("folder")).filter("folder is not null").unionByName(deleted.select(own.alias("folder"))).distinct()
+    name = F.lower(T.base_name(F.col("path")))
+    kept = documents.filter(name.endswith(".md") & ~name.isin(*NO_DOCUMENTATION)).withColumn("folder", own)
+    return kept.join(folders, "folder", "left_semi").select("path")
 
 
 def documents_of_sources(doc_map: DataFrame, doc: str) -> DataFrame:
@@ -102,16 +107,10 @@ def without_dangling(rows: DataFrame, facts: DataFrame, columns: tuple[str, ...]
     return rows
 
 
-def located(entries: DataFrame, symbols: DataFrame) -> DataFrame:
-    """The symbol now at each entry's place (entry_id, file, start_line, end_line): of several the smallest id; null where there is none."""
-    placed = symbols.select(F.col("id").alias("symbol_id"), "file", F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    e = entries.alias("e").join(placed.alias("p"), (F.col("e.file") == F.col("p.file")) & (F.col("p.s") <= F.col("e.end_line")) & (F.col("p.e") >= F.col("e.start_line")), "left")
-    return e.groupBy("entry_id").agg(F.min("symbol_id").alias("symbol_id"))
-
-
-def calibration(pairs: DataFrame, now: Column, days: int = 90) -> DataFrame:
-    """Nearest-body pairs with the time from which they no longer count."""
-    return pairs.withColumn("expires_at", F.date_add(now, days))
+def calibration(existing: DataFrame, pairs: DataFrame, now: Column, days: int = 90, most: int = 50_000) -> DataFrame:
+    """Rows of nearest-body pairs with the time from which they no longer count; of all rows the ``most`` newest stay."""
+    fresh = pairs.withColumn("written_at", now).withColumn("expires_at", F.date_add(now, days))
+    return existing.unionByName(fresh).orderBy(F.desc("written_at"), F.desc("id")).limit(most)
 
 
 def unexpired(rows: DataFrame, now: Column) -> DataFrame:

@@ -56,14 +56,19 @@ def gated(facts: DataFrame, kinds: tuple[str, ...] = (), min_confidence: float |
 
 
 def fact_context(symbols: DataFrame, facts: DataFrame, pattern: str, kinds: tuple[str, ...] = (), min_confidence: float | None = None) -> DataFrame:
-    """Facts about symbols that match a name; for repos where these have no facts at all, facts about files of the symbols' packages.
+    """Facts about symbols that match a name; for repos where these have no facts at all, facts about files (symbols named
+    by their path) in the folders of the symbols' packages.
 
     The fallback looks at facts before any filter, as a filtered-out fact still shows that the repo has some.
     """
     matched = symbols.filter(F.col("symbol_name").ilike(pattern))
     direct = facts.join(matched.select(F.col("id").alias("subject_id"), "repo", "symbol_name"), "subject_id")
-    bare = matched.join(direct.select("repo").distinct(), "repo", "left_anti").select("repo", "file_path").distinct()
-    files = symbols.join(bare, ["repo", "file_path"], "left_semi").select(F.col("id").alias("subject_id"), "repo", "symbol_name")
+    bare = matched.join(direct.select("repo").distinct(), "repo", "left_anti").select("repo", T.local_dir(F.col("import_path")).alias("folder")).filter("folder <> ''").distinct()
+    # symbols of files in these folders or below: every folder above a symbol's name is looked up, so that prefixes are an equi-join
+    parts = F.split("symbol_name", "/")
+    above = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/"))))
+    placed = symbols.select(F.col("id").alias("subject_id"), "repo", "symbol_name", F.explode(above).alias("folder"))
+    files = placed.join(bare, ["repo", "folder"], "left_semi").select("subject_id", "repo", "symbol_name").distinct()
     found = direct.withColumn("level", F.lit("symbol")).unionByName(facts.join(files, "subject_id").withColumn("level", F.lit("file")), allowMissingColumns=True)
     return gated(found, kinds, min_confidence)
 
@@ -117,43 +122,16 @@ def manifest_docs(changed: DataFrame, manifest: list[tuple[str, list[str]]], dou
 def implementations(types: DataFrame, interfaces: DataFrame) -> DataFrame:
     """(interface, type) where the type has every method of the interface; both sides are (name, method). Empty interfaces do not count.
 
-    Methods are joined and counted, so no type meets an interface with which it shares none.
+    A type meets an interface over the interface's rarest method only, and its other methods are then counted: a method that many have
+    brings no types together.
     """
-    size = interfaces.distinct().groupBy("name").agg(F.count(F.lit(1)).alias("needed"))
-    met = interfaces.distinct().select(F.col("name").alias("interface"), "method").join(types.distinct().select(F.col("name").alias("type"), "method"), "method")
-    counted = met.filter("interface <> type").groupBy("interface", "type").agg(F.count(F.lit(1)).alias("had"))
-    return counted.join(size, counted["interface"] == size["name"]).filter("had = needed").select("interface", "type")
-
-
-def readme_drift(refs: DataFrame, exports: DataFrame) -> DataFrame:
-    """(name, finding): references to nothing exported, and exports that no reference names; methods match by full or bare name."""
-    bare = lambda c: F.substring_index(c, ".", -1)
-    known = exports.select(F.explode(F.array("name", bare(F.col("name")))).alias("key")).distinct()
-    said = refs.select(F.explode(F.array("name", bare(F.col("name")))).alias("key")).distinct()
-    stale = refs.withColumn("key", F.explode(F.array("name", bare(F.col("name"))))).join(known.withColumn("hit", F.lit(1)), "key", "left").groupBy("name").agg(F.max("hit").alias("hit")).filter("hit is null").select("name", F.lit("stale").alias("finding"))
-    silent = exports.withColumn("key", F.explode(F.array("name", bare(F.col("name"))))).join(said.withColumn("hit", F.lit(1)), "key", "left").groupBy("name").agg(F.max("hit").alias("hit")).filter("hit is null").select("name", F.lit("undocumented").alias("finding"))
-    return stale.unionByName(silent)
-
-
-def path_claims(claims: DataFrame, files: DataFrame) -> DataFrame:
-    """Whether each referenced path (context_file, value) exists: as it is, beside the context file, as a folder, or as a suffix."""
-    folder = F.regexp_replace("context_file", "[^/]*$", "")
-    forms = claims.withColumn("exact", F.col("value")).withColumn("beside", F.concat(folder, F.col("value")))
-    parts = F.split("path", "/")
-    folders = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("known"))
-    suffixes = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))).alias("known")).distinct()
-    known = files.select(F.col("path").alias("known"))
-
-    def present(df: DataFrame, column: str, others: DataFrame, flag: str) -> DataFrame:
-        marked = others.distinct().withColumn(flag, F.lit(True))
-        return df.join(marked, df[column] == marked["known"], "left").drop("known")
-
-    out = present(forms, "exact", known, "at_root")
-    out = present(out, "beside", known, "at_side")
-    out = present(out, "exact", folders, "is_folder")
-    out = present(out, "exact", suffixes, "is_suffix")
-    how = F.when(F.col("at_root"), "exact").when(F.col("at_side"), "relative").when(F.col("is_folder"), "directory").when(F.col("is_suffix"), "suffix").otherwise("missing")
-    return out.select("context_file", "value", how.alias("found_as"), (how != "missing").alias("valid"))
+    asked = interfaces.distinct().select(F.col("name").alias("interface"), "method")
+    had = types.distinct().select(F.col("name").alias("type"), "method")
+    common = asked.join(had.groupBy("method").agg(F.count(F.lit(1)).alias("n")), "method", "left")
+    rarest = common.groupBy("interface").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "method"))["method"].alias("method"), F.count(F.lit(1)).alias("needed"))
+    met = rarest.join(had, "method").filter("interface <> type").select("interface", "type", "needed")
+    counted = met.join(asked, "interface").join(had, ["type", "method"]).groupBy("interface", "type", "needed").agg(F.count(F.lit(1)).alias("had"))
+    return counted.filter("had = needed").select("interface", "type")
 
 
 def xref(symbols: DataFrame, key: Column) -> DataFrame:

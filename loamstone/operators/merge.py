@@ -9,14 +9,16 @@ from loamstone.functions import text as T
 
 SEMANTIC_FLOOR = 0.7
 FAILURES_TO_GIVE_UP = 3
+#: Tokens of recent bodies that may be broadcast (about 150 bytes each).
+BROADCAST_TOKENS = 300_000
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """Incoming rows win over existing ones of the same key; of several incoming ones the last by all columns wins."""
+def upsert(existing: DataFrame, incoming: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """Incoming rows win over existing ones of the same key; of several incoming ones the last by ``order``, then by all columns, wins."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    rest = [c for c in both.columns if c not in {*key, "_new"}]
-    packed = both.groupBy(*key).agg(F.max(F.struct("_new", *rest)).alias("_r"))
-    return packed.select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    rest = [c for c in both.columns if c not in {*key, "_new", *(order or [])}]
+    packed = both.groupBy(*key).agg(F.max(F.struct("_new", *(order or []), *rest)).alias("_r"))
+    return packed.select(*[c if c in key else F.col(f"_r.{c}").alias(c) for c in both.columns if c != "_new"])
 
 
 def replace_claims(existing: DataFrame, incoming: DataFrame, family: str = "extractor", file: str = "source_file") -> DataFrame:
@@ -30,8 +32,20 @@ def guarded_replace(existing: DataFrame, incoming: DataFrame, family: str = "ext
     return replace_claims(existing, incoming, family, file) if incoming.limit(1).count() else existing
 
 
-def tombstone(source_files: DataFrame, gone: DataFrame) -> DataFrame:
-    """Mark files (repo, relative_path) as deleted; rows stay."""
+def inserted_claims(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Existing and incoming claims; an object of 0 means none."""
+    return existing.unionByName(incoming.withColumn("object_id", F.nullif("object_id", F.lit(0))), allowMissingColumns=True)
+
+
+def absent(source_files: DataFrame, named: DataFrame) -> DataFrame:
+    """Files (repo, relative_path) that are named and not there."""
+    return named.select("repo", "relative_path").distinct().join(source_files, ["repo", "relative_path"], "left_anti")
+
+
+def tombstone(source_files: DataFrame, gone: DataFrame, strict: bool = False) -> DataFrame:
+    """Mark files (repo, relative_path) as deleted; rows stay. ``strict`` raises where one of them is not there."""
+    if strict and (first := absent(source_files, gone).first()):
+        raise ValueError(f"no such file: {first['repo']} {first['relative_path']}")
     marked = gone.select("repo", "relative_path").distinct().withColumn("_gone", F.lit(True))
     return source_files.join(marked, ["repo", "relative_path"], "left").withColumn("deleted", F.col("deleted") | F.coalesce("_gone", F.lit(False))).drop("_gone")
 
@@ -62,13 +76,28 @@ def reconcile(source_files: DataFrame, current: DataFrame) -> DataFrame:
     return both.withColumn("action", action).filter("action is not null").select("repo", "relative_path", "action")
 
 
-def merge_facts(facts: DataFrame) -> DataFrame:
-    """One row per cluster: subject, kind and the hash of the scrubbed body. The earliest row gives the words; rows of later calls (``ord``)
-    corroborate once each."""
-    keyed = facts.withColumn("cluster_key", T.scrub_hash(F.col("body")))
-    first = F.min_by(F.struct("id", "confidence", "model"), F.struct("ord", "id"))
-    merged = keyed.groupBy("subject_id", "kind", "cluster_key").agg(first.alias("f"), F.countDistinct("ord").alias("corroboration"), F.max("last_verified").alias("last_verified"), F.count(F.lit(1)).alias("n_rows"))
-    return merged.select("subject_id", "kind", "cluster_key", "f.*", "corroboration", "last_verified", "n_rows")
+def merge_facts(facts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One row per cluster: subject, kind and the hash of the scrubbed body, from calls (``ord``) with their evidence (fact_id, source_ref).
+
+    The earliest call gives the words. A later one corroborates, once, and moves ``last_verified``, if it brings a source that no earlier
+    call of the cluster had.
+    """
+    key = ["subject_id", "kind", "cluster_key"]
+    keyed = facts.withColumn("cluster_key", T.scrub_hash(F.col("body"))).select(*key, "id", "ord", "confidence", "model", "corroboration", "last_verified")
+    refs = keyed.join(evidence.select(F.col("fact_id").alias("id"), "source_ref").distinct(), "id")
+    # of each source the call that brings it first
+    brought = refs.groupBy(*key, "source_ref").agg(F.min(F.struct("ord", "id", "last_verified")).alias("c")).select(*key, "c.*").distinct()
+    first = F.min(F.struct("ord", "id", "confidence", "model", "corroboration", "last_verified"))
+    clusters = keyed.groupBy(*key).agg(first.alias("f"), F.count(F.lit(1)).alias("n_rows"))
+    later = brought.join(clusters.select(*key, F.col("f.ord").alias("first_ord"), F.col("f.id").alias("first_id")), key).filter("ord <> first_ord or id <> first_id")
+    more = later.groupBy(*key).agg(F.count(F.lit(1)).alias("more"), F.max(F.struct("ord", "id", "last_verified")).alias("l"))
+    out = clusters.join(more, key, "left")
+    return out.select(*key, "f.id", "f.confidence", "f.model", (F.col("f.corroboration") + F.coalesce("more", F.lit(0))).cast("long").alias("corroboration"), F.coalesce("l.last_verified", "f.last_verified").alias("last_verified"), "n_rows")
+
+
+def without_evidence(facts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Facts that no evidence supports, which must not be inserted."""
+    return facts.join(evidence.select(F.col("fact_id").alias("id")).distinct(), "id", "left_anti")
 
 
 def merge_evidence(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -137,33 +166,25 @@ def nearest_body(facts: DataFrame, recent: int = 200, shared: int = 1) -> DataFr
     new = keyed.orderBy(F.desc("id")).limit(recent)
     left = keyed.select("id", "cluster_key", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     right = new.select(F.col("id").alias("other"), F.col("cluster_key").alias("other_key"), F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
-    # one row per token of at most ``recent`` bodies
-    met = left.join(right, "token").filter("cluster_key <> other_key").groupBy("id", "other", "n", "m").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= shared)
+    few = right.count() <= BROADCAST_TOKENS
+    met = left.join(F.broadcast(right) if few else right, "token").filter("cluster_key <> other_key").groupBy("id", "other", "n", "m").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= shared)
     scored = met.withColumn("jaccard", F.round(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 9))
     return scored.groupBy("id").agg(F.max(F.struct("jaccard", F.col("other"))).alias("b")).select("id", F.col("b.other").alias("nearest"), "b.jaccard")
 
 
 def claim_severity(claims: DataFrame, files: DataFrame) -> DataFrame:
     """The first thing wrong with each claim: no file, a line beyond its end, an empty file, or a file newer than the claim."""
-    f = files.select(F.col("path").alias("source_file"), "n_lines", "modified_at", F.lit(True).alias("exists"))
+    f = files.select(F.col("path").alias("source_file"), "n_lines", "size_bytes", "modified_at", F.lit(True).alias("exists"))
     joined = claims.join(f, "source_file", "left")
     finding = (
         F.when(F.col("exists").isNull(), "HIGH missing file")
         .when((F.col("predicate") == "defines") & (F.col("source_line") > F.col("n_lines")), "MEDIUM line beyond end")
-        .when((F.col("predicate") == "has_doc") & (F.col("n_lines") == 0), "HIGH empty file")
+        .when((F.col("predicate") == "has_signature") & (F.col("size_bytes") == 0), "HIGH empty file")
         .when(F.col("modified_at") > F.col("last_verified"), "LOW file newer than claim")
     )
     return joined.select("claim_key", F.coalesce(finding, F.lit("OK")).alias("finding"))
 
 
-def manifest_findings(manifests: DataFrame, current: DataFrame, now: Column) -> DataFrame:
-    """Findings per document: entries whose symbol is gone (orphaned) or changed (hot), and documents past their age (cold)."""
-    joined = manifests.join(current, "symbol_id", "left")
-    by_symbol = joined.select("doc_id", "symbol_id", F.when(F.col("now_hash").isNull(), "orphaned").when(F.col("now_hash") != F.col("was_hash"), "hot").alias("severity")).filter("severity is not null")
-    old = manifests.groupBy("doc_id").agg(F.max("max_age_days").alias("limit"), F.max("last_refreshed").alias("at")).filter(F.datediff(now, F.col("at")) > F.col("limit"))
-    return by_symbol.unionByName(old.select("doc_id", F.lit(None).cast("long").alias("symbol_id"), F.lit("cold").alias("severity")))
-
-
 def numbered_revisions(states: DataFrame) -> DataFrame:
     """Number the states (document_id, recorded_at, ord) of each document in order of time."""
     order = Window.partitionBy("document_id").orderBy("recorded_at", "ord")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def search_capped(symbols: DataFrame, pattern: str, cap: int = SEARCH_LIMIT) ->
     """The first matches by repo and name, each with the number of all matches."""
     found = symbols_like(symbols, pattern)
     total = found.agg(F.count(F.lit(1)).alias("total"))
-    return found.orderBy("repo", "symbol_name").limit(cap).join(F.broadcast(total))  # one row
+    return found.orderBy("repo", "symbol_name", "id").limit(cap).join(F.broadcast(total))  # one row
 
 
 def packages_by_prefix(symbols: DataFrame, prefix: str, limit: int = LIST_LIMIT) -> DataFrame:
@@ -88,9 +90,10 @@ def deleted_files(source_files: DataFrame) -> DataFrame:
 
 
 def cache_hits(source_files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Wanted (repo, relative_path, content_hash) that a live row has already."""
-    live = source_files.filter(~F.col("deleted")).select("repo", "relative_path", "content_hash")
-    return wanted.join(live, ["repo", "relative_path", "content_hash"], "left_semi")
+    """Wanted rows (repo, relative_path, content_hash, extractor, grammar) that a live row has already; no grammar is an empty one."""
+    key = ["repo", "relative_path", "content_hash", "extractor"]
+    live = source_files.filter(~F.col("deleted")).select(*key, F.coalesce("grammar", F.lit("")).alias("_grammar"))
+    return wanted.withColumn("_grammar", F.coalesce("grammar", F.lit(""))).join(live, [*key, "_grammar"], "left_semi").drop("_grammar")
 
 
 def facts_in_state(facts: DataFrame, statuses: list[str]) -> DataFrame:
@@ -105,6 +108,41 @@ def reverify_plan(facts: DataFrame, before: Column, sample: int, budget: int) ->
     return oldest.withColumn("position", F.row_number().over(Window.orderBy("last_verified", "id"))).withColumn("within_budget", F.col("position") <= budget)
 
 
+def file_by_path(source_files: DataFrame, repo: str, path: str) -> DataFrame:
+    return source_files.filter((F.col("repo") == repo) & (F.col("relative_path") == path))
+
+
+def claims_by_predicate(claims: DataFrame, predicate: str) -> DataFrame:
+    return claims.filter(F.col("predicate") == predicate)
+
+
+def feedback_of(feedback: DataFrame, fact_id: int) -> DataFrame:
+    return feedback.filter(F.col("fact_id") == fact_id)
+
+
+def documents_in_order(documents: DataFrame) -> DataFrame:
+    """Documents with their place in the list: refreshed last first, then by id.
+
+    Days are counted first, so that no task ranks more than the documents of one day.
+    """
+    days = documents.groupBy("last_refreshed").agg(F.count(F.lit(1)).alias("n"))
+    before = days.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("last_refreshed")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per day
+    within = documents.withColumn("within", F.row_number().over(Window.partitionBy("last_refreshed").orderBy("doc_id")))
+    on = within["last_refreshed"].eqNullSafe(before["last_refreshed"])
+    return within.join(before, on).select("doc_id", within["last_refreshed"], (F.col("before") + F.col("within")).cast("long").alias("place"))
+
+
+def anchors_in_state(anchors: DataFrame, state: str) -> DataFrame:
+    """Ids of the anchors in a state, in order."""
+    return anchors.filter(F.col("state") == state).select("claim_id").orderBy("claim_id")
+
+
+def mark_verified(anchors: DataFrame, verified: DataFrame) -> DataFrame:
+    """Anchors after the given ones (claim_id) were looked at."""
+    seen = verified.select("claim_id").distinct().withColumn("_seen", F.lit(True))
+    return anchors.join(seen, "claim_id", "left").withColumn("state", F.when(F.col("_seen"), "verified").otherwise(F.col("state"))).drop("_seen")
+
+
 def changed_paths(changes: DataFrame) -> DataFrame:
     return changes.filter("status <> 'D'").select("path").distinct()
 
@@ -117,7 +155,37 @@ def deleted_paths(changes: DataFrame) -> DataFrame:
     return gone.distinct()
 
 
-def document_files(paths: DataFrame, names: tuple[str, ...] = ("readme", "changelog", "contributing", "agents", "claude"), skipped: tuple[str, ...] = ("vendor", "node_modules", ".git", "testdata")) -> DataFrame:
-    """Files that look like documentation, outside skipped folders."""
-    name = F.lower(T.base_name(F.col("path")))
-    return paths.filter(name.endswith(".md") & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, skipped)))).withColumn("is_default", F.regexp_replace(name, r"\.md$", "").isin(*names))
+# Fixed values.
+CONTEXT_FILES = ("CLAUDE.md", "AGENTS.md", ".cursorrules", ".cursorignore", ".github/copilot-instructions.md", ".github/AGENTS.md", ".windsurfrules", ".clinerules")
+DOCUMENT_NAMES = ("README.md", "README.*.md", "CLAUDE.md", "AGENTS.md", "CONTRIBUTING.md", "CHANGELOG.md", "SECURITY.md", "CODE_OF_CONDUCT.md", "ARCHITECTURE.md")
+SKIPPED_FOLDERS = (".git", "vendor", "node_modules", "_output", "testdata")
+
+
+def _skipped(folders: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, folders)))
+
+
+def document_files(paths: DataFrame, names: tuple[str, ...] = DOCUMENT_NAMES, skipped: tuple[str, ...] = SKIPPED_FOLDERS, exclude: tuple[str, ...] = (), all_markdown: bool = False) -> DataFrame:
+    """Documents by their names (globs of base names), or all Markdown files, outside skipped folders.
+
+    ``exclude`` has globs and lines of an ignore file: empty lines and comments count for nothing, one that ends with a slash leaves a folder
+    out, one with a slash is matched with the path, any other with the base name.
+    """
+    path, name = F.col("path"), T.base_name(F.col("path"))
+
+    def excluded(glob: str) -> Column:
+        if glob.endswith("/"):
+            return path.startswith(glob) | path.contains("/" + glob)
+        return (path if "/" in glob else name).rlike(T.glob_pattern(glob))
+
+    kept = F.lower(name).endswith(".md") if all_markdown else reduce(lambda a, b: a | b, [name.rlike(T.glob_pattern(n)) for n in names])
+    for glob in (line.strip() for line in exclude):
+        if glob and not glob.startswith("#"):
+            kept = kept & ~excluded(glob)
+    return paths.filter(kept & ~_skipped(skipped))
+
+
+def context_files(paths: DataFrame, skipped: tuple[str, ...] = SKIPPED_FOLDERS) -> DataFrame:
+    """Instruction files: the known paths, and files of their base names at any depth outside skipped folders."""
+    names = sorted({p.rsplit("/", 1)[-1] for p in CONTEXT_FILES})
+    return paths.filter(F.col("path").isin(*CONTEXT_FILES) | (T.base_name(F.col("path")).isin(*names) & ~_skipped(skipped)))

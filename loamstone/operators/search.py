@@ -1,8 +1,11 @@
-"""Full-text search over facts: an inverted index as a DataFrame, and BM25 ranking."""
+"""Full-text search over facts: an inverted index as a DataFrame, and BM25 ranking of words, prefixes and phrases."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -11,40 +14,72 @@ _ACCENTED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "a
 
 
 def index(facts: DataFrame, columns: tuple[str, ...] = ("body", "source_quote")) -> DataFrame:
-    """(id, term, tf, dl): how often each term stands in a fact's columns together, and how many terms they have."""
-    text = F.translate(F.lower(F.concat_ws(" ", *columns)), _ACCENTED, _PLAIN)
-    terms = facts.select("id", F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda t: t != "").alias("terms"))
+    """(id, dl, term, tf): how often each term stands in a fact's columns together, and how many terms they have."""
+    terms = facts.select("id", _terms(columns).alias("terms"))
     return terms.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_size(facts: DataFrame, columns: tuple[str, ...] = ("body", "source_quote")) -> DataFrame:
-    """One row: number of facts and their mean length, over all facts."""
+def _terms(columns: tuple[str, ...] = ("body", "source_quote")) -> Column:
     text = F.translate(F.lower(F.concat_ws(" ", *columns)), _ACCENTED, _PLAIN)
-    return facts.select(F.size(F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda t: t != "")).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    return F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
+def _plain(word: str) -> str:
+    return word.lower().translate(str.maketrans(_ACCENTED, _PLAIN))
+
+
+def _phrase_count(terms: Column, phrase: str) -> Column:
+    """How often the words of a phrase stand in a row."""
+    words = [w for w in re.split(r"[\W_]+", _plain(phrase)) if w]
+    starts = F.sequence(F.lit(1), F.size(terms) - len(words) + 1)
+    at = F.filter(starts, lambda k: F.slice(terms, k, F.lit(len(words))) == F.array(*map(F.lit, words)))
+    return F.when(F.size(terms) >= len(words), F.size(at)).otherwise(F.lit(0))
 
 
-def search(facts: DataFrame, terms: list[str], limit: int = 10, status: str = "active", kind: str | None = None, prefixes: tuple[str, ...] = ()) -> DataFrame:
-    """The best facts that hold all terms (and a word with each prefix), by BM25; statistics are of all facts, filters apply after.
+def search(
+    facts: DataFrame,
+    terms: list[str],
+    limit: int = 10,
+    status: str = "active",
+    kind: str | None = None,
+    prefixes: tuple[str, ...] = (),
+    phrases: tuple[str, ...] = (),
+    any_of: tuple[str, ...] = (),
+    none_of: tuple[str, ...] = (),
+    repos: DataFrame | None = None,
+) -> DataFrame:
+    """The best facts that hold all terms, a word with each prefix, all phrases, one of ``any_of`` if given, and none of ``none_of``, by BM25.
 
-    Only rows of the asked terms leave the scan; facts are joined to the few results of each term.
+    Statistics are of all facts; filters apply after. Each fact is counted for the asked terms inside its row, so that nothing is shuffled but
+    one row of totals. ``repos`` (subject_id, repo) adds the repository of each fact's subject.
     """
-    if not terms and not prefixes:
+    wanted = {_plain(t): (lambda a, t=t: F.size(F.filter(a, lambda x: x == _plain(t)))) for t in terms}
+    wanted |= {_plain(p) + "*": (lambda a, p=p: F.size(F.filter(a, lambda x: x.startswith(_plain(p)) & ~x.isin(*[_plain(t) for t in terms] or [""])))) for p in prefixes}
+    wanted |= {f'"{_plain(p)}"': (lambda a, p=p: _phrase_count(a, p)) for p in phrases}
+    optional = {_plain(t): (lambda a, t=t: F.size(F.filter(a, lambda x: x == _plain(t)))) for t in any_of}
+    if not wanted and not optional:
         raise ValueError("empty query")
-    wanted = F.col("term").isin(*[t.lower() for t in terms])
-    for p in prefixes:
-        wanted = wanted | F.col("term").startswith(p.lower())
-    label = F.col("term")
-    for p in prefixes:
-        label = F.when(F.col("term").startswith(p.lower()) & ~F.col("term").isin(*[t.lower() for t in terms]), F.lit(p.lower() + "*")).otherwise(label)
-    posts = index(facts).filter(wanted).withColumn("label", label).groupBy("id", "dl", "label").agg(F.sum("tf").alias("tf"))
-    df = posts.groupBy("label").agg(F.count(F.lit(1)).alias("df"))
-    size = corpus_size(facts)
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    scored = posts.join(F.broadcast(df), "label").join(F.broadcast(size)).withColumn("w", weight)  # a row per term, and one row
-    per = scored.groupBy("id").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("label", "w"))), F.lit(0.0), lambda t, s: t + s["w"]).alias("score"), F.count(F.lit(1)).alias("n"))
-    hits = per.filter(F.col("n") == len({t.lower() for t in terms}) + len(prefixes))
-    live = facts.filter(F.col("status") == status)
+    labels = sorted(wanted | optional)
+    counts = F.struct(*[(wanted | optional)[n](F.col("terms")).alias(f"t{k}") for k, n in enumerate(labels)])
+    subject = F.col("subject_id") if repos is not None else F.lit(None)
+    kept = facts.select("id", "kind", "status", subject.alias("subject_id"), _terms().alias("terms"))
+    banned = F.arrays_overlap("terms", F.array(*[F.lit(_plain(t)) for t in none_of])) if none_of else F.lit(False)
+    rows = kept.select("id", "kind", "status", "subject_id", F.size("terms").alias("dl"), counts.alias("tf"), F.coalesce(banned, F.lit(False)).alias("banned"))
+    tf = [F.col(f"tf.t{k}") for k in range(len(labels))]
+    totals = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"), *[F.sum((c > 0).cast("long")).alias(f"df{k}") for k, c in enumerate(tf)])
+    held = reduce(lambda a, b: a & b, [tf[labels.index(n)] > 0 for n in wanted], F.lit(True))
+    if optional:
+        held = held & reduce(lambda a, b: a | b, [tf[labels.index(n)] > 0 for n in optional])
+    hits = rows.filter(held & ~F.col("banned") & (F.col("status") == status))
     if kind:
-        live = live.filter(F.col("kind") == kind)
-    return hits.join(live.select("id", "kind", "status"), "id").select("id", "kind", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+        hits = hits.filter(F.col("kind") == kind)
+    one = hits.join(F.broadcast(totals))  # one row
+    score = F.lit(0.0)
+    for k, c in enumerate(tf):
+        idf = F.log((F.col("n_docs") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
+        part = F.when(idf <= 0, 1e-6).otherwise(idf) * c * (K1 + 1) / (c + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+        score = score + F.when(c > 0, part).otherwise(F.lit(0.0))
+    found = one.select("id", "kind", "subject_id", F.round(score, 6).alias("score"))
+    if repos is not None:
+        found = found.join(repos.select("subject_id", "repo"), "subject_id", "left")
+    return found.orderBy(F.desc("score"), "id").limit(limit).drop("subject_id")

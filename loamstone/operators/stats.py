@@ -59,12 +59,37 @@ def ownership(blame: DataFrame) -> DataFrame:
     return own.join(total, "file").select("file", "author", "lines", F.floor(F.col("lines") * 100 / F.col("total")).cast("long").alias("percent"), F.col("latest.commit").alias("latest_commit"))
 
 
-def repo_inventory(symbols: DataFrame, claims: DataFrame, source_files: DataFrame) -> DataFrame:
-    """Symbols, claims and the last indexing per repo; repos without symbols are left out."""
+def repo_inventory(symbols: DataFrame, claims: DataFrame, source_files: DataFrame, meta: DataFrame, now: Column) -> DataFrame:
+    """Symbols, claims and the time of extraction per repo, which ``meta`` (repo, extracted_at) knows better than the files' last indexing, and
+    whether any repo's files were indexed more than seven days before ``now``; repos without symbols are left out."""
     s = symbols.groupBy("repo").agg(F.count(F.lit(1)).alias("n_symbols"))
     c = claims.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n")).join(symbols.select("id", "repo"), F.col("subject_id") == F.col("id")).groupBy("repo").agg(F.sum("n").alias("n_claims"))
-    f = source_files.groupBy("repo").agg(F.max("last_indexed").cast("string").alias("extracted_at"))
-    return s.join(c, "repo", "left").join(f, "repo", "left").select("repo", "n_symbols", F.coalesce("n_claims", F.lit(0)).alias("n_claims"), "extracted_at")
+    f = source_files.groupBy("repo").agg(F.max("last_indexed").cast("string").alias("indexed_at"))
+    known = s.join(c, "repo", "left").join(f, "repo", "left").join(meta.select("repo", F.col("extracted_at").cast("string").alias("meta_at")), "repo", "left")
+    stale = known.agg(F.coalesce(F.bool_or(T.is_stale(F.col("indexed_at"), now)), F.lit(False)).alias("any_stale"))
+    return known.select("repo", "n_symbols", F.coalesce("n_claims", F.lit(0)).alias("n_claims"), F.coalesce(F.nullif("meta_at", F.lit("")), "indexed_at").alias("extracted_at")).join(F.broadcast(stale))  # one row
+
+
+def enrichment_status(symbols: DataFrame, claims: DataFrame, source_files: DataFrame, now: Column) -> DataFrame:
+    """(import_path, enriched): not yet, stale since a file of the package was indexed later, or the day and its age."""
+    held = claims.join(symbols.select("id", "import_path"), F.col("subject_id") == F.col("id"))
+    per = held.groupBy("import_path").agg(F.max(F.when(F.col("claim_tier") == "semantic", F.col("last_verified"))).alias("at"))
+    indexed = source_files.filter(~F.col("deleted")).groupBy(F.col("relative_path").alias("source_file")).agg(F.max("last_indexed").alias("indexed"))
+    changed = held.select("import_path", "source_file").distinct().join(indexed, "source_file").groupBy("import_path").agg(F.max("indexed").cast("timestamp").alias("indexed"))
+    all_ = symbols.select("import_path").distinct().join(per, "import_path", "left").join(changed, "import_path", "left")
+    day, age = F.date_format("at", "yyyy-MM-dd"), T.human_age(F.unix_timestamp(now) - F.unix_timestamp("at"))
+    said = F.when(F.col("at").isNull(), "Not yet enriched").when(F.col("indexed") > F.col("at"), F.concat(F.lit("Enrichment stale: source changed since "), day))
+    return all_.select("import_path", said.otherwise(F.concat(F.lit("Enriched at "), day, F.lit(" ("), age, F.lit(")"))).alias("enriched"))
+
+
+def package_interfaces(symbols: DataFrame, claims: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """(import_path, interface, types): the interfaces of each package with the types (default: symbols) of the same package that a claim ties to
+    them by name."""
+    faces = symbols.filter("kind = 'interface'").select("import_path", F.col("symbol_name").alias("interface")).distinct()
+    tied = claims.filter("predicate = 'implements'").join((types or symbols).select("id", "import_path", "symbol_name"), F.col("subject_id") == F.col("id"))
+    tied = tied.select("import_path", F.col("object_text").alias("interface"), F.col("symbol_name").alias("type")).distinct()
+    met = faces.join(tied, ["import_path", "interface"], "left").groupBy("import_path", "interface").agg(F.array_sort(F.collect_set("type")).alias("types"))
+    return met
 
 
 def claims_by(claims: DataFrame, column: str) -> DataFrame:

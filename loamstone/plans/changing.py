@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loamstone.operators import joins, merge, reads, stats
+from loamstone.operators import drift, joins, merge, reads, stats
 
 from .collected import Collected
 
@@ -15,18 +15,24 @@ def _now():
     return F.lit("2024-07-01").cast("date")
 
 _CURRENT = """current as (select concat('repo', o_custkey % 5) as repo, concat('file_', o_custkey % 100) as relative_path, max(sha256(o_orderstatus)) as content_hash
-  from orders where o_orderkey % 200 = 0 group by 1, 2)"""
+  from orders group by 1, 2)"""
 
 
 def _current(m):
     """What the working tree holds: a hash per changed path."""
-    return m.table("orders").filter("o_orderkey % 200 = 0").groupBy(F.expr("concat('repo', o_custkey % 5)").alias("repo"), F.expr("concat('file_', o_custkey % 100)").alias("relative_path")).agg(F.max(F.sha2("o_orderstatus", 256)).alias("content_hash"))
+    return m.table("orders").groupBy(F.expr("concat('repo', o_custkey % 5)").alias("repo"), F.expr("concat('file_', o_custkey % 100)").alias("relative_path")).agg(F.max(F.sha2("o_orderstatus", 256)).alias("content_hash"))
 
 
-@query("select repo, relative_path, content_hash from source_files where not deleted and size_bytes % 2 = 0")
+@query("""
+with wanted as (select repo, relative_path, case when size_bytes % 3 = 0 then 'changed' else content_hash end as content_hash, 'v' || size_bytes % 2 as extractor, case when size_bytes % 4 = 0 then 'g1' end as grammar from source_files),
+held as (select repo, relative_path, content_hash, deleted, 'v1' as extractor, case when size_bytes % 8 = 0 then 'g1' else '' end as grammar from source_files)
+select repo, relative_path, content_hash from wanted w where exists (select 1 from held h where not h.deleted and h.repo = w.repo and h.relative_path = w.relative_path and h.content_hash = w.content_hash
+  and h.extractor = w.extractor and coalesce(h.grammar, '') = coalesce(w.grammar, ''))""")
 def cache_hit_files(m):
-    wanted = m.source_files.filter("size_bytes % 2 = 0").select("repo", "relative_path", "content_hash")
-    return reads.cache_hits(m.source_files, wanted)
+    files = m.source_files
+    wanted = files.select("repo", "relative_path", F.expr("case when size_bytes % 3 = 0 then 'changed' else content_hash end as content_hash"), F.expr("concat('v', size_bytes % 2) as extractor"), F.expr("case when size_bytes % 4 = 0 then 'g1' end as grammar"))
+    held = files.select("repo", "relative_path", "content_hash", "deleted", F.lit("v1").alias("extractor"), F.expr("case when size_bytes % 8 = 0 then 'g1' else '' end as grammar"))
+    return reads.cache_hits(held, wanted).select("repo", "relative_path", "content_hash")
 
 
 @query("with " + _CURRENT + """
@@ -88,23 +94,28 @@ def delete_package_semantics(m):
 
 
 @query("""
-with keyed as (select id % 20 as subject, kind, sha256(trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body,
-  '@[A-Za-z0-9_-]+', '', 'g'), '\\w+\\.go:\\d+', '', 'g'), '\\bL\\d+\\b', '', 'g'), '[ \\t\\n\\f\\r]+$', ''), '[.!?:;]+$', '')), '[ \\t\\n\\f\\r]+', ' ', 'g'))) as cluster_key, id, ord, last_verified from facts)
-select subject as subject_id, kind, cluster_key, arg_min(id, (ord, id)) as id, count(distinct ord) as corroboration, cast(max(last_verified) as varchar) as last_verified, count(*) as n_rows
-from keyed group by 1, 2, 3""")
+with keyed as (select id % 20 as subject_id, kind, sha256(trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body,
+  '@[A-Za-z0-9_-]+', '', 'g'), '\\w+\\.go:\\d+', '', 'g'), '\\bL\\d+\\b', '', 'g'), '[ \\t\\n\\f\\r]+$', ''), '[.!?:;]+$', '')), '[ \\t\\n\\f\\r]+', ' ', 'g'))) as cluster_key, id, ord, corroboration, last_verified from facts),
+calls as (select *, row_number() over (partition by subject_id, kind, cluster_key order by ord, id) as call from keyed),
+refs as (select distinct subject_id, kind, cluster_key, call, last_verified, regexp_replace(source_ref, '^[0-9]+', '') as ref from calls join evidence on fact_id = id),
+brought as (select distinct subject_id, kind, cluster_key, call, last_verified from refs r where not exists (select 1 from refs x where x.subject_id = r.subject_id and x.kind = r.kind and x.cluster_key = r.cluster_key and x.ref = r.ref and x.call < r.call)),
+more as (select subject_id, kind, cluster_key, count(*) as more, arg_max(last_verified, call) as seen_at from brought where call > 1 group by 1, 2, 3)
+select subject_id, kind, cluster_key, id, corroboration + coalesce(more, 0) as corroboration, cast(coalesce(seen_at, last_verified) as varchar) as last_verified, n_rows
+from calls left join more using (subject_id, kind, cluster_key) join (select subject_id, kind, cluster_key, count(*) as n_rows from keyed group by 1, 2, 3) using (subject_id, kind, cluster_key) where call = 1""")
 def fact_cluster_merge(m):
     facts = m.facts.withColumn("subject_id", F.col("id") % 20)
-    return merge.merge_facts(facts).select("subject_id", "kind", "cluster_key", "id", "corroboration", F.col("last_verified").cast("string").alias("last_verified"), "n_rows")
+    evidence = m.evidence.select("fact_id", F.regexp_replace("source_ref", "^[0-9]+", "").alias("source_ref"))
+    return merge.merge_facts(facts, evidence).select("subject_id", "kind", "cluster_key", "id", "corroboration", F.col("last_verified").cast("string").alias("last_verified"), "n_rows")
 
 
 @query("""
 with tok as (select id, list_distinct(list_filter(string_split_regex(lower(body), '\\s+'), lambda t: t <> '')) as t, sha256(body) as k from facts),
-recent as (select * from tok order by id desc limit 40),
+recent as (select * from tok order by id desc limit 200),
 l as (select id, k, len(t) as n, unnest(t) as token from tok), r as (select id as other, k as ok, len(t) as m, unnest(t) as token from recent),
 met as (select id, other, n, m, count(*) as shared from l join r using (token) where k <> ok group by 1, 2, 3, 4)
 select id, arg_max(other, (round(shared / cast(n + m - shared as double), 9), other)) as nearest, max(round(shared / cast(n + m - shared as double), 9)) as jaccard from met group by 1""")
 def nearest_body_jaccard(m):
-    return merge.nearest_body(m.facts, 40)
+    return merge.nearest_body(m.facts)
 
 
 @query("""
@@ -147,14 +158,38 @@ def corrected_facts(m):
     return merge.correct(m.facts, m.corrections).groupBy("status").agg(F.count(F.lit(1)).alias("n_facts"))
 
 
-@query("""
-with cur as (select id as symbol_id, case when id % 3 = 0 then 'even' else 'odd' end as now_hash from symbols),
-a as (select doc_id, symbol_id, case when now_hash is null then 'orphaned' when now_hash <> was_hash then 'hot' end as severity from doc_manifests left join cur using (symbol_id))
-select * from a where severity is not null union all
-select doc_id, null, 'cold' from doc_manifests group by 1 having date_diff('day', cast(max(last_refreshed) as date), date '2024-03-01') > max(max_age_days)""")
+_DRIFT = """
+with sharp as (select * from doc_manifests where not fuzzy),
+at_place as (select entry_id, min(p.symbol_id) as located_id from sharp e join placed_symbols p on p.repo = e.repo and p.file = e.file and p.start_line <= e.end_line and p.end_line >= e.start_line where e.file <> '' and e.start_line > 0 group by 1),
+marked as (select e.doc_id, e.pos, case when e.symbol_id is not null and c.symbol_id is null then case when located_id <> e.symbol_id then 'renamed' else 'deleted' end
+  when e.symbol_id is not null and e.signature <> '' and c.signature <> '' and e.signature <> c.signature then 'signature'
+  when e.symbol_id is not null and e.content <> c.content then 'body' when e.symbol_id is null and e.file <> '' and e.start_line > 0 and located_id is null then 'deleted' end as change
+  from sharp e left join placed_symbols c on c.symbol_id = e.symbol_id left join at_place l using (entry_id)),
+found as (select doc_id, pos, case when change in ('renamed', 'deleted') then 'orphaned' when change = 'signature' then 'hot' else 'warm' end as severity, change from marked where change is not null
+  union all select doc_id, null, 'cold', 'age' from documents_kept where max_age_days > 0 and date_diff('day', cast(last_refreshed as date), date '2024-03-01') > max_age_days),
+ranked as (select *, list_position(['orphaned', 'hot', 'warm', 'cold'], severity) as rank from found)
+"""
+
+
+@query(_DRIFT + "select doc_id, row_number() over (partition by doc_id order by rank, pos nulls first) - 1 as place, pos, severity, change from ranked")
 def evergreen_findings(m):
-    current = m.symbols.select(F.col("id").alias("symbol_id"), F.when(F.col("id") % 3 == 0, "even").otherwise("odd").alias("now_hash"))
-    return merge.manifest_findings(m.doc_manifests, current, F.lit("2024-03-01").cast("date"))
+    return drift.manifest_drift(m.doc_manifests, m.documents_kept, m.placed_symbols, F.lit("2024-03-01").cast("date"))
+
+
+@query(_DRIFT + "select doc_id, string_agg(severity, ',' order by rank) as severities from (select distinct doc_id, severity, rank from ranked) group by 1")
+def evergreen_severities(m):
+    return drift.severities(evergreen_findings(m)).select("doc_id", F.array_join("severities", ",").alias("severities"))
+
+
+@query("select doc_id, 'cold' as severity from documents_kept where max_age_days > 0 and date_diff('day', cast(last_refreshed as date), date '2024-03-01') > max_age_days")
+def evergreen_ages_only(m):
+    return drift.manifest_drift(m.doc_manifests, m.documents_kept, None, F.lit("2024-03-01").cast("date")).select("doc_id", "severity")
+
+
+@query("""
+select entry_id, (select min(p.symbol_id) from placed_symbols p where p.repo = e.repo and p.file = e.file and p.start_line <= e.end_line and p.end_line >= e.start_line) as located_id from doc_manifests e""")
+def located_symbols(m):
+    return drift.located(m.doc_manifests, m.placed_symbols)
 
 
 @query("""
@@ -201,17 +236,18 @@ def manifest_affected_docs(m):
     return joins.manifest_docs(reads.changed_paths(m.changes), _MANIFEST).groupBy("doc").agg(F.countDistinct("path").alias("n_paths"))
 
 
-_FILES = "(select concat('file_', s_suppkey) as path, s_suppkey % 40 as n_lines, (timestamp '1995-01-01' + to_days(cast(s_suppkey * 20 % 2500 as int))) as modified_at from supplier where s_suppkey % 10 <> 3)"
+_FILES = "(select concat('file_', s_suppkey) as path, s_suppkey % 40 as n_lines, s_suppkey % 9 * 100 as size_bytes, (timestamp '1995-01-01' + to_days(cast(s_suppkey * 20 % 2500 as int))) as modified_at from supplier where s_suppkey % 10 <> 3)"
 
 
 @query("""
 with f as """ + _FILES + """
 select case when f.path is null then 'HIGH missing file' when predicate = 'defines' and source_line > n_lines then 'MEDIUM line beyond end'
-  when predicate = 'has_doc' and n_lines = 0 then 'HIGH empty file' when modified_at > last_verified then 'LOW file newer than claim' else 'OK' end as finding, count(*) as n_claims
-from claims left join f on f.path = source_file group by 1""")
+  when predicate = 'has_signature' and size_bytes = 0 then 'HIGH empty file' when modified_at > last_verified then 'LOW file newer than claim' else 'OK' end as finding, count(*) as n_claims
+from (select * replace (case when predicate = 'has_kind' then 'has_signature' else predicate end as predicate) from claims) left join f on f.path = source_file group by 1""")
 def claim_verification_severity(m):
-    files = m.table("supplier").filter("s_suppkey % 10 <> 3").select(F.expr("concat('file_', s_suppkey)").alias("path"), F.expr("s_suppkey % 40").alias("n_lines"), F.expr("cast(date_add(date '1995-01-01', cast(s_suppkey * 20 % 2500 as int)) as timestamp)").alias("modified_at"))
-    return merge.claim_severity(m.claims, files).groupBy("finding").agg(F.count(F.lit(1)).alias("n_claims"))
+    files = m.table("supplier").filter("s_suppkey % 10 <> 3").select(F.expr("concat('file_', s_suppkey)").alias("path"), F.expr("s_suppkey % 40").alias("n_lines"), F.expr("s_suppkey % 9 * 100").alias("size_bytes"), F.expr("cast(date_add(date '1995-01-01', cast(s_suppkey * 20 % 2500 as int)) as timestamp)").alias("modified_at"))
+    claims = m.claims.withColumn("predicate", F.expr("case when predicate = 'has_kind' then 'has_signature' else predicate end"))
+    return merge.claim_severity(claims, files).groupBy("finding").agg(F.count(F.lit(1)).alias("n_claims"))
 
 
 @query("""

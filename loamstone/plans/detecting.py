@@ -30,9 +30,9 @@ def extraction_requests(m):
 
 
 @query("""
-select o_orderkey, case when o_orderstatus = 'F' then 'none' when o_orderstatus = 'P' then 'full' when o_orderkey % 2 = 0 then 'incremental' else 'full' end as mode from orders where o_orderkey % 50 = 0 or o_orderkey % 77 = 0""")
+select o_orderkey, case when o_orderstatus = 'F' then 'none' when o_orderstatus = 'P' then 'full' when o_orderkey % 2 = 0 then 'incremental' else 'full' end as mode from orders""")
 def run_modes(m):
-    orders = m.table("orders").filter("o_orderkey % 50 = 0 or o_orderkey % 77 = 0")
+    orders = m.table("orders")
     stored = F.when(F.col("o_orderstatus") == "F", "head").when(F.col("o_orderstatus") != "P", "older")
     return orders.select("o_orderkey", detect.run_mode(stored, F.lit("head"), F.col("o_orderkey") % 2 == 0).alias("mode"))
 
@@ -42,9 +42,9 @@ def cache_sizes(m):
     return detect.cache_sizes(m.source_files)
 
 
-@query("select file, count(*) as n_commits, case when count(*) <= 5 then 'High stability' when count(*) <= 20 then 'Moderate stability' else 'Low stability' end as label from blame where line > 48 group by 1")
+@query("select file, count(*) as n_commits, case when count(*) <= 5 then 'High stability' when count(*) <= 20 then 'Moderate stability' else 'Low stability' end as label from blame group by 1")
 def stability_labels(m):
-    return detect.stability_labels(m.blame.filter("line > 48"), "file")
+    return detect.stability_labels(m.blame, "file")
 
 
 @query("""
@@ -65,24 +65,27 @@ def enrichment_cost(m):
     return detect.enrichment_cost(m.symbols, 1000)
 
 
-@query("select 'a/README.md' as path union all select 'README.md' union all select 'a/b/guide.md'")
+@query("""
+with ch as (select regexp_replace(path, '/[^/]*$', '') as folder, path like '%.py' as gone from sources), dirs as (select folder from ch union select regexp_replace(folder, '/?[^/]*$', '') from ch where not gone),
+docs as (select path from readmes union all select replace(path, 'README', 'CHANGES') from readmes union all select replace(path, 'README.md', 'sub/x.md') from readmes)
+select path from docs where regexp_replace(path, '/[^/]*$', '') in (select folder from dirs where folder <> '') and not path like '%CHANGES.md'""")
 def documents_near_changes(m):
-    changed = m.spark.createDataFrame([("a/b/x.go",), ("top.go",)], "path string")
-    documents = m.spark.createDataFrame([("a/README.md",), ("README.md",), ("a/b/guide.md",), ("a/b/c/deep.md",), ("a/CHANGELOG.md",)], "path string")
-    return detect.documents_near(changed, documents)
+    named = lambda new: m.readmes.select(F.replace("path", F.lit("README.md"), F.lit(new)).alias("path"))
+    documents = named("README.md").unionByName(named("CHANGES.md")).unionByName(named("sub/x.md"))
+    gone = F.col("path").like("%.py")
+    return detect.documents_near(m.sources.filter(~gone).select("path"), m.sources.filter(gone).select("path"), documents)
 
 
-@query("select distinct concat('repo', p_partkey % 5) as repo from part where p_size % 10 = 3 and p_brand = 'Brand#4'")
+@query("select distinct concat('repo', p_partkey % 5) as repo from part where p_brand = 'Brand#4'")
 def repos_of_document(m):
-    part = m.table("part").filter("p_size % 10 = 3")
-    doc_map = part.select(F.expr("concat('repo', p_partkey % 5)").alias("repo"), F.col("p_name").alias("source"), F.array("p_brand", "p_type").alias("docs"))
+    doc_map = m.table("part").select(F.expr("concat('repo', p_partkey % 5)").alias("repo"), F.col("p_name").alias("source"), F.array("p_brand", "p_type").alias("docs"))
     return detect.documents_of_sources(doc_map, "Brand#4")
 
 
-@query("select import_path, symbol_name, id as subject_id from symbols where id % 7 = 0")
+@query("select import_path, symbol_name, id as subject_id from symbols")
 def known_replies(m):
-    asked = m.symbols.filter("id % 7 = 0").select("import_path", "symbol_name")
-    strange = m.symbols.filter("id % 7 = 1").select("import_path", F.lit("invented").alias("symbol_name"))
+    asked = m.symbols.select("import_path", "symbol_name")
+    strange = m.symbols.select("import_path", F.lit("invented").alias("symbol_name"))
     return detect.known_replies(asked.unionByName(strange), m.symbols)
 
 
@@ -92,17 +95,15 @@ def documented_share(m):
 
 
 @query("""
-with c as (select fact_id, arg_max(action, ord) as action, arg_max('body ' || ord, ord) as body from (select user_id as fact_id, event_id as ord, case event_id % 3 when 0 then 'correct' when 1 then 'delete' else 'supersede' end as action from events where event_id % 11 = 0) where action in ('correct', 'supersede') group by 1)
+with c as (select fact_id, arg_max(action, ord) as action, arg_max('body ' || ord, ord) as body from (select user_id as fact_id, event_id as ord, case event_id % 3 when 0 then 'correct' when 1 then 'delete' else 'supersede' end as action from events) where action in ('correct', 'supersede') group by 1)
 select fact_id, subject_id, kind, c.body, c.action as source_ref, 'correction' as source_type, 'active' as status from facts join c on c.fact_id = facts.id""")
 def replacement_facts(m):
-    events = m.table("events").filter("event_id % 11 = 0")
-    corrections = events.select(F.col("user_id").alias("fact_id"), F.col("event_id").alias("ord"), F.expr("case event_id % 3 when 0 then 'correct' when 1 then 'delete' else 'supersede' end").alias("action"), F.expr("concat('body ', event_id)").alias("new_body"))
-    return detect.replaced_facts(m.facts, corrections)
+    return detect.replaced_facts(m.facts, m.corrections)
 
 
-@query("select distinct source_file from claims where source_line > 45 and extractor = 'ex-R'")
+@query("select distinct source_file from claims")
 def distinct_source_files(m):
-    return m.claims.filter("source_line > 45 and extractor = 'ex-R'").select("source_file").distinct()
+    return m.claims.select("source_file").distinct()
 
 
 @query("select distinct import_path from symbols where symbol_name ilike 'blue%'")

@@ -125,29 +125,35 @@ def facts_by_path_prefix(m):
     return joins.facts_by_path_prefix(m.facts, m.symbols, "repo1", "red").select("id", "kind", "symbol_name")
 
 
-_CONTEXT = """
-with matched as (select * from symbols where symbol_name ilike '%widget%'),
+_FILE_SYMBOL = "case when id % 3 = 0 and (id % 6 = 0 or id % 5 in (1, 2)) then concat(import_path, '/f', id, '.go') else symbol_name end"
+_CONTEXT = "with syms as (select * replace (" + _FILE_SYMBOL + """ as symbol_name) from symbols),
+matched as (select * from syms where symbol_name ilike '%widget%'),
 direct as (select f.*, s.repo, s.symbol_name from facts f join matched s on s.id = f.subject_id),
-bare as (select distinct repo, file_path from matched where repo not in (select repo from direct)),
-files as (select s.id, s.repo, s.symbol_name from symbols s join bare b on b.repo = s.repo and b.file_path = s.file_path),
+bare as (select distinct repo, import_path || '/' as folder from matched where repo not in (select repo from direct)),
+files as (select distinct s.id, s.repo, s.symbol_name from syms s join bare b on b.repo = s.repo and starts_with(s.symbol_name, b.folder)),
 found as (select *, 'symbol' as level from direct union all by name select f.*, s.repo, s.symbol_name, 'file' as level from facts f join files s on s.id = f.subject_id)
 select id, repo, symbol_name, kind, level, (model <> '' and corroboration < 3) as degraded from found
 where status = 'active' and (model = '' or corroboration >= 2)"""
 
 
+def _with_files(m):
+    """The symbols, some of which stand for files and are named by their path."""
+    return m.symbols.withColumn("symbol_name", F.expr(_FILE_SYMBOL))
+
+
 @query(_CONTEXT)
 def fact_context_gated(m):
-    return joins.fact_context(m.symbols, m.facts, "%widget%").select("id", "repo", "symbol_name", "kind", "level", "degraded")
+    return joins.fact_context(_with_files(m), m.facts, "%widget%").select("id", "repo", "symbol_name", "kind", "level", "degraded")
 
 
 @query(_CONTEXT + " and kind = 'ownership'")
 def fact_owners(m):
-    return joins.fact_context(m.symbols, m.facts, "%widget%", ("ownership",)).select("id", "repo", "symbol_name", "kind", "level", "degraded")
+    return joins.fact_context(_with_files(m), m.facts, "%widget%", ("ownership",)).select("id", "repo", "symbol_name", "kind", "level", "degraded")
 
 
 @query(_CONTEXT + " and kind in ('rationale', 'invariant')")
 def fact_rationale(m):
-    return joins.fact_context(m.symbols, m.facts, "%widget%", ("rationale", "invariant")).select("id", "repo", "symbol_name", "kind", "level", "degraded")
+    return joins.fact_context(_with_files(m), m.facts, "%widget%", ("rationale", "invariant")).select("id", "repo", "symbol_name", "kind", "level", "degraded")
 
 
 @query("select kind, count(*) as n_facts from facts where status = 'active' group by 1")
@@ -184,11 +190,12 @@ def ownership_by_author(m):
 
 @query("""
 with c as (select s.repo, count(*) as n_claims from claims join symbols s on s.id = claims.subject_id group by 1),
-f as (select repo, cast(max(last_indexed) as varchar) as extracted_at from source_files group by 1)
-select repo, count(*) as n_symbols, coalesce(any_value(n_claims), 0) as n_claims, any_value(extracted_at) as extracted_at
-from symbols left join c using (repo) left join f using (repo) group by repo""")
+f as (select repo, cast(max(last_indexed) as varchar) as indexed_at from source_files group by 1), meta as (select 'repo' || n_nationkey as repo, '2024-05-0' || (n_nationkey % 9 + 1) as extracted_at from nation where n_nationkey < 3),
+known as (select repo, count(*) as n_symbols, coalesce(any_value(n_claims), 0) as n_claims, any_value(indexed_at) as indexed_at, any_value(extracted_at) as meta_at from symbols left join c using (repo) left join f using (repo) left join meta using (repo) group by repo)
+select repo, n_symbols, n_claims, coalesce(meta_at, indexed_at) as extracted_at, (select bool_or(cast(indexed_at as timestamp) < timestamp '2000-04-20' - interval 7 days) from known) as any_stale from known""")
 def repo_inventory(m):
-    return stats.repo_inventory(m.symbols, m.claims, m.source_files)
+    meta = m.table("nation").filter("n_nationkey < 3").select(F.expr("concat('repo', n_nationkey)").alias("repo"), F.expr("concat('2024-05-0', n_nationkey % 9 + 1)").alias("extracted_at"))
+    return stats.repo_inventory(m.symbols, m.claims, m.source_files, meta, F.lit("2000-04-20").cast("timestamp"))
 
 
 @query("select predicate, count(*) as n_claims from claims group by 1")
@@ -265,12 +272,12 @@ def facts_by_status(m):
 
 
 @query("""
-with i as (select distinct p_brand as name, p_size % 3 as method from part where p_size % 7 = 0),
+with i as (select distinct p_brand as name, p_size % 3 as method from part),
 t as (select distinct concat('T', p_partkey % 50) as name, p_size % 3 as method from part),
 n as (select name, count(*) as needed from i group by 1)
 select i.name as interface, t.name as type from i join t using (method) join n on n.name = i.name group by 1, 2 having count(*) = any_value(needed)""")
 def interface_implementations(m):
     part = m.table("part")
-    interfaces = part.filter("p_size % 7 = 0").select(F.col("p_brand").alias("name"), (F.col("p_size") % 3).alias("method"))
+    interfaces = part.select(F.col("p_brand").alias("name"), (F.col("p_size") % 3).alias("method"))
     types = part.select(F.concat(F.lit("T"), F.col("p_partkey") % 50).alias("name"), (F.col("p_size") % 3).alias("method"))
     return joins.implementations(types, interfaces)

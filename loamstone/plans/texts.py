@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from loamstone.functions import patterns as P
 from loamstone.functions import text as T
-from loamstone.operators import joins, stats
-from loamstone.sources import lines
+from loamstone.operators import stats
 
 from .collected import Collected
 
@@ -38,21 +37,23 @@ def sensitive_flags(m):
 
 @query("""
 select call_id, case when age <= 3600 then 10 when age <= 86400 then 60 else 300 end as poll_seconds from
-(select call_id, date_diff('second', ts, timestamp '2024-02-15') as age from tool_calls where call_id % 10 = 0)""")
+(select call_id, date_diff('second', ts, timestamp '2024-02-15') as age from tool_calls)""")
 def freshness_intervals(m):
     age = F.unix_timestamp(F.lit("2024-02-15").cast("timestamp")) - F.unix_timestamp(F.date_trunc("second", "ts"))
-    return m.tool_calls.filter("call_id % 10 = 0").select("call_id", T.poll_interval(age).alias("poll_seconds"))
+    return m.tool_calls.select("call_id", T.poll_interval(age).alias("poll_seconds"))
 
 
-@query("""
-with p as (select import_path, max(case when claim_tier = 'semantic' then last_verified end) as seen from claims join symbols on symbols.id = subject_id group by 1)
-select import_path, case when seen is null then 'never' when days < 1 then 'just now' when days = 1 then '1 day ago' when days < 30 then days || ' days ago' when days < 60 then '1 month ago' else (days // 30) || ' months ago' end as enriched
-from (select *, date_diff('day', cast(seen as date), date '2002-01-01') as days from p)""")
+_STATUS = """
+with p as (select import_path, max(case when claim_tier = 'semantic' then last_verified end) as seen from symbols left join claims on symbols.id = subject_id group by 1),
+f as (select import_path, max(last_indexed) as indexed from symbols join claims on symbols.id = subject_id join source_files on relative_path = source_file and not deleted group by 1)
+select import_path, case when seen is null then 'Not yet enriched' when cast(indexed as timestamp) > seen then 'Enrichment stale: source changed since ' || strftime(seen, '%Y-%m-%d')
+  else 'Enriched at ' || strftime(seen, '%Y-%m-%d') || ' (' || case when days < 1 then 'just now' when days = 1 then '1 day ago' when days < 30 then days || ' days ago' when days < 60 then '1 month ago' else (days // 30) || ' months ago' end || ')' end as enriched
+from (select *, date_diff('day', cast(seen as date), date '2002-01-01') as days from p left join f using (import_path))"""
+
+
+@query(_STATUS)
 def enrichment_status(m):
-    at = F.max(F.when(F.col("claim_tier") == "semantic", F.col("last_verified")))
-    per = m.claims.join(m.symbols.select("id", "import_path"), F.col("subject_id") == F.col("id")).groupBy("import_path").agg(at.alias("at"))
-    age = T.human_age(F.datediff(F.lit("2002-01-01").cast("date"), F.col("at")) * 86400)
-    return per.select("import_path", F.when(F.col("at").isNull(), "never").otherwise(age).alias("enriched"))
+    return stats.enrichment_status(m.symbols, m.claims, m.source_files, F.lit("2002-01-01").cast("timestamp"))
 
 
 @query("""
@@ -70,109 +71,3 @@ def file_kinds(m):
 select lang, count(*) as n_docs, count(distinct sha256(trim(regexp_replace(lower(regexp_replace(text, '[.!?:;]+$', '')), '[ \\t\\n\\f\\r]+', ' ', 'g')))) as n_bodies from documents group by 1""")
 def scrubbed_bodies(m):
     return m.table("documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.countDistinct(T.scrub_hash(F.col("text"))).alias("n_bodies"))
-
-
-README = """# Widget store
-Call `NewStore` before store.Open or parseJSON.
-Use the ConfigMap and my_handler helpers, see k8s.io/api/core.
-
-## Usage
-Run `Store.Close` when done.
-
-## Empty
-
-## Limits
-[ref]: https://example.com/NotSeen
-```
-inFence is code
-```
-"""
-_SOURCE = """package store // TODO: split this file
-# FIXME later
-/* HACK around
-   the cache
-   NOTE: keep in step
-*/
-func f() {} // nothing here
-"""
-_OWNERS = """# owners
-*.go @core @infra
-/docs/ @writers # prose
-
-/alone/
-"""
-_DIFF = """diff --git a/a.go b/a.go
---- a/a.go
-+++ b/a.go
-@@ -1,3 +1,4 @@
- x
-@@ -20 +21,2 @@
-diff --git a/gone.go b/gone.go
---- a/gone.go
-+++ /dev/null
-@@ -1,9 +0,0 @@
-"""
-_ANSWER = """Answer text.
-
-## Sources
-- [a](/host/org/repo/-/blob/pkg/a.go?L10-20)
-- [b](/host/org/repo/-/blob/pkg/b.go?rev=1&L7)
-- [again](/host/org/repo/-/blob/pkg/a.go?L10-20)
-- [no](https://example.com)
-"""
-
-
-def _text(m, text: str):
-    return m.spark.createDataFrame([("f", text)], "path string, text string")
-
-
-def _values(rows: list[tuple], names: str) -> str:
-    cell = lambda v: "null" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return f"select * from (values {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({names})"
-
-
-@query(_values([("Overview",), ("Usage",), ("Limits",)], "heading"))
-def section_split(m):
-    return lines.sections(_text(m, README)).select("heading")
-
-
-@query(_values([(1, "TODO", "todo"), (2, "FIXME", "todo"), (3, "HACK", "quirk"), (5, "NOTE", "quirk")], "line_no, marker, kind"))
-def line_markers(m):
-    return lines.markers(_text(m, _SOURCE)).select("line_no", "marker", "kind")
-
-
-@query(_values([("*.go", "@core"), ("*.go", "@infra"), ("/docs/", "@writers")], "pattern, owner"))
-def codeowners_rules(m):
-    return lines.code_owners(_text(m, _OWNERS)).select("pattern", "owner")
-
-
-@query(_values([("a.go", 1, 3, 1, 4), ("a.go", 20, 1, 21, 2), ("gone.go", 1, 9, 0, 0)], "file, old_start, old_count, new_start, new_count"))
-def diff_hunks(m):
-    return lines.hunks(_text(m, _DIFF)).select("file", "old_start", "old_count", "new_start", "new_count")
-
-
-@query(_values([("host/org/repo", "pkg/a.go", 10, 20), ("host/org/repo", "pkg/b.go", 7, 7)], "repo, file, first, last"))
-def citation_parse(m):
-    return lines.citations(_text(m, _ANSWER)).select("repo", "file", "first", "last")
-
-
-@query(_values([("parseJSON", "stale"), ("my_handler", "stale"), ("ConfigMap", "stale"), ("inFence", "stale"), ("Hidden", "undocumented")], "name, finding"))
-def readme_drift(m):
-    refs = lines.references(_text(m, README)).filter(~F.col("is_package")).select("name")
-    exports = m.spark.createDataFrame([("NewStore",), ("store.Open",), ("Store.Close",), ("Hidden",)], "name string")
-    return joins.readme_drift(refs, exports)
-
-
-@query(_values([("AGENTS.md", 4, 3, 75), ("(all)", 4, 3, 75)], "context_file, n_claims, n_valid, percent"))
-def ai_context_accuracy(m):
-    text = "Edit `src/main.go` and `./docs/`.\n```\n`not/seen.go`\n```\nSee [guide](docs/guide.md), `gone/away.py` and `src/main.go`.\n"
-    found = lines.context_paths(m.spark.createDataFrame([("AGENTS.md", text)], "path string, text string"))
-    files = m.spark.createDataFrame([("src/main.go",), ("docs/guide.md",)], "path string")
-    checked = joins.path_claims(found.select(F.col("path").alias("context_file"), "value"), files)
-    return stats.accuracy(checked)
-
-
-@query("select 0 as stale_packages, 1 as undocumented, 4 as stale, true as has_drift")
-def drift_summary(m):
-    count = lambda f: F.sum((F.col("finding") == f).cast("int"))
-    return readme_drift(m).agg(F.lit(0).alias("stale_packages"), count("undocumented").alias("undocumented"), count("stale").alias("stale"), (count("stale") > 0).alias("has_drift"))

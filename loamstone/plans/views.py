@@ -86,7 +86,7 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
     ),
     "changes": (
         "orders",
-        "o_orderkey % 200 = 0",
+        None,
         {
             "change_id": "o_orderkey",
             "repo": "concat('repo', o_custkey % 5)",
@@ -128,11 +128,105 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
             "ord": "c.turn",
         },
     ),
-    "feedback": ("events", "event_id % 7 = 0 and event_type <> 'purchase'", {"fact_id": "user_id", "reason": "case event_type when 'error' then 'wrong' when 'view' then 'stale' when 'click' then 'misleading' else 'offensive' end"}),
-    "corrections": ("events", "event_id % 11 = 0", {"fact_id": "user_id", "action": _labels("event_id % 3", ["correct", "delete", "supersede"])}),
+    "feedback": ("events", "event_type <> 'purchase'", {"fact_id": "user_id", "reason": "case event_type when 'error' then 'wrong' when 'view' then 'stale' when 'click' then 'misleading' else 'offensive' end"}),
+    "corrections": ("events", None, {"fact_id": "user_id", "action": _labels("event_id % 3", ["correct", "delete", "supersede"]), "ord": "event_id", "new_body": "concat('body ', event_id)"}),
     "tool_calls": ("events", None, {"call_id": "event_id", "tool": "event_type", "session": "user_id", "repo": "concat('repo', user_id % 5)", "path": "concat('file_', event_id % 100)", "ts": "{ts:ts}"}),
     "blame": ("lineitem", None, {"file": "concat('file_', l_suppkey)", "line": "{int:l_quantity}", "author": "concat('user', l_orderkey % 20)", "commit": "concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', {int:l_quantity}, '-', {ymd:l_shipdate})", "at": "{ts:l_shipdate}"}),
-    "doc_manifests": ("documents cross join (select 0 as k union all select 1 union all select 2)", "doc_id % 10 = 0", {"doc_id": "doc_id", "k": "k", "symbol_id": "(7 * doc_id + k) * 2", "was_hash": "case when (doc_id + k) % 2 = 0 then 'even' else 'odd' end", "max_age_days": "doc_id % 40", "last_refreshed": "{day:2024-01-01;doc_id % 60}"}),
+    "doc_manifests": (
+        "documents cross join (select 0 as k union all select 1 union all select 2)",
+        None,
+        {
+            "entry_id": "3 * doc_id + k",
+            "doc_id": "doc_id",
+            "pos": "k",
+            "repo": "concat('repo', doc_id % 5)",
+            "symbol_id": "case when (doc_id + k) % 7 <> 0 then (7 * doc_id + k) * 2 end",
+            "file": "case when (doc_id + k) % 3 = 0 then '' else concat('file_', doc_id % 100) end",
+            "start_line": "doc_id % 400",
+            "end_line": "doc_id % 400 + 5 * k",
+            "fuzzy": "doc_id % 11 = 0",
+            "signature": "case when (doc_id + k) % 2 = 0 then 'even' when doc_id % 13 = 0 then '' else 'odd' end",
+            "content": "concat('c', (doc_id + k) % 3)",
+        },
+    ),
+    "documents_kept": ("documents", None, {"doc_id": "doc_id", "max_age_days": "doc_id % 40", "last_refreshed": "{day:2024-01-01;doc_id % 60}"}),
+    "placed_symbols": (
+        "part",
+        None,
+        {
+            "symbol_id": "p_partkey",
+            "repo": "concat('repo', p_partkey % 5)",
+            "file": "concat('file_', p_partkey % 100)",
+            "start_line": "p_partkey * 3 % 390",
+            "end_line": "p_partkey * 3 % 390 + p_size % 9",
+            "signature": "case when p_partkey % 3 = 0 then 'even' else 'odd' end",
+            "content": "concat('c', p_partkey % 3)",
+        },
+    ),
+    "readmes": (
+        "part",
+        None,
+        {
+            "path": "concat('pkg', p_partkey, '/README.md')",
+            "text": "concat('# ', p_name, chr(10), 'Call `New', p_partkey, 'Store` before store.Open', p_size, ' or parseJSON', p_size % 3, '.', chr(10), 'The ConfigMap and my_handler_', p_size % 5, "
+            "' live in tools/cache', p_size % 4, ' and `sub/dir', p_size % 3, '`, see k8s.io/api/core.', chr(10), '[ref]: https://example.com/NotSeen', chr(10), '```', chr(10), '    inFence', p_size, chr(10), "
+            "'```', chr(10), 'Read `v1.2` and https://x.org/not/this.', chr(10), '## Usage', chr(10), 'Run `Store', p_size % 7, '.Close` when done.', chr(10), '## Empty', chr(10), '## Limits of ', p_type, chr(10), "
+            "'None for ', p_brand, '.', chr(10))",
+        },
+    ),
+    "sources": (
+        "part",
+        None,
+        {
+            "path": "case p_partkey % 4 when 0 then concat('pkg', p_partkey, '/a.go') when 1 then concat('pkg', p_partkey - 1, '/lib.py') when 2 then concat('pkg', p_partkey, '/mod.ts') "
+            "else concat('pkg', p_partkey - 1, '/tools/cache', p_size % 4, '/a_test.go') end",
+            "text": "case p_partkey % 4 when 0 then concat('package p', chr(10), '// TODO: split file ', p_size, chr(10), 'func New', p_partkey, 'Store() {}', chr(10), 'func (s *Store', p_size % 7, "
+            "') Close() error { return nil } // nothing', chr(10), 'func hidden() { panic(1) }', chr(10), 'type ConfigMap struct', chr(10), 'var (', chr(10), chr(9), 'Default', p_size, ' = 1', chr(10), chr(9), 'small = 2', chr(10), "
+            "')', chr(10), 'const A', p_size, ', B', p_size, ' = 1, 2', chr(10), '/* HACK around', chr(10), '   the cache', chr(10), '   NOTE: keep in step ', p_size, chr(10), '*/', chr(10)) "
+            "when 1 then concat('import os', chr(10), '# FIXME later ', p_brand, chr(10), 'def parseJSON', p_size % 3, '(x):', chr(10), '    pass', chr(10), 'async def my_handler_', p_size % 5, '():', chr(10), "
+            "'    return 1  # xxx: lower', chr(10), 'class _Private:', chr(10), '    pass', chr(10), 'class Widget', p_partkey, ':', chr(10), '    def method(self):', chr(10), '        pass', chr(10), 'MAX_', p_size, ' = 3', chr(10), "
+            "'limit: int = 4', chr(10)) when 2 then concat('export function run', p_size, '() {}', chr(10), 'export const limit', p_size, ' = 1;', chr(10), 'export { first', p_size, ', second as third };', chr(10), "
+            "'interface Local {}', chr(10), 'export default class Main', p_size, ' {}', chr(10), 'export type T', p_size, ' = string; // WHY not', chr(10)) else concat('func NewTest', p_size, '() {}', chr(10)) end",
+        },
+    ),
+    "contexts": (
+        "part",
+        None,
+        {
+            "path": "concat('svc', p_partkey, '/AGENTS.md')",
+            "text": "concat('Edit `./src/main', p_size % 9, '.go` and `docs/guides/a', p_size, '.md`.', chr(10), '```', chr(10), '`not/seen.go`', chr(10), '```', chr(10), 'See [the `text/of.go` guide](../svc', p_size, '/AGENTS.md), "
+            "`lib/util', p_partkey % 3, '.py`, read/write, `feature/x`, `glob/*.go` and `svc', p_size, '/`.', chr(10), 'Run lib/util', p_size % 5, '.py, gone/away.xyz and src/main', p_size % 9, '.go: `github.com/o/r', p_size % 4, "
+            "'/p`.', chr(10), 'Beside: `lib/util', p_partkey % 3, '.py` `deep/util0.py`', chr(10))",
+        },
+    ),
+    "tree": (
+        "part",
+        None,
+        {"path": "case p_partkey % 3 when 0 then concat('src/main', p_size % 7, '.go') when 1 then concat('svc', p_partkey, '/lib/util', p_size % 3, '.py') else concat('a', p_partkey, '/deep/util', p_size % 2, '.py') end"},
+    ),
+    "owner_files": (
+        "part",
+        None,
+        {"path": "concat('o', p_partkey)", "text": "concat('# owners ', p_name, chr(10), '*.go @core @infra', p_size, chr(10), '/docs/ @writers # prose', chr(10), chr(10), '/alone', p_size, '/', chr(10), '  a/b', p_partkey % 3, '   @x  @y', chr(10))"},
+    ),
+    "diffs": (
+        "part",
+        None,
+        {
+            "path": "concat('d', p_partkey)",
+            "text": "concat('diff --git a/a', p_size, '.go b/a.go', chr(10), '--- a/a', p_size, '.go', chr(10), '+++ b/a', p_partkey, '.go', chr(10), '@@ -', p_size, ',3 +', p_size, ',4 @@ func f()', chr(10), ' x', chr(10), '@@ -20 +', 21 + p_size, "
+            "',2 @@', chr(10), '+@@ -1 +1 @@', chr(10), '--- a/gone', p_size, '.go', chr(10), '+++ /dev/null', chr(10), '@@ -1,', p_size, ' +0,0 @@', chr(10))",
+        },
+    ),
+    "answers": (
+        "part",
+        None,
+        {
+            "path": "concat('q', p_partkey)",
+            "text": "concat('Answer.', chr(10), chr(10), '## Sources', chr(10), '- [a](/host/org/repo', p_size % 3, '/-/blob/pkg/a', p_size, '.go?L10-', 10 + p_size, ')', chr(10), '- [b](/host/org/repo/-/blob/b.go?rev=1&L', p_size, ')', chr(10), "
+            "'- [again](/host/org/repo', p_size % 3, '/-/blob/pkg/a', p_size, '.go?L10-', 10 + p_size, ')', chr(10), '- [no](https://example.com)', chr(10))",
+        },
+    ),
 }
 
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CLAIMS = "path string, language string, symbol_name string, kind string, predicate string, object_text string, line int, confidence double"
 #: Predicates that a parser without types may state.
@@ -65,6 +66,18 @@ def claims_of(path: str, text: str) -> list[tuple]:
     return out
 
 
+def beyond_tier(claims: DataFrame, safe: tuple[str, ...] = SAFE) -> DataFrame:
+    """Claims that an extractor without types may not make; ``unparsed`` rows are no claims."""
+    return claims.filter(~F.col("predicate").isin(*safe, "unparsed"))
+
+
+def within_tier(claims: DataFrame, safe: tuple[str, ...] = SAFE) -> DataFrame:
+    """The same claims; the job fails at the first one that is beyond the tier."""
+    message = F.concat(F.lit("predicate beyond the tier: "), F.col("predicate"), F.lit(" of "), F.col("symbol_name"))
+    allowed = F.col("predicate").isin(*safe, "unparsed")
+    return claims.withColumn("predicate", F.when(allowed, F.col("predicate")).otherwise(F.raise_error(message)))
+
+
 def extract(files: DataFrame) -> DataFrame:
     """Claims of (path, text) files."""
 
@@ -73,4 +86,4 @@ def extract(files: DataFrame) -> DataFrame:
             rows = [(p, language_of(p), *c) for p, t in zip(frame["path"], frame["text"]) for c in claims_of(p, t or "")]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CLAIMS.split(", ")])
 
-    return files.select("path", "text").mapInPandas(run, CLAIMS)
+    return within_tier(files.select("path", "text").mapInPandas(run, CLAIMS))

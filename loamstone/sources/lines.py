@@ -81,29 +81,44 @@ def _outside_fences(numbered: DataFrame, key: str) -> DataFrame:
 def references(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """(name, is_package) that a document refers to: quoted identifiers, identifiers in prose, package paths.
 
-    Link definitions, fence lines and indented code are skipped."""
-    plain = lines(texts, key, text).filter(~(F.trim("line").startswith("[") & F.trim("line").contains("]:")) & ~F.trim("line").startswith("```") & ~F.col("line").startswith("    "))
-    every = lambda p, g=1: F.regexp_extract_all("line", F.lit(P.java(p)), g)
-    prose = reduce(F.concat, [every(p) for p in (P.BACKTICK, P.DOTTED, P.CAMEL, P.SNAKE, P.PASCAL)])
-    names = plain.select(key, F.explode(prose).alias("name"), F.lit(False).alias("is_package"))
-    packages = plain.select(key, F.explode(every(P.PACKAGE, 0)).alias("name"), F.lit(True).alias("is_package"))
-    return names.unionByName(packages).distinct()
+    Link definitions give nothing, lines that open or close a fence no identifiers of prose, and lines with a URL no relative paths.
+    """
+    bare = F.btrim("line", F.lit(" \t\r\f\u000b"))
+    plain = lines(texts, key, text).withColumn("bare", bare).filter(~(F.col("bare").startswith("[") & F.col("bare").contains("]:")))
+    every = lambda p, g: F.regexp_extract_all("line", F.lit(P.java(p)), F.lit(g))
+    none = F.array().cast("array<string>")
+    quoted = F.filter(every(P.BACKTICK, 1), lambda n: (F.length(n) >= 2) & ~n.rlike("^v[0-9]"))
+    prose = F.when(F.col("bare").startswith("```"), none).otherwise(F.filter(every(P.PROSE, 0), lambda n: F.length(n) >= 2))
+    relative = F.filter(every(P.RELATIVE_PACKAGE, 1), lambda n: ~reduce(lambda a, b: a | b, [n.startswith(p) for p in P.NO_PACKAGE]))
+    packages = F.concat(every(P.PACKAGE, 0), F.when(F.col("line").rlike(P.URL_LINE), none).otherwise(relative))
+    tagged = lambda names, is_package: F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(is_package).alias("is_package")))
+    return plain.select(key, F.explode(F.concat(tagged(F.concat(quoted, prose), False), tagged(packages, True))).alias("r")).select(key, "r.*").distinct()
 
 
 def key_terms(heading: Column, body: Column) -> Column:
     """Up to eight technical terms of a heading and the first 500 characters of its text, sorted."""
     text = F.concat(heading, F.lit(" "), F.substring(body, 1, 500))
-    every = [F.regexp_extract_all(text, F.lit(P.java(p)), 1) for p in ("`([^`]+)`", P.PASCAL, P.CAMEL, P.SNAKE)]
+    every = [F.regexp_extract_all(text, F.lit(P.java(p)), 1) for p in ("`([^`]+)`", *P.TERMS)]
     return F.slice(F.array_sort(F.array_distinct(F.filter(F.concat(*every), lambda t: F.length(t) >= 2))), 1, 8)
 
 
-def context_paths(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """(value) of path references in instruction files: quoted ones with a slash or extension, outside fences; no globs, no URLs."""
-    kept = _outside_fences(lines(texts, key, text), key).withColumn("line", F.regexp_replace("line", r"\[[^\]]*\]\(([^)]*)\)", "`$1`"))
-    quoted = F.regexp_extract_all("line", F.lit(r"`([A-Za-z0-9_.][A-Za-z0-9_./-]*)`"), 1)
-    value = F.regexp_replace("value", r"^\./|/\z", "")
-    found = kept.select(key, "line_no", F.explode(quoted).alias("value")).filter(F.col("value").rlike(r"/|\.(go|py|ts|tsx|js|sh|md|yaml|yml|json)\z") & ~F.col("value").contains("://"))
-    return found.withColumn("value", value).groupBy(key, "value").agg(F.min("line_no").alias("line_no"))
+def verifiable(path: Column) -> Column:
+    """Whether a path can be looked up: no URL, variable, pattern, ellipsis, branch name or pair of words."""
+    low = F.lower(path)
+    branch = reduce(lambda a, b: a | b, [low.startswith(p) for p in P.BRANCH_PREFIXES])
+    return ~(path.contains("://") | path.startswith("$") | path.contains("*") | path.contains("...") | (F.length(path) < 3) | branch | low.isin(*P.SLASH_PAIRS)) & path.contains("/")
+
+
+def context_claims(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+    """(kind, value, line_no) that an instruction file claims: quoted paths, bare paths of code files, and Go imports; each once, at its
+    first line. Fenced blocks are left out, and of a link only its target counts."""
+    kept = _outside_fences(lines(texts, key, text), key).withColumn("said", F.regexp_replace("line", P.LINK, "$2"))
+    every = lambda column, p: F.regexp_extract_all(column, F.lit(P.java(p)), F.lit(1))
+    code = lambda n: F.lower(F.regexp_extract(n, r"\.([^./]*)\z", 1)).isin(*P.CODE_EXTENSIONS)
+    paths = F.concat(F.filter(every("said", P.QUOTED_PATH), verifiable), F.filter(every("said", P.BARE_PATH), lambda n: verifiable(n) & code(n)))
+    tagged = lambda names, kind: F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("value")))
+    found = kept.select(key, "line_no", F.explode(F.concat(tagged(paths, "file_path"), tagged(every("line", P.GO_IMPORT), "package_ref"))).alias("c"))
+    return found.groupBy(key, "c.kind", "c.value").agg(F.min("line_no").alias("line_no"))
 
 
 def citations(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
@@ -134,16 +149,21 @@ def log_entries(texts: DataFrame, key: str = "path", text: str = "text", end: st
     return entries.select(key, "entry_no", F.col("p")[0].alias("sha"), F.col("p")[1].alias("author"), F.col("p")[2].alias("at"), F.col("p")[3].alias("subject"), F.regexp_replace(F.coalesce(F.get("p", F.lit(4)), F.lit("")), r"^\s+|\s+\z", "").alias("message"))
 
 
-def validation_error(subject_id: Column, predicate: Column, source_file: Column, confidence: Column, tier: Column, predicates: tuple[str, ...], tiers: tuple[str, ...] = ("structural", "semantic", "meta")) -> Column:
-    """The first rule that a claim breaks, or null."""
-    return (
-        F.when(subject_id.isNull(), "subject is required")
-        .when(F.coalesce(predicate, F.lit("")) == "", "predicate is required")
-        .when(~predicate.isin(*predicates), "unknown predicate")
-        .when(F.coalesce(source_file, F.lit("")) == "", "source file is required")
-        .when(~confidence.between(0, 1) | confidence.isNull(), "confidence out of range")
-        .when(~tier.isin(*tiers) | tier.isNull(), "unknown tier")
-    )
+#: What a claim's columns may hold.
+KINDS = ("type", "func", "const", "var", "method", "interface", "module", "field", "enum", "file", "package")
+VISIBILITIES = ("public", "internal", "private")
+TIERS = ("structural", "semantic", "meta")
+
+
+def validation_error(claim: dict[str, Column], predicates: tuple[str, ...], kinds: tuple[str, ...] = KINDS, tiers: tuple[str, ...] = TIERS) -> Column:
+    """The first of thirteen rules that a claim breaks, or null. ``claim`` maps the names of its parts to columns."""
+    empty = lambda c: F.coalesce(claim[c].cast("string"), F.lit("")) == ""
+    outside = lambda c, allowed: ~F.coalesce(claim[c].isin(*allowed), F.lit(False))
+    rules = [(empty(c), f"{c} is required") for c in ("subject_repo", "subject_import_path", "subject_name", "language")]
+    rules += [(outside("kind", kinds), "invalid kind"), (outside("visibility", VISIBILITIES), "invalid visibility"), (outside("predicate", predicates), "invalid predicate")]
+    rules += [(empty("source_file"), "source_file is required"), (~F.coalesce(claim["confidence"].between(0, 1), F.lit(False)), "confidence must be in [0, 1]")]
+    rules += [(outside("claim_tier", tiers), "invalid claim_tier")] + [(empty(c), f"{c} is required") for c in ("extractor", "extractor_version", "last_verified")]
+    return F.coalesce(*[F.when(broken, message) for broken, message in rules])
 
 
 def invariants(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:

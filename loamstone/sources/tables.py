@@ -27,27 +27,32 @@ class Catalogue:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), target
 
+    def _markers(self, name: str) -> list[str]:
+        """Names of the markers of published versions, oldest first."""
+        fs, folder = self._fs(f"{self._path(name)}/versions")
+        if not fs.exists(folder):
+            return []
+        return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(folder)) if not n.startswith("."))
+
     def current(self, name: str) -> str | None:
-        fs, marker = self._fs(f"{self._path(name)}/current")
-        if not fs.exists(marker):
-            return None
-        return f"{self._path(name)}/{self.spark.read.text(str(marker)).first()[0]}"
+        """Where the newest published version is."""
+        markers = self._markers(name)
+        return f"{self._path(name)}/v-{markers[-1].split('-')[1]}" if markers else None
 
     def publish(self, name: str, df: DataFrame, partition_by: str | None = "repo") -> None:
-        """Write a new version beside the old one, then point to it."""
-        version = f"v-{uuid.uuid4().hex}"
+        """Write a new version beside the others; it becomes current when its empty marker file is there, and the newest marker wins.
+
+        No marker is replaced, so at any time a reader finds either the version before or this one.
+        """
+        version = uuid.uuid4().hex
         writer = df.write.option("compression", "zstd")
         if partition_by and partition_by in df.columns:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(f"{self._path(name)}/{version}")
-        fs, staged = self._fs(f"{self._path(name)}/.current-{version}")
-        stream = fs.create(staged, True)
-        stream.write(bytearray(version.encode()))
-        stream.close()
-        _, marker = self._fs(f"{self._path(name)}/current")
-        fs.delete(marker, False)
-        if not fs.rename(staged, marker):
-            raise OSError(f"could not publish {name}")
+        writer.parquet(f"{self._path(name)}/v-{version}")
+        markers = self._markers(name)
+        number = int(markers[-1].split("-")[0]) + 1 if markers else 1
+        fs, marker = self._fs(f"{self._path(name)}/versions/{number:012d}-{version}")
+        fs.create(marker, False).close()
 
     def read(self, name: str, schema: StructType | None = None) -> DataFrame:
         """The current version; columns of ``schema`` that it lacks are null."""
