@@ -29,11 +29,9 @@ def _plain(word: str) -> str:
 
 
 def _phrase_count(terms: Column, phrase: str) -> Column:
-    """How often the words of a phrase stand in a row."""
-    words = [w for w in re.split(r"[\W_]+", _plain(phrase)) if w]
-    starts = F.sequence(F.lit(1), F.size(terms) - len(words) + 1)
-    at = F.filter(starts, lambda k: F.slice(terms, k, F.lit(len(words))) == F.array(*map(F.lit, words)))
-    return F.when(F.size(terms) >= len(words), F.size(at)).otherwise(F.lit(0))
+    """How often the words of a phrase stand in a row; terms are letters and digits only, so they can be joined by spaces."""
+    words = " ".join(w for w in re.split(r"[\W_]+", _plain(phrase)) if w)
+    return F.regexp_count(F.concat(F.lit(" "), F.array_join(terms, " "), F.lit(" ")), F.lit(f"(?= {words} )"))
 
 
 def search(
@@ -60,11 +58,15 @@ def search(
     if not wanted and not optional:
         raise ValueError("empty query")
     labels = sorted(wanted | optional)
-    counts = F.struct(*[(wanted | optional)[n](F.col("terms")).alias(f"t{k}") for k, n in enumerate(labels)])
     subject = F.col("subject_id") if repos is not None else F.lit(None)
-    kept = facts.select("id", "kind", "status", subject.alias("subject_id"), _terms().alias("terms"))
-    banned = F.arrays_overlap("terms", F.array(*[F.lit(_plain(t)) for t in none_of])) if none_of else F.lit(False)
-    rows = kept.select("id", "kind", "status", "subject_id", F.size("terms").alias("dl"), counts.alias("tf"), F.coalesce(banned, F.lit(False)).alias("banned"))
+
+    def counted(a: Column) -> Column:
+        banned = F.arrays_overlap(a, F.array(*[F.lit(_plain(t)) for t in none_of])) if none_of else F.lit(False)
+        return F.struct(F.size(a).alias("dl"), F.coalesce(banned, F.lit(False)).alias("banned"), *[(wanted | optional)[n](a).alias(f"t{k}") for k, n in enumerate(labels)])
+
+    # one expression per fact, in which its terms are cut out once
+    rows = facts.select("id", "kind", "status", subject.alias("subject_id"), F.transform(F.array(_terms()), counted)[0].alias("tf"))
+    rows = rows.select("id", "kind", "status", "subject_id", F.col("tf.dl").alias("dl"), F.col("tf.banned").alias("banned"), "tf")
     tf = [F.col(f"tf.t{k}") for k in range(len(labels))]
     totals = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"), *[F.sum((c > 0).cast("long")).alias(f"df{k}") for k, c in enumerate(tf)])
     held = reduce(lambda a, b: a & b, [tf[labels.index(n)] > 0 for n in wanted], F.lit(True))
