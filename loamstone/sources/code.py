@@ -18,8 +18,8 @@ CLAIMS = "path string, language string, symbol_name string, kind string, predica
 SAFE = ("defines", "imports", "exports", "has_doc", "is_test", "is_generated")
 _LANGUAGES = {".py": "python", ".go": "go", ".ts": "typescript", ".tsx": "typescript", ".sh": "shell"}
 _RULES = {
-    "go": ((r"^func (?:\([^)]*\) )?([A-Za-z_]\w*)", "func", "defines"), (r"^type ([A-Za-z_]\w*)", "type", "defines"), (r"^(?:var|const) ([A-Za-z_]\w*)", "var", "defines"), (r'^(?:import |\t)(?:[\w.]+ )?"([^"]+)"$', "module", "imports")),
-    "typescript": ((r"^(?:export )?(?:default )?(?:async )?function ([A-Za-z_$][\w$]*)", "func", "defines"), (r"^(?:export )?(?:abstract )?class ([A-Za-z_$][\w$]*)", "type", "defines"), (r"^(?:export )?interface ([A-Za-z_$][\w$]*)", "interface", "defines"), (r"^(?:export )?type ([A-Za-z_$][\w$]*)", "type", "defines"), (r"^(?:export )?(?:const|let) ([A-Za-z_$][\w$]*)", "var", "defines"), (r"^export (?:default )?(?:async )?(?:function|class|interface|type|const|let) ([A-Za-z_$][\w$]*)", "symbol", "exports"), (r"^import .*from ['\"]([^'\"]+)['\"]", "module", "imports")),
+    "go": ((r"^func (?:\([^)]*\) )?([A-Za-z_]\w*)", "func", "defines"), (r"^type ([A-Za-z_]\w*)", "type", "defines"), (r'^(?:import |\t)(?:[\w.]+ )?"([^"]+)"$', "module", "imports")),
+    "typescript": ((r"^(?:export )?(?:default )?(?:async )?function ([A-Za-z_$][\w$]*)", "func", "defines"), (r"^(?:export )?(?:default )?(?:abstract )?class ([A-Za-z_$][\w$]*)", "type", "defines"), (r"^(?:export )?interface ([A-Za-z_$][\w$]*)", "interface", "defines"), (r"^(?:export )?type ([A-Za-z_$][\w$]*)", "type", "defines"), (r"^(?:export )?(?:const|let) ([A-Za-z_$][\w$]*)", "var", "defines"), (r"^export (?:default )?(?:async )?(?:function|class|interface|type|const|let) ([A-Za-z_$][\w$]*)", "symbol", "exports"), (r"^import .*from ['\"]([^'\"]+)['\"]", "module", "imports")),
     "shell": ((r"^(?:function )?([A-Za-z_]\w*) ?\(\)", "func", "defines"), (r"^(?:source|\.) (\S+)", "module", "imports")),
 }
 _TESTS = {"python": r"(^|/)test_[^/]*\.py$|_test\.py$", "go": r"_test\.go$", "typescript": r"\.(test|spec)\.tsx?$", "shell": r"(?!)"}
@@ -43,6 +43,20 @@ def _python(text: str) -> Iterator[tuple]:
             yield node.module or ".", "module", "imports", node.module or ".", node.lineno, 1.0
 
 
+def _go_values(text: str) -> Iterator[tuple]:
+    """Variables, constants and types of one declaration or of one in brackets."""
+    block = None
+    for number, line in enumerate(text.split("\n"), 1):
+        if m := re.match(r"(type|var|const) \($", line):
+            block = m[1]
+        elif line.startswith(")"):
+            block = None
+        elif (m := re.match(r"\t([A-Za-z_]\w*(?:, *[A-Za-z_]\w*)*)", line)) and block:
+            yield from ((n, block, "defines", None, number, 1.0) for n in re.split(", *", m[1]))
+        elif m := re.match(r"(var|const) ([A-Za-z_]\w*(?:, *[A-Za-z_]\w*)*)", line):
+            yield from ((n, m[1], "defines", None, number, 1.0) for n in re.split(", *", m[2]))
+
+
 def claims_of(path: str, text: str) -> list[tuple]:
     """(symbol, kind, predicate, object, line, confidence) of one file."""
     language = language_of(path)
@@ -53,6 +67,8 @@ def claims_of(path: str, text: str) -> list[tuple]:
         except SyntaxError:
             return [(path, "file", "unparsed", None, 1, 1.0)]
     elif language:
+        if language == "go":
+            out += _go_values(text)
         for number, line in enumerate(text.split("\n"), 1):
             for pattern, kind, predicate in _RULES[language]:
                 if m := re.match(pattern, line):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +70,14 @@ class Catalogue:
         return df
 
 
+def shared_root(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share; a local session without one gets a folder of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(found or 'file://' + tempfile.gettempdir()).rstrip('/')}/loamstone/store-{uuid.uuid4().hex}"
+
+
 def text_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """(path, text) of files below a folder, recursively."""
     found = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
