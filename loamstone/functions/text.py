@@ -16,13 +16,18 @@ def _replaced(c: Column, pattern: str, by: str) -> Column:
 
 def scrub(body: Column) -> Column:
     """A body without mentions, file and line references, final punctuation, case and runs of white space, in this order."""
-    for pattern in (P.AT_MENTION, P.FILE_LINE, P.LINE_REF):
-        body = _replaced(body, pattern, "")
+    for pattern, sign in ((P.AT_MENTION, "@"), (P.FILE_LINE, ".go:"), (P.LINE_REF, "L")):
+        body = _let(body, _without(pattern, sign))
     body = F.regexp_replace(body, r"[ \t\n\f\r]+\z", "")
     body = _replaced(body, P.TRAILING, "")
     return F.trim(F.regexp_replace(F.lower(body), r"[ \t\n\f\r]+", " "))
 
 
+def _without(pattern: str, sign: str):
+    """Texts without the sign that every match holds stay as they are."""
+    return lambda t: F.when(t.contains(sign), _replaced(t, pattern, "")).otherwise(t)
+
+
 def scrub_hash(body: Column) -> Column:
     return F.sha2(scrub(body), 256)
 

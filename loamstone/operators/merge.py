@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +13,7 @@ from loamstone.functions import text as T
 
 SEMANTIC_FLOOR = 0.7
 FAILURES_TO_GIVE_UP = 3
-#: Tokens of recent bodies that may be broadcast (about 150 bytes each).
+#: Tokens of recent bodies that may be sent to every task (about 150 bytes each).
 BROADCAST_TOKENS = 300_000
 
 
@@ -160,18 +164,47 @@ def failures(attempts: DataFrame) -> DataFrame:
 def nearest_body(facts: DataFrame, recent: int = 200, shared: int = 1) -> DataFrame:
     """Of each fact the most similar body by token Jaccard among the ``recent`` newest facts of another cluster.
 
-    Facts meet over shared tokens of the ``recent`` bodies only, and their overlap is counted, so no pair without a common token arises.
+    Facts meet over shared tokens of the ``recent`` bodies only, and their overlap is counted, so no pair without a common token arises: inside
+    a task where the recent bodies are few tokens, and beyond that by a shuffle.
     """
     keyed = facts.select("id", T.scrub_hash(F.col("body")).alias("cluster_key"), T.tokens(F.col("body")).alias("tokens"))
-    new = keyed.orderBy(F.desc("id")).limit(recent)
+    newest = facts.select("id", "body").orderBy(F.desc("id")).limit(recent)
+    new = newest.select("id", T.scrub_hash(F.col("body")).alias("cluster_key"), T.tokens(F.col("body")).alias("tokens"))
+    if (new.agg(F.sum(F.size("tokens"))).first()[0] or 0) <= BROADCAST_TOKENS:
+        sent = facts.sparkSession.sparkContext.broadcast(new.toArrow())
+        found = keyed.mapInArrow(_nearest(sent, shared), "id long, nearest long, jaccard double")
+        return found.withColumn("jaccard", F.round("jaccard", 9))
     left = keyed.select("id", "cluster_key", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     right = new.select(F.col("id").alias("other"), F.col("cluster_key").alias("other_key"), F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
-    few = right.count() <= BROADCAST_TOKENS
-    met = left.join(F.broadcast(right) if few else right, "token").filter("cluster_key <> other_key").groupBy("id", "other", "n", "m").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= shared)
+    met = left.join(right, "token").filter("cluster_key <> other_key").groupBy("id", "other", "n", "m").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= shared)
     scored = met.withColumn("jaccard", F.round(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 9))
     return scored.groupBy("id").agg(F.max(F.struct("jaccard", F.col("other"))).alias("b")).select("id", F.col("b.other").alias("nearest"), "b.jaccard")
 
 
+def _nearest(sent, shared: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others = sent.value
+        ids, keys, sizes = others.column("id").to_numpy(), np.array(others.column("cluster_key").to_pylist()), np.array([len(t or ()) for t in others.column("tokens").to_pylist()])
+        holders: dict[str, list[int]] = {}
+        for k, tokens in enumerate(others.column("tokens").to_pylist()):
+            for t in tokens or ():
+                holders.setdefault(t, []).append(k)
+        by_token = {t: np.array(k) for t, k in holders.items()}
+        for batch in batches:
+            rows = []
+            for i, key, tokens in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                met = [by_token[t] for t in tokens or () if t in by_token]
+                both = np.bincount(np.concatenate(met), minlength=len(ids)) if met else np.zeros(len(ids), np.int64)
+                near = np.flatnonzero((both >= shared) & (keys != key))
+                if len(near):
+                    jaccard = both[near] / (len(tokens) + sizes[near] - both[near])
+                    best = near[np.lexsort((ids[near], jaccard))[-1]]
+                    rows.append((i, int(ids[best]), float(both[best] / (len(tokens) + sizes[best] - both[best]))))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows) if rows else [()] * 3, (pa.int64(), pa.int64(), pa.float64()))], ["id", "nearest", "jaccard"])
+
+    return run
+
+
 def claim_severity(claims: DataFrame, files: DataFrame) -> DataFrame:
     """The first thing wrong with each claim: no file, a line beyond its end, an empty file, or a file newer than the claim."""
     f = files.select(F.col("path").alias("source_file"), "n_lines", "size_bytes", "modified_at", F.lit(True).alias("exists"))

@@ -64,10 +64,9 @@ def search(
         banned = F.arrays_overlap(a, F.array(*[F.lit(_plain(t)) for t in none_of])) if none_of else F.lit(False)
         return F.struct(F.size(a).alias("dl"), F.coalesce(banned, F.lit(False)).alias("banned"), *[(wanted | optional)[n](a).alias(f"t{k}") for k, n in enumerate(labels)])
 
-    # one expression per fact, in which its terms are cut out once
-    rows = facts.select("id", "kind", "status", subject.alias("subject_id"), F.transform(F.array(_terms()), counted)[0].alias("tf"))
-    rows = rows.select("id", "kind", "status", "subject_id", F.col("tf.dl").alias("dl"), F.col("tf.banned").alias("banned"), "tf")
-    tf = [F.col(f"tf.t{k}") for k in range(len(labels))]
+    # the terms of a fact are cut out once, and no filter is pushed below that
+    rows = facts.select("id", "kind", "status", subject.alias("subject_id"), F.inline(F.transform(F.array(_terms()), counted)))
+    tf = [F.col(f"t{k}") for k in range(len(labels))]
     totals = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"), *[F.sum((c > 0).cast("long")).alias(f"df{k}") for k, c in enumerate(tf)])
     held = reduce(lambda a, b: a & b, [tf[labels.index(n)] > 0 for n in wanted], F.lit(True))
     if optional:
