@@ -119,6 +119,41 @@ def cursor(seen: Column, observed: Column) -> tuple[Column, Column, Column]:
     return known, F.array_sort(F.array_except(observed, seen)), back
 
 
+def encoded_ids(ids: Column) -> Column:
+    """Different numbers from 0 on, sorted, as 32-bit little-endian bytes."""
+    kept = F.array_sort(F.array_distinct(F.filter(ids, lambda x: x >= 0)))
+    digits = lambda x: F.lpad(F.hex(x.cast("long")), 8, "0")
+    return F.unhex(F.array_join(F.transform(kept, lambda x: F.concat(*[F.substring(digits(x), k, 2) for k in (7, 5, 3, 1)])), ""))
+
+
+def decoded_ids(blob: Column) -> Column:
+    """The numbers of ``encoded_ids``; null where the bytes are not whole numbers."""
+    words = F.regexp_extract_all(F.hex(blob), F.lit("[0-9A-F]{8}"), F.lit(0))
+    number = lambda w: F.conv(F.concat(*[F.substring(w, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("long")
+    return F.when(F.octet_length(blob) % 4 == 0, F.transform(words, number))
+
+
+CORRECTIONS, FEEDBACK = ("correct", "delete", "supersede"), ("wrong", "stale", "misleading", "offensive")
+
+
+def correction_error(fact_id: Column, action: Column, new_body: Column) -> Column:
+    """What keeps a correction from being stored, or null."""
+    return (
+        F.when(fact_id.isNull(), "fact_id is required").when(~F.coalesce(action.isin(*CORRECTIONS), F.lit(False)), "unknown action")
+        .when((action != "delete") & (F.coalesce(F.trim(new_body), F.lit("")) == ""), "new_body is required")
+    )
+
+
+def feedback_error(fact_id: Column, reason: Column) -> Column:
+    return F.when(fact_id.isNull(), "fact_id is required").when(~F.coalesce(reason.isin(*FEEDBACK), F.lit(False)), "unknown reason")
+
+
+def deleted_documents(documents: DataFrame, revisions: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents and revisions after some documents (document_id) are deleted, their revisions with them."""
+    ids = gone.select("document_id").distinct()
+    return documents.join(ids, "document_id", "left_anti"), revisions.join(ids, "document_id", "left_anti")
+
+
 def drift_status(facts: DataFrame, evidence: DataFrame, symbols: DataFrame) -> DataFrame:
     """Status after a drift pass: without its subject a fact is quarantined, with changed evidence stale; retired facts keep theirs."""
     changed = evidence.join(facts.select(F.col("id").alias("fact_id"), "staleness_hash"), "fact_id").groupBy("fact_id").agg(F.bool_or(F.col("content_hash") != F.col("staleness_hash")).alias("changed"))

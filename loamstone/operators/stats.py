@@ -150,6 +150,12 @@ def canary(claims: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return claims.orderBy(F.sha2(F.concat(F.lit(str(seed)), F.lit(":"), F.col(key)), 256), key).limit(n)
 
 
+def canary_verdict(sample: DataFrame, percent: int = 2) -> DataFrame:
+    """One row of a sample (bad): its size, how many are bad, and whether these are more than ``percent`` in a hundred."""
+    one = sample.agg(F.count(F.lit(1)).alias("n"), _count_if(F.col("bad")).alias("n_bad"))
+    return one.withColumn("failed", F.col("n_bad") * 100 > F.col("n") * percent)
+
+
 def newest_per(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """The newest row of each group, by a total order."""
     packed = df.groupBy(*group).agg(F.max(F.struct(*order, *[c for c in df.columns if c not in {*order, *group}])).alias("_r"))

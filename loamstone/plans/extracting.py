@@ -76,6 +76,11 @@ def diff_hunks(m):
     return lines.hunks(m.diffs).select("path", "file", "old_start", "old_count", "new_start", "new_count")
 
 
+@query(f"select path, n as line_no, line from {_lines('diffs')} where starts_with(line, '@@') and not regexp_matches(line, '^@@ -[0-9,]+ [+][0-9,]+ @@')")
+def diff_errors(m):
+    return lines.diff_errors(m.diffs)
+
+
 @query(f"""
 with l as (select path, n, regexp_extract(line, '^\\s*-\\s+\\[[^\\]]+\\]\\(/([^?#)]+?)/-/blob/([^?#)]+)\\?(?:[^#)]*&)?L(\\d+)(?:-(\\d+))?\\)', ['r', 'f', 'a', 'b']) as x from {_lines('answers')})
 select distinct path, x.r as repo, x.f as file, cast(x.a as int) as first, coalesce(cast(nullif(x.b, '') as int), cast(x.a as int)) as last from l where x.r <> ''""")

@@ -258,3 +258,45 @@ def published_table(m):
 def defined_symbols(m):
     found = code.extract(m.sources).filter("predicate = 'defines'")
     return found.groupBy("path").agg(F.count(F.lit(1)).alias("n_defined"))
+
+
+@query("""
+with ids as (select distinct repo, change_id from changes)
+select repo, sha256(string_agg(upper(substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2)), '' order by change_id)) as hex_sha256, count(*) as n_ids, max(change_id) as last_id from (select *, printf('%08x', change_id) as h from ids) group by 1""")
+def id_set_codec(m):
+    per = m.changes.groupBy("repo").agg(merge.encoded_ids(F.array_append(F.collect_set("change_id"), F.lit(-5))).alias("blob"))
+    ids = merge.decoded_ids(F.col("blob"))
+    return per.select("repo", F.sha2(F.hex("blob"), 256).alias("hex_sha256"), F.size(ids).cast("long").alias("n_ids"), F.element_at(ids, -1).alias("last_id"))
+
+
+@query("""
+with s as (select source_file from claims order by sha256('7:' || claim_key), claim_key limit 50), c as (select count(*) as n, count(*) filter (cast(substring(source_file, 6) as int) % 10 = 3) as n_bad from s)
+select n, n_bad, n_bad * 100 > 2 * n as failed from c""")
+def canary_verdict(m):
+    sample = stats.canary(m.claims, "claim_key", 50, 7)
+    return stats.canary_verdict(sample.select((F.expr("cast(substring(source_file, 6) as int)") % 10 == 3).alias("bad")))
+
+
+@query("""
+select error, count(*) as n from (select case when ord % 7 = 0 then 'fact_id is required' when ord % 7 = 1 then 'unknown action' when ord % 7 = 2 and action <> 'delete' then 'new_body is required' else 'none' end as error from corrections) group by 1""")
+def correction_errors(m):
+    n = F.col("ord") % 7
+    error = merge.correction_error(F.when(n != 0, F.col("fact_id")), F.when(n == 1, "undo").otherwise(F.col("action")), F.when(n == 2, " ").otherwise(F.col("new_body")))
+    return m.corrections.groupBy(F.coalesce(error, F.lit("none")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select case when event_type = 'purchase' then 'unknown reason' else 'none' end as error, count(*) as n from events group by 1")
+def feedback_errors(m):
+    reason = F.expr("case event_type when 'error' then 'wrong' when 'view' then 'stale' when 'click' then 'misleading' when 'purchase' then 'praise' else 'offensive' end")
+    return m.table("events").groupBy(F.coalesce(merge.feedback_error(F.col("user_id"), reason), F.lit("none")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+with gone as (select fact_id as document_id from corrections where action = 'delete'),
+d as (select doc_id as document_id from documents), r as (select conv_id as document_id, turn from conversations)
+select 'documents' as kind, count(*) as n from d where document_id not in (select document_id from gone) union all select 'revisions', count(*) from r where document_id not in (select document_id from gone)""")
+def document_deletion(m):
+    gone = m.corrections.filter("action = 'delete'").select(F.col("fact_id").alias("document_id"))
+    documents, revisions = merge.deleted_documents(m.table("documents").select(F.col("doc_id").alias("document_id")), m.table("conversations").select(F.col("conv_id").alias("document_id"), "turn"), gone)
+    count = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
+    return count(documents, "documents").unionByName(count(revisions, "revisions"))

@@ -215,7 +215,7 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
         {
             "path": "concat('d', p_partkey)",
             "text": "concat('diff --git a/a', p_size, '.go b/a.go', chr(10), '--- a/a', p_size, '.go', chr(10), '+++ b/a', p_partkey, '.go', chr(10), '@@ -', p_size, ',3 +', p_size, ',4 @@ func f()', chr(10), ' x', chr(10), '@@ -20 +', 21 + p_size, "
-            "',2 @@', chr(10), '+@@ -1 +1 @@', chr(10), '--- a/gone', p_size, '.go', chr(10), '+++ /dev/null', chr(10), '@@ -1,', p_size, ' +0,0 @@', chr(10))",
+            "',2 @@', chr(10), '+@@ -1 +1 @@', chr(10), '@@ -', p_size, ' broken @@', chr(10), '--- a/gone', p_size, '.go', chr(10), '+++ /dev/null', chr(10), '@@ -1,', p_size, ' +0,0 @@', chr(10))",
         },
     ),
     "answers": (

@@ -73,6 +73,11 @@ def hunks(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     return placed.filter(F.col("line").rlike(head)).select(key, "line_no", file.alias("file"), number(1, 0).alias("old_start"), number(2, 1).alias("old_count"), number(3, 0).alias("new_start"), number(4, 1).alias("new_count"))
 
 
+def diff_errors(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+    """(line_no, line) of hunk heads of a unified diff that cannot be read."""
+    return lines(texts, key, text).filter(F.col("line").startswith("@@") & ~F.col("line").rlike(r"^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@"))
+
+
 def _outside_fences(numbered: DataFrame, key: str) -> DataFrame:
     fence = F.trim("line").startswith("```")
     return numbered.withColumn("fences", F.sum(fence.cast("int")).over(_running(key))).filter((F.col("fences") % 2 == 0) & ~fence)
