@@ -52,7 +52,7 @@ HOT_KEEP = 128
 #: Added to a broadcast shingle's frequency, so that it comes after all others.
 HOT = 1 << 40
 #: Shingles per bucket of the counting step.
-BUCKET_SHINGLES = 1_500_000
+BUCKET_SHINGLES = 750_000
 #: Most buckets that an int can number.
 MAX_BUCKETS = 1 << 30
 #: Members of a posting list that one task handles.
@@ -288,14 +288,15 @@ def join(docs: DataFrame) -> Joined:
     posts = posts.withColumn("reach", reach.cast("long")).filter(F.col("reach") * 100 >= F.col("n") * PERCENT)
     posts = stored(posts, "postings")
     # postings of one member link nothing; long lists, which are few, are told apart before anything is dealt by list
-    lists = stored(posts.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "lists")
-    long_lists = lists.filter(F.col("members") > LIST_ROWS).select("token", F.ceil(F.col("members") / LIST_ROWS).cast("int").alias("parts"))
-    hint = F.broadcast if long_lists.count() <= BROADCAST_IDS else (lambda df: df)
-    short = posts.join(hint(long_lists), "token", "left_anti").join(lists.filter(F.col("members") <= LIST_ROWS), "token", "left_semi").withColumn("parts", F.lit(1))
-    both = short.unionByName(posts.join(hint(long_lists), "token"))
-    shared = stored(both.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "shared-postings")
-    discard(posts), discard(lists)
-    posts, each_part = shared, F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    sized_lists = stored(posts.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "lists")
+    lists = sized_lists.select("token", F.ceil(F.col("members") / LIST_ROWS).cast("int").alias("parts"))
+    long_lists, each_part = lists.filter("parts > 1"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    few = long_lists.count() <= BROADCAST_IDS
+    dealt = posts.join(F.broadcast(long_lists) if few else long_lists, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    shared = stored(dealt.join(lists.select("token", each_part.alias("part")), ["token", "part"], "left_semi"), "shared-postings")
+    discard(posts), discard(sized_lists)
+    posts = shared
 
     # 3. the sets of the texts that any posting list names
     wanted = stored(posts.select(F.col("node").alias("doc_id")).distinct(), "wanted")

@@ -69,6 +69,7 @@ def slices(off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         to = max(at + 1, int(np.searchsorted(off, off[at] + limit, side="right")) - 1)
         yield at, to
         at = to
+    pa.default_memory_pool().release_unused()  # what a batch took goes back to the machine, not to the next stage's worker
 
 
 class Words:
