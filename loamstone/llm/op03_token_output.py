@@ -36,9 +36,9 @@ BLOCK = 128
 #: Share of a block's offsets that fit the chosen width; the others are exceptions.
 PERCENTILE = 0.9
 #: A segment is closed when it holds so many ids; a longer document makes a longer segment.
-SEGMENT_IDS = 1_000_000
+SEGMENT_IDS = 500_000
 #: Distinct words whose ids a worker remembers at most.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 
 
 # ---- codec ---------------------------------------------------------------------------------------------------------
@@ -232,13 +232,14 @@ def _write(tokenizer_file: str, end_id: int):
 
         for batch in batches:
             key_type = batch.column(0).type
-            size = max(1, min(batch.num_rows, int(batch.num_rows * 4e6 / max(batch.nbytes, 1))))
+            size = max(1, min(batch.num_rows, int(batch.num_rows * 2e6 / max(batch.nbytes, 1))))
             for at in range(0, batch.num_rows, size):
                 few = batch.slice(at, size)
                 ids, n = encoder.encode(few.column(1), end_id)
                 held.append(ids), keys.extend(few.column(0).to_pylist()), counts.extend(n.tolist())
                 if sum(map(len, held)) >= SEGMENT_IDS:
                     yield close()
+            pa.default_memory_pool().release_unused()
         if held:
             yield close()
 
