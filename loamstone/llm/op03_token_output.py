@@ -17,6 +17,7 @@ documents with equal keys follow in the order of their texts; a null key comes f
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import zlib
@@ -141,10 +142,24 @@ def unpack_block(segment: bytes, block: int) -> np.ndarray:
 # ---- tokenizing ----------------------------------------------------------------------------------------------------
 
 
-#: Words that the tokenizer's normalizer leaves as they are and that its pre-tokenizer keeps whole.
+#: Settings of a tokenizer file under which a text's ids are those of its chunks between spaces (fixed values of the format).
+BY_WORDS = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pre_tokenizer": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Words that the normalizer of such a tokenizer leaves as they are and that its pre-tokenizer keeps whole.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
 
+def by_words(settings: dict) -> bool:
+    """Whether a tokenizer of these settings may encode texts by their chunks; any other encodes whole texts."""
+    parts = (settings.get("normalizer") or {}).get("normalizers"), (settings.get("pre_tokenizer") or {}).get("pretokenizers")
+    return parts == (BY_WORDS["normalizer"], BY_WORDS["pre_tokenizer"]) and settings["model"]["type"] == "BPE" and not settings["model"].get("dropout")
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that byte-level BPE writes for each byte: itself where printable, else one from 256 on, in order."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -159,9 +174,10 @@ _remembered: dict[str, dict[str, tuple[int, ...]]] = {}
 class Encoder:
     """Ids of whole texts, by the library.
 
-    The tokenizer folds case, drops white space and never joins across it, so each chunk between spaces or line ends is
-    encoded by itself. A full stop or comma after a letter is a piece of its own. Plain words go to the library's BPE
-    model at once, all other chunks through the whole tokenizer. A worker remembers what it encoded for its next task.
+    A tokenizer of the settings ``BY_WORDS`` folds case, drops white space and never joins across it, so each chunk between
+    spaces or line ends is encoded by itself. A full stop or comma after a letter is a piece of its own. Plain words go to
+    the library's BPE model at once, all other chunks through the whole tokenizer. A worker remembers what it encoded for
+    its next task. Any other tokenizer encodes each text whole; truncation and padding of the file are switched off.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -169,6 +185,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_file)
+        self._tokenizer.no_truncation(), self._tokenizer.no_padding()
+        with open(tokenizer_file, encoding="utf-8") as file:
+            self._by_words = by_words(json.load(file))
         self._model = self._tokenizer.model
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._known = _remembered.setdefault(tokenizer_file, {})
@@ -193,8 +212,9 @@ class Encoder:
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other with ``end_id`` after each, and the number of ids of each text."""
         texts = pc.fill_null(texts, "")
-        if any(pc.any(pc.match_substring(texts, a, ignore_case=True)).as_py() for a in self._added if len(texts)):
-            each = [self._whole(t) + (end_id,) for t in texts.to_pylist()]  # added tokens are matched before folding
+        # added tokens are matched before folding
+        if not self._by_words or any(pc.any(pc.match_substring(texts, a, ignore_case=True)).as_py() for a in self._added if len(texts)):
+            each = [self._whole(t) + (end_id,) for t in texts.to_pylist()]
             return np.array([i for ids in each for i in ids], dtype=np.uint32), np.array([len(ids) for ids in each], dtype=np.int64)
         texts = pc.ascii_lower(texts)
         chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
