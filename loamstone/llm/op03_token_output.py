@@ -16,10 +16,10 @@ documents with equal keys follow in the order of their texts; a null key comes f
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -38,8 +38,8 @@ BLOCK = 128
 PERCENTILE = 0.9
 #: A segment is closed when it holds so many ids; a longer document makes a longer segment.
 SEGMENT_IDS = 500_000
-#: Distinct words whose ids a worker remembers at most.
-REMEMBERED = 150_000
+#: Distinct words that a worker remembers in each of two generations; when the younger is full, it takes the place of the elder.
+REMEMBERED = 250_000
 
 
 # ---- codec ---------------------------------------------------------------------------------------------------------
@@ -168,7 +168,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
-_remembered: dict[str, dict[str, tuple[int, ...]]] = {}
+#: Per tokenizer file the younger and the elder generation: ids of a word as little-endian unsigned 32-bit integers.
+_remembered: dict[str, list[dict[str, bytes]]] = {}
 
 
 class Encoder:
@@ -190,23 +191,28 @@ class Encoder:
             self._by_words = by_words(json.load(file))
         self._model = self._tokenizer.model
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._known = _remembered.setdefault(tokenizer_file, {})
+        self._known = _remembered.setdefault(tokenizer_file, [{}, {}])
 
-    def _whole(self, chunk: str) -> tuple[int, ...]:
-        return tuple(self._tokenizer.encode(chunk, add_special_tokens=False).ids)
+    def _whole(self, chunk: str) -> bytes:
+        ids = self._tokenizer.encode(chunk, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _ids(self, chunk: str) -> tuple[int, ...]:
-        found = self._known.get(chunk)
+    def _ids(self, chunk: str) -> bytes:
+        young, elder = self._known
+        found = young.get(chunk)
         if found is None:
-            if len(self._known) > REMEMBERED:
-                self._known.clear()
-            if _PLAIN.fullmatch(chunk):
-                found = tuple(t.id for t in self._model.tokenize(chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(_LETTERS)))
-            elif chunk[-1:] in (".", ",") and _PLAIN.fullmatch(chunk, 0, len(chunk) - 1):
-                return self._ids(chunk[:-1]) + self._ids(chunk[-1])
-            else:
-                found = self._whole(chunk)
-            self._known[chunk] = found
+            found = elder.get(chunk)
+            if found is None:
+                if _PLAIN.fullmatch(chunk):
+                    ids = [t.id for t in self._model.tokenize(chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(_LETTERS))]
+                    found = struct.pack(f"<{len(ids)}I", *ids)
+                elif chunk[-1:] in (".", ",") and _PLAIN.fullmatch(chunk, 0, len(chunk) - 1):
+                    return self._ids(chunk[:-1]) + self._ids(chunk[-1])
+                else:
+                    found = self._whole(chunk)
+            if len(young) >= REMEMBERED:
+                self._known[:] = [{}, young]
+            self._known[0][chunk] = found
         return found
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,15 +220,16 @@ class Encoder:
         texts = pc.fill_null(texts, "")
         # added tokens are matched before folding
         if not self._by_words or any(pc.any(pc.match_substring(texts, a, ignore_case=True)).as_py() for a in self._added if len(texts)):
-            each = [self._whole(t) + (end_id,) for t in texts.to_pylist()]
-            return np.array([i for ids in each for i in ids], dtype=np.uint32), np.array([len(ids) for ids in each], dtype=np.int64)
+            end = struct.pack("<I", end_id)
+            each = [self._whole(t) + end for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(each), dtype="<u4"), np.array([len(ids) // 4 for ids in each], dtype=np.int64)
         texts = pc.ascii_lower(texts)
         chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         sizes = pc.list_value_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = chunks.flatten().dictionary_encode()
         ids_of = [self._ids(w) for w in coded.dictionary.to_pylist()]
-        length = np.fromiter(map(len, ids_of), dtype=np.int64, count=len(ids_of))
-        flat = np.fromiter(itertools.chain.from_iterable(ids_of), dtype=np.uint32, count=int(length.sum()))
+        length = np.fromiter(map(len, ids_of), dtype=np.int64, count=len(ids_of)) // 4
+        flat = np.frombuffer(b"".join(ids_of), dtype="<u4")
         begin = np.r_[0, np.cumsum(length)]
         place = coded.indices.to_numpy(zero_copy_only=False)
         n = length[place]
@@ -252,7 +259,7 @@ def _write(tokenizer_file: str, end_id: int):
 
         for batch in batches:
             key_type = batch.column(0).type
-            size = max(1, min(batch.num_rows, int(batch.num_rows * 2e6 / max(batch.nbytes, 1))))
+            size = max(1, min(batch.num_rows, int(batch.num_rows * 4e6 / max(batch.nbytes, 1))))
             for at in range(0, batch.num_rows, size):
                 few = batch.slice(at, size)
                 ids, n = encoder.encode(few.column(1), end_id)
