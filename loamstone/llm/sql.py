@@ -1,4 +1,4 @@
-"""DuckDB SQL of the queries that SQL can express: sharding, Jaccard join, quality rules, decontamination and chat formatting."""
+"""DuckDB SQL of the queries that SQL can express."""
 
 from __future__ import annotations
 
@@ -103,3 +103,41 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   bool_and(allowed) and bool_or(place = n and role = 'assistant') as valid
 from checked group by conv_id
 """
+
+OP11 = f"""
+with recursive
+docs as (select row_number() over () as rid, doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_WORDS}') as w from documents),
+judged as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+firsts as (select t, min(doc_id) as first_id from docs group by t),
+rated as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(first_id < d.doc_id, false)::int as mask
+  from docs d join firsts using (t) left join judged j on j.doc_id = d.doc_id
+),
+chains as (
+  select '' as o, 0 as step, 0 as bit, 0 as before_
+  union all
+  select o || l, step + 1, b, before_ + bit from chains, (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) f(l, b) where not contains(o, l)
+),
+steps as (select a.o as filter_order, b.step, b.bit, b.before_ from chains a join chains b on a.step = 5 and b.step > 0 and starts_with(a.o, b.o)),
+told as (
+  select part, filter_order, step, bit, count(*) filter (mask & (before_ | bit) = 0) as kept, count(*) filter (mask & bit > 0 and mask & before_ = 0) as removed,
+    count(*) filter (mask & bit > 0 and mask & before_ > 0) as redundant, count(*) filter (mask = bit) as unique_fails,
+    count(*) filter (mask & bit > 0 and mask & before_ = 0 and good = 1) as good_lost, count(*) filter (mask & bit > 0 and mask & before_ = 0 and toxic = 1) as toxic_lost
+  from rated, steps group by part, filter_order, step, bit
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, bit))::bigint as shapley from told
+"""
+
+OP13 = r"""
+with docs as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+drawn as (
+  select doc_id, t, u, len(u) as n, cast('0x' || substr(h, 1, 8) as bigint) % (len(u) + 1) as x, cast('0x' || substr(h, 9, 8) as bigint) % (len(u) + 1) as y,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or cast('0x' || substr(h, 17, 8) as bigint) % 100 >= 100 then 'plain' when cast('0x' || substr(h, 25, 8) as bigint) % 100 < 50 then 'spm' else 'psm' end as form
+  from docs
+),
+parts as (select *, array_to_string(u[1:least(x, y)], '') as p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') as m, array_to_string(u[greatest(x, y) + 1:], '') as s from drawn)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(t) as restored_sha256
+from parts
+"""
