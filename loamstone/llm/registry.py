@@ -17,6 +17,7 @@ from . import op08_quality_rules as op08
 from . import op09_decontaminate as op09
 from . import op10_chat_format as op10
 from . import op11_filter_audit as op11
+from . import op12_phrase_dedup as op12
 from . import op13_fill_in_middle as op13
 from . import sql
 
@@ -75,12 +76,16 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11.audit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12.report(_docs(spark, sf_dir))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13.report(_docs(spark, sf_dir))
 
 
-_ALL = (op1_toxicity, op2_pfair_mixing, op3_token_output, op4_disclosure, op5_jump_shards, op6_jaccard_join, op7_class_lm, op8_quality_rules, op9_decontaminate, op10_chat_format, op11_filter_audit, op13_fill_in_middle)
+_ALL = (op1_toxicity, op2_pfair_mixing, op3_token_output, op4_disclosure, op5_jump_shards, op6_jaccard_join, op7_class_lm, op8_quality_rules, op9_decontaminate, op10_chat_format, op11_filter_audit, op12_phrase_dedup, op13_fill_in_middle)
 QUERIES = {f.__name__: f for f in _ALL}
 
 #: SQL can't express a fitted machine, a schedule by integer weights, a tokenizer, Luhn digits with disclosing terms, and exchange clustering.
-ORACLE_SQL = {"op5_jump_shards": sql.OP5, "op6_jaccard_join": sql.OP6, "op8_quality_rules": sql.OP8, "op9_decontaminate": sql.OP9, "op10_chat_format": sql.OP10, "op11_filter_audit": sql.OP11, "op13_fill_in_middle": sql.OP13}
+ORACLE_SQL = {"op5_jump_shards": sql.OP5, "op6_jaccard_join": sql.OP6, "op8_quality_rules": sql.OP8, "op9_decontaminate": sql.OP9, "op10_chat_format": sql.OP10, "op11_filter_audit": sql.OP11, "op12_phrase_dedup": sql.OP12, "op13_fill_in_middle": sql.OP13}

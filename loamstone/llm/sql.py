@@ -129,6 +129,16 @@ told as (
 select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, bit))::bigint as shapley from told
 """
 
+OP12 = f"""
+with docs as (select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') as w from documents),
+windows as (select rid, doc_id, k, array_to_string(w[k:k + 19], ' ') as g from (select rid, doc_id, w, unnest(range(1, len(w) - 18)) as k from docs where len(w) >= 20)),
+ranked as (select rid, k, row_number() over (partition by g order by doc_id, k) as place from windows),
+gone as (select distinct rid, unnest(range(k, k + 20)) as p from ranked where place > 1),
+flat as (select rid, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from docs),
+kept as (select rid, count(*) as n, string_agg(word, ' ' order by p) as t from flat anti join gone using (rid, p) group by rid)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from docs left join kept using (rid)
+"""
+
 OP13 = r"""
 with docs as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
 drawn as (
