@@ -175,7 +175,7 @@ _remembered: dict[str, list[dict[str, bytes]]] = {}
 class Encoder:
     """Ids of whole texts, by the library.
 
-    A tokenizer of the settings ``BY_WORDS`` folds case, drops white space and never joins across it, so each chunk between
+    A tokenizer of the settings ``BY_WORDS`` folds case, drops white space and never joins or composes across it, so each chunk between
     spaces or line ends is encoded by itself. A full stop or comma after a letter is a piece of its own. Plain words go to
     the library's BPE model at once, all other chunks through the whole tokenizer. A worker remembers what it encoded for
     its next task. Any other tokenizer encodes each text whole; truncation and padding of the file are switched off.
@@ -199,6 +199,8 @@ class Encoder:
 
     def _ids(self, chunk: str) -> bytes:
         young, elder = self._known
+        if chunk.isascii():  # others are composed before they are folded, which only the whole tokenizer does
+            chunk = chunk.lower()
         found = young.get(chunk)
         if found is None:
             found = elder.get(chunk)
@@ -223,7 +225,6 @@ class Encoder:
             end = struct.pack("<I", end_id)
             each = [self._whole(t) + end for t in texts.to_pylist()]
             return np.frombuffer(b"".join(each), dtype="<u4"), np.array([len(ids) // 4 for ids in each], dtype=np.int64)
-        texts = pc.ascii_lower(texts)
         chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         sizes = pc.list_value_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = chunks.flatten().dictionary_encode()

@@ -1,11 +1,13 @@
 """Vectorised text kernels: words and hashes of all texts of an Arrow batch at once, on their UTF-8 bytes.
 
-A word's hash is a polynomial over its bytes modulo 2**64, taken from prefix sums, then mixed; equal byte strings
-have equal hashes, and different ones collide with the chance of 64-bit hashing.
+A word's hash takes up its bytes eight at a time, each step mixed by shifts and products (a polynomial of bytes would send
+whole families of regular strings to one value); long spans and sequences are hashed by BLAKE2. Equal byte strings have
+equal hashes, and different ones collide with the chance of 64-bit hashing.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +21,9 @@ SLICE_BYTES = 500_000
 pa.set_memory_pool(pa.system_memory_pool())
 
 U = np.uint64
-_RADIX = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
-_INVERSE = pow(_RADIX, -1, 1 << 64)
-_powers = np.ones(1, dtype=U)
-_inverses = np.ones(1, dtype=U)
+_ODD = 0x9E3779B97F4A7C15
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 1024
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -37,17 +38,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-_VALUES = mix(np.arange(1, 257, dtype=U) * U(_RADIX))
-_FOLDED = _VALUES.copy()
-_FOLDED[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]
-
-
-def _grow(n: int) -> None:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, 2 * len(_powers))
-        _powers = np.cumprod(np.r_[U(1), np.full(size - 1, _RADIX, dtype=U)])
-        _inverses = np.cumprod(np.r_[U(1), np.full(size - 1, _INVERSE, dtype=U)])
+#: The low bytes of an eight-byte value.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[ord("A") : ord("Z") + 1] += 32
 
 
 def text_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,11 +95,27 @@ class Words:
 
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
-    n = len(buf)
-    _grow(n + 1)
-    sums = np.zeros(n + 1, dtype=U)
-    np.cumsum((_FOLDED if fold else _VALUES)[buf] * _powers[:n], out=sums[1:])
-    return mix((sums[end] - sums[start]) * _inverses[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+    """Of the bytes of each span: eight bytes at a time are taken up and mixed; ``fold`` takes A-Z as a-z."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = _FOLDED[buf] if fold else buf
+    eights = np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    size = end - start
+    h = mix(size.astype(U) * U(_ODD) + (eights[start] & _LOW[np.minimum(size, 8)]))
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[i] = _digest(padded[start[i] : end[i]].tobytes(), 0)
+    active = np.flatnonzero((size > 8) & (size <= LONG_SPAN))
+    at, left = start[active], size[active]
+    while len(active):
+        at, left = at + 8, left - 8
+        h[active] = mix(h[active] * U(0xD6E8FEB86659FD93) + (eights[at] & _LOW[np.minimum(left, 8)]))
+        more = left > 8
+        if not more.all():
+            active, at, left = active[more], at[more], left[more]
+    return h
+
+
+def _digest(data: bytes, seed: int) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -122,10 +132,7 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 def sequence_hash(words: np.ndarray, seed: int) -> int:
     """Of a whole sequence, order and length included."""
-    n = len(words)
-    _grow(n + 1)
-    total = (mix(words + U(seed)) * _powers[:n]).sum(dtype=U, keepdims=True)
-    return int(mix(total + np.array([n], dtype=U) * U(0xA0761D6478BD642F))[0])
+    return _digest(np.ascontiguousarray(words).tobytes(), seed)
 
 
 def crc32_of_ids(ids: list) -> list[int | None]:
