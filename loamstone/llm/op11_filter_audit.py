@@ -7,8 +7,8 @@ failed filters; one aggregation per part counts them in 32 conditional columns (
 follow from those columns: a filter removes the combinations that hold it and none of the filters before it.
 
 Documents are dealt by (id, hash of text) once, so both aggregations of the word branch stay in place, and a text's words
-never leave its task. Equal rows are counted, not repeated, so a repeated id is no hot group; the smallest ids of texts are
-aggregated before they are shuffled, and the join with them is one that adaptive execution can split.
+never leave its task. Equal rows are counted, not repeated, so a repeated id is no hot group. The smallest id of a text is found
+among salted parts of its copies and joined by (text, part), so that the copies of one text are spread over tasks.
 
 Defined cases: a null text is empty; a null id is never larger than another, so its row is no copy, and has no label; repeated
 rows count each; rows of one id with different texts are rated each by its own text; of several label rows of one id the
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FILTERS = "ABCDE"
@@ -28,6 +28,8 @@ MIN_WORDS = 200
 MIN_DISTINCT_PERCENT = 50
 MAX_UPPER_PERCENT = 3
 SYMBOLS = "[#$%&*|]"
+#: Parts that the copies of one text are dealt to.
+SALTS = 256
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -59,9 +61,10 @@ def flags(docs: DataFrame) -> DataFrame:
 def combinations(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document key and part: how many rows, which of the 32 combinations, and the labels."""
     marked = flags(docs)
-    first = marked.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    marked = marked.withColumn("salt", F.pmod(F.xxhash64("k1", "k2"), F.lit(SALTS)).cast("int"))
+    first = marked.groupBy("digest", "salt").agg(F.min("doc_id").alias("least")).select("digest", "salt", F.min("least").over(Window.partitionBy("digest")).alias("first_id"))
     judged = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    one = marked.join(word_counts(docs), ["k1", "k2"], "full_outer").join(first, "digest", "left").join(judged, F.col("doc_id") == F.col("label_id"), "left")
+    one = marked.join(word_counts(docs), ["k1", "k2"], "full_outer").join(first, ["digest", "salt"], "left").join(judged, F.col("doc_id") == F.col("label_id"), "left")
     fails = [F.col("n_words") < MIN_WORDS, 100 * F.col("n_distinct") < MIN_DISTINCT_PERCENT * F.col("n_words"), F.col("c"), F.col("d"), F.col("first_id") < F.col("doc_id")]
     mask = sum((F.when(f, 1 << i).otherwise(0) for i, f in enumerate(fails)), F.lit(0))
     return one.select("part", "rows", mask.alias("mask"), (F.coalesce("good", F.lit(0)) == 1).alias("good"), (F.coalesce("toxic", F.lit(0)) == 1).alias("toxic"))
