@@ -21,13 +21,16 @@ def stand_in(system: str, user: str) -> str:
     return "```json\n" + json.dumps({n: {p: f"{p} of {n}" for p in CONFIDENCE} for n in names}) + "\n```"
 
 
+def unfenced(reply: str) -> str:
+    """A reply without a code fence around it."""
+    body = reply.strip()
+    return body.split("\n", 1)[-1].rsplit("```", 1)[0] if body.startswith("```") else body
+
+
 def parsed(reply: str) -> dict:
     """The object in a reply, with or without a code fence; anything else is empty."""
-    body = reply.strip()
-    if body.startswith("```"):
-        body = body.split("\n", 1)[-1].rsplit("```", 1)[0]
     try:
-        found = json.loads(body)
+        found = json.loads(unfenced(reply))
     except ValueError:
         return {}
     return found if isinstance(found, dict) else {}

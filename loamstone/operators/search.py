@@ -24,13 +24,13 @@ def _terms(columns: tuple[str, ...] = ("body", "source_quote")) -> Column:
     return F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def _plain(word: str) -> str:
+def plain_word(word: str) -> str:
     return word.lower().translate(str.maketrans(_ACCENTED, _PLAIN))
 
 
 def _phrase_count(terms: Column, phrase: str) -> Column:
     """How often the words of a phrase stand in a row; terms are letters and digits only, so they can be joined by spaces."""
-    words = " ".join(w for w in re.split(r"[\W_]+", _plain(phrase)) if w)
+    words = " ".join(w for w in re.split(r"[\W_]+", plain_word(phrase)) if w)
     return F.regexp_count(F.concat(F.lit(" "), F.array_join(terms, " "), F.lit(" ")), F.lit(f"(?= {words} )"))
 
 
@@ -51,17 +51,17 @@ def search(
     Statistics are of all facts; filters apply after. Each fact is counted for the asked terms inside its row, so that nothing is shuffled but
     one row of totals. ``repos`` (subject_id, repo) adds the repository of each fact's subject.
     """
-    wanted = {_plain(t): (lambda a, t=t: F.size(F.filter(a, lambda x: x == _plain(t)))) for t in terms}
-    wanted |= {_plain(p) + "*": (lambda a, p=p: F.size(F.filter(a, lambda x: x.startswith(_plain(p)) & ~x.isin(*[_plain(t) for t in terms] or [""])))) for p in prefixes}
-    wanted |= {f'"{_plain(p)}"': (lambda a, p=p: _phrase_count(a, p)) for p in phrases}
-    optional = {_plain(t): (lambda a, t=t: F.size(F.filter(a, lambda x: x == _plain(t)))) for t in any_of}
+    wanted = {plain_word(t): (lambda a, t=t: F.size(F.filter(a, lambda x: x == plain_word(t)))) for t in terms}
+    wanted |= {plain_word(p) + "*": (lambda a, p=p: F.size(F.filter(a, lambda x: x.startswith(plain_word(p)) & ~x.isin(*[plain_word(t) for t in terms] or [""])))) for p in prefixes}
+    wanted |= {f'"{plain_word(p)}"': (lambda a, p=p: _phrase_count(a, p)) for p in phrases}
+    optional = {plain_word(t): (lambda a, t=t: F.size(F.filter(a, lambda x: x == plain_word(t)))) for t in any_of}
     if not wanted and not optional:
         raise ValueError("empty query")
     labels = sorted(wanted | optional)
     subject = F.col("subject_id") if repos is not None else F.lit(None)
 
     def counted(a: Column) -> Column:
-        banned = F.arrays_overlap(a, F.array(*[F.lit(_plain(t)) for t in none_of])) if none_of else F.lit(False)
+        banned = F.arrays_overlap(a, F.array(*[F.lit(plain_word(t)) for t in none_of])) if none_of else F.lit(False)
         return F.struct(F.size(a).alias("dl"), F.coalesce(banned, F.lit(False)).alias("banned"), *[(wanted | optional)[n](a).alias(f"t{k}") for k, n in enumerate(labels)])
 
     # the terms of a fact are cut out once, and no filter is pushed below that

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loamstone.functions import patterns as P
 from loamstone.functions import text as T
-from loamstone.operators import drift, joins, reads, stats
+from loamstone.operators import drift, joins, ownership, reads, stats
 from loamstone.sources import code, exports, lines
 
 from .collected import Collected
@@ -256,3 +256,69 @@ def package_interfaces(m):
 @query("select path, regexp_replace(path, '/?[^/]*$', '') as folder from sources")
 def source_folders(m):
     return m.sources.select("path", T.folder_of(F.col("path")).alias("folder"))
+
+
+_DECLARED = """
+rows_ as (select *, p_partkey % 3 as k from part),
+declared as (
+  select 's' || p_partkey || '/n.go' as path, unnest([
+      struct_pack(name := 'Outer' || p_partkey, kind := 'func', owner := null::varchar, line := 4, end_line := 11, doc := 'Doc of Outer' || p_partkey || '.'),
+      struct_pack(name := 'T' || p_size, kind := 'type', owner := null::varchar, line := 13, end_line := 15, doc := null::varchar),
+      struct_pack(name := 'Do', kind := 'method', owner := 'T' || p_size, line := 17, end_line := 17, doc := null::varchar)]) as d from rows_ where k = 0
+  union all select 's' || p_partkey || '/n.ts', unnest([
+      struct_pack(name := 'A' || p_partkey, kind := 'class', owner := null::varchar, line := 1, end_line := 5, doc := null::varchar),
+      struct_pack(name := 'run', kind := 'method', owner := 'A' || p_partkey, line := 2, end_line := 4, doc := null::varchar),
+      struct_pack(name := 'outer' || p_partkey, kind := 'func', owner := null::varchar, line := 7, end_line := 9, doc := 'function hidden() {}'),
+      struct_pack(name := 'inner', kind := 'func', owner := 'outer' || p_partkey, line := 8, end_line := 8, doc := null::varchar),
+      struct_pack(name := 'E' || p_size, kind := 'enum', owner := null::varchar, line := 10, end_line := 10, doc := null::varchar)]) from rows_ where k = 1
+  union all select 's' || p_partkey || '/n.sh', struct_pack(name := 'start' || p_partkey, kind := 'func', owner := null::varchar, line := 2, end_line := 7, doc := 'Starts ' || p_partkey || '.') from rows_ where k = 2
+)"""
+
+
+@query(f"with {_DECLARED} select path, d.name, d.kind, d.owner, d.line, d.end_line, d.doc from declared")
+def code_declarations(m):
+    """Code inside strings, templates, here-documents and comments declares nothing; nested functions have owners."""
+    return code.declarations(m.snippets).select("path", "name", "kind", "owner", "line", "end_line", "doc")
+
+
+@query("""
+select 's' || p_partkey || '/n.go' as path, unnest([9, 17]) as line_no, 'panic' as form, unnest(['Outer' || p_partkey, 'Do']) as enclosing, unnest(['func', 'method']) as enclosing_kind from part where p_partkey % 3 = 0""")
+def enclosed_invariants(m):
+    found = lines.invariants(m.snippets).select("path", "line_no", "form")
+    return ownership.innermost(found, code.declarations(m.snippets), ["path"])
+
+
+_OWNED = """
+r as (select s.symbol_id, b.author, b.line, b.commit, b.at as moment from blame b join placed_symbols s on b.file = s.file and b.line between s.start_line and s.end_line),
+a as (select symbol_id, author, count(*) as n, arg_max(commit, (moment, commit)) as latest from r group by 1, 2),
+t as (select symbol_id, sum(n) as total from a group by 1),
+d as (select symbol_id, line // 64 as bucket, sha256(string_agg(commit || ':' || line || chr(10), '' order by line, commit)) as digest from r group by 1, 2),
+h as (select symbol_id, sha256(string_agg(digest, '' order by bucket)) as hash from d group by 1)"""
+
+
+@query(f"""
+with {_OWNED}
+select a.symbol_id as subject_id, 'Ownership: ' || string_agg(author || ' (' || (n * 100 // total)::bigint || '%, ' || n || '/' || total::bigint || ' lines)', '; ' order by n desc, author) as body,
+  'blame: top contributor ' || arg_min(author, (-n, author)) as source_quote, any_value(hash) as staleness_hash from a join t using (symbol_id) join h using (symbol_id) group by 1""")
+def symbol_ownership(m):
+    facts, _ = ownership.symbol_ownership(m.blame, m.placed_symbols, ["file"])
+    return facts.select("subject_id", "body", "source_quote", "staleness_hash")
+
+
+@query(f"with {_OWNED} select a.symbol_id as subject_id, author, latest as source_ref, n as lines, hash as content_hash from a join h using (symbol_id)")
+def symbol_ownership_evidence(m):
+    _, evidence = ownership.symbol_ownership(m.blame, m.placed_symbols, ["file"])
+    return evidence.select("subject_id", "author", "source_ref", "lines", "content_hash")
+
+
+@query(f"""
+with later as (select * from blame), {_OWNED.replace("from blame b", "from later b")}, now as (select symbol_id, hash from h),
+before_ as (select s.symbol_id, b.line, b.commit from blame b join placed_symbols s on b.file = s.file and b.line between s.start_line and s.end_line where b.author <> 'user3'),
+bd as (select symbol_id, line // 64 as bucket, sha256(string_agg(commit || ':' || line || chr(10), '' order by line, commit)) as digest from before_ group by 1, 2),
+bh as (select symbol_id, sha256(string_agg(digest, '' order by bucket)) as hash from bd group by 1)
+select symbol_id as subject_id, 'changed' as why from bh join now using (symbol_id) where bh.hash <> now.hash""")
+def stale_symbol_ownership(m):
+    """Symbols with lines that an author has touched since their ownership was taken down."""
+    then, _ = ownership.symbol_ownership(m.blame.filter("author <> 'user3'"), m.placed_symbols, ["file"])
+    now, _ = ownership.symbol_ownership(m.blame, m.placed_symbols, ["file"])
+    return ownership.stale_ownership(then, now).select("subject_id", "why")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import changing, detecting, extracting, reading, searching, streamed, texts, upkeep
+from . import changing, detecting, extracting, reading, searching, stored, streamed, texts, upkeep
 
-_PARTS = (reading, changing, detecting, extracting, searching, texts, streamed, upkeep)
+_PARTS = (reading, changing, detecting, extracting, searching, texts, streamed, upkeep, stored)
 QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

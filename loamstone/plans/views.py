@@ -189,6 +189,19 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
             "'interface Local {}', chr(10), 'export default class Main', p_size, ' {}', chr(10), 'export type T', p_size, ' = string; // WHY not', chr(10)) else concat('func NewTest', p_size, '() {}', chr(10)) end",
         },
     ),
+    "snippets": (
+        "part",
+        None,
+        {
+            "path": "concat('s', p_partkey, case p_partkey % 3 when 0 then '/n.go' when 1 then '/n.ts' else '/n.sh' end)",
+            "text": "case p_partkey % 3 when 0 then concat('package p', chr(10), chr(10), '// Doc of Outer', p_partkey, '.', chr(10), 'func Outer', p_partkey, '(f func(int) interface{}) error {', chr(10), chr(9), 's := ', chr(96), "
+            "'func Fake() {', chr(10), chr(96), ' + \"}\" // func Not() {', chr(10), chr(9), '/* type Gone struct {', chr(10), chr(9), '} */', chr(10), chr(9), 'g := func() { panic(\"}\") }', chr(10), chr(9), 'return g(s)', chr(10), '}', chr(10), chr(10), "
+            "'type T', p_size, ' struct {', chr(10), chr(9), 'a map[string]struct{}', chr(10), '}', chr(10), chr(10), 'func (t *T', p_size, ') Do() { panic(t) }', chr(10)) "
+            "when 1 then concat('export class A', p_partkey, ' {', chr(10), '  run(x: string) {', chr(10), '    return ', chr(96), 'class Fake { ', chr(36), '{ [1].map((n) => { return \"}\"; }) } }', chr(96), ';', chr(10), '  }', chr(10), '}', chr(10), "
+            "'// function hidden() {}', chr(10), 'function outer', p_partkey, '() {', chr(10), '  function inner() { return /[{]/; }', chr(10), '}', chr(10), 'enum E', p_size, ' { X }', chr(10)) "
+            "else concat('# Starts ', p_partkey, '.', chr(10), 'start', p_partkey, '() {', chr(10), '  echo \"fake() {\" # other() {', chr(10), '  cat <<EOF', chr(10), 'notes() {', chr(10), 'EOF', chr(10), '}', chr(10), '. lib', p_size, '.sh', chr(10)) end",
+        },
+    ),
     "contexts": (
         "part",
         None,

@@ -1,27 +1,27 @@
-"""Structural claims from source files. Python is parsed; Go, TypeScript and shell are read by line-anchored patterns.
+"""Structural claims and declarations from source files. Python is parsed; Go, TypeScript and shell are read by a lexer (``lexing``).
 
 Files of other languages, and Python files that do not parse, give one row with the predicate ``unparsed``: nothing is dropped silently.
 """
 
 from __future__ import annotations
 
-import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import lexing
+
 CLAIMS = "path string, language string, symbol_name string, kind string, predicate string, object_text string, line int, confidence double"
+DECLARATIONS = "path string, language string, name string, kind string, owner string, line int, end_line int, doc string"
 #: Predicates that a parser without types may state.
 SAFE = ("defines", "imports", "exports", "has_doc", "is_test", "is_generated")
-_LANGUAGES = {".py": "python", ".go": "go", ".ts": "typescript", ".tsx": "typescript", ".sh": "shell"}
-_RULES = {
-    "go": ((r"^func (?:\([^)]*\) )?([A-Za-z_]\w*)", "func", "defines"), (r"^type ([A-Za-z_]\w*)", "type", "defines"), (r'^(?:import |\t)(?:[\w.]+ )?"([^"]+)"$', "module", "imports")),
-    "typescript": ((r"^(?:export )?(?:default )?(?:async )?function ([A-Za-z_$][\w$]*)", "func", "defines"), (r"^(?:export )?(?:default )?(?:abstract )?class ([A-Za-z_$][\w$]*)", "type", "defines"), (r"^(?:export )?interface ([A-Za-z_$][\w$]*)", "interface", "defines"), (r"^(?:export )?type ([A-Za-z_$][\w$]*)", "type", "defines"), (r"^(?:export )?(?:const|let) ([A-Za-z_$][\w$]*)", "var", "defines"), (r"^export (?:default )?(?:async )?(?:function|class|interface|type|const|let) ([A-Za-z_$][\w$]*)", "symbol", "exports"), (r"^import .*from ['\"]([^'\"]+)['\"]", "module", "imports")),
-    "shell": ((r"^(?:function )?([A-Za-z_]\w*) ?\(\)", "func", "defines"), (r"^(?:source|\.) (\S+)", "module", "imports")),
-}
+DOC_CONFIDENCE = 0.85
+_LANGUAGES = {".py": "python", ".go": "go", ".ts": "typescript", ".tsx": "typescript", ".sh": "shell", ".bash": "shell"}
+#: Bytes of text that are turned into rows at a time.
+PART_BYTES = 4 << 20
 _TESTS = {"python": r"(^|/)test_[^/]*\.py$|_test\.py$", "go": r"_test\.go$", "typescript": r"\.(test|spec)\.tsx?$", "shell": r"(?!)"}
 
 
@@ -29,52 +29,22 @@ def language_of(path: str) -> str | None:
     return next((v for k, v in _LANGUAGES.items() if path.endswith(k)), None)
 
 
-def _python(text: str) -> Iterator[tuple]:
-    for node in ast.walk(ast.parse(text)):
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            kind = "type" if isinstance(node, ast.ClassDef) else "func"
-            yield node.name, kind, "defines", None, node.lineno, 1.0
-            if doc := ast.get_docstring(node):
-                yield node.name, kind, "has_doc", doc.split("\n")[0], node.lineno, 0.85
-        elif isinstance(node, ast.Import):
-            for a in node.names:
-                yield a.name, "module", "imports", a.name, node.lineno, 1.0
-        elif isinstance(node, ast.ImportFrom):
-            yield node.module or ".", "module", "imports", node.module or ".", node.lineno, 1.0
-
-
-def _go_values(text: str) -> Iterator[tuple]:
-    """Variables, constants and types of one declaration or of one in brackets."""
-    block = None
-    for number, line in enumerate(text.split("\n"), 1):
-        if m := re.match(r"(type|var|const) \($", line):
-            block = m[1]
-        elif line.startswith(")"):
-            block = None
-        elif (m := re.match(r"\t([A-Za-z_]\w*(?:, *[A-Za-z_]\w*)*)", line)) and block:
-            yield from ((n, block, "defines", None, number, 1.0) for n in re.split(", *", m[1]))
-        elif m := re.match(r"(var|const) ([A-Za-z_]\w*(?:, *[A-Za-z_]\w*)*)", line):
-            yield from ((n, m[1], "defines", None, number, 1.0) for n in re.split(", *", m[2]))
-
-
 def claims_of(path: str, text: str) -> list[tuple]:
     """(symbol, kind, predicate, object, line, confidence) of one file."""
     language = language_of(path)
+    if language is None:
+        return [(path, "file", "unparsed", None, 1, 1.0)]
     out: list[tuple] = []
-    if language == "python":
-        try:
-            out = list(_python(text))
-        except SyntaxError:
-            return [(path, "file", "unparsed", None, 1, 1.0)]
-    elif language:
-        if language == "go":
-            out += _go_values(text)
-        for number, line in enumerate(text.split("\n"), 1):
-            for pattern, kind, predicate in _RULES[language]:
-                if m := re.match(pattern, line):
-                    out.append((m[1], kind, predicate, m[1] if predicate == "imports" else None, number, 1.0))
-    else:
+    try:
+        for d in lexing.declarations(text, language):
+            out.append((d.name, d.kind, "defines", None, d.line, 1.0))
+            if d.doc:
+                out.append((d.name, d.kind, "has_doc", d.doc, d.line, DOC_CONFIDENCE))
+        out += [(name, "module", "imports", name, line, 1.0) for name, line in lexing.imports(text, language)]
+    except SyntaxError:
         return [(path, "file", "unparsed", None, 1, 1.0)]
+    if language == "typescript":
+        out += [(name, "symbol", "exports", None, line, 1.0) for name, line in lexing.exports(text)]
     if re.search(_TESTS[language], path):
         out.append((path, "file", "is_test", None, 1, 1.0))
     if re.match(r"\s*(//|#|/\*).*\bgenerated\b.*", text, re.IGNORECASE):
@@ -82,6 +52,17 @@ def claims_of(path: str, text: str) -> list[tuple]:
     return out
 
 
+def declarations_of(path: str, text: str) -> list[tuple]:
+    """(name, kind, owner, line, end_line, doc) of one file; none where it cannot be read."""
+    language = language_of(path)
+    if language is None:
+        return []
+    try:
+        return [(d.name, d.kind, d.owner, d.line, d.end_line, d.doc) for d in lexing.declarations(text, language)]
+    except SyntaxError:
+        return []
+
+
 def beyond_tier(claims: DataFrame, safe: tuple[str, ...] = SAFE) -> DataFrame:
     """Claims that an extractor without types may not make; ``unparsed`` rows are no claims."""
     return claims.filter(~F.col("predicate").isin(*safe, "unparsed"))
@@ -94,12 +75,31 @@ def within_tier(claims: DataFrame, safe: tuple[str, ...] = SAFE) -> DataFrame:
     return claims.withColumn("predicate", F.when(allowed, F.col("predicate")).otherwise(F.raise_error(message)))
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """Claims of (path, text) files."""
+def _by_file(files: DataFrame, of: Callable[[str, str], list[tuple]], ddl: str) -> DataFrame:
+    """Rows of every (path, text) file, with its repo in front if it has one; rows leave in parts, so that a batch of long files stays small."""
+    lead = ["repo"] if "repo" in files.columns else []
+    names = lead + [c.split()[0] for c in ddl.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(p, language_of(p), *c) for p, t in zip(frame["path"], frame["text"]) for c in claims_of(p, t or "")]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CLAIMS.split(", ")])
+            rows: list[tuple] = []
+            size = 0
+            for *repo, path, text in frame.itertuples(index=False):
+                rows += [(*repo, path, language_of(path), *row) for row in of(path, text or "")]
+                size += len(text or "")
+                if size >= PART_BYTES:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=names)
+
+    return files.select(*lead, "path", "text").mapInPandas(run, "repo string, " * len(lead) + ddl)
+
+
+def extract(files: DataFrame) -> DataFrame:
+    """Claims of (path, text) or (repo, path, text) files."""
+    return within_tier(_by_file(files, claims_of, CLAIMS))
+
 
-    return within_tier(files.select("path", "text").mapInPandas(run, CLAIMS))
+def declarations(files: DataFrame) -> DataFrame:
+    """What (path, text) or (repo, path, text) files declare, with line ranges, owners and the first line of each doc comment."""
+    return _by_file(files, declarations_of, DECLARATIONS)

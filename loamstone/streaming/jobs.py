@@ -9,10 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
-
-from loamstone.sources.code import CLAIMS, extract
-from loamstone.sources.tables import Catalogue
 
 LATENESS = "1 hour"
 
@@ -114,25 +110,6 @@ def apply_changes(stream: DataFrame, merge: Callable[[DataFrame, int], None], ch
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def maintain(stream: DataFrame, catalogue: Catalogue, checkpoint: str, table: str = "claims") -> StreamingQuery:
-    """Keep a table of claims in step with a stream of files (repo, path, status, text, ord).
-
-    In each micro-batch the last state of a path counts: claims of its files are replaced by what they now hold, those of deleted ones go, and the
-    table is published as a whole, so that a batch that runs twice gives the same table.
-    """
-
-    def step(batch: DataFrame, _: int) -> None:
-        last = batch.groupBy("repo", "path").agg(F.max(F.struct("ord", "status", "text")).alias("l")).select("repo", "path", "l.status", "l.text")
-        held = catalogue.read(table, StructType.fromDDL("repo string, " + CLAIMS))
-        # a path stands for its repo too while claims are taken from its text
-        named = last.filter("status <> 'D'").select(F.concat_ws("\u0001", "repo", "path").alias("path"), "text")
-        fresh = extract(named).withColumn("repo", F.substring_index("path", "\u0001", 1)).withColumn("path", F.substring_index("path", "\u0001", -1))
-        kept = held.join(last.select("repo", "path"), ["repo", "path"], "left_anti")
-        catalogue.publish(table, kept.unionByName(fresh.select(*kept.columns)))
-
-    return apply_changes(stream, step, checkpoint)
-
-
 def _field(spec: str, low: int, high: int) -> set[int]:
     out: set[int] = set()
     for part in spec.split(","):
@@ -165,8 +142,3 @@ def next_runs(schedules: DataFrame, after: dt.datetime) -> DataFrame:
             yield frame.assign(next_run=pd.to_datetime([next_run(c, after) for c in frame["cron"]]))
 
     return schedules.mapInPandas(run, "repo string, cron string, next_run timestamp").orderBy("next_run", "repo")
-
-
-def admitted(calls: DataFrame) -> DataFrame:
-    """Admissions and refusals per key."""
-    return calls.groupBy("key").agg(F.sum(F.col("admitted").cast("int")).alias("n_admitted"), F.count(F.lit(1)).alias("n_calls"))

@@ -9,7 +9,8 @@ from pyspark.sql.types import StructType
 from loamstone.functions import text as T
 from loamstone.operators import detect, generated, joins, merge, reads, search, stats
 from loamstone.sources import code, lines, tables
-from loamstone.streaming import jobs
+from loamstone.sources.store import Store
+from loamstone.streaming import incremental, jobs
 
 
 def value(spark, column):
@@ -311,11 +312,11 @@ def test_maintained_claims(spark, tmp_path):
     rows = [("r", "a.py", "A", "def f(): pass", 1), ("r", "b.py", "A", "def g(): pass", 1), ("q", "a.py", "A", "def h(): pass", 1)]
     schema = "repo string, path string, status string, text string, ord long"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    store = tables.Catalogue(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    jobs.maintain(stream, store, str(tmp_path / "c")).awaitTermination(120)
+    incremental.maintain(stream, store, str(tmp_path / "c"), buckets=4).awaitTermination(120)
     held = lambda: sorted((r["repo"], r["path"], r["symbol_name"]) for r in store.read("claims").filter("predicate = 'defines'").collect())
     assert held() == [("q", "a.py", "h"), ("r", "a.py", "f"), ("r", "b.py", "g")]
     spark.createDataFrame([("r", "a.py", "M", "def f2(): pass", 2), ("r", "b.py", "D", None, 2), ("r", "a.py", "M", "def old(): pass", 1)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    jobs.maintain(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "c")).awaitTermination(120)
+    incremental.maintain(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "c"), buckets=4).awaitTermination(120)
     assert held() == [("q", "a.py", "h"), ("r", "a.py", "f2")]
