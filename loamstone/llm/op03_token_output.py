@@ -199,8 +199,6 @@ class Encoder:
 
     def _ids(self, chunk: str) -> bytes:
         young, elder = self._known
-        if chunk.isascii():  # others are composed before they are folded, which only the whole tokenizer does
-            chunk = chunk.lower()
         found = young.get(chunk)
         if found is None:
             found = elder.get(chunk)
@@ -228,7 +226,9 @@ class Encoder:
         chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         sizes = pc.list_value_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = chunks.flatten().dictionary_encode()
-        ids_of = [self._ids(w) for w in coded.dictionary.to_pylist()]
+        # chunks beyond ASCII are composed before they are folded, which only the whole tokenizer does
+        ascii_only = pc.equal(pc.binary_length(coded.dictionary), pc.utf8_length(coded.dictionary))
+        ids_of = [self._ids(w) for w in pc.if_else(ascii_only, pc.ascii_lower(coded.dictionary), coded.dictionary).to_pylist()]
         length = np.fromiter(map(len, ids_of), dtype=np.int64, count=len(ids_of)) // 4
         flat = np.frombuffer(b"".join(ids_of), dtype="<u4")
         begin = np.r_[0, np.cumsum(length)]
