@@ -11,17 +11,24 @@ from loamstone.functions import text as T
 LINE_BUCKET = 64
 
 
+def of_repo(df: DataFrame, *others: DataFrame) -> list[str]:
+    """["repo"] if all tables name the repository of their rows, which paths are then joined with; else there is one repository."""
+    return ["repo"] if all("repo" in d.columns for d in (df, *others)) else []
+
+
 def reverse_dependencies(symbols: DataFrame, claims: DataFrame, changed: DataFrame) -> DataFrame:
-    """Files that import a package defined in a changed file, without the changed files themselves."""
-    defined = claims.filter("predicate = 'defines'").join(changed, claims["source_file"] == changed["path"], "left_semi")
-    packages = symbols.join(defined, symbols["id"] == defined["subject_id"], "left_semi").select("import_path").distinct()
-    imports = claims.filter("predicate = 'imports'")
-    users = imports.join(packages, imports["object_text"] == packages["import_path"], "left_semi").select(F.col("source_file").alias("path")).distinct()
-    return users.join(changed, "path", "left_anti")
+    """Files that import a package defined in a changed file of their repository, without the changed files themselves."""
+    repo = of_repo(claims, changed)
+    named = changed.select(*repo, F.col("path").alias("source_file")).distinct()
+    defined = claims.filter("predicate = 'defines'").join(named, [*repo, "source_file"], "left_semi").select(*repo, "subject_id")
+    packages = defined.join(symbols.select(F.col("id").alias("subject_id"), "import_path"), "subject_id").select(*repo, F.col("import_path").alias("object_text")).distinct()
+    users = claims.filter("predicate = 'imports'").join(packages, [*repo, "object_text"], "left_semi").select(*repo, "source_file").distinct()
+    return users.join(named, [*repo, "source_file"], "left_anti").withColumnRenamed("source_file", "path")
 
 
 def with_reverse_dependencies(symbols: DataFrame, claims: DataFrame, changed: DataFrame) -> DataFrame:
-    return changed.select("path", F.lit("changed").alias("why")).unionByName(reverse_dependencies(symbols, claims, changed).withColumn("why", F.lit("depends")))
+    repo = of_repo(claims, changed)
+    return changed.select(*repo, "path", F.lit("changed").alias("why")).unionByName(reverse_dependencies(symbols, claims, changed).withColumn("why", F.lit("depends")))
 
 
 def enrichment_candidates(symbols: DataFrame, claims: DataFrame, kinds: tuple[str, ...] = ("func", "type", "method", "interface"), visibilities: tuple[str, ...] = ("public",)) -> DataFrame:
@@ -143,5 +150,5 @@ def staged_paths(paths: DataFrame, replaced: list[tuple[str, str]]) -> DataFrame
     """Module path of each path by replacement directives: an exact one, else the longest prefix, else the path without version."""
     out = T.strip_version(F.col("path"))
     for old, new in sorted(replaced, key=lambda r: len(r[0])):
-        out = F.when((F.col("path") == old) | F.col("path").startswith(old + "/"), F.concat(F.lit(new), F.substring(F.col("path"), len(old) + 1, 10_000))).otherwise(out)
+        out = F.when((F.col("path") == old) | F.col("path").startswith(old + "/"), F.concat(F.lit(new), F.substr(F.col("path"), F.lit(len(old) + 1)))).otherwise(out)
     return paths.withColumn("module", out)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamstone.functions import text as T
+from loamstone.operators.joins import of_repo
 
 LIST_LIMIT, SEARCH_LIMIT, CONTEXT_LIMIT = 200, 50, 10_000
 
@@ -80,9 +81,11 @@ def claims_in_range(claims: DataFrame, file: str, start: int = 0, end: int = 0)
 
 
 def files_for_package(source_files: DataFrame, claims: DataFrame, symbols: DataFrame, import_path: str) -> DataFrame:
-    """Live files that hold a claim about a symbol of the package."""
+    """Live files that hold a claim about a symbol of the package, in the claim's repository where claims name one."""
+    repo = of_repo(claims, source_files)
     about = claims.join(symbols.filter(F.col("import_path") == import_path).select("id"), claims["subject_id"] == F.col("id"), "left_semi")
-    return source_files.filter(~F.col("deleted")).join(about, source_files["relative_path"] == about["source_file"], "left_semi").select("repo", "relative_path")
+    held = about.select(*repo, F.col("source_file").alias("relative_path"))
+    return source_files.filter(~F.col("deleted")).join(held, [*repo, "relative_path"], "left_semi").select("repo", "relative_path")
 
 
 def deleted_files(source_files: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamstone.functions import text as T
+from loamstone.operators.joins import of_repo
 
 
 def _count_if(condition: Column) -> Column:
@@ -19,18 +20,36 @@ def fact_counts(facts: DataFrame) -> DataFrame:
 def mining_priority(source_files: DataFrame, symbols: DataFrame, claims: DataFrame, facts: DataFrame, k: int) -> DataFrame:
     """The k files most worth mining: never mined first, then by public symbols, fan-in and missing facts, then by path.
 
+    A file's symbols are here those that claims located in it are about; ``file_priority`` takes symbols that are named by the file.
     Each side is aggregated before it is joined, so that nothing is counted twice.
     """
+    repo = of_repo(claims, source_files)
     live = source_files.filter(~F.col("deleted") & ~T.mining_excluded(F.col("relative_path")))
-    per_symbol = claims.groupBy("source_file", "subject_id").agg(F.count(F.lit(1)).alias("n"))
-    held = per_symbol.join(symbols.select("id", "visibility"), F.col("subject_id") == F.col("id"))
-    per_file = held.groupBy("source_file").agg(_count_if(F.col("visibility") == "public").alias("public_symbols"), F.sum("n").alias("fan_in"))
+    per_symbol = claims.groupBy(*repo, F.col("source_file").alias("relative_path"), "subject_id").agg(F.count(F.lit(1)).alias("n"))
+    held = per_symbol.join(symbols.select(F.col("id").alias("subject_id"), "visibility"), "subject_id")
+    per_file = held.groupBy(*repo, "relative_path").agg(_count_if(F.col("visibility") == "public").alias("public_symbols"), F.sum("n").alias("fan_in"))
     known = facts.filter("status = 'active'").groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_facts"))
-    facts_of = per_symbol.join(known, "subject_id").groupBy("source_file").agg(F.sum("n_facts").alias("n_facts"))
-    joined = live.join(per_file, live["relative_path"] == per_file["source_file"], "left").drop("source_file").join(facts_of, live["relative_path"] == facts_of["source_file"], "left")
+    facts_of = per_symbol.join(known, "subject_id").groupBy(*repo, "relative_path").agg(F.sum("n_facts").alias("n_facts"))
+    joined = live.join(per_file, [*repo, "relative_path"], "left").join(facts_of, [*repo, "relative_path"], "left")
+    return _most_worth(joined, k)
+
+
+def file_priority(source_files: DataFrame, symbols: DataFrame, claims: DataFrame, facts: DataFrame, k: int) -> DataFrame:
+    """As ``mining_priority``, where a file's symbols are those of its repository whose import path is the file's path, fan-in is the number of
+    claims about them, and facts are those about symbols of that import path in any repository."""
+    live = source_files.filter(~F.col("deleted") & ~T.mining_excluded(F.col("relative_path")))
+    about = claims.groupBy(F.col("subject_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    own = symbols.select("id", "repo", F.col("import_path").alias("relative_path"), "visibility").join(about, "id", "left")
+    per_file = own.groupBy("repo", "relative_path").agg(_count_if(F.col("visibility") == "public").alias("public_symbols"), F.sum("n").alias("fan_in"))
+    known = facts.filter("status = 'active'").groupBy(F.col("subject_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    facts_of = symbols.select("id", F.col("import_path").alias("relative_path")).join(known, "id").groupBy("relative_path").agg(F.sum("n").alias("n_facts"))
+    return _most_worth(live.join(per_file, ["repo", "relative_path"], "left").join(facts_of, "relative_path", "left"), k)
+
+
+def _most_worth(files: DataFrame, k: int) -> DataFrame:
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    ranked = joined.select("repo", "relative_path", "never_mined", (number("public_symbols") * 3 + number("fan_in") - number("n_facts") * 5).alias("priority"))
-    return ranked.orderBy(F.desc("never_mined"), F.desc("priority"), "relative_path").limit(max(k, 0))
+    ranked = files.select("repo", "relative_path", "never_mined", (number("public_symbols") * 3 + number("fan_in") - number("n_facts") * 5).alias("priority"))
+    return ranked.orderBy(F.desc("never_mined"), F.desc("priority"), "relative_path", "repo").limit(max(k, 0))
 
 
 def quality_gate(feedback: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -45,9 +64,10 @@ def quality_gate(feedback: DataFrame, corrections: DataFrame) -> DataFrame:
 
 def coverage(source_files: DataFrame, symbols: DataFrame, facts: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
     """Live files, how many hold a symbol with an active fact, and the age in days of the oldest file never mined."""
+    repo = of_repo(claims, source_files)
     known = symbols.join(facts.filter("status = 'active'"), symbols["id"] == facts["subject_id"], "left_semi").select("id")
-    covered = claims.join(known, claims["subject_id"] == known["id"], "left_semi").select(F.col("source_file").alias("relative_path"), F.lit(1).alias("has_fact")).distinct()
-    live = source_files.filter(~F.col("deleted")).join(covered, "relative_path", "left")
+    covered = claims.join(known, claims["subject_id"] == known["id"], "left_semi").select(*repo, F.col("source_file").alias("relative_path"), F.lit(1).alias("has_fact")).distinct()
+    live = source_files.filter(~F.col("deleted")).join(covered, [*repo, "relative_path"], "left")
     age = F.greatest(F.datediff(now, F.col("last_indexed")), F.lit(0))
     return live.agg(F.count(F.lit(1)).alias("live_files"), F.coalesce(F.sum("has_fact"), F.lit(0)).alias("covered_files"), F.max(F.when(F.col("never_mined"), age)).alias("oldest_unmined_days"))
 
@@ -72,10 +92,11 @@ def repo_inventory(symbols: DataFrame, claims: DataFrame, source_files: DataFram
 
 def enrichment_status(symbols: DataFrame, claims: DataFrame, source_files: DataFrame, now: Column) -> DataFrame:
     """(import_path, enriched): not yet, stale since a file of the package was indexed later, or the day and its age."""
+    repo = of_repo(claims, source_files)
     held = claims.join(symbols.select("id", "import_path"), F.col("subject_id") == F.col("id"))
     per = held.groupBy("import_path").agg(F.max(F.when(F.col("claim_tier") == "semantic", F.col("last_verified"))).alias("at"))
-    indexed = source_files.filter(~F.col("deleted")).groupBy(F.col("relative_path").alias("source_file")).agg(F.max("last_indexed").alias("indexed"))
-    changed = held.select("import_path", "source_file").distinct().join(indexed, "source_file").groupBy("import_path").agg(F.max("indexed").cast("timestamp").alias("indexed"))
+    indexed = source_files.filter(~F.col("deleted")).groupBy(*repo, F.col("relative_path").alias("source_file")).agg(F.max("last_indexed").alias("indexed"))
+    changed = held.select(*repo, "import_path", "source_file").distinct().join(indexed, [*repo, "source_file"]).groupBy("import_path").agg(F.max("indexed").cast("timestamp").alias("indexed"))
     all_ = symbols.select("import_path").distinct().join(per, "import_path", "left").join(changed, "import_path", "left")
     day, age = F.date_format("at", "yyyy-MM-dd"), T.human_age(F.unix_timestamp(now) - F.unix_timestamp("at"))
     said = F.when(F.col("at").isNull(), "Not yet enriched").when(F.col("indexed") > F.col("at"), F.concat(F.lit("Enrichment stale: source changed since "), day))

@@ -1,10 +1,13 @@
-"""Queries over stored tables: incremental extraction, the full-text index, and mining of review comments."""
+"""Queries over stored tables (incremental extraction, full-text index, mining, liveness), of repositories that share paths, and of patterns as tables."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamstone.operators import enrich, globs, joins, liveness, reads, stats
 from loamstone.operators import fulltext as fts
 from loamstone.sources.store import Store
 from loamstone.sources.tables import shared_root
@@ -161,3 +164,172 @@ select batch as day, count(*) as n_attempts, count(*) filter (outcome = 'mined')
   count(*) filter (outcome in ('extraction_failed', 'cursor_regression')) as n_failed, sum(n_facts) as n_facts from told group by 1""")
 def mining_attempts(m):
     return mining.attempts_per_day(_mined(m).read("outcomes"), F.col("batch"))
+
+
+# ---- repositories that share paths ---------------------------------------------------------------------------------
+
+
+@query("""
+select distinct f.repo, f.relative_path from repo_files f join repo_claims c on c.repo = f.repo and c.source_file = f.relative_path join symbols s on s.id = c.subject_id
+where s.import_path = 'Brand#3' and not f.deleted""")
+def files_for_package_of_repos(m):
+    return reads.files_for_package(m.repo_files, m.repo_claims, m.symbols, "Brand#3")
+
+
+@query("""
+with changed as (select distinct repo, relative_path as path from repo_files where never_mined),
+defined as (select distinct c.repo, s.import_path from repo_claims c join symbols s on s.id = c.subject_id join changed d on d.repo = c.repo and d.path = c.source_file where c.predicate = 'defines')
+select repo, path, 'changed' as why from changed
+union all select distinct c.repo, c.source_file, 'depends' from repo_claims c join defined d on d.repo = c.repo and d.import_path = c.object_text where predicate = 'imports'
+  and not exists (select 1 from changed x where x.repo = c.repo and x.path = c.source_file)""")
+def reverse_deps_of_repos(m):
+    changed = m.repo_files.filter("never_mined").select("repo", F.col("relative_path").alias("path"))
+    return joins.with_reverse_dependencies(m.symbols, m.repo_claims, changed)
+
+
+@query("""
+with ps as (select repo, source_file, subject_id, count(*) as n from repo_claims group by 1, 2, 3),
+pf as (select ps.repo, source_file, count(*) filter (where visibility = 'public') as pub, sum(n) as fan from ps join symbols s on s.id = ps.subject_id group by 1, 2),
+kf as (select repo, source_file, sum(k.n) as facts_n from ps join (select subject_id, count(*) as n from facts where status = 'active' group by 1) k using (subject_id) group by 1, 2)
+select f.repo, relative_path, never_mined, cast(coalesce(pub, 0) * 3 + coalesce(fan, 0) - coalesce(facts_n, 0) * 5 as bigint) as priority
+from repo_files f left join pf on pf.repo = f.repo and pf.source_file = relative_path left join kf on kf.repo = f.repo and kf.source_file = relative_path
+where not deleted order by never_mined desc, priority desc, relative_path, f.repo limit 20""")
+def mining_priority_of_repos(m):
+    return stats.mining_priority(m.repo_files, m.symbols, m.repo_claims, m.facts, 20)
+
+
+_FILE_SYMBOLS = "case when id % 2 = 0 then concat('file_', id % 100) else import_path end"
+
+
+@query(f"""
+with s as (select id, repo, {_FILE_SYMBOLS} as import_path, visibility from symbols),
+per as (select f.repo, f.relative_path, count(distinct s.id) filter (where s.visibility = 'public') as pub, count(c.claim_key) as fan
+  from source_files f left join s on s.import_path = f.relative_path and s.repo = f.repo left join claims c on c.subject_id = s.id group by 1, 2),
+held as (select s.import_path, count(*) as n from facts k join s on s.id = k.subject_id where k.status = 'active' group by 1)
+select f.repo, f.relative_path, never_mined, cast(pub * 3 + fan - coalesce(held.n, 0) * 5 as bigint) as priority
+from source_files f join per on per.repo = f.repo and per.relative_path = f.relative_path left join held on held.import_path = f.relative_path
+where not deleted order by never_mined desc, priority desc, f.relative_path, f.repo limit 20""")
+def file_priority_topk(m):
+    """Half of the symbols stand for files: their import path is the file's."""
+    return stats.file_priority(m.source_files, m.symbols.withColumn("import_path", F.expr(_FILE_SYMBOLS)), m.claims, m.facts, 20)
+
+
+@query("""
+with known as (select id from symbols where id in (select subject_id from facts where status = 'active')),
+covered as (select distinct repo, source_file from repo_claims where subject_id in (select id from known))
+select count(*) as live_files, count(c.repo) as covered_files, max(case when never_mined then greatest(date_diff('day', cast(last_indexed as date), date '2024-07-01'), 0) end) as oldest_unmined_days
+from repo_files f left join covered c on c.repo = f.repo and c.source_file = relative_path where not deleted""")
+def coverage_of_repos(m):
+    return stats.coverage(m.repo_files, m.symbols, m.facts, m.repo_claims, F.lit("2024-07-01").cast("timestamp"))
+
+
+@query("""
+with p as (select import_path, max(case when claim_tier = 'semantic' then last_verified end) as seen from symbols left join repo_claims on symbols.id = subject_id group by 1),
+f as (select import_path, max(last_indexed) as indexed from symbols join repo_claims c on symbols.id = subject_id join repo_files r on r.repo = c.repo and r.relative_path = c.source_file and not deleted group by 1)
+select import_path, seen is null as never, coalesce(cast(indexed as timestamp) > seen, false) as stale from p left join f using (import_path)""")
+def enrichment_of_repos(m):
+    told = stats.enrichment_status(m.symbols, m.repo_claims, m.repo_files, F.lit("2002-01-01").cast("timestamp"))
+    return told.select("import_path", (F.col("enriched") == "Not yet enriched").alias("never"), F.col("enriched").startswith("Enrichment stale").alias("stale"))
+
+
+# ---- patterns and prefixes of tables -------------------------------------------------------------------------------
+
+_DIRECTIVES = "select 'mod' || p_partkey % 97 || case when p_partkey % 3 = 0 then '/sub' else '' end as old, min('staging/' || p_partkey) as new from part group by 1"
+
+
+def _directives(m) -> DataFrame:
+    key = F.col("p_partkey")
+    old = F.concat(F.lit("mod"), key % 97, F.when(key % 3 == 0, "/sub").otherwise(""))
+    return m.table("part").groupBy(old.alias("old")).agg(F.min(F.concat(F.lit("staging/"), key)).alias("new"))
+
+
+@query(f"""
+with d as ({_DIRECTIVES}), p as (select distinct 'mod' || p_partkey % 120 || case p_size % 3 when 0 then '' when 1 then '/sub/x' else '/subway@v1/y' end as path from part),
+met as (select path, new || substring(path, length(old) + 1) as module, row_number() over (partition by path order by length(old) desc) as place from p join d on path = old or starts_with(path, old || '/'))
+select p.path, coalesce(module, regexp_replace(p.path, '^([^@]*)@[^/]*', '\\1')) as module from p left join met on met.path = p.path and place = 1""")
+def replaced_modules(m):
+    """Every directive is a row of a table, and a path meets the longest of them."""
+    path = F.concat(F.lit("mod"), F.col("p_partkey") % 120, F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, "/sub/x").otherwise("/subway@v1/y"))
+    return globs.replaced_paths(m.table("part").select(path.alias("path")).distinct(), _directives(m))
+
+
+@query(f"""
+with d as ({_DIRECTIVES}), q as (select distinct 'staging/' || p_partkey || '/z' as module from part),
+met as (select module, old || substring(module, length(new) + 1) as path, row_number() over (partition by module order by length(new) desc, old desc) as place from q join d on starts_with(module, new || '/'))
+select q.module, met.path from q left join met on met.module = q.module and place = 1""")
+def original_modules(m):
+    modules = m.table("part").select(F.concat(F.lit("staging/"), "p_partkey", F.lit("/z")).alias("module")).distinct()
+    return globs.original_paths(modules, _directives(m))
+
+
+@query("""
+with g as (select 'pkg' || p_partkey % 400 || case p_partkey % 4 when 0 then '/*.go' when 1 then '/lib.*' when 2 then '/tools/*/a_test.go' else '/[l-m]*.??' end as glob, 'doc' || p_partkey % 50 || '.md' as doc, p_partkey % 4 as k, p_partkey % 400 as n from part)
+select distinct path, doc from sources join g on regexp_matches(path, case k when 0 then '^pkg' || n || '/[^/]*\\.go$' when 1 then '^pkg' || n || '/lib\\.[^/]*$' when 2 then '^pkg' || n || '/tools/[^/]*/a_test\\.go$' else '^pkg' || n || '/[l-m][^/]*\\.[^/][^/]$' end)""")
+def manifest_of_table(m):
+    """A manifest of as many globs as there are parts; each path is tried against those of its folders."""
+    key = F.col("p_partkey")
+    glob = F.concat(F.lit("pkg"), key % 400, F.when(key % 4 == 0, "/*.go").when(key % 4 == 1, "/lib.*").when(key % 4 == 2, "/tools/*/a_test.go").otherwise("/[l-m]*.??"))
+    manifest = m.table("part").select(glob.alias("glob"), F.concat(F.lit("doc"), key % 50, F.lit(".md")).alias("doc"))
+    return globs.manifest_docs(m.sources.select("path"), manifest)
+
+
+# ---- enrichment plan and liveness ----------------------------------------------------------------------------------
+
+
+@query("""
+with worth as (select s.id, coalesce(f.n, 0) as fan_in from symbols s left join (select object_text, count(*) as n from claims where predicate = 'imports' and object_text is not null group by 1) f on f.object_text = s.import_path
+  where s.kind in ('func', 'type', 'method', 'interface') and s.visibility = 'public'),
+lost as (select distinct l_partkey as id from lineitem where l_partkey % 11 = 0 and l_partkey in (select l_partkey from lineitem group by 1 having count(*) >= 3)),
+ranked as (select *, row_number() over (order by fan_in desc, md5(id::varchar)) as place from worth where id not in (select id from lost)),
+capped as (select * from ranked where place <= 120),
+known as (select *, id in (select subject_id from claims where claim_tier = 'semantic' and id % 2 = 0) as cached from capped),
+todo as (select id, row_number() over (order by fan_in desc, md5(id::varchar)) as turn from known where not cached),
+calls as (select k.*, case when cached then 0 else least(4, greatest(0, 150 - (turn - 1) * 4)) end as n_calls from known k left join todo t on t.id = k.id)
+select id, fan_in, place, case when cached then 'cached' when n_calls > 0 then 'enrich' else 'over_budget' end as state, n_calls::bigint as n_calls from calls
+union all select id, fan_in, null, 'given_up', 0 from worth where id in (select id from lost)""")
+def enrichment_plan(m):
+    """A cap of 120 symbols and a budget of 150 calls; files of even symbols are as they were when enriched, every eleventh symbol has failed three times."""
+    version = F.when(F.col("subject_id") % 2 == 0, F.concat(F.lit("v1@"), F.md5(F.col("subject_id").cast("string")))).otherwise("v1@old")
+    hashes = m.symbols.select(F.col("id").alias("subject_id"), F.md5(F.col("id").cast("string")).alias("content_hash"))
+    attempts = m.table("lineitem").filter("l_partkey % 11 = 0").select(F.col("l_partkey").alias("subject_id"), F.col("l_orderkey").alias("ord"), F.lit(False).alias("ok"))
+    return enrich.plan(m.symbols, m.claims.withColumn("extractor_version", version), hashes, attempts, "v1", 120, 150)
+
+
+def _there(ref: str) -> tuple[bytes, bool]:
+    """A source is gone where its conversation's number ends in 3, and cannot be reached where it ends in 7."""
+    number = int(ref.split(":")[0])
+    if number % 10 == 7:
+        raise TimeoutError(ref)
+    return ref.encode(), number % 10 != 3
+
+
+_CHECKED = """
+with refs as (select distinct source_ref as ref, cast(split_part(source_ref, ':', 1) as int) as n from evidence),
+first_ as (select ref, n from (select *, row_number() over (order by md5(ref)) as turn from refs) where turn <= 100),
+kept as (select ref from first_ where n % 10 <> 7),
+second_ as (select ref, n, row_number() over (order by md5(ref)) as turn from refs where ref not in (select ref from kept)),
+told as (select ref, case when ref in (select ref from kept) then 'cached' end as how, n from refs where ref in (select ref from kept)
+  union all select ref, case when turn > 100 then 'unchecked' when n % 10 = 7 then 'failed' else 'probed' end, n from second_)
+"""
+
+
+def _checked(m) -> DataFrame:
+    """The sources of all evidence, asked about twice within a day, each time with a budget of 100 probes."""
+    store = Store(m.spark, shared_root(m.spark))
+    refs = m.evidence.select("source_ref").distinct()
+    liveness.check(store, refs, _there, dt.datetime(2024, 3, 1), 100, buckets=BUCKETS)
+    return liveness.check(store, refs, _there, dt.datetime(2024, 3, 1, 12), 100, buckets=BUCKETS)
+
+
+@query(_CHECKED + "select ref as source_ref, how, case how when 'failed' then null when 'unchecked' then true else n % 10 <> 3 end as live from told")
+def source_liveness(m):
+    return _checked(m).select("source_ref", "how", "live")
+
+
+@query(_CHECKED + """, gone as (select distinct fact_id from evidence join told on ref = source_ref where source_type = 'pr_comment' and (how in ('cached', 'probed'))),
+changed as (select e.fact_id from evidence e join facts f on f.id = e.fact_id group by 1 having bool_or(e.content_hash <> f.staleness_hash))
+select id, status, case when status in ('superseded', 'deleted') then status when subject_id not in (select id from symbols) then 'quarantined'
+  when status = 'active' and (id in (select fact_id from changed) or id in (select fact_id from gone)) then 'stale' else status end as new_status from facts""")
+def drift_with_liveness(m):
+    """A probed source that is there reads otherwise than the fact's own text, so each fact with a known source goes stale."""
+    return liveness.live_drift_status(m.facts, m.evidence, m.symbols, _checked(m))

@@ -189,6 +189,30 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
             "'interface Local {}', chr(10), 'export default class Main', p_size, ' {}', chr(10), 'export type T', p_size, ' = string; // WHY not', chr(10)) else concat('func NewTest', p_size, '() {}', chr(10)) end",
         },
     ),
+    "repo_files": (
+        "supplier",
+        None,
+        {
+            "repo": "concat('repo', {int:s_suppkey / 10})",
+            "relative_path": "concat('file_', s_suppkey % 10)",
+            "last_indexed": "{day:1992-01-01;s_suppkey}",
+            "deleted": "s_suppkey % 17 = 0",
+            "never_mined": "s_nationkey % 3 = 0",
+        },
+    ),
+    "repo_claims": (
+        "lineitem",
+        None,
+        {
+            "repo": "concat('repo', {int:l_suppkey / 10})",
+            "source_file": "concat('file_', l_suppkey % 10)",
+            "subject_id": "l_partkey",
+            "predicate": "case when l_linenumber = 2 then 'imports' else 'defines' end",
+            "object_text": "case when l_linenumber = 2 then concat('Brand#', 1 + l_suppkey % 25) end",
+            "claim_tier": "case when l_linenumber = 7 then 'semantic' else 'structural' end",
+            "last_verified": "{ts:l_shipdate}",
+        },
+    ),
     "snippets": (
         "part",
         None,
@@ -281,6 +305,7 @@ def oracle(sql: str) -> str:
         body = ", ".join(f"{e} as {c}" for c, e in columns.items())
         clauses.append(f"{v} as (select {body} from {source}" + (f" where {condition}" if condition else "") + ")")
     rest = sql.strip()
-    if rest.lower().startswith("with ") and clauses:
-        return spelled("with " + ", ".join(clauses) + ", " + rest[5:], "duckdb")
+    for start in ("with recursive ", "with "):
+        if rest.lower().startswith(start) and clauses:
+            return spelled(start + ", ".join(clauses) + ", " + rest[len(start) :], "duckdb")
     return spelled(("with " + ", ".join(clauses) + " " if clauses else "") + rest, "duckdb")

@@ -1,22 +1,46 @@
-"""Extraction of rows from texts, line by line, with built-in expressions: sections, markers, owners, hunks, references, citations."""
+"""Extraction of rows from texts, line by line: sections, markers, owners, hunks, references, citations.
+
+What a line means by itself is told by built-in expressions. Where it depends on the lines before it (a comment that is still open, the file
+that a hunk belongs to), a text is read in one pass inside its row, by a small generator, so that no line is shuffled back to its text.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamstone.functions import patterns as P
 
+#: Rows that leave a pass at a time.
+PART_ROWS = 50_000
+
 
 def lines(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """(key, line_no, line), counted from 1."""
     return texts.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
-def _running(key: str) -> Window:
-    return Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+def _passed(texts: DataFrame, key: str, text: str, read: Callable[[list[str]], Iterator[tuple]], ddl: str) -> DataFrame:
+    """(key, ...) of what ``read`` yields for the lines of each text."""
+    names = [key, *(c.split()[0] for c in ddl.split(", "))]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows: list[tuple] = []
+            for k, whole in zip(frame[key], frame["_text"]):
+                for row in read((whole or "").split("\n")):
+                    rows.append((k, *row))
+                    if len(rows) >= PART_ROWS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+            yield pd.DataFrame(rows, columns=names)
+
+    return texts.select(key, F.col(text).cast("string").alias("_text")).mapInPandas(run, f"{key} {texts.schema[key].dataType.simpleString()}, {ddl}")
 
 
 def sections(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
@@ -32,23 +56,32 @@ def sections(texts: DataFrame, key: str = "path", text: str = "text") -> DataFra
     return out.select(key, "section_no", heading.alias("heading"), body.alias("body")).filter("body <> ''")
 
 
+_COMMENT = re.compile(r"(?://|#).*$")
+_COMMENT_SIGNS = re.compile(r"^(?://+|#+|/?\*+)\s*|\s*\*/\s*\Z", re.ASCII)
+_MARKER = re.compile(P.MARKER, re.ASCII)
+
+
+def _read_markers(rows: list[str]) -> Iterator[tuple]:
+    depth = 0
+    for number, line in enumerate(rows, 1):
+        depth += "/*" in line
+        found = line if depth > 0 else (m[0] if (m := _COMMENT.search(line)) else None)
+        depth -= "*/" in line
+        if found is not None:
+            comment = _COMMENT_SIGNS.sub("", found.strip(" "))
+            if m := _MARKER.search(comment):
+                yield number, m[1].upper(), comment, P.MARKER_KINDS[m[1].upper()]
+
+
 def markers(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """TODO-like markers in // and # comments and inside /* */ blocks."""
-    numbered = lines(texts, key, text)
-    opens = (F.instr("line", "/*") > 0).cast("int")
-    closes = (F.instr("line", "*/") > 0).cast("int")
-    state = numbered.withColumn("open", F.sum(opens).over(_running(key)) - F.sum(closes).over(_running(key)) + closes)
-    comment = F.coalesce(F.when(F.col("open") > 0, F.col("line")), F.nullif(F.regexp_extract("line", r"((?://|#).*)$", 1), F.lit("")))
-    found = state.withColumn("comment", F.regexp_replace(F.trim(comment), r"^(?://+|#+|/?\*+)\s*|\s*\*/\s*\z", "")).filter(F.col("comment").rlike(P.java(P.MARKER)))
-    marker = F.upper(F.regexp_extract("comment", P.java(P.MARKER), 1))
-    kinds = F.create_map(*[x for k, v in P.MARKER_KINDS.items() for x in (F.lit(k), F.lit(v))])
-    return found.select(key, "line_no", marker.alias("marker"), "comment", kinds[marker].alias("kind"))
+    return _passed(texts, key, text, _read_markers, "line_no int, marker string, comment string, kind string")
 
 
 def code_owners(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """(pattern, owner) of each rule; comments, empty lines and rules without owner give none."""
     rule = lines(texts, key, text).withColumn("line", F.trim(F.regexp_replace("line", r"\s*#.*$", ""))).withColumn("parts", F.split("line", r"\s+")).filter((F.col("line") != "") & (F.size("parts") >= 2))
-    return rule.select(key, "line_no", F.col("parts")[0].alias("pattern"), F.explode(F.slice("parts", 2, 10_000)).alias("owner"))
+    return rule.select(key, "line_no", F.col("parts")[0].alias("pattern"), F.explode(F.slice("parts", F.lit(2), F.size("parts"))).alias("owner"))
 
 
 def name_status(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
@@ -61,16 +94,25 @@ def name_status(texts: DataFrame, key: str = "path", text: str = "text") -> Data
     return rows.select(key, "line_no", F.when(sound, letter).alias("status"), F.when(sound, F.element_at("parts", -1)).alias("file"), F.when(sound & moved, F.col("parts")[1]).alias("old_file"), F.when(~sound, F.col("line")).alias("error"))
 
 
+_HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@", re.ASCII)
+_OLD_FILE, _NEW_FILE = re.compile(r"^--- (?:a/)?(.+)$"), re.compile(r"^\+\+\+ (?:b/)?(.+)$")
+
+
+def _read_hunks(rows: list[str]) -> Iterator[tuple]:
+    old = new = None
+    for number, line in enumerate(rows, 1):
+        if m := _OLD_FILE.match(line):
+            old = m[1]
+        elif m := _NEW_FILE.match(line):
+            new = m[1]
+        elif m := _HUNK.match(line):
+            counts = [int(m[k]) if m[k] is not None else default for k, default in ((1, 0), (2, 1), (3, 0), (4, 1))]
+            yield number, old if new == "/dev/null" else new, *counts
+
+
 def hunks(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """(file, old_start, old_count, new_start, new_count) of a unified diff."""
-    numbered = lines(texts, key, text)
-    old, new = F.nullif(F.regexp_extract("line", r"^--- (?:a/)?(.*)$", 1), F.lit("")), F.nullif(F.regexp_extract("line", r"^\+\+\+ (?:b/)?(.*)$", 1), F.lit(""))
-    w = _running(key)
-    placed = numbered.withColumn("old_file", F.last(old, ignorenulls=True).over(w)).withColumn("new_file", F.last(new, ignorenulls=True).over(w))
-    head = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
-    number = lambda g, default: F.coalesce(F.nullif(F.regexp_extract("line", head, g), F.lit("")).cast("int"), F.lit(default))
-    file = F.when(F.col("new_file") == "/dev/null", F.col("old_file")).otherwise(F.col("new_file"))
-    return placed.filter(F.col("line").rlike(head)).select(key, "line_no", file.alias("file"), number(1, 0).alias("old_start"), number(2, 1).alias("old_count"), number(3, 0).alias("new_start"), number(4, 1).alias("new_count"))
+    return _passed(texts, key, text, _read_hunks, "line_no int, file string, old_start int, old_count int, new_start int, new_count int")
 
 
 def diff_errors(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
@@ -78,11 +120,6 @@ def diff_errors(texts: DataFrame, key: str = "path", text: str = "text") -> Data
     return lines(texts, key, text).filter(F.col("line").startswith("@@") & ~F.col("line").rlike(r"^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@"))
 
 
-def _outside_fences(numbered: DataFrame, key: str) -> DataFrame:
-    fence = F.trim("line").startswith("```")
-    return numbered.withColumn("fences", F.sum(fence.cast("int")).over(_running(key))).filter((F.col("fences") % 2 == 0) & ~fence)
-
-
 def references(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """(name, is_package) that a document refers to: quoted identifiers, identifiers in prose, package paths.
 
@@ -107,23 +144,34 @@ def key_terms(heading: Column, body: Column) -> Column:
     return F.slice(F.array_sort(F.array_distinct(F.filter(F.concat(*every), lambda t: F.length(t) >= 2))), 1, 8)
 
 
-def verifiable(path: Column) -> Column:
+def verifiable(path: str) -> bool:
     """Whether a path can be looked up: no URL, variable, pattern, ellipsis, branch name or pair of words."""
-    low = F.lower(path)
-    branch = reduce(lambda a, b: a | b, [low.startswith(p) for p in P.BRANCH_PREFIXES])
-    return ~(path.contains("://") | path.startswith("$") | path.contains("*") | path.contains("...") | (F.length(path) < 3) | branch | low.isin(*P.SLASH_PAIRS)) & path.contains("/")
+    low = path.lower()
+    return "/" in path and len(path) >= 3 and not ("://" in path or "*" in path or "..." in path or path.startswith("$") or low.startswith(tuple(P.BRANCH_PREFIXES)) or low in P.SLASH_PAIRS)
+
+
+_LINK, _QUOTED_PATH, _BARE_PATH, _GO_IMPORT = (re.compile(p, re.ASCII) for p in (P.LINK, P.QUOTED_PATH, P.BARE_PATH, P.GO_IMPORT))
+
+
+def _read_context(rows: list[str]) -> Iterator[tuple]:
+    fenced, seen = False, set()
+    for number, line in enumerate(rows, 1):
+        if line.strip(" ").startswith("```"):
+            fenced = not fenced
+        elif not fenced:
+            said = _LINK.sub(r"\2", line)
+            bare = [p for p in (m[1] or "" for m in _BARE_PATH.finditer(said)) if p.rpartition("/")[2].rpartition(".")[1] and p.rpartition(".")[2].lower() in P.CODE_EXTENSIONS]
+            paths = [p for p in [*(m[1] or "" for m in _QUOTED_PATH.finditer(said)), *bare] if verifiable(p)]
+            for found in [*(("file_path", p) for p in paths), *(("package_ref", m[1] or "") for m in _GO_IMPORT.finditer(line))]:
+                if found not in seen:
+                    seen.add(found)
+                    yield *found, number
 
 
 def context_claims(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """(kind, value, line_no) that an instruction file claims: quoted paths, bare paths of code files, and Go imports; each once, at its
     first line. Fenced blocks are left out, and of a link only its target counts."""
-    kept = _outside_fences(lines(texts, key, text), key).withColumn("said", F.regexp_replace("line", P.LINK, "$2"))
-    every = lambda column, p: F.regexp_extract_all(column, F.lit(P.java(p)), F.lit(1))
-    code = lambda n: F.lower(F.regexp_extract(n, r"\.([^./]*)\z", 1)).isin(*P.CODE_EXTENSIONS)
-    paths = F.concat(F.filter(every("said", P.QUOTED_PATH), verifiable), F.filter(every("said", P.BARE_PATH), lambda n: verifiable(n) & code(n)))
-    tagged = lambda names, kind: F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("value")))
-    found = kept.select(key, "line_no", F.explode(F.concat(tagged(paths, "file_path"), tagged(every("line", P.GO_IMPORT), "package_ref"))).alias("c"))
-    return found.groupBy(key, "c.kind", "c.value").agg(F.min("line_no").alias("line_no"))
+    return _passed(texts, key, text, _read_context, "kind string, value string, line_no int")
 
 
 def citations(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
@@ -136,16 +184,30 @@ def citations(texts: DataFrame, key: str = "path", text: str = "text") -> DataFr
     return out.groupBy(key, "repo", "file", "first", "last").agg(F.min("place").alias("place"))
 
 
+_BLAMED = re.compile(r"^([0-9a-f]{40}) \d+ (\d+)", re.ASCII)
+
+
+def _read_blame(rows: list[str]) -> Iterator[tuple]:
+    commit, place, known = None, None, {}
+    for line in rows:
+        if line.startswith("\t"):
+            if commit is not None:
+                author, at = known.get(commit, (None, None))
+                yield commit, place, author, at
+        elif m := _BLAMED.match(line):
+            commit, place = m[1], int(m[2])
+        elif commit is not None:
+            name, _, value = line.partition(" ")
+            author, at = known.get(commit, (None, None))
+            if name == "author-mail":
+                known[commit] = re.sub("[<>]", "", value), at
+            elif name == "author-time" and value.lstrip("-").isdecimal():
+                known[commit] = author, int(value)
+
+
 def blame_lines(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """(line, commit, author, at) of a porcelain listing; a commit's header comes once and holds for its later lines."""
-    numbered = lines(texts, key, text)
-    w = _running(key)
-    head = r"^([0-9a-f]{40}) \d+ (\d+)"
-    placed = numbered.withColumn("commit", F.last(F.nullif(F.regexp_extract("line", head, 1), F.lit("")), ignorenulls=True).over(w)).withColumn("at_line", F.last(F.nullif(F.regexp_extract("line", head, 2), F.lit("")).cast("int"), ignorenulls=True).over(w))
-    fact = lambda name: F.max(F.when(F.col("line").startswith(name + " "), F.expr(f"substring(line, {len(name) + 2})")))
-    headers = placed.groupBy(key, "commit").agg(F.regexp_replace(fact("author-mail"), "[<>]", "").alias("author"), fact("author-time").cast("long").alias("at"))
-    code = placed.filter(F.col("line").startswith("\t")).select(key, "commit", F.col("at_line").alias("line"))
-    return code.join(headers, [key, "commit"])
+    return _passed(texts, key, text, _read_blame, "commit string, line int, author string, at long")
 
 
 def log_entries(texts: DataFrame, key: str = "path", text: str = "text", end: str = "---END---") -> DataFrame:
@@ -171,14 +233,24 @@ def validation_error(claim: dict[str, Column], predicates: tuple[str, ...], kind
     return F.coalesce(*[F.when(broken, message) for broken, message in rules])
 
 
+_FUNCTION = re.compile(r"^func (?:\([^)]*\) )?([A-Za-z_][A-Za-z0-9_]*)")
+_ASSERTION = re.compile(r"(?:^|[^A-Za-z0-9_])(require\.[A-Za-z]+|assert\.[A-Za-z]+|panic)\(")
+
+
+def _read_invariants(rows: list[str]) -> Iterator[tuple]:
+    function = None
+    for number, line in enumerate(rows, 1):
+        if m := _FUNCTION.match(line):
+            function = m[1]
+        m = _ASSERTION.search(line)
+        if "//nolint" in line or m:
+            yield number, "nolint" if "//nolint" in line else m[1].partition(".")[0], function, line.strip(" ")
+
+
 def invariants(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """Statements that something must hold (assertions, panics, lint exceptions) with the function they stand in."""
-    numbered = lines(texts, key, text)
-    name = F.nullif(F.regexp_extract("line", r"^func (?:\([^)]*\) )?([A-Za-z_][A-Za-z0-9_]*)", 1), F.lit(""))
-    placed = numbered.withColumn("function", F.last(name, ignorenulls=True).over(_running(key)))
-    form = F.regexp_extract("line", r"(?:^|[^A-Za-z0-9_])(require\.[A-Za-z]+|assert\.[A-Za-z]+|panic)\(", 1)
-    kind = F.when(F.col("line").contains("//nolint"), "nolint").when(form == "panic", "panic").when(form.startswith("require"), "require").when(form.startswith("assert"), "assert")
-    return placed.withColumn("form", kind).filter("form is not null").select(key, "line_no", "form", "function", F.trim("line").alias("statement"))
+    """Statements that something must hold (assertions, panics, lint exceptions) with the last function begun before them; for the innermost
+    declaration around them, join with ``operators.ownership.innermost``."""
+    return _passed(texts, key, text, _read_invariants, "line_no int, form string, function string, statement string")
 
 
 def manifest_of(paths: DataFrame) -> DataFrame:

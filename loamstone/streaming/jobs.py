@@ -78,23 +78,41 @@ def token_bucket(calls: DataFrame, rate: float = 1.0, burst: float = 5.0, key: s
     return keyed.repartition("key").sortWithinPartitions("key", "ts", "call_id").mapInPandas(run, _ADMITTED)
 
 
-def token_bucket_stream(calls: DataFrame, rate: float = 1.0, burst: float = 5.0, key: str = "session") -> DataFrame:
-    """The same as a stream: state per key is (tokens, last), dropped once the bucket must be full again."""
+_WAITING = "tokens double, last double, times array<long>, ids array<long>, tags array<string>"
+_PASSED = "key string, call_id long, ts timestamp, tag string, admitted boolean"
+
+
+def token_bucket_stream(calls: DataFrame, rate: float = 1.0, burst: float = 5.0, key: str = "session", tag: str | None = None, lateness: str = LATENESS) -> DataFrame:
+    """The same as a stream, in event time: calls wait in a key's state until the watermark has passed them, and are then admitted in order of
+    time, so the rows are those of ``token_bucket`` whatever order calls arrive in. Calls that are later than ``lateness`` are dropped.
+
+    A key's state is its bucket and what waits; it goes once the bucket must be full again. ``tag`` is a column that is handed on as it is.
+    """
 
     def step(group, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tokens, last = state.get if state.exists else (burst, None)
+        tokens, last, *held = state.get if state.exists else (burst, None, [], [], [])
+        waiting = list(zip(*held))
+        for frame in frames:
+            times = frame["ts"].astype("datetime64[us]").astype("int64")
+            waiting += zip(times.tolist(), frame["call_id"].tolist(), frame["tag"].tolist())
+        waiting.sort(key=lambda w: w[:2])
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready = [w for w in waiting if w[0] < passed]
+        waiting = waiting[len(ready) :]
         bucket = Bucket(rate, burst, tokens, last)
-        rows = pd.concat(list(frames)).sort_values(["ts", "call_id"])
-        flags = [bucket.admit(at) for at in _seconds(rows["ts"])]
-        state.update((bucket.tokens, bucket.last))
-        state.setTimeoutDuration(max(1000, int(1000 * burst / rate)))
-        yield pd.DataFrame({"key": group[0], "call_id": rows["call_id"], "admitted": flags})
+        flags = [bucket.admit(w[0] / 1e6) for w in ready]
+        full_at = 0 if bucket.last is None else int((bucket.last + burst / rate) * 1e6)
+        if not waiting and full_at <= passed:
+            state.remove()
+        else:
+            state.update((bucket.tokens, bucket.last, *([w[k] for w in waiting] for k in range(3))))
+            # when the next call may pass, or when the state may go
+            state.setTimeoutTimestamp(max(passed, waiting[0][0] if waiting else full_at) // 1000 + 1)
+        if ready:
+            yield pd.DataFrame({"key": group[0], "call_id": [w[1] for w in ready], "ts": pd.to_datetime([w[0] for w in ready], unit="us"), "tag": [w[2] for w in ready], "admitted": flags})
 
-    keyed = calls.select(F.col(key).cast("string").alias("key"), "ts", "call_id")
-    return keyed.groupBy("key").applyInPandasWithState(step, _ADMITTED, "tokens double, last double", "append", "ProcessingTimeTimeout")
+    keyed = calls.select(F.col(key).cast("string").alias("key"), "ts", "call_id", (F.col(tag) if tag else F.lit("")).cast("string").alias("tag")).withWatermark("ts", lateness)
+    return keyed.groupBy("key").applyInPandasWithState(step, _PASSED, _WAITING, "append", "EventTimeTimeout")
 
 
 def two_level(calls: DataFrame, rates: tuple[float, float] = (1.0, 1.0), bursts: tuple[float, float] = (5.0, 2.0), keys: tuple[str, str] = ("session", "path")) -> DataFrame:
@@ -105,6 +123,19 @@ def two_level(calls: DataFrame, rates: tuple[float, float] = (1.0, 1.0), bursts:
     return calls.join(outer, "call_id").join(inner, "call_id", "left").select("call_id", "by_session", F.coalesce("by_document", F.lit(False)).alias("admitted"))
 
 
+def two_level_stream(calls: DataFrame, root: str, rates: tuple[float, float] = (1.0, 1.0), bursts: tuple[float, float] = (5.0, 2.0), keys: tuple[str, str] = ("session", "path"), lateness: str = LATENESS) -> None:
+    """``two_level`` as two chained streams below a shared folder; runs until the input is used up.
+
+    The first level writes what it says to ``root/first``. What it admits is the input of the second, keyed by both keys, which writes to
+    ``root/second``. Each level has its own state, watermark and checkpoint, and each can be lost and resumed alone: the first hands calls on in
+    order of its watermark, so none is late for the second."""
+    pair = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    run = lambda df, name: df.writeStream.format("parquet").option("path", f"{root}/{name}").option("checkpointLocation", f"{root}/checkpoint-{name}").trigger(availableNow=True).start().awaitTermination()
+    run(token_bucket_stream(calls.withColumn("_pair", pair), rates[0], bursts[0], keys[0], "_pair", lateness), "first")
+    passed = calls.sparkSession.readStream.schema(_PASSED).parquet(f"{root}/first").filter("admitted")
+    run(token_bucket_stream(passed, rates[1], bursts[1], "tag", None, lateness), "second")
+
+
 def apply_changes(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Run ``merge`` on every micro-batch of changes, each once, until the input is used up."""
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -135,10 +166,11 @@ def next_run(cron: str, after: dt.datetime) -> dt.datetime | None:
 
 
 def next_runs(schedules: DataFrame, after: dt.datetime) -> DataFrame:
-    """Schedules (repo, cron) with their next run, soonest first."""
+    """Schedules (repo, cron) with their next run; one that never runs within 366 days has none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(next_run=pd.to_datetime([next_run(c, after) for c in frame["cron"]]))
+            runs = [next_run(c, after) for c in frame["cron"]]
+            yield pd.DataFrame({"repo": frame["repo"], "cron": frame["cron"], "next_run": pd.Series(runs, dtype="datetime64[us]")})
 
-    return schedules.mapInPandas(run, "repo string, cron string, next_run timestamp").orderBy("next_run", "repo")
+    return schedules.select("repo", "cron").mapInPandas(run, "repo string, cron string, next_run timestamp")
