@@ -166,7 +166,7 @@ _CHECKED = f"""{_CLAIMED},
 everything as (select path from tree union all select path from contexts),
 heads as (select distinct array_to_string(p[:k], '/') as known, k < len(p) as is_folder from (select p, unnest(range(1, len(p) + 1)) as k from (select string_split(path, '/') as p from everything))),
 tails as (select distinct array_to_string(p[k:], '/') as known from (select p, unnest(range(1, len(p) + 1)) as k from (select string_split(known, '/') as p from heads) where not list_has_any(p, [{_UNSEARCHED}]))),
-placed as (select path as context_file, value, {_normal('value')} as at_root, {_normal("concat(regexp_replace(path, '/?[^/]*$', ''), '/', regexp_replace(value, '^\./', ''))")} as beside from claimed where kind = 'file_path'),
+placed as (select path as context_file, value, {_normal('value')} as at_root, {_normal("concat(regexp_replace(path, '/?[^/]*$', ''), '/', regexp_replace(value, '^\\./', ''))")} as beside from claimed where kind = 'file_path'),
 checked as (select context_file, value, case when at_root in (select known from heads where not is_folder) then 'exact' when at_root in (select known from heads) then 'directory' when beside in (select known from heads) then 'relative'
   when at_root in (select known from tails) then 'suffix' else 'missing' end as found_as from placed)"""
 

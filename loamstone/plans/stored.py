@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstone.operators import enrich, globs, joins, liveness, reads, stats
+from loamstone.operators import enrich, globs, joins, liveness, pages, reads, stats
 from loamstone.operators import fulltext as fts
 from loamstone.sources.store import Store
 from loamstone.sources.tables import shared_root
@@ -333,3 +333,45 @@ select id, status, case when status in ('superseded', 'deleted') then status whe
 def drift_with_liveness(m):
     """A probed source that is there reads otherwise than the fact's own text, so each fact with a known source goes stale."""
     return liveness.live_drift_status(m.facts, m.evidence, m.symbols, _checked(m))
+
+
+# ---- package pages -------------------------------------------------------------------------------------------------
+
+_PAGED = "case id % 10 when 0 then 'Test' when 5 then 'Example' else 'S' end || case when id % 10 in (0, 5) then id else 1 + id % 200 end"
+
+
+@query(f"""
+with s as (select id, repo, import_path, {_PAGED} as name, case when kind in ('interface', 'method') then 'type' when kind in ('const', 'var') then 'func' else kind end as kind, visibility, language from symbols),
+m as (select s.*, c.predicate, c.object_text as o, c.source_file as f, c.claim_tier, c.last_verified, c.claim_key as k from s join page_claims c on c.subject_id = s.id),
+own as (select id, bool_or(predicate = 'has_kind' and o = 'interface') as face, arg_min(o, k) filter (predicate = 'has_kind' and o <> '') as first_kind, arg_max(o, k) filter (predicate = 'has_kind') as last_kind,
+  coalesce(string_agg(o, ', ' order by k) filter (predicate = 'encloses' and o <> ''), '') as methods from m group by 1),
+e as (select s.*, coalesce(face, false) as face, coalesce(nullif(first_kind, ''), 'Other') as fc, coalesce(nullif(last_kind, ''), 'Other') as tc, coalesce(methods, '') as methods from s left join own using (id)),
+fn as (select repo, import_path, fc as c, count(*) as n, string_agg(name, ', ' order by name) as l from e where kind = 'func' and visibility = 'public' and not regexp_matches(name, '^(Test|Benchmark|Example)') group by 1, 2, 3),
+fns as (select repo, import_path, '## Exported Functions by Category' || chr(10) || chr(10) || string_agg('**' || c || ' (' || n || '):** ' || l || chr(10), chr(10) order by c) || chr(10) as t from fn group by 1, 2),
+ty as (select repo, import_path, tc as c, string_agg(name, ', ' order by name) as l from e where kind = 'type' and visibility = 'public' and not face group by 1, 2, 3),
+tys as (select repo, import_path, '## Exported Types by Category' || chr(10) || chr(10) || string_agg('**' || c || ':** ' || l || chr(10), chr(10) order by c) || chr(10) as t from ty group by 1, 2),
+im as (select repo, import_path, o, string_agg(name, ', ' order by name) as l from m where predicate = 'implements' and o <> '' group by 1, 2, 3),
+fs as (select e.repo, e.import_path, '## Exported Interfaces (' || count(*) || ')' || chr(10) || chr(10) || '| Interface | Methods | Key Implementations |' || chr(10) || '| --- | --- | --- |' || chr(10)
+  || string_agg('| `' || name || '` | ' || methods || ' | ' || coalesce(l, '—') || ' |', chr(10) order by name, id) || chr(10) || chr(10) as t
+  from e left join im on im.repo = e.repo and im.import_path = e.import_path and im.o = e.name where kind = 'type' and visibility = 'public' and face group by 1, 2),
+sa as (select repo, import_path, name, string_agg('`' || o || '`', ', ' order by o) as l from m where predicate = 'implements' and o <> '' and visibility = 'public' group by 1, 2, 3),
+sas as (select repo, import_path, '## Implements' || chr(10) || chr(10) || string_agg('- `' || name || '` implements ' || l, chr(10) order by name) || chr(10) || chr(10) as t from sa group by 1, 2),
+up as (select distinct repo, import_path, substring(o, 13) as u from m where predicate = 'exports' and starts_with(o, 'reverse_dep:')),
+ups as (select repo, import_path, '## Used By' || chr(10) || chr(10) || count(*) || ' packages depend on this package:' || chr(10) || chr(10) || string_agg('- `' || u || '`', chr(10) order by u) || chr(10) || chr(10) as t from up group by 1, 2),
+dp as (select distinct repo, import_path, o as u from m where predicate = 'imports' and o <> ''),
+dps as (select repo, import_path, '## Cross-Package References' || chr(10) || chr(10) || '**Direct dependencies:**' || chr(10) || chr(10) || string_agg('- `' || u || '`', chr(10) order by u) || chr(10) || chr(10) as t from dp group by 1, 2),
+tf as (select repo, import_path, f, bool_or(predicate = 'is_test' and o = 'true') as told from m group by 1, 2, 3),
+tfs as (select repo, import_path, count(*) filter (not (coalesce(told, false) or ends_with(f, '_test.go'))) as n_s, count(*) filter (coalesce(told, false) or ends_with(f, '_test.go')) as n_t,
+  case when bool_or(told) then '## Test Coverage' || chr(10) || chr(10) || count(*) filter (told) || ' test files: ' || string_agg(f, ', ' order by f) filter (told) || chr(10) end as t from tf group by 1, 2),
+en as (select repo, import_path, chr(10) || '---' || chr(10) || chr(10) || '## Semantic Enrichment' || chr(10) || chr(10) || '> *Last enriched: ' || strftime(max(last_verified), '%Y-%m-%d %H:%M UTC') || '*' || chr(10) || '>' || chr(10)
+  || '> Semantic claims below are AI-generated snapshots and may be stale.' || chr(10) as t from m where claim_tier = 'semantic' group by 1, 2),
+pk as (select repo, import_path, arg_min(language, id) as language from s group by 1, 2)
+select pk.repo, pk.import_path, '# ' || pk.import_path || chr(10) || chr(10) || '> Tier 1 — Claims-backed structural documentation' || chr(10) || chr(10) || '**Import path:** `' || pk.import_path || '`' || chr(10)
+  || case when coalesce(n_s, 0) > 0 or coalesce(n_t, 0) > 0 then '**Source files:** ' || n_s || ' (non-test)' || case when n_t > 0 then ', ' || n_t || ' (test)' else '' end || chr(10) else '' end || '**Language:** ' || language || chr(10) || chr(10)
+  || coalesce(fs.t, '') || coalesce(sas.t, '') || coalesce(ups.t, '') || coalesce(dps.t, '') || coalesce(fns.t, '') || coalesce(tys.t, '') || coalesce(tfs.t, '') || coalesce(en.t, '') as markdown
+from pk left join fs using (repo, import_path) left join sas using (repo, import_path) left join ups using (repo, import_path) left join dps using (repo, import_path)
+  left join fns using (repo, import_path) left join tys using (repo, import_path) left join tfs using (repo, import_path) left join en using (repo, import_path)""")
+def package_pages(m):
+    kind = F.expr("case when kind in ('interface', 'method') then 'type' when kind in ('const', 'var') then 'func' else kind end")
+    symbols = m.symbols.withColumn("symbol_name", F.expr(_PAGED)).withColumn("kind", kind)
+    return pages.package_pages(pages.package_sections(symbols, m.page_claims, ["claim_key"]))

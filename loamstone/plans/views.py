@@ -213,6 +213,22 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
             "last_verified": "{ts:l_shipdate}",
         },
     ),
+    "page_claims": (
+        "lineitem",
+        None,
+        {
+            "claim_key": "concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', {int:l_quantity}, '-', {ymd:l_shipdate})",
+            "subject_id": "l_partkey",
+            "predicate": _labels("l_linenumber", ["has_kind", "imports", "exports", "encloses", "is_test", "implements", "purpose"], 1),
+            "object_text": "case l_linenumber when 1 then case l_suppkey % 4 when 0 then 'interface' when 1 then 'constructor' when 2 then 'utility' else '' end when 2 then concat('Brand#', 1 + l_suppkey % 25) "
+            "when 3 then case when l_suppkey % 2 = 0 then concat('reverse_dep:Brand#', 1 + l_suppkey % 25) else 'x' end when 4 then concat('M', l_suppkey % 6) when 5 then case when l_suppkey % 2 = 0 then 'true' else 'false' end "
+            "when 6 then concat('S', 1 + l_partkey * 7 % 200) end",
+            "source_file": "concat('file_', l_suppkey, case when l_suppkey % 3 = 0 then '_test.go' else '.go' end)",
+            "source_line": "{int:l_quantity}",
+            "claim_tier": "case when l_linenumber = 7 then 'semantic' else 'structural' end",
+            "last_verified": "{ts:l_shipdate}",
+        },
+    ),
     "snippets": (
         "part",
         None,
