@@ -63,6 +63,7 @@ CODE_EXTENSIONS = (
 UNSEARCHED_FOLDERS = (".git", "vendor", "node_modules", "_output")
 SOURCE_LINE = r"(?m)^\s*-\s+\[([^\]]+)\]\(([^)]+)\)\s*$"
 SOURCE_LINK = r"^/([^?#]+?)/-/blob/([^?#]+)\?(?:[^#]*&)?L(\d+)(?:-(\d+))?(?:[#&].*)?$"
+REPO_MENTION = r"\b(github\.com|gitlab\.com|bitbucket\.org)/[A-Za-z0-9._-]+/[A-Za-z0-9._-]+\b"
 GENERATED_SUFFIXES = ("_generated.go", "pb.go")
 GENERATED_PREFIX, GENERATED_INFIX = "zz_generated", "_zz_generated"
 MINING_PREFIXES, MINING_SUFFIXES = ("vendor/", "third_party/", "testdata/"), (".pb.go", "_gen.go", "_test.go")

@@ -224,6 +224,12 @@ def remote_parts(url: Column) -> tuple[Column, Column]:
     return F.regexp_extract(url, pattern, 1), F.regexp_extract(url, pattern, 2)
 
 
+def repo_name(place: Column) -> Column:
+    """The repository's name by its remote, or by the last folder of a path."""
+    named = remote_parts(place)[1]
+    return F.when(named != "", named).otherwise(F.regexp_replace(F.substring_index(F.regexp_replace(place, "/+\\z", ""), "/", -1), "\\.git\\z", ""))
+
+
 def commit_sha(text: Column) -> Column:
     return F.regexp_extract(text, P.java(r"\b([0-9a-f]{40})\b"), 1)
 

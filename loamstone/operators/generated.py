@@ -1,4 +1,4 @@
-"""Claims from a text model: a hook that a caller gives, called once per package inside the tasks."""
+"""Claims from a text model: a hook that a caller gives, called once per part of a package inside the tasks."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Predicates that a model fills, with the confidence given to each.
 CONFIDENCE = {"purpose": 0.7, "usage_pattern": 0.6, "complexity": 0.6, "stability": 0.5}
@@ -42,7 +43,7 @@ def generate(symbols: DataFrame, complete: Callable[[str, str], str]) -> DataFra
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for package, part in frame.groupby("import_path"):
+            for (package, _), part in frame.groupby(["import_path", "part"]):
                 for at in range(0, len(part), PROMPT_SYMBOLS):
                     ids = dict(zip(part["symbol_name"][at : at + PROMPT_SYMBOLS], part["id"][at : at + PROMPT_SYMBOLS]))
                     reply = parsed(complete("Describe each symbol as JSON.", f"Package {package}\n" + "\n".join(f"- {n}" for n in ids)))
@@ -51,5 +52,8 @@ def generate(symbols: DataFrame, complete: Callable[[str, str], str]) -> DataFra
                             rows += [(ids[name], p, str(t), CONFIDENCE[p]) for p, t in facts.items() if p in CONFIDENCE]
             yield pd.DataFrame(rows, columns=["subject_id", "predicate", "object_text", "confidence"])
 
-    ordered = symbols.select("import_path", "id", "symbol_name").repartition("import_path").sortWithinPartitions("import_path", "symbol_name", "id")
+    # a package's symbols are dealt to as many parts as it takes prompts, so that a large package is many tasks' work
+    sizes = symbols.groupBy("import_path").agg(F.ceil(F.count(F.lit(1)) / PROMPT_SYMBOLS).alias("parts"))
+    dealt = symbols.select("import_path", "id", "symbol_name").join(sizes, "import_path").withColumn("part", F.pmod(F.xxhash64("symbol_name"), F.col("parts")))
+    ordered = dealt.select("import_path", "part", "id", "symbol_name").repartition("import_path", "part").sortWithinPartitions("import_path", "part", "symbol_name", "id")
     return ordered.mapInPandas(run, CLAIMS)

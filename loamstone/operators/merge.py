@@ -36,6 +36,13 @@ def guarded_replace(existing: DataFrame, incoming: DataFrame, family: str = "ext
     return replace_claims(existing, incoming, family, file) if incoming.limit(1).count() else existing
 
 
+def empty_extractions(existing: DataFrame, incoming: DataFrame, extracted: DataFrame, family: str = "extractor", file: str = "source_file") -> DataFrame:
+    """Extractions (extractor, file) that were run and gave no claim although the file has some: each is taken for a failure of its own, and
+    ``replace_claims`` leaves the file's claims as they are."""
+    key = [family, file]
+    return extracted.select(*key).distinct().join(incoming.select(*key).distinct(), key, "left_anti").join(existing.select(*key).distinct(), key, "left_semi")
+
+
 def inserted_claims(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Existing and incoming claims; an object of 0 means none."""
     return existing.unionByName(incoming.withColumn("object_id", F.nullif("object_id", F.lit(0))), allowMissingColumns=True)
@@ -163,8 +170,15 @@ def drift_status(facts: DataFrame, evidence: DataFrame, symbols: DataFrame) -> D
     return joined.select("id", "status", status.alias("new_status"))
 
 
-def apply_verdicts(facts: DataFrame, verdicts: DataFrame, now: Column) -> DataFrame:
-    """accept: verified now; downgrade: confidence times 0.6; reject: stale. Facts without verdict stay."""
+def without_fact(facts: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows of ``named`` (id, ...) whose fact is not there."""
+    return named.join(facts.select("id"), "id", "left_anti")
+
+
+def apply_verdicts(facts: DataFrame, verdicts: DataFrame, now: Column, strict: bool = False) -> DataFrame:
+    """accept: verified now; downgrade: confidence times 0.6; reject: stale. Facts without verdict stay. ``strict`` raises where a verdict's fact is not there."""
+    if strict and (first := without_fact(facts, verdicts).first()):
+        raise LookupError(f"no such fact: {first['id']}")
     joined = facts.join(verdicts, "id", "left")
     return joined.select(
         "id",
@@ -232,9 +246,10 @@ def _nearest(sent, shared: int):
                 both = np.bincount(np.concatenate(met), minlength=len(ids)) if met else np.zeros(len(ids), np.int64)
                 near = np.flatnonzero((both >= shared) & (keys != key))
                 if len(near):
-                    jaccard = both[near] / (len(tokens) + sizes[near] - both[near])
-                    best = near[np.lexsort((ids[near], jaccard))[-1]]
-                    rows.append((i, int(ids[best]), float(both[best] / (len(tokens) + sizes[best] - both[best]))))
+                    # rounded before the best is chosen, as the shuffled way does
+                    jaccard = np.round(both[near] / (len(tokens) + sizes[near] - both[near]), 9)
+                    best = np.lexsort((ids[near], jaccard))[-1]
+                    rows.append((i, int(ids[near[best]]), float(jaccard[best])))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows) if rows else [()] * 3, (pa.int64(), pa.int64(), pa.float64()))], ["id", "nearest", "jaccard"])
 
     return run

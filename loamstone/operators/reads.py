@@ -126,13 +126,13 @@ def feedback_of(feedback: DataFrame, fact_id: int) -> DataFrame:
 def documents_in_order(documents: DataFrame) -> DataFrame:
     """Documents with their place in the list: refreshed last first, then by id.
 
-    Days are counted first, so that no task ranks more than the documents of one day.
+    Documents are counted by day first, so that no task ranks more than those of one day, whatever the times are.
     """
-    days = documents.groupBy("last_refreshed").agg(F.count(F.lit(1)).alias("n"))
-    before = days.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("last_refreshed")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per day
-    within = documents.withColumn("within", F.row_number().over(Window.partitionBy("last_refreshed").orderBy("doc_id")))
-    on = within["last_refreshed"].eqNullSafe(before["last_refreshed"])
-    return within.join(before, on).select("doc_id", within["last_refreshed"], (F.col("before") + F.col("within")).cast("long").alias("place"))
+    dated = documents.withColumn("_day", F.to_date("last_refreshed"))
+    days = dated.groupBy("_day").agg(F.count(F.lit(1)).alias("n"))
+    before = days.select(F.col("_day").alias("_on"), F.coalesce(F.sum("n").over(Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row per day
+    within = dated.withColumn("within", F.row_number().over(Window.partitionBy("_day").orderBy(F.desc("last_refreshed"), "doc_id")))
+    return within.join(before, F.col("_day").eqNullSafe(F.col("_on"))).select("doc_id", "last_refreshed", (F.col("before") + F.col("within")).cast("long").alias("place"))
 
 
 def anchors_in_state(anchors: DataFrame, state: str) -> DataFrame:

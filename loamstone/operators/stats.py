@@ -192,12 +192,13 @@ def keep_last_revisions(revisions: DataFrame, n: int = 5) -> DataFrame:
 def eviction(files: DataFrame, cap: Column) -> DataFrame:
     """Rows to evict until the live size is within the cap: tombstones first, then the oldest.
 
-    Sizes are summed per (tombstone, day) first, so the running sum is over one row per day and within one day's rows.
+    Sizes are summed per (tombstone, day) first, so the running sum is over one row per day and within one day's rows, whatever the times are.
     """
-    days = files.groupBy("repo", "deleted", "last_indexed").agg(F.sum("size_bytes").alias("day_bytes"))
+    dated = files.withColumn("_day", F.to_date("last_indexed"))
+    days = dated.groupBy("repo", "deleted", "_day").agg(F.sum("size_bytes").alias("day_bytes"))
     total = files.groupBy("repo").agg(F.sum("size_bytes").alias("total_bytes"))
-    before_day = Window.partitionBy("repo").orderBy(F.desc("deleted"), "last_indexed").rowsBetween(Window.unboundedPreceding, -1)
+    before_day = Window.partitionBy("repo").orderBy(F.desc("deleted"), "_day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumn("days_before", F.coalesce(F.sum("day_bytes").over(before_day), F.lit(0))).drop("day_bytes")
-    in_day = Window.partitionBy("repo", "deleted", "last_indexed").orderBy("relative_path").rowsBetween(Window.unboundedPreceding, -1)
-    placed = files.withColumn("day_before", F.coalesce(F.sum("size_bytes").over(in_day), F.lit(0))).join(days, ["repo", "deleted", "last_indexed"]).join(total, "repo")
+    in_day = Window.partitionBy("repo", "deleted", "_day").orderBy("last_indexed", "relative_path").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dated.withColumn("day_before", F.coalesce(F.sum("size_bytes").over(in_day), F.lit(0))).join(days, ["repo", "deleted", "_day"]).join(total, "repo")
     return placed.filter(F.col("total_bytes") - F.col("days_before") - F.col("day_before") > cap).select("repo", "relative_path", "deleted", "size_bytes")

@@ -85,6 +85,6 @@ def cron_next_runs(m):
 
 @query("""
 select id as subject_id, p.predicate, p.predicate || ' of ' || symbol_name as object_text, p.confidence from symbols,
-  (values ('purpose', 0.7e0), ('usage_pattern', 0.6e0), ('complexity', 0.6e0), ('stability', 0.5e0)) p(predicate, confidence) where import_path = 'Brand#3'""")
+  (values ('purpose', 0.7e0), ('usage_pattern', 0.6e0), ('complexity', 0.6e0), ('stability', 0.5e0)) p(predicate, confidence)""")
 def llm_stub_generate(m):
-    return generated.generate(m.symbols.filter("import_path = 'Brand#3'"), generated.stand_in).select("subject_id", "predicate", "object_text", F.col("confidence"))
+    return generated.generate(m.symbols, generated.stand_in).select("subject_id", "predicate", "object_text", F.col("confidence"))

@@ -175,13 +175,22 @@ def context_claims(texts: DataFrame, key: str = "path", text: str = "text") -> D
 
 
 def citations(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """(repo, file, first, last) of the list links of an answer, each once, at its first place."""
+    """(repo, file, first, last) of the list links of an answer, each once, at its first place. A link to line 0 is none; an end before its begin is the begin."""
     # the separator cannot stand in a link
     rows = texts.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(P.SOURCE_LINE), 2)).alias("place", "link")).filter(F.col("link").rlike(P.java(P.SOURCE_LINK)))
     part = lambda g: F.regexp_extract("link", P.java(P.SOURCE_LINK), g)
-    first = part(3).cast("int")
-    out = rows.select(key, "place", part(1).alias("repo"), part(2).alias("file"), first.alias("first"), F.coalesce(F.nullif(part(4), F.lit("")).cast("int"), first).alias("last"))
-    return out.groupBy(key, "repo", "file", "first", "last").agg(F.min("place").alias("place"))
+    first, last = part(3).try_cast("int"), F.nullif(part(4), F.lit("")).try_cast("int")
+    out = rows.select(key, "place", part(1).alias("repo"), part(2).alias("file"), first.alias("first"), F.when(last >= first, last).otherwise(first).alias("last"))
+    return out.filter("first > 0").groupBy(key, "repo", "file", "first", "last").agg(F.min("place").alias("place"))
+
+
+def manifest_entries(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+    """(repo, file, first, last, fuzzy) of an answer: its citations, or, where it has none, a fuzzy entry for each repository that its prose names."""
+    cited = citations(texts, key, text).select(key, "repo", "file", "first", "last", F.lit(False).alias("fuzzy"))
+    named = F.array_distinct(F.regexp_extract_all(text, F.lit(P.java(P.REPO_MENTION)), F.lit(0)))
+    prose = texts.join(cited.select(key).distinct(), key, "left_anti").select(key, F.explode(named).alias("repo"))
+    none = F.lit(None)
+    return cited.unionByName(prose.select(key, "repo", none.cast("string").alias("file"), none.cast("int").alias("first"), none.cast("int").alias("last"), F.lit(True).alias("fuzzy")))
 
 
 _BLAMED = re.compile(r"^([0-9a-f]{40}) \d+ (\d+)", re.ASCII)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -244,3 +245,71 @@ def test_lines_stay_with_their_text(spark):
     for read in (lines.markers, lines.hunks, lines.context_claims, lines.blame_lines, lines.invariants):
         assert "Exchange" not in read(texts)._jdf.queryExecution().executedPlan().toString()
         assert read(texts.withColumn("text", F.lit(None).cast("string"))).count() == 0
+
+
+# ---- documents, entries, checks ------------------------------------------------------------------------------------
+
+
+def test_saved_documents(spark, tmp_path):
+    from loamstone.operators.documents import Documents
+
+    kept = Documents(Store(spark, str(tmp_path / "d")), "document_id string, answer string, status string", max_revisions=2, buckets=2)
+    make = lambda *listed: spark.createDataFrame(list(listed), "document_id string, answer string, status string")
+    for n in range(4):
+        assert kept.save(make(("a", f"v{n}", "fresh"), *([("b", "only", "fresh")] if n == 0 else [])), "s", n)
+    assert not kept.save(make(("a", "v0", "fresh")), "s", 3)
+    assert rows(kept.documents(), "document_id", "answer") == [("a", "v3"), ("b", "only")]
+    assert rows(kept.revisions(), "document_id", "answer", "revision_num") == [("a", "v1", 2), ("a", "v2", 3)]
+    kept.update_status(spark.createDataFrame([("a", "stale")], "document_id string, status string"))
+    with pytest.raises(LookupError):
+        kept.update_status(spark.createDataFrame([("a", "x"), ("z", "x")], "document_id string, status string"))
+    assert rows(kept.documents(), "document_id", "status") == [("a", "stale"), ("b", "fresh")]
+    for bad in (make((None, "x", "fresh")), make(("", "x", "fresh")), make(("c", "x", "f"), ("c", "y", "f"))):
+        with pytest.raises(ValueError):
+            kept.save(bad)
+    kept.delete(spark.createDataFrame([("a",)], "document_id string"))
+    assert rows(kept.documents(), "document_id") == [("b",)] and kept.revisions().count() == 0
+
+
+def test_entries_of_prose(spark):
+    texts = [("cited", "- [a](/r/-/blob/f.go?L9-3)\n- [zero](/r/-/blob/f.go?L0)\nsee github.com/x/y"), ("prose", "in github.com/a/b and gitlab.com/c/d.e, github.com/a/b; not example.com/a/b"), ("none", "nothing"), ("null", None)]
+    found = lines.manifest_entries(spark.createDataFrame(texts, "path string, text string"))
+    assert rows(found, "path", "repo", "first", "last", "fuzzy") == [("cited", "r", 9, 9, False), ("prose", "github.com/a/b", None, None, True), ("prose", "gitlab.com/c/d.e", None, None, True)]
+
+
+def test_order_of_times(spark):
+    docs = spark.createDataFrame([(1, dt.datetime(2024, 1, 2, 5)), (2, dt.datetime(2024, 1, 2, 9)), (3, dt.datetime(2024, 1, 3)), (4, None), (5, dt.datetime(2024, 1, 2, 9))], "doc_id long, last_refreshed timestamp")
+    assert [r["doc_id"] for r in reads.documents_in_order(docs).orderBy("place").collect()] == [3, 2, 5, 1, 4]
+    files = spark.createDataFrame([("r", f"f{k}", k == 4, 10, dt.datetime(2024, 1, 1, k)) for k in range(5)], "repo string, relative_path string, deleted boolean, size_bytes int, last_indexed timestamp")
+    assert rows(stats.eviction(files, F.lit(25)), "relative_path") == [("f0",), ("f1",), ("f4",)]
+
+
+def test_nearest_body_both_ways(spark, monkeypatch):
+    from loamstone.operators import merge
+
+    rng = random.Random(2)
+    facts = spark.createDataFrame([(k, " ".join(rng.choices("abcdefghij", k=6))) for k in range(120)], "id long, body string")
+    inside = rows(merge.nearest_body(facts, recent=30))
+    monkeypatch.setattr(merge, "BROADCAST_TOKENS", -1)
+    assert rows(merge.nearest_body(facts, recent=30)) == inside and len(inside) > 100
+
+
+def test_checks_of_single_rows(spark):
+    from loamstone.functions import text as T
+    from loamstone.operators import generated, merge
+
+    facts = spark.createDataFrame([(1, "active", 0.5, "t")], "id long, status string, confidence double, last_verified string")
+    verdicts = spark.createDataFrame([(1, "accept"), (2, "reject")], "id long, verdict string")
+    assert merge.apply_verdicts(facts, verdicts, F.lit("now")).first()["last_verified"] == "now"
+    with pytest.raises(LookupError):
+        merge.apply_verdicts(facts, verdicts, F.lit("now"), strict=True)
+    key = "extractor string, source_file string"
+    old, new, ran = (spark.createDataFrame(x, key) for x in ([("go", "a"), ("go", "b"), ("py", "c")], [("go", "a")], [("go", "a"), ("go", "b"), ("go", "z")]))
+    assert rows(merge.empty_extractions(old, new, ran)) == [("go", "b")]
+    names = spark.createDataFrame([("https://host/o/repo.git",), ("git@host:o/r",), ("/home/me/work/",), ("work.git",)], "p string")
+    assert [r[0] for r in names.select(T.repo_name(F.col("p"))).collect()] == ["repo", "r", "work", "work"]
+    # a large package is several prompts in several tasks, and every symbol is asked about once
+    symbols = spark.range(1000).select("id", F.lit("big").alias("import_path"), F.concat(F.lit("S"), "id").alias("symbol_name"))
+    made = generated.generate(symbols, generated.stand_in)
+    assert made.count() == 4000 and made.select("subject_id").distinct().count() == 1000
+    assert re.search(r"hashpartitioning\(import_path#\d+, part#\d+", made._jdf.queryExecution().toString())
