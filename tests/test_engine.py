@@ -312,4 +312,4 @@ def test_checks_of_single_rows(spark):
     symbols = spark.range(1000).select("id", F.lit("big").alias("import_path"), F.concat(F.lit("S"), "id").alias("symbol_name"))
     made = generated.generate(symbols, generated.stand_in)
     assert made.count() == 4000 and made.select("subject_id").distinct().count() == 1000
-    assert re.search(r"hashpartitioning\(import_path#\d+, part#\d+", made._jdf.queryExecution().toString())
+    assert re.search(r"hashpartitioning\([^)]*part#", made._jdf.queryExecution().toString())
