@@ -12,8 +12,8 @@ transition interpolated with the class frequency, and additive smoothing of the
 
 Tokens are kept as numbers: every slice of documents becomes one row with its own dictionary. Dictionary entries, not tokens,
 are dealt by hash to count each word over all training documents; each brings the classes of its neighbours, two bytes an
-occurrence, and a count and a class go back to the slice. So what moves grows with the corpus, a frequent word costs one entry per
-slice, and no task or driver holds the vocabulary. The driver fits the classes of the head from at most the square of ``HEAD + 1``
+occurrence up to ``DENSE`` of them and counts by class beyond, and a count and a class go back to the slice. So what moves grows
+with the corpus, a frequent word costs a bounded entry per slice, and no task or driver holds the vocabulary. The driver fits the classes of the head from at most the square of ``HEAD + 1``
 numbers; a sweep brings it the square of ``CLASSES`` numbers twice. The head is chosen by the counts of each slice's own ``TOPS``
 most frequent words; all its words are counted over everything like any other.
 
@@ -52,6 +52,8 @@ FOLDS = 10
 SLICE = 4_000_000
 #: Dictionary entries per bucket of the counting step, and words whose profiles are spread out at a time.
 BUCKET_ENTRIES, PROFILES = 1_000_000, 20_000
+#: A word that occurs more often in a slice is sent with counts of its neighbours' classes instead of the neighbours.
+DENSE = 192
 #: Marks of words and neighbours without a class yet.
 OPEN = 255
 
@@ -137,8 +139,10 @@ def _pairs(words_sent):
     return run
 
 
-def _deal(buckets: int, head_sent):
-    """A slice's dictionary by bucket: words, training counts, and the classes around each training occurrence of open words."""
+def _deal(buckets: int, head_sent, dense: int):
+    """A slice's dictionary by bucket: words, training counts, and the classes around each training occurrence of open words.
+
+    Of a word with more than ``dense`` occurrences go the counts of the classes before and after it, so that no word sends more than those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: Head = head_sent.value
@@ -154,25 +158,41 @@ def _deal(buckets: int, head_sent):
                 told = np.flatnonzero(np.repeat(~_array(held, bool), _array(sizes, np.uint32)) & (seq == OPEN))
                 told = told[np.argsort(tokens[told], kind="stable")]
                 left, right = left[told], right[told]
-                begins = np.r_[0, np.cumsum(np.where(of == OPEN, counts, 0), dtype=np.int64)]
+                often = np.flatnonzero((of == OPEN) & (counts > dense))
+                packed = (counts > dense)[tokens[told]]
+                own = np.searchsorted(often, tokens[told][packed])
+                summed = np.concatenate([_class_counts(own, x[packed], len(often)) for x in (left, right)], axis=1).astype(np.uint32)
+                left, right = left[~packed], right[~packed]
+                begins = np.r_[0, np.cumsum(np.where((of == OPEN) & (counts <= dense), counts, 0), dtype=np.int64)]
                 # a dictionary is sorted, so ranges of the hash are runs of it
                 bucket = np.minimum((words >> np.uint64(32)) // np.uint64(max(1, (1 << 32) // buckets)), np.uint64(buckets - 1))
                 present, begin = np.unique(bucket, return_index=True)
                 spans = list(zip(begin.tolist(), [*begin[1:].tolist(), len(words)]))
                 blobs = [[x[lo:hi].tobytes() for lo, hi in spans] for x in (words, counts)] + [[x[begins[lo] : begins[hi]].tobytes() for lo, hi in spans] for x in (left, right)]
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(spans)), pa.array(present.astype(np.int32)), *[pa.array(b, pa.binary()) for b in blobs]], ["slice", "bucket", "words", "counts", "left", "right"])
+                blobs.append([summed[slice(*np.searchsorted(often, span))].tobytes() for span in spans])
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(spans)), pa.array(present.astype(np.int32)), *[pa.array(b, pa.binary()) for b in blobs]], ["slice", "bucket", "words", "counts", "left", "right", "dense"])
 
     return run
 
 
-_COUNTED = "bucket int, slices array<string>, sizes binary, place binary, totals binary, fixed binary, times binary, left binary, right binary"
+_DEALT = "slice string, bucket int, words binary, counts binary, left binary, right binary, dense binary"
+_COUNTED = "bucket int, slices array<string>, sizes binary, place binary, totals binary, fixed binary, times binary, left binary, right binary, often binary, dense binary"
+#: What ``_profiles`` reads.
+_AROUND = ("times", "left", "right", "often", "dense")
+
+
+def _class_counts(own: np.ndarray, near: np.ndarray, n: int) -> np.ndarray:
+    """How often each class stands near each of ``n`` words; neighbours without a class do not count."""
+    known = near != OPEN
+    return np.bincount(own[known] * CLASSES + near[known], minlength=n * CLASSES).reshape(n, CLASSES)
 
 
-def _count(head_sent):
+def _count(head_sent, dense: int):
     def count(table: pa.Table) -> pa.Table:
         """Total training counts of a bucket's words, the classes of those that are not exchanged, and the neighbours of the others.
 
-        ``place`` says which word each entry of each slice is; ``times`` has the occurrences of every word to be exchanged.
+        ``place`` says which word each entry of each slice is; ``times`` has, of every word to be exchanged, the occurrences that came with
+        their neighbours, and ``often`` names those words that came with counts, too, whose sums are ``dense``.
         """
         head: Head = head_sent.value
         words = [_array(x, np.uint64) for x in table.column("words")]
@@ -182,10 +202,17 @@ def _count(head_sent):
         fixed = head.classes(seen)
         is_open = fixed == OPEN
         fixed[is_open & (totals < MIN_COUNT)] = RARE
-        owner = np.repeat(place, np.where(is_open[place], counts, 0))
+        single = np.where(is_open[place] & (counts <= dense), counts, 0)
+        owner = np.repeat(place, single)
         order = np.argsort(owner, kind="stable")
         order = order[fixed[owner[order]] == OPEN]
         left, right = (np.concatenate([_array(x, np.uint8) for x in table.column(c)])[order] for c in ("left", "right"))
+        exchanged = np.cumsum(fixed == OPEN) - 1
+        packed = place[is_open[place] & (counts > dense)]
+        kept = fixed[packed] == OPEN
+        often, which = np.unique(exchanged[packed[kept]], return_inverse=True)
+        sums = np.zeros((len(often), 2 * CLASSES), dtype=np.int64)
+        np.add.at(sums, which, np.concatenate([_array(x, np.uint32) for x in table.column("dense")]).reshape(-1, 2 * CLASSES)[kept].astype(np.int64))
         row = {
             "bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()),
             "slices": pa.array([table.column("slice").to_pylist()], pa.list_(pa.string())),
@@ -193,9 +220,11 @@ def _count(head_sent):
             "place": place.astype(np.uint32),
             "totals": totals,
             "fixed": fixed,
-            "times": totals[fixed == OPEN],
+            "times": np.bincount(place, weights=single, minlength=len(seen)).astype(np.int64)[fixed == OPEN],
             "left": left,
             "right": right,
+            "often": often.astype(np.uint32),
+            "dense": sums,
         }
         return pa.table({c: pa.array([v.tobytes()], pa.binary()) if isinstance(v, np.ndarray) else v for c, v in row.items()})
 
@@ -275,15 +304,17 @@ def joined_classes(out: np.ndarray, into: np.ndarray, grid: np.ndarray) -> np.nd
 def _profiles(row: dict[str, pa.Scalar]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Counts of the classes after and before each word to be exchanged, some words at a time."""
     times, left, right = _array(row["times"], np.int64), _array(row["left"], np.uint8), _array(row["right"], np.uint8)
+    often, dense = _array(row["often"], np.uint32).astype(np.int64), _array(row["dense"], np.int64).reshape(-1, 2 * CLASSES)
     ends = np.r_[0, np.cumsum(times)]
     for a in range(0, len(times), PROFILES):
         n = times[a : a + PROFILES]
         own = np.repeat(np.arange(len(n)), n)
+        here = slice(*np.searchsorted(often, (a, a + len(n))))
         sides = []
-        for around in (right, left):
-            near = around[ends[a] : ends[a + len(n)]]
-            known = near != OPEN
-            sides.append(np.bincount(own[known] * CLASSES + near[known], minlength=len(n) * CLASSES).reshape(len(n), CLASSES).astype(np.float64))
+        for around, counted in ((right, dense[:, CLASSES:]), (left, dense[:, :CLASSES])):
+            side = _class_counts(own, around[ends[a] : ends[a + len(n)]], len(n))
+            side[often[here] - a] += counted[here]
+            sides.append(side.astype(np.float64))
         yield sides[0], sides[1]
 
 
@@ -447,16 +478,16 @@ def score(docs: DataFrame, head_words: int = HEAD) -> DataFrame:
     buckets = 32
     while buckets * BUCKET_ENTRIES < entries and buckets < 1 << 30:
         buckets *= 2
-    dealt = slices.select("slice", "held", "sizes", "tokens", "words", "counts").mapInArrow(_deal(buckets, head), "slice string, bucket int, words binary, counts binary, left binary, right binary")
-    counted = stored(dealt.groupBy("bucket").applyInArrow(_count(head), _COUNTED), "word-counts")
+    dealt = slices.select("slice", "held", "sizes", "tokens", "words", "counts").mapInArrow(_deal(buckets, head, DENSE), _DEALT)
+    counted = stored(dealt.groupBy("bucket").applyInArrow(_count(head, DENSE), _COUNTED), "word-counts")
 
     # 3. sweeps over all words but the head: the classes follow from the class bigrams of the sweep before
     grid = own
     for _ in range(TAIL_SWEEPS - 1):
-        added = _summed(counted.select("times", "left", "right").mapInArrow(_sweep(send(grid)), "cell int, n long"), ALL_CLASSES * 2 * CLASSES).reshape(ALL_CLASSES, 2 * CLASSES)[:CLASSES]
+        added = _summed(counted.select(*_AROUND).mapInArrow(_sweep(send(grid)), "cell int, n long"), ALL_CLASSES * 2 * CLASSES).reshape(ALL_CLASSES, 2 * CLASSES)[:CLASSES]
         grid = own + added[:, :CLASSES] + added[:, CLASSES:].T
     last = send(grid)
-    tokens, seen, once = _summed(counted.select("totals", "fixed", "times", "left", "right").mapInArrow(_facts(last), "cell int, n long"), 3 * ALL_CLASSES).reshape(3, ALL_CLASSES)
+    tokens, seen, once = _summed(counted.select("totals", "fixed", *_AROUND).mapInArrow(_facts(last), "cell int, n long"), 3 * ALL_CLASSES).reshape(3, ALL_CLASSES)
 
     # 4. counts and classes meet their slices; class bigrams, then scores
     back = counted.mapInArrow(_back(last), "slice string, bucket int, totals binary, classes binary").groupBy("slice").agg(F.collect_list(F.struct("bucket", "totals", "classes")).alias("parts"))
