@@ -127,3 +127,8 @@ def maintain(stream: DataFrame, store: Store, checkpoint: str, name: str = "file
         apply_batch(store, batch, name, number, version, buckets)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def full_load(files: DataFrame, ord_: int = 0) -> DataFrame:
+    """Every (repo, path, text) file as an addition: the changes of a repository that is read for the first time."""
+    return files.select("repo", "path", F.lit("A").alias("status"), "text", F.lit(ord_).cast("long").alias("ord"))

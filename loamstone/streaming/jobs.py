@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
+
+from loamstone.sources.code import CLAIMS, extract
+from loamstone.sources.tables import Catalogue
 
 LATENESS = "1 hour"
 
@@ -78,12 +82,32 @@ def token_bucket(calls: DataFrame, rate: float = 1.0, burst: float = 5.0, key: s
     return keyed.repartition("key").sortWithinPartitions("key", "ts", "call_id").mapInPandas(run, _ADMITTED)
 
 
+def token_bucket_stream(calls: DataFrame, rate: float = 1.0, burst: float = 5.0, key: str = "session") -> DataFrame:
+    """Which calls a bucket admits as they arrive: each is answered in its own micro-batch, in the order of arrival. State per key is (tokens, last),
+    dropped once the bucket must be full again; ``ordered_bucket_stream`` waits for calls that come late instead."""
+
+    def step(group, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        tokens, last = state.get if state.exists else (burst, None)
+        bucket = Bucket(rate, burst, tokens, last)
+        rows = pd.concat(list(frames)).sort_values(["ts", "call_id"])
+        flags = [bucket.admit(at) for at in _seconds(rows["ts"])]
+        state.update((bucket.tokens, bucket.last))
+        state.setTimeoutDuration(max(1000, int(1000 * burst / rate)))
+        yield pd.DataFrame({"key": group[0], "call_id": rows["call_id"], "admitted": flags})
+
+    keyed = calls.select(F.col(key).cast("string").alias("key"), "ts", "call_id")
+    return keyed.groupBy("key").applyInPandasWithState(step, _ADMITTED, "tokens double, last double", "append", "ProcessingTimeTimeout")
+
+
 _WAITING = "tokens double, last double, times array<long>, ids array<long>, tags array<string>"
 _PASSED = "key string, call_id long, ts timestamp, tag string, admitted boolean"
 
 
-def token_bucket_stream(calls: DataFrame, rate: float = 1.0, burst: float = 5.0, key: str = "session", tag: str | None = None, lateness: str = LATENESS) -> DataFrame:
-    """The same as a stream, in event time: calls wait in a key's state until the watermark has passed them, and are then admitted in order of
+def ordered_bucket_stream(calls: DataFrame, rate: float = 1.0, burst: float = 5.0, key: str = "session", tag: str | None = None, lateness: str = LATENESS) -> DataFrame:
+    """``token_bucket`` as a stream in event time: calls wait in a key's state until the watermark has passed them, and are then admitted in order of
     time, so the rows are those of ``token_bucket`` whatever order calls arrive in. Calls that are later than ``lateness`` are dropped.
 
     A key's state is its bucket and what waits; it goes once the bucket must be full again. ``tag`` is a column that is handed on as it is.
@@ -131,9 +155,9 @@ def two_level_stream(calls: DataFrame, root: str, rates: tuple[float, float] = (
     order of its watermark, so none is late for the second."""
     pair = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
     run = lambda df, name: df.writeStream.format("parquet").option("path", f"{root}/{name}").option("checkpointLocation", f"{root}/checkpoint-{name}").trigger(availableNow=True).start().awaitTermination()
-    run(token_bucket_stream(calls.withColumn("_pair", pair), rates[0], bursts[0], keys[0], "_pair", lateness), "first")
+    run(ordered_bucket_stream(calls.withColumn("_pair", pair), rates[0], bursts[0], keys[0], "_pair", lateness), "first")
     passed = calls.sparkSession.readStream.schema(_PASSED).parquet(f"{root}/first").filter("admitted")
-    run(token_bucket_stream(passed, rates[1], bursts[1], "tag", None, lateness), "second")
+    run(ordered_bucket_stream(passed, rates[1], bursts[1], "tag", None, lateness), "second")
 
 
 def apply_changes(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -141,6 +165,24 @@ def apply_changes(stream: DataFrame, merge: Callable[[DataFrame, int], None], ch
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def maintain(stream: DataFrame, catalogue: Catalogue, checkpoint: str, table: str = "claims") -> StreamingQuery:
+    """Keep a small table of claims in step with a stream of files (repo, path, status, text, ord).
+
+    In each micro-batch the last state of a path counts: claims of its files are replaced by what they now hold, those of deleted ones go, and the
+    table is published as a whole, so that a batch that runs twice gives the same table. ``streaming.incremental.maintain`` rewrites touched
+    buckets only and takes dependants along.
+    """
+
+    def step(batch: DataFrame, _: int) -> None:
+        last = batch.groupBy("repo", "path").agg(F.max(F.struct("ord", "status", "text")).alias("l")).select("repo", "path", "l.status", "l.text")
+        held = catalogue.read(table, StructType.fromDDL("repo string, " + CLAIMS))
+        fresh = extract(last.filter("status <> 'D'").select("repo", "path", "text"))
+        kept = held.join(last.select("repo", "path"), ["repo", "path"], "left_anti")
+        catalogue.publish(table, kept.unionByName(fresh.select(*kept.columns)))
+
+    return apply_changes(stream, step, checkpoint)
+
+
 def _field(spec: str, low: int, high: int) -> set[int]:
     out: set[int] = set()
     for part in spec.split(","):

@@ -218,7 +218,7 @@ def calls(spark, tmp_path):
 
 def test_bucket_stream_equals_table(spark, calls, tmp_path):
     table, stream = calls
-    out = jobs.token_bucket_stream(stream, 1 / 60, 3.0)
+    out = jobs.ordered_bucket_stream(stream, 1 / 60, 3.0)
     out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     expected = rows(jobs.token_bucket(table, 1 / 60, 3.0), "key", "call_id", "admitted")
     assert rows(spark.read.parquet(str(tmp_path / "out")).filter("call_id <> 9999"), "key", "call_id", "admitted") == expected

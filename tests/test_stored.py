@@ -129,6 +129,18 @@ def test_overtaken_writer_starts_again(spark, store, monkeypatch):
     assert rows(store.read("claims"), "symbol_name") == [("f",), ("g",)] and rows(store.read("importers"), "path") == [("z.py",)]
 
 
+def test_incremental_stream(spark, store, tmp_path):
+    """The first load of a repository, then a stream of changes; resumed, it takes only what is new."""
+    files = spark.createDataFrame([("r", "a.py", "def f(): pass"), ("r", "b.py", "def g(): pass")], "repo string, path string, text string")
+    incremental.full_load(files).coalesce(1).write.parquet(str(tmp_path / "in"))
+    run = lambda: incremental.maintain(spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in")), store, str(tmp_path / "c"), buckets=2).awaitTermination(120)
+    run(), run()
+    assert rows(store.read("claims"), "path", "symbol_name") == [("a.py", "f"), ("b.py", "g")] and store.read("runs").count() == 1
+    events(spark, ("r", "a.py", "M", "def f2(): pass", 2), ("r", "b.py", "D", None, 2), ("r", "a.py", "M", "def old(): pass", 1)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    assert rows(store.read("claims"), "path", "symbol_name") == [("a.py", "f2")]
+
+
 # ---- full-text index -----------------------------------------------------------------------------------------------
 
 FACTS = "id long, body string, source_quote string, kind string, status string, subject_id long"
