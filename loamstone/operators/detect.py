@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamstone.functions import text as T
+from loamstone.sources import lines
 
 # Fixed values.
 CALLS_PER_SYMBOL, CALL_COST_USD = 4, 0.003
@@ -117,12 +121,53 @@ def unexpired(rows: DataFrame, now: Column) -> DataFrame:
     return rows.filter(F.col("expires_at") >= now)
 
 
+def _verdict(reply: Column) -> tuple[Column, Column]:
+    """(verdict, reason) of a reply as JSON: accurate, stale or unclear; an unreadable reply is unclear."""
+    parsed = F.from_json(F.regexp_replace(reply, r"^\s*```(?:json)?\s*|\s*```\s*\z", ""), "verdict string, reason string")
+    said = F.lower(parsed["verdict"])
+    return F.when(said.isin("accurate", "stale"), said).otherwise("unclear").alias("verdict"), parsed["reason"].alias("reason")
+
+
 def section_verdicts(sections: DataFrame, replies: DataFrame) -> DataFrame:
     """Verdict per section from replies (section, reply as JSON): accurate, stale or unclear; an unreadable reply is unclear."""
-    parsed = F.from_json(F.regexp_replace("reply", r"^\s*```(?:json)?\s*|\s*```\s*\z", ""), "verdict string, reason string")
-    said = F.lower(parsed["verdict"])
-    joined = sections.join(replies, "section", "left")
-    return joined.select("section", F.when(said.isin("accurate", "stale"), said).otherwise("unclear").alias("verdict"), parsed["reason"].alias("reason"))
+    return sections.join(replies, "section", "left").select("section", *_verdict(F.col("reply")))
+
+
+#: Characters of a section that go into a prompt.
+PROMPT_CHARACTERS = 4_000
+
+
+def section_prompts(texts: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(path, section_no, heading, n_terms, n_known, prompt): each section of (path, text) documents with its key terms and the symbols
+    (symbol_name, kind, file_path) that are named so. Sections meet symbols over their terms, of which there are eight at most."""
+    cut = lines.sections(texts).withColumn("terms", lines.key_terms(F.col("heading"), F.col("body")))
+    asked = cut.select("path", "section_no", F.explode("terms").alias("symbol_name"))
+    # a name that many files declare is one line with their number
+    known = symbols.groupBy("symbol_name").agg(F.min("kind").alias("kind"), F.min("file_path").alias("file_path"), F.count(F.lit(1)).alias("n"))
+    line = F.concat(F.lit("- "), "symbol_name", F.lit(" ("), "kind", F.lit(") in "), "file_path", F.when(F.col("n") > 1, F.concat(F.lit(" and "), (F.col("n") - 1).cast("string"), F.lit(" more"))).otherwise(F.lit("")))
+    met = asked.join(known, "symbol_name").groupBy("path", "section_no").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    both = cut.join(met, ["path", "section_no"], "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
+    prompt = F.concat(F.lit("Section: "), "heading", F.lit("\n"), F.substring("body", 1, PROMPT_CHARACTERS), F.lit("\n\nSymbols:\n"), F.array_join("lines", "\n"))
+    return both.select("path", "section_no", "heading", F.size("terms").alias("n_terms"), F.size("lines").alias("n_known"), prompt.alias("prompt"))
+
+
+def checked_sections(prompts: DataFrame, complete: Callable[[str, str], str]) -> DataFrame:
+    """(path, section_no, heading, verdict, reason) by a text model; a reply that cannot be read, and a call that fails, are unclear.
+
+    The model is asked once per section; write the result before it is read twice."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            replies = []
+            for prompt in frame["prompt"]:
+                try:
+                    replies.append(complete("Is the section accurate? Answer as JSON with verdict and reason.", prompt))
+                except Exception:  # noqa: BLE001 - a failing call is an unclear section
+                    replies.append("")
+            yield pd.DataFrame({"path": frame["path"], "section_no": frame["section_no"], "heading": frame["heading"], "reply": replies})
+
+    told = prompts.select("path", "section_no", "heading", "prompt").mapInPandas(run, "path string, section_no int, heading string, reply string")
+    return told.select("path", "section_no", "heading", *_verdict(F.col("reply")))
 
 
 def unchanged_warning(previous: Column, head: Column, n_changes: Column) -> Column:

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from loamstone.sources.store import BUCKETS, Store
 from loamstone.sources.tables import Conflict
@@ -71,6 +72,15 @@ def check(store: Store, refs: DataFrame, probe: Probe, now: dt.datetime, budget:
     return known.withColumn("how", F.lit("cached")).unionByName(probed).unionByName(left)
 
 
+def check_stream(refs: DataFrame, store: Store, checkpoint: str, probe: Probe, clock: Callable[[], dt.datetime], sink: Callable[[DataFrame, int], None], **settings) -> StreamingQuery:
+    """Run ``check`` on every micro-batch of (source_ref) until the input is used up; the budget is that of a micro-batch. What was probed outlives the job."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        sink(check(store, batch, probe, clock(), **settings), number)
+
+    return refs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def live_drift_status(facts: DataFrame, evidence: DataFrame, symbols: DataFrame, checked: DataFrame) -> DataFrame:
     """``drift_status``, where an active fact is stale too if the comment behind it is gone or reads otherwise than when the fact was made."""
     asked = evidence.filter("source_type = 'pr_comment' and source_ref <> ''").select("fact_id", "source_ref").distinct()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from loamstone.functions import patterns as P
 from loamstone.functions import text as T
-from loamstone.operators import drift, joins, ownership, reads, stats
+from loamstone.operators import detect, drift, joins, ownership, reads, stats
 from loamstone.sources import code, exports, lines
 
 from .collected import Collected
@@ -44,6 +46,27 @@ def section_key_terms(m):
     return lines.sections(m.readmes).select("path", "heading", F.array_join(terms, ",").alias("terms")).filter("terms <> ''")
 
 
+def _reader(system: str, prompt: str) -> str:
+    """A stand-in that calls a section accurate if it names a known symbol, and else tells by the heading's length."""
+    heading = prompt.split("\n", 1)[0].removeprefix("Section: ")
+    known = prompt.rsplit("\n\nSymbols:\n", 1)[1].startswith("- ")
+    return json.dumps({"verdict": "accurate" if known else "Stale" if len(heading) % 2 == 0 else "perhaps", "reason": heading})
+
+
+_PART_SYMBOL = "case p_partkey % 3 when 0 then concat('New', p_partkey, 'Store') when 1 then concat('parseJSON', p_size % 3) else concat('x', p_partkey) end"
+
+
+@query(f"""with {_SECTIONS}, said as (select path, heading, heading || ' ' || substring(body, 1, 500) as x from sections),
+found as (select path, heading, unnest(list_concat(regexp_extract_all(x, '`([^`]+)`', 1), regexp_extract_all(x, {_quoted(P.PASCAL)}, 1), regexp_extract_all(x, {_quoted(P.CAMEL)}, 1), regexp_extract_all(x, {_quoted(P.SNAKE)}, 1))) as term from said),
+ranked as (select path, heading, term, row_number() over (partition by path, heading order by term) as k from (select distinct path, heading, term from found where length(term) >= 2)),
+known as (select distinct path, heading from ranked where k <= 8 and term in (select {_PART_SYMBOL} from part))
+select s.path, s.heading, case when k.path is not null then 'accurate' when length(s.heading) % 2 = 0 then 'stale' else 'unclear' end as verdict, s.heading as reason from sections s left join known k on k.path = s.path and k.heading = s.heading""")
+def sections_checked(m):
+    """From texts to verdicts: sections, key terms, the symbols named so, the model's reply."""
+    symbols = m.table("part").select(F.expr(_PART_SYMBOL).alias("symbol_name"), F.lit("func").alias("kind"), F.concat(F.lit("f"), "p_partkey").alias("file_path"))
+    return detect.checked_sections(detect.section_prompts(m.readmes, symbols), _reader).select("path", "heading", "verdict", "reason")
+
+
 @query(f"""
 with s as (select *, sum(cast(contains(line, '/*') as int)) over w - sum(cast(contains(line, '*/') as int)) over w + cast(contains(line, '*/') as int) as open_ from {_lines('sources')} window w as (partition by path order by n)),
 c as (select path, n, regexp_replace(regexp_replace(trim(case when open_ > 0 then line else regexp_extract(line, '((?://|#).*)$', 1) end), '^(?://+|#+|/?\\*+)\\s*', ''), '\\s*\\*/\\s*$', '') as comment from s),

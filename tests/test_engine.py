@@ -173,6 +173,41 @@ def test_liveness(spark, tmp_path):
     assert store.read("liveness").filter("source_ref like 'gone_'").count() == 4
 
 
+def test_liveness_stream(spark, tmp_path):
+    """What a micro-batch has probed is known to the next one, also of another run, until it expires."""
+    store, probe, seen = Store(spark, str(tmp_path / "s")), prober(), []
+    now = [dt.datetime(2024, 1, 1)]
+    keep = lambda df, n: seen.append({r["source_ref"]: r["how"] for r in df.collect()})
+    put = lambda *refs: spark.createDataFrame([(r,) for r in refs], "source_ref string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: liveness.check_stream(spark.readStream.schema("source_ref string").parquet(str(tmp_path / "in")), store, str(tmp_path / "c"), probe, lambda: now[0], keep, buckets=2).awaitTermination(120)
+    put("a", "gone"), run()
+    put("a", "b"), run()
+    now[0] += dt.timedelta(hours=25)
+    put("a"), run()
+    assert seen == [{"a": "probed", "gone": "probed"}, {"a": "cached", "b": "probed"}, {"a": "probed"}]
+
+
+def test_sections_are_checked(spark):
+    from loamstone.operators import detect
+
+    text = "# T\nIntro to `FooBar` and `Gone`.\n## Empty\n\n## Use\nCall makeThing twice.\n"
+    texts = spark.createDataFrame([("r.md", text), ("none.md", None)], "path string, text string")
+    symbols = spark.createDataFrame([("FooBar", "type", "a.go"), ("FooBar", "func", "b.go"), ("other", "func", "c.go")], "symbol_name string, kind string, file_path string")
+    prompts = detect.section_prompts(texts, symbols)
+    told = {r["heading"]: (r["n_known"], r["prompt"]) for r in prompts.collect()}
+    assert set(told) == {"Overview", "Use"} and told["Overview"][0] == 1 and told["Overview"][1].endswith("Symbols:\n- FooBar (func) in a.go and 1 more") and told["Use"][0] == 0
+
+    def model():
+        def complete(system, prompt):
+            if "makeThing" in prompt:
+                raise RuntimeError("no model")
+            return '```json\n{"verdict": "STALE", "reason": "old"}\n```'
+
+        return complete
+
+    assert rows(detect.checked_sections(prompts, model()), "heading", "verdict", "reason") == [("Overview", "stale", "old"), ("Use", "unclear", None)]
+
+
 def test_drift_takes_liveness(spark):
     facts = spark.createDataFrame([(k, k if k < 7 else 99, "stale" if k == 6 else "active", "h") for k in range(1, 8)], "id long, subject_id long, status string, staleness_hash string")
     evidence = spark.createDataFrame([(k, "blame" if k == 5 else "pr_comment", f"u{k}", "h") for k in range(1, 8)], "fact_id long, source_type string, source_ref string, content_hash string")
