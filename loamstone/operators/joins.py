@@ -9,6 +9,8 @@ from loamstone.functions import text as T
 
 #: Lines of a file that share a bucket in interval joins; long anchors fall into several.
 LINE_BUCKET = 64
+#: Sources below which a fact of a model counts as degraded.
+DEGRADED_BELOW = 3
 
 
 def of_repo(df: DataFrame, *others: DataFrame) -> list[str]:
@@ -51,6 +53,26 @@ def facts_by_path_prefix(facts: DataFrame, symbols: DataFrame, repo: str, prefix
     return facts.join(about, "subject_id")
 
 
+def envelope_error(facts: DataFrame) -> Column:
+    """The first thing that keeps a fact with its evidence from being served, or null."""
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    missing = lambda name: F.concat(F.lit("fact "), F.col("id").cast("string"), F.lit(f" missing required field: {name}"))
+    fields = [(empty("source_quote"), "source_quote"), (F.coalesce(F.size("evidence"), F.lit(0)) <= 0, "evidence (no evidence rows)"), *((empty(c), c) for c in ("status", "extractor", "last_verified"))]
+    return F.coalesce(*[F.when(bad, missing(name)) for bad, name in fields])
+
+
+def served(facts: DataFrame, strict: bool = True) -> DataFrame:
+    """Facts with evidence (``with_evidence``) as they are served: ``extractor`` names its version, ``degraded`` marks facts of a model that fewer than
+    three sources corroborate. A fact without a required field fails the job, or without ``strict`` is a row with its ``error`` and no envelope."""
+    maker = F.when(F.coalesce("extractor_version", F.lit("")) != "", F.concat_ws("@", "extractor", "extractor_version")).otherwise(F.col("extractor"))
+    degraded = (F.coalesce("model", F.lit("")) != "") & (F.col("corroboration") < DEGRADED_BELOW)
+    parts = ["body", "source_quote", "kind", "confidence", "corroboration", "status", "evidence", maker.alias("extractor"), "model", "last_verified", degraded.alias("degraded")]
+    told = facts.withColumn("error", envelope_error(facts)).withColumn("envelope", F.struct(*parts))
+    if strict:
+        return told.select("id", F.when(F.col("error").isNull(), F.col("envelope")).otherwise(F.raise_error(F.col("error"))).alias("envelope")).select("id", "envelope.*")
+    return told.select("id", "error", F.when(F.col("error").isNull(), F.col("envelope")).alias("envelope"))
+
+
 def gated(facts: DataFrame, kinds: tuple[str, ...] = (), min_confidence: float | None = None) -> DataFrame:
     """Active facts of some kinds. Where no confidence is asked for, facts made by a model need two corroborations."""
     if kinds:
@@ -59,7 +81,7 @@ def gated(facts: DataFrame, kinds: tuple[str, ...] = (), min_confidence: float |
     made_by_model = F.coalesce("model", F.lit("")) != ""
     if min_confidence is None:
         facts = facts.filter(~made_by_model | (F.col("corroboration") >= 2))
-    return facts.withColumn("degraded", made_by_model & (F.col("corroboration") < 3))
+    return facts.withColumn("degraded", made_by_model & (F.col("corroboration") < DEGRADED_BELOW))
 
 
 def fact_context(symbols: DataFrame, facts: DataFrame, pattern: str, kinds: tuple[str, ...] = (), min_confidence: float | None = None) -> DataFrame:

@@ -281,3 +281,16 @@ def interface_implementations(m):
     interfaces = part.select(F.col("p_brand").alias("name"), (F.col("p_size") % 3).alias("method"))
     types = part.select(F.concat(F.lit("T"), F.col("p_partkey") % 50).alias("name"), (F.col("p_size") % 3).alias("method"))
     return joins.implementations(types, interfaces)
+
+
+@query("""
+with e as (select fact_id, count(*) as n, min(struct_pack(ord := ord, r := source_ref)).r as first_ref from evidence group by 1)
+select f.id, case when f.id % 13 = 0 then 'fact ' || f.id || ' missing required field: source_quote' when n is null then 'fact ' || f.id || ' missing required field: evidence (no evidence rows)'
+  when f.id % 17 = 0 then 'fact ' || f.id || ' missing required field: extractor' end as error,
+  case when error is null then case when f.id % 2 = 0 then 'miner@2' else 'miner' end end as extractor, case when error is null then model <> '' and corroboration < 3 end as degraded, case when error is null then n end as n_evidence
+from facts f left join e on e.fact_id = f.id""")
+def served_facts(m):
+    """Facts as they are served, some of which lack a required field."""
+    facts = m.facts.withColumn("extractor", F.when(F.col("id") % 17 != 0, "miner")).withColumn("extractor_version", F.when(F.col("id") % 2 == 0, "2").otherwise(""))
+    told = joins.served(joins.with_evidence(facts.withColumn("source_quote", F.when(F.col("id") % 13 != 0, F.col("source_quote"))), m.evidence), strict=False)
+    return told.select("id", "error", "envelope.extractor", "envelope.degraded", F.size("envelope.evidence").cast("long").alias("n_evidence"))

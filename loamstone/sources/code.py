@@ -6,7 +6,7 @@ Files of other languages, and Python files that do not parse, give one row with
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -75,7 +75,11 @@ def within_tier(claims: DataFrame, safe: tuple[str, ...] = SAFE) -> DataFrame:
     return claims.withColumn("predicate", F.when(allowed, F.col("predicate")).otherwise(F.raise_error(message)))
 
 
-def _by_file(files: DataFrame, of: Callable[[str, str], list[tuple]], ddl: str) -> DataFrame:
+#: A reader of a language: (symbol, kind, predicate, object, line, confidence) of a text.
+Reader = Callable[[str], Iterable[tuple]]
+
+
+def _by_file(files: DataFrame, of: Callable[[str, str], list[tuple]], ddl: str, language: Callable[[str], str | None] = language_of) -> DataFrame:
     """Rows of every (path, text) file, with its repo in front if it has one; rows leave in parts, so that a batch of long files stays small."""
     lead = ["repo"] if "repo" in files.columns else []
     names = lead + [c.split()[0] for c in ddl.split(", ")]
@@ -85,7 +89,7 @@ def _by_file(files: DataFrame, of: Callable[[str, str], list[tuple]], ddl: str)
             rows: list[tuple] = []
             size = 0
             for *repo, path, text in frame.itertuples(index=False):
-                rows += [(*repo, path, language_of(path), *row) for row in of(path, text or "")]
+                rows += [(*repo, path, language(path), *row) for row in of(path, text or "")]
                 size += len(text or "")
                 if size >= PART_BYTES:
                     yield pd.DataFrame(rows, columns=names)
@@ -95,9 +99,29 @@ def _by_file(files: DataFrame, of: Callable[[str, str], list[tuple]], ddl: str)
     return files.select(*lead, "path", "text").mapInPandas(run, "repo string, " * len(lead) + ddl)
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """Claims of (path, text) or (repo, path, text) files."""
-    return within_tier(_by_file(files, claims_of, CLAIMS))
+def extract(files: DataFrame, readers: dict[str, tuple[str, Reader]] | None = None) -> DataFrame:
+    """Claims of (path, text) or (repo, path, text) files.
+
+    ``readers`` adds languages, or replaces built-in ones: {ending: (language, reader)}, the longest ending first. A file that its reader cannot read
+    is ``unparsed``, and claims beyond the tier fail the job, whoever made them."""
+    added = sorted((readers or {}).items(), key=lambda r: -len(r[0]))
+
+    def find(path: str) -> tuple[str, Reader] | None:
+        return next((found for ending, found in added if path.endswith(ending)), None)
+
+    def claims(path: str, text: str) -> list[tuple]:
+        if (found := find(path)) is None:
+            return claims_of(path, text)
+        try:
+            return list(found[1](text))
+        except Exception:  # noqa: BLE001 - whatever an added reader raises, the file is named as unread
+            return [(path, "file", "unparsed", None, 1, 1.0)]
+
+    def language(path: str) -> str | None:
+        found = find(path)
+        return found[0] if found else language_of(path)
+
+    return within_tier(_by_file(files, claims, CLAIMS, language))
 
 
 def declarations(files: DataFrame) -> DataFrame:

@@ -348,3 +348,17 @@ def test_checks_of_single_rows(spark):
     made = generated.generate(symbols, generated.stand_in)
     assert made.count() == 4000 and made.select("subject_id").distinct().count() == 1000
     assert re.search(r"hashpartitioning\([^)]*part#", made._jdf.queryExecution().toString())
+
+
+def test_served_facts(spark):
+    base = {"id": 1, "body": "b", "source_quote": "q", "kind": "quirk", "confidence": 0.5, "corroboration": 2, "status": "active", "extractor": "x", "extractor_version": "", "model": "m", "last_verified": "t"}
+    make = lambda **other: joins.with_evidence(spark.createDataFrame([tuple((base | other).values())], "id long, body string, source_quote string, kind string, confidence double, corroboration long, status string, extractor string, extractor_version string, model string, last_verified string"), evidence)
+    evidence = spark.createDataFrame([(1, 1, "blame", "c1", "h")], "fact_id long, ord long, source_type string, source_ref string, content_hash string")
+    row = joins.served(make(extractor_version="3")).first()
+    assert (row["extractor"], row["degraded"], row["evidence"][0]["source_ref"]) == ("x@3", True, "c1")
+    assert joins.served(make(corroboration=3)).first()["degraded"] is False
+    for field in ("source_quote", "status", "extractor", "last_verified"):
+        with pytest.raises(Exception, match=f"fact 1 missing required field: {field}"):
+            joins.served(make(**{field: ""})).collect()
+    with pytest.raises(Exception, match="no evidence rows"):
+        joins.served(make(id=1).filter("id = 1").withColumn("evidence", F.filter("evidence", lambda e: F.lit(False)))).collect()

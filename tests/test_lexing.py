@@ -71,3 +71,20 @@ def test_ownership_of_overlapping_ranges(spark):
     later = blame.selectExpr("repo", "file", "line", "author", "case when line = 11 then 'new' else commit end as commit", "at")
     fresh, _ = ownership.symbol_ownership(later, ranges.filter("symbol_id <> 3"), ["repo", "file"])
     assert {r["subject_id"]: r["why"] for r in ownership.stale_ownership(facts, fresh).collect()} == {1: "changed", 2: "changed", 3: "gone"}
+
+
+def test_added_readers(spark):
+    """A reader of the caller's reads its own ending, one that fails leaves an unparsed row, and none may go beyond the tier."""
+    def reader():
+        def read(text):
+            if "bad" in text:
+                raise ValueError(text)
+            return [(line[3:], "func", "implements" if "deep" in text else "defines", None, n, 1.0) for n, line in enumerate(text.split("\n"), 1) if line.startswith("fn ")]
+
+        return read
+
+    files = spark.createDataFrame([("a.rs", "fn one\nfn two"), ("b.rs", "bad"), ("c.py", "def f(): pass"), ("d.test.py", "fn three")], "path string, text string")
+    found = code.extract(files, {".rs": ("rust", reader()), ".test.py": ("spec", reader())})
+    assert {tuple(r) for r in found.select("path", "language", "symbol_name", "predicate").collect()} == {("a.rs", "rust", "one", "defines"), ("a.rs", "rust", "two", "defines"), ("b.rs", "rust", "b.rs", "unparsed"), ("c.py", "python", "f", "defines"), ("d.test.py", "spec", "three", "defines")}
+    with pytest.raises(Exception, match="beyond the tier"):
+        code.extract(spark.createDataFrame([("a.rs", "fn deep")], "path string, text string"), {".rs": ("rust", reader())}).collect()
