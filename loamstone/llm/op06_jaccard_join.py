@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnum as tn
@@ -59,6 +59,8 @@ MAX_BUCKETS = 1 << 30
 LIST_ROWS = 500
 #: Ids of candidate documents that may be broadcast: 8 bytes each.
 BROADCAST_IDS = 2_000_000
+#: Parts that the rows of one text are dealt to.
+SALTS = 256
 
 
 def _sets(w: tn.Words) -> Iterator[tuple[int, int, int, np.ndarray]]:
@@ -236,14 +238,16 @@ class Joined:
 
     def classes(self) -> DataFrame:
         """One row per document row: doc_id, n_shingles, component_id."""
-        worded = self.digest.filter("n_shingles > 0")
-        nodes = worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
+        worded = self.digest.filter("n_shingles > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        # the rows of one text, which may be very many, meet its smallest id in salted parts
+        text = ["k1", "k2", "salt"]
+        nodes = worded.groupBy(*text).agg(F.min("doc_id").alias("least")).select(*text, F.min("least").over(Window.partitionBy("k1", "k2")).alias("node"))
         # the texts of one id are one node
-        held = worded.filter("doc_id is not null").join(nodes, ["k1", "k2"]).groupBy("doc_id").agg(F.collect_set("node").alias("nodes")).filter(F.size("nodes") > 1)
+        held = worded.filter("doc_id is not null").join(nodes, text).groupBy("doc_id").agg(F.collect_set("node").alias("nodes")).filter(F.size("nodes") > 1)
         tied = held.select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b")).filter("a <> b")
         labels = components(self.links.unionByName(tied))
-        known = nodes.join(labels, F.col("node") == F.col("id"), "left").select("k1", "k2", F.coalesce("label", "node").alias("component_id"))
-        full = worded.join(known, ["k1", "k2"], "left").select("doc_id", "n_shingles", "component_id")
+        known = nodes.join(labels, F.col("node") == F.col("id"), "left").select(*text, F.coalesce("label", "node").alias("component_id"))
+        full = worded.join(known, text, "left").select("doc_id", "n_shingles", "component_id")
         return full.unionByName(self.digest.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
