@@ -159,10 +159,13 @@ class Index:
     def rebuild(self, facts: DataFrame, buckets: int = BUCKETS) -> None:
         """Index these facts and nothing else, in one commit."""
         change = self.store.begin()
-        terms, totals = _counts(facts, self.columns, 1)
         change.create("postings", _postings(facts, self.columns, change.base + 1), ["lead"], buckets)
-        change.create("terms", terms, ["lead"], buckets)
-        change.create("totals", totals, ["part"], 1)
+        # the counts follow from the postings, so texts are cut into terms once
+        written = change.read("postings")
+        change.create("terms", written.groupBy("lead", "term").agg(F.sum("n").alias("df")), ["lead"], buckets)
+        n_terms = written.agg(F.coalesce(F.sum(F.aggregate("places", F.lit(0).cast("long"), lambda t, p: t + F.size(p))), F.lit(0))).first()[0]
+        row = (0, facts.select("id").distinct().count(), n_terms)
+        change.create("totals", facts.sparkSession.createDataFrame([row], "part int, n_docs long, n_terms long"), ["part"], 1)
         change.declare("gone", "id long, before long", ["id"], buckets)
         change.commit()
 
