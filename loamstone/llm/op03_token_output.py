@@ -32,6 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path
 
+#: Arrow's own allocators keep what they free; a worker shares its executor's memory (as in ``textnum``).
+pa.set_memory_pool(pa.system_memory_pool())
+
 MAGIC = 0x31464F50
 BLOCK = 128
 #: Share of a block's offsets that fit the chosen width; the others are exceptions.
@@ -39,7 +42,8 @@ PERCENTILE = 0.9
 #: A segment is closed when it holds so many ids; a longer document makes a longer segment.
 SEGMENT_IDS = 500_000
 #: Distinct words that a worker remembers in each of two generations; when the younger is full, it takes the place of the elder.
-REMEMBERED = 250_000
+#: A worker keeps them between tasks, beside what other stages left in its executor.
+REMEMBERED = 80_000
 
 
 # ---- codec ---------------------------------------------------------------------------------------------------------
@@ -270,6 +274,7 @@ def _write(tokenizer_file: str, end_id: int):
             pa.default_memory_pool().release_unused()
         if held:
             yield close()
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -299,6 +304,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = memoryview(ids.tobytes())
             crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist())]
             yield pa.RecordBatch.from_arrays([keys, pa.array(base + ends - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            del one, ids, raw
+            pa.default_memory_pool().release_unused()
 
 
 def written_order(docs: DataFrame) -> list[Column]:

@@ -282,3 +282,20 @@ def test_decontamination_by_many_windows(spark, docs, monkeypatch):
     assert _shuffled_bytes(spark) - before < 5_000_000
     assert sorted(map(repr, op09_decontaminate.report(both, benchmark).collect())) == expected
     assert sorted(repr(r["doc_id"]) for r in op09_decontaminate.apply(both, benchmark).collect()) == kept
+
+
+def test_words_that_a_worker_remembers_take_a_bounded_share_of_its_executor():
+    import sys
+
+    import pyarrow as pa
+
+    op3 = op03_token_output
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [letters[k % 26] + letters[k // 26 % 26] + letters[k // 676 % 26] + letters[k // 17_576 % 26] for k in range(400_000)]
+    op3._remembered.clear()
+    encoder = op3.Encoder(TOKENIZER)
+    for at in range(0, len(words), 50_000):
+        encoder.encode(pa.array([" ".join(words[at : at + 50_000])]), 2)
+    held = sum(sys.getsizeof(g) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in g.items()) for g in encoder._known)
+    op3._remembered.clear()
+    assert held < 40e6
