@@ -1,8 +1,10 @@
 """Exports, references, drift reports, instruction files and index symbols on small literal texts."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from loamstone.operators import drift
+from loamstone.operators import detect, drift, globs
 from loamstone.sources import exports, lines, symbols
 
 
@@ -139,3 +141,22 @@ def test_index_symbols(spark):
     assert made["m"] == "scip-go gomod k8s.io/api v1 core/v1/Pod#Get()." and made["c"] == "scip-go gomod m v X."
     kinds = spark.range(1).select(*[symbols.index_kind(F.lit(k)).alias(k) for k in ("Struct", "Method", "EnumMember", "Field", "Package", "Macro")], symbols.index_visibility(F.lit("_x"), F.lit("go")).alias("v")).first()
     assert tuple(kinds) == ("type", "func", "const", "var", "module", "unknown", "internal")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _texts(spark):
+    """Short keys that give long texts: the estimate of their size is far too small."""
+    return spark.range(8).selectExpr("concat('a', id, '/README.md') as path", "concat('## H', id, '\n', repeat('`Name` and more. ', 1000)) as text")
+
+
+def _names(spark):
+    return spark.createDataFrame([("Name", "func", "a0/x.go")], "symbol_name string, kind string, file_path string")
+
+
+def test_sections_and_their_terms_are_not_broadcast(spark):
+    prompts = detect.section_prompts(_texts(spark), _names(spark))
+    assert "BroadcastExchange" not in _plan(prompts)
+    assert [r.n_known for r in prompts.collect()] == [1] * 8
