@@ -160,3 +160,10 @@ def test_sections_and_their_terms_are_not_broadcast(spark):
     prompts = detect.section_prompts(_texts(spark), _names(spark))
     assert "BroadcastExchange" not in _plan(prompts)
     assert [r.n_known for r in prompts.collect()] == [1] * 8
+
+
+def test_manifests_are_not_broadcast_and_repeated_entries_count_once(spark):
+    manifest = spark.range(500).selectExpr("if(id < 0, '', 'a/*.go') as glob", "if(id < 0, '', 'doc.md') as doc")
+    found = globs.manifest_docs(spark.createDataFrame([("a/x.go",), ("b/x.go",)], "path string"), manifest)
+    assert "BroadcastExchange" not in _plan(found)
+    assert [tuple(r) for r in found.collect()] == [("a/x.go", "doc.md")]
