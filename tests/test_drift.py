@@ -167,3 +167,14 @@ def test_manifests_are_not_broadcast_and_repeated_entries_count_once(spark):
     found = globs.manifest_docs(spark.createDataFrame([("a/x.go",), ("b/x.go",)], "path string"), manifest)
     assert "BroadcastExchange" not in _plan(found)
     assert [tuple(r) for r in found.collect()] == [("a/x.go", "doc.md")]
+
+
+def test_findings_and_reports_broadcast_no_texts(spark):
+    docs, files = _texts(spark), spark.range(8).selectExpr("concat('a', id, '/x.go') as path", "'func Other() {}\n' as text")
+    found = drift.findings(docs, files)
+    reports = drift.reports(docs, found)
+    assert "BroadcastExchange" not in _plan(reports)
+    assert sorted(tuple(r)[1:] for r in reports.collect()) == [(1, 1, 0)] * 8
+    checked = drift.path_claims(spark.createDataFrame([("a0/AGENTS.md", "x.go")], "context_file string, value string"), files.select("path"))
+    assert "BroadcastExchange" not in _plan(checked)
+    assert _plan(drift.repo_check(found, checked)).count("BroadcastExchange") == 1  # the single row of totals
