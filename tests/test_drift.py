@@ -178,3 +178,14 @@ def test_findings_and_reports_broadcast_no_texts(spark):
     checked = drift.path_claims(spark.createDataFrame([("a0/AGENTS.md", "x.go")], "context_file string, value string"), files.select("path"))
     assert "BroadcastExchange" not in _plan(checked)
     assert _plan(drift.repo_check(found, checked)).count("BroadcastExchange") == 1  # the single row of totals
+
+
+def test_claims_of_a_name_are_dealt_to_parts(spark):
+    refs = spark.range(300).selectExpr("concat('d', id) as path", "if(id < 0, '', 'Open') as name")
+    symbols = spark.range(40).selectExpr("id", "'p' as import_path", "if(id < 0, '', 'open') as symbol_name")
+    claims = spark.range(40).selectExpr("id as subject_id", "concat('f', id) as source_file", "'defines' as predicate")
+    files = spark.createDataFrame([("f0",)], "path string")
+    found = drift.readme_symbols(refs, symbols, claims, files)
+    assert "BroadcastExchange" not in _plan(found)
+    assert found.filter("detail like 'file gone: %'").count() == 300 * 39 and found.count() == 300 * 39
+    assert len(re.findall(r"hashpartitioning\(key#\d+, part#\d+", _plan(found))) == 2
