@@ -189,3 +189,12 @@ def test_claims_of_a_name_are_dealt_to_parts(spark):
     assert "BroadcastExchange" not in _plan(found)
     assert found.filter("detail like 'file gone: %'").count() == 300 * 39 and found.count() == 300 * 39
     assert len(re.findall(r"hashpartitioning\(key#\d+, part#\d+", _plan(found))) == 2
+
+
+def test_text_views_are_dealt_to_tasks_by_their_rows(spark, tmp_path):
+    from loamstone.plans.views import Model
+
+    spark.range(45_000).selectExpr("id as p_partkey", "'n' as p_name", "'b' as p_brand", "'t' as p_type", "1 as p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for view in (Model(spark, str(tmp_path)).sources, Model(spark, str(tmp_path)).readmes):
+        sizes = [r[0] for r in view.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert len(sizes) == 5 and max(sizes) < 12_000
