@@ -28,6 +28,8 @@ from loamstone.sources.store import BUCKETS, Store
 COLUMNS = ("body", "source_quote")
 #: Ids of a block, letters that choose a term's bucket, and blocks that are scored first to learn what the others must reach.
 BLOCK_IDS, LEAD, PROBE = 4096, 2, 4
+#: Blocks, on average, whose texts one task cuts; its postings make a file in each bucket.
+TASK_BLOCKS = 1
 #: A place is the column's number times this plus the word's number, so that no phrase spans two columns.
 _COLUMN = 1 << 40
 _POSTINGS = "lead string, term string, block long, n int, top_tf int, least_length int, ids array<long>, lengths array<int>, places array<array<long>>, born long"
@@ -113,17 +115,29 @@ def leaves(query: Query) -> list[Leaf]:
 # ---- index ---------------------------------------------------------------------------------------------------------
 
 
-def _term_places(facts: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """(id, length, term, places) of all terms of the facts' columns."""
+def _cut(columns: tuple[str, ...]) -> Column:
+    """The terms of a fact's columns with their places."""
 
     def placed(k: int, c: str) -> Column:
         text = F.translate(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), _ACCENTED, _PLAIN)
         words = F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda t: t != "")
         return F.transform(words, lambda t, i: F.struct(t.alias("term"), (F.lit(k * _COLUMN).cast("long") + i).alias("place")))
 
-    rows = facts.select("id", F.concat(*[placed(k, c) for k, c in enumerate(columns)]).alias("all"))
-    each = rows.select("id", F.size("all").alias("length"), F.explode("all").alias("one")).select("id", "length", "one.*")
-    return each.groupBy("id", "length", "term").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    return F.concat(*[placed(k, c) for k, c in enumerate(columns)])
+
+
+def _term_places(facts: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(id, block, length, term, places) of all terms of the facts' columns. Each fact is cut inside its row: nothing is shuffled."""
+    n = F.size("all")
+    last_of_term = lambda i: ~F.get("all", i)["term"].eqNullSafe(F.get("all", i + 1)["term"])
+    ends = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), last_of_term)).otherwise(F.array().cast("array<int>"))
+    rows = facts.select("id", "block", F.sort_array(_cut(columns)).alias("all")).withColumn("ends", ends)
+
+    def one(end: Column, k: Column) -> Column:
+        places = F.transform(F.sequence(F.coalesce(F.get("ends", k - 1) + 1, F.lit(0)), end), lambda i: F.get("all", i)["place"])
+        return F.struct(F.get("all", end)["term"].alias("term"), places.alias("places"))
+
+    return rows.select("id", "block", n.alias("length"), F.explode(F.transform("ends", one)).alias("one")).select("id", "block", "length", "one.*")
 
 
 def _lead(term: Column) -> Column:
@@ -131,8 +145,10 @@ def _lead(term: Column) -> Column:
 
 
 def _postings(facts: DataFrame, columns: tuple[str, ...], born: int) -> DataFrame:
-    block = F.floor(F.col("id") / BLOCK_IDS).alias("block")
-    grouped = _term_places(facts, columns).groupBy("term", block).agg(F.array_sort(F.collect_list(F.struct("id", "length", "places"))).alias("all"))
+    """Rows of ``postings``. The texts of a block meet in one task before they are cut, so no term or place is shuffled."""
+    tasks = max(facts.sparkSession.sparkContext.defaultParallelism, facts.select("id").count() // (TASK_BLOCKS * BLOCK_IDS))
+    dealt = facts.select("id", *columns, F.floor(F.col("id") / BLOCK_IDS).alias("block")).repartition(tasks, "block")
+    grouped = _term_places(dealt, columns).groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("id", "length", "places"))).alias("all"))
     return grouped.select(
         _lead(F.col("term")).alias("lead"), "term", "block", F.size("all").alias("n"),
         F.array_max(F.transform("all", lambda x: F.size(x["places"]))).alias("top_tf"), F.array_min(F.col("all.length")).alias("least_length"),
@@ -142,10 +158,11 @@ def _postings(facts: DataFrame, columns: tuple[str, ...], born: int) -> DataFram
 
 def _counts(facts: DataFrame, columns: tuple[str, ...], sign: int) -> tuple[DataFrame, DataFrame]:
     """Rows of ``terms`` and of ``totals`` that facts add or take back."""
-    placed = _term_places(facts, columns)
-    terms = placed.groupBy("term").agg((F.count(F.lit(1)) * sign).alias("df")).select(_lead(F.col("term")).alias("lead"), "term", "df")
+    cut = facts.select("id", _cut(columns).alias("all"))
+    each = cut.select(F.explode(F.array_distinct("all.term")).alias("term"))
+    terms = each.groupBy("term").agg((F.count(F.lit(1)) * sign).alias("df")).select(_lead(F.col("term")).alias("lead"), "term", "df")
     # facts without any term count too
-    lengths = facts.select("id").distinct().join(placed.groupBy("id").agg(F.max("length").alias("length")), "id", "left")
+    lengths = cut.groupBy("id").agg(F.sum(F.size("all")).alias("length"))
     totals = lengths.agg((F.count(F.lit(1)) * sign).alias("n_docs"), (F.coalesce(F.sum("length"), F.lit(0)) * sign).alias("n_terms")).select(F.lit(0).alias("part"), "n_docs", "n_terms")
     return terms, totals
 
@@ -159,7 +176,7 @@ class Index:
     def rebuild(self, facts: DataFrame, buckets: int = BUCKETS) -> None:
         """Index these facts and nothing else, in one commit."""
         change = self.store.begin()
-        change.create("postings", _postings(facts, self.columns, change.base + 1), ["lead"], buckets)
+        change.create("postings", _postings(facts, self.columns, change.base + 1), ["lead"], buckets, gather=False)
         # the counts follow from the postings, so texts are cut into terms once
         written = change.read("postings")
         change.create("terms", written.groupBy("lead", "term").agg(F.sum("n").alias("df")), ["lead"], buckets)
@@ -181,7 +198,7 @@ class Index:
             change.append("terms", terms)
             change.append("totals", totals)
         change.append("gone", old.unionByName(new, allowMissingColumns=True).select("id", F.lit(change.base + 1).alias("before")).distinct())
-        change.append("postings", _postings(new, self.columns, change.base + 1))
+        change.append("postings", _postings(new, self.columns, change.base + 1), gather=False)
         change.commit(stream, batch)
         return True
 

@@ -113,10 +113,10 @@ class Change:
         schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
         self.manifest["tables"][name] = {"key": key, "buckets": buckets, "schema": schema.jsonValue(), "parts": {}}
 
-    def create(self, name: str, df: DataFrame, key: list[str], buckets: int = BUCKETS) -> None:
+    def create(self, name: str, df: DataFrame, key: list[str], buckets: int = BUCKETS, gather: bool = True) -> None:
         """A new table with these rows, or a new start of one."""
         self.declare(name, df.schema, key, buckets)
-        self._write(name, df, keep=True)
+        self._write(name, df, keep=True, gather=gather)
 
     def touched(self, name: str, keys: DataFrame) -> list[int]:
         """The buckets of the keys, a row for each bucket at most."""
@@ -136,17 +136,19 @@ class Change:
             self._write(name, df, keep=False)
         return buckets
 
-    def append(self, name: str, df: DataFrame) -> None:
+    def append(self, name: str, df: DataFrame, gather: bool = True) -> None:
         """Add rows; what the buckets hold stays where it is."""
-        self._write(name, df, keep=True)
+        self._write(name, df, keep=True, gather=gather)
 
-    def _write(self, name: str, df: DataFrame, keep: bool) -> None:
+    def _write(self, name: str, df: DataFrame, keep: bool, gather: bool = True) -> None:
+        """With ``gather``, rows of a bucket are shuffled together; without, each task of ``df`` writes a file to every bucket that it has rows of,
+        which saves the shuffle where tasks hold many rows."""
         table = self.manifest["tables"][name]
         schema = StructType.fromJson(table["schema"])
         rows = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema], _bucket(table["buckets"], *[F.col(k) for k in table["key"]]).alias(_BUCKET))
         part = f"{self.id}{len(self.written.get(name, []))}"
         folder = f"{self.store.root}/data/{name}/commit={part}"
-        rows.hint("rebalance", _BUCKET).sortWithinPartitions(_BUCKET, *table["key"]).write.option("compression", "zstd").partitionBy(_BUCKET).parquet(folder)
+        (rows.hint("rebalance", _BUCKET) if gather else rows).sortWithinPartitions(_BUCKET, *table["key"]).write.option("compression", "zstd").partitionBy(_BUCKET).parquet(folder)
         for found in self.store.files.names(folder):
             if found.startswith(f"{_BUCKET}="):
                 commits = table["parts"].setdefault(found.split("=")[1], [])

@@ -237,6 +237,24 @@ def test_sync_equals_rebuild(spark, tmp_path):
     assert 1 not in found(moved.search(fts.word("the"), now)) and moved._totals()[0] == 7
 
 
+def test_only_texts_are_shuffled_into_postings(spark, store):
+    """The texts of a block meet once; terms and places stay where they were cut, and what is written is not shuffled again."""
+    table = facts(spark)
+    made = fts._postings(table, fts.COLUMNS, 1)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    expected = {}
+    for r in table.collect():
+        words = [(w, k * fts._COLUMN + i) for k, text in enumerate((r["body"], r["source_quote"])) for i, w in enumerate(fts._words(text) if text else ())]
+        for w, place in words:
+            expected.setdefault((w, r["id"] // fts.BLOCK_IDS), {}).setdefault((r["id"], len(words)), []).append(place)
+    rows = {(r["term"], r["block"]): dict(zip(zip(r["ids"], r["lengths"]), r["places"])) for r in made.collect()}
+    assert rows == expected
+    change = store.begin()
+    change.create("kept", spark.range(0, 1000, 1, 3), ["id"], 1, gather=False)
+    change.commit()
+    assert len(store.read("kept").inputFiles()) == 3 and store.read("kept").count() == 1000
+
+
 # ---- ranks and mining ----------------------------------------------------------------------------------------------
 
 
