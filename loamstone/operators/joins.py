@@ -9,6 +9,8 @@ from loamstone.functions import text as T
 
 #: Lines of a file that share a bucket in interval joins; long anchors fall into several.
 LINE_BUCKET = 64
+#: Rows of a side that is broadcast.
+FEW = 100_000
 #: Sources below which a fact of a model counts as degraded.
 DEGRADED_BELOW = 3
 
@@ -106,18 +108,31 @@ def _bucketed(df: DataFrame, start: str, end: str) -> DataFrame:
     return df.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / LINE_BUCKET), F.floor(F.greatest(F.col(end), F.col(start)) / LINE_BUCKET))))
 
 
-def overlapping(anchors: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Anchors (claim_id, file, start_line, end_line) that a hunk (file, hunk_start, hunk_end) touches; (0, 0) is a whole file.
+def touched(anchors: DataFrame, hunks: DataFrame) -> DataFrame:
+    """The different (file, start_line, end_line) of anchors that a hunk (file, hunk_start, hunk_end) touches; (0, 0) is a whole file.
 
-    Both sides are cut into buckets of lines, so that a file with many anchors and hunks is spread over tasks.
+    Anchors share few places, so these are told apart before they meet the hunks. Both sides are cut into buckets of lines, so that a file
+    with many places and hunks is spread over tasks.
     """
-    whole = anchors.filter("start_line = 0 and end_line = 0").join(hunks.select("file").distinct(), "file", "left_semi")
-    placed = anchors.filter("not (start_line = 0 and end_line = 0)")
+    files = hunks.select("file").distinct()
+    places = anchors.select("file", "start_line", "end_line").distinct().join(files, "file", "left_semi")
+    whole = places.filter("start_line = 0 and end_line = 0")
+    placed = places.filter("not (start_line = 0 and end_line = 0)")
     left, right = _bucketed(placed, "start_line", "end_line"), _bucketed(hunks.select("file", "hunk_start", "hunk_end").distinct(), "hunk_start", "hunk_end")
     met = left.join(right, (left["file"] == right["file"]) & (left["_bucket"] == right["_bucket"]) & (left["start_line"] <= right["hunk_end"]) & (left["end_line"] >= right["hunk_start"]), "left_semi")
     return met.drop("_bucket").distinct().unionByName(whole)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``FEW`` rows; beyond, to be merged."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df.hint("merge")
+
+
+def overlapping(anchors: DataFrame, hunks: DataFrame) -> DataFrame:
+    """Anchors (claim_id, file, start_line, end_line) that a hunk (file, hunk_start, hunk_end) touches; (0, 0) is a whole file."""
+    return anchors.join(few(touched(anchors, hunks)), ["file", "start_line", "end_line"], "left_semi").select(anchors.columns).distinct()
+
+
 def hunks_of(changes: DataFrame) -> DataFrame:
     """Old-side line intervals of changes; an insertion counts as its line."""
     return changes.select(F.col("path").alias("file"), F.col("old_start").alias("hunk_start"), (F.col("old_start") + F.greatest(F.col("old_count"), F.lit(1)) - 1).alias("hunk_end"))
@@ -136,9 +151,13 @@ def anchor_states(anchors: DataFrame, changes: DataFrame) -> DataFrame:
 
 def pr_impact(claims: DataFrame, changes: DataFrame, radius: int = 5) -> DataFrame:
     """Claims whose lines, with ``radius`` around them, a change touches; in deleted files, all claims."""
-    hit = overlapping(anchors_of(claims, radius), hunks_of(changes.filter("status <> 'D'"))).select("claim_id").withColumn("impact", F.lit("stale"))
-    gone = anchors_of(claims).join(changes.filter("status = 'D'").select(F.col("path").alias("file")), "file", "left_semi").select("claim_id").withColumn("impact", F.lit("invalid"))
-    worst = hit.unionByName(gone).groupBy("claim_id").agg(F.min("impact").alias("impact"))
+    anchors = anchors_of(claims, radius)
+    hit = few(touched(anchors, hunks_of(changes.filter("status <> 'D'"))).withColumn("stale", F.lit(True)))
+    gone = few(changes.filter("status = 'D'").select(F.col("path").alias("file"), F.lit(True).alias("invalid")).distinct())
+    told = anchors.join(hit, ["file", "start_line", "end_line"], "left").join(gone, "file", "left")
+    impact = F.when(F.col("invalid"), "invalid").when(F.col("stale"), "stale")
+    # 'invalid' comes before 'stale'; claims of one key share the worst
+    worst = told.select("claim_id", impact.alias("impact")).filter("impact is not null").groupBy("claim_id").agg(F.min("impact").alias("impact"))
     return claims.join(worst, claims["claim_key"] == worst["claim_id"]).drop("claim_id")
 
 

@@ -106,6 +106,18 @@ def test_overlap(spark):
     assert {r["claim_id"] for r in joins.overlapping(anchors, hunks).collect()} == {"a", "b", "c"}
 
 
+def test_impact_of_changes(spark, monkeypatch):
+    """Claims share places, and only these meet the hunks; claims of one key share the worst impact, whichever way the sides are joined."""
+    claims = spark.createDataFrame([("a", "f", 10), ("a", "z", 1), ("b", "f", 90), ("c", "g", 5), ("c", "f", 11), ("d", "h", 5), (None, "f", 10), ("e", None, 10)] + [(f"n{k}", "f", 10) for k in range(300)], "claim_key string, source_file string, source_line long")
+    changes = spark.createDataFrame([("f", "M", 12, 0), ("f", "M", 13, 2), ("g", "D", 1, 1), ("h", "A", 30, 4), (None, "D", 10, 1)], "path string, status string, old_start long, old_count long")
+    expected = [("a", "f", "stale"), ("a", "z", "stale"), ("c", "f", "invalid"), ("c", "g", "invalid")] + sorted((f"n{k}", "f", "stale") for k in range(300))
+    for few in (joins.FEW, 0):
+        monkeypatch.setattr(joins, "FEW", few)
+        assert sorted((r["claim_key"], r["source_file"], r["impact"]) for r in joins.pr_impact(claims, changes).collect()) == expected
+    # 304 claims with a key and a file of the changes lie at four places
+    assert {tuple(r) for r in joins.touched(joins.anchors_of(claims, 5), joins.hunks_of(changes)).collect()} == {("f", 5, 15), ("f", 6, 16), ("g", 1, 10)}
+
+
 def test_anchor_states(spark):
     anchors = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "claim_id int, file string")
     changes = spark.createDataFrame([("a", None, "D"), ("b", None, "M"), ("new", "c", "R")], "path string, old_path string, status string")
