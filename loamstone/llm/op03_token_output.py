@@ -21,7 +21,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +41,9 @@ BLOCK = 128
 PERCENTILE = 0.9
 #: A segment is closed when it holds so many ids; a longer document makes a longer segment.
 SEGMENT_IDS = 500_000
-#: Distinct words that a worker remembers in each of two generations; when the younger is full, it takes the place of the elder.
-#: A worker keeps them between tasks, beside what other stages left in its executor.
-REMEMBERED = 80_000
+#: Distinct words that a worker remembers; beyond, the half that was not seen for the longest time is forgotten.
+#: A worker keeps them between tasks, as flat arrays of about 50 bytes a word, beside what other stages left in its executor.
+REMEMBERED = 400_000
 
 
 # ---- codec ---------------------------------------------------------------------------------------------------------
@@ -172,8 +172,44 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
-#: Per tokenizer file the younger and the elder generation: ids of a word as little-endian unsigned 32-bit integers.
-_remembered: dict[str, list[dict[str, bytes]]] = {}
+
+
+class _Words(dict):
+    """Words and their ids as named flat arrays; a batch's words are looked up all at once."""
+
+    def __init__(self):
+        super().__init__(words=pa.array([], pa.string()), ids=np.empty(0, np.uint32), begin=np.zeros(1, np.int64), seen=np.empty(0, np.int32))
+        self.batch = 0
+
+    def places(self, words: pa.Array, ids_of: Callable[[str], bytes]) -> np.ndarray:
+        """The place of each word; ``ids_of`` gives the ids of new ones as little-endian unsigned 32-bit integers."""
+        self.batch += 1
+        if len(self["words"]) > REMEMBERED:
+            self._forget()
+        n = len(self["words"])
+        found = pc.index_in(words, value_set=self["words"])
+        new = words.filter(pc.is_null(found)).dictionary_encode()
+        at = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[at < 0] = n + new.indices.to_numpy(zero_copy_only=False)
+        each = [ids_of(w) for w in new.dictionary.to_pylist()]
+        ends = self["begin"][-1] + np.cumsum(np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4)
+        self["words"] = pa.concat_arrays([self["words"], new.dictionary])
+        self["ids"] = np.concatenate([self["ids"], np.frombuffer(b"".join(each), dtype="<u4")])
+        self["begin"] = np.concatenate([self["begin"], ends])
+        self["seen"] = np.concatenate([self["seen"], np.empty(len(each), np.int32)])
+        self["seen"][at] = self.batch
+        return at
+
+    def _forget(self) -> None:
+        kept = np.sort(np.argsort(self["seen"], kind="stable")[-(REMEMBERED // 2) :])
+        n = np.diff(self["begin"])[kept]
+        begin = np.r_[0, np.cumsum(n)]
+        self["ids"] = self["ids"][np.repeat(self["begin"][kept] - begin[:-1], n) + np.arange(begin[-1])]
+        self["words"], self["begin"], self["seen"] = self["words"].take(pa.array(kept)), begin, self["seen"][kept]
+
+
+#: Per tokenizer file what a worker remembers, a list of one.
+_remembered: dict[str, list[_Words]] = {}
 
 
 class Encoder:
@@ -195,29 +231,17 @@ class Encoder:
             self._by_words = by_words(json.load(file))
         self._model = self._tokenizer.model
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._known = _remembered.setdefault(tokenizer_file, [{}, {}])
+        self._known = _remembered.setdefault(tokenizer_file, [_Words()])
 
     def _whole(self, chunk: str) -> bytes:
         ids = self._tokenizer.encode(chunk, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _ids(self, chunk: str) -> bytes:
-        young, elder = self._known
-        found = young.get(chunk)
-        if found is None:
-            found = elder.get(chunk)
-            if found is None:
-                if _PLAIN.fullmatch(chunk):
-                    ids = [t.id for t in self._model.tokenize(chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(_LETTERS))]
-                    found = struct.pack(f"<{len(ids)}I", *ids)
-                elif chunk[-1:] in (".", ",") and _PLAIN.fullmatch(chunk, 0, len(chunk) - 1):
-                    return self._ids(chunk[:-1]) + self._ids(chunk[-1])
-                else:
-                    found = self._whole(chunk)
-            if len(young) >= REMEMBERED:
-                self._known[:] = [{}, young]
-            self._known[0][chunk] = found
-        return found
+        if _PLAIN.fullmatch(chunk):
+            ids = [t.id for t in self._model.tokenize(chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(_LETTERS))]
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return self._whole(chunk)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other with ``end_id`` after each, and the number of ids of each text."""
@@ -227,16 +251,18 @@ class Encoder:
             end = struct.pack("<I", end_id)
             each = [self._whole(t) + end for t in texts.to_pylist()]
             return np.frombuffer(b"".join(each), dtype="<u4"), np.array([len(ids) // 4 for ids in each], dtype=np.int64)
-        chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        # a full stop or comma between a letter and a space is a piece of its own
+        apart = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), "([A-Za-zß-öø-ÿ])([.,])( |$)", r"\1 \2\3")
+        chunks = pc.split_pattern(apart, " ")
         sizes = pc.list_value_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = chunks.flatten().dictionary_encode()
         # chunks beyond ASCII are composed before they are folded, which only the whole tokenizer does
         ascii_only = pc.equal(pc.binary_length(coded.dictionary), pc.utf8_length(coded.dictionary))
-        ids_of = [self._ids(w) for w in pc.if_else(ascii_only, pc.ascii_lower(coded.dictionary), coded.dictionary).to_pylist()]
-        length = np.fromiter(map(len, ids_of), dtype=np.int64, count=len(ids_of)) // 4
-        flat = np.frombuffer(b"".join(ids_of), dtype="<u4")
-        begin = np.r_[0, np.cumsum(length)]
-        place = coded.indices.to_numpy(zero_copy_only=False)
+        (remembered,) = self._known
+        known = remembered.places(pc.if_else(ascii_only, pc.ascii_lower(coded.dictionary), coded.dictionary), self._ids)
+        flat, begin = remembered["ids"], remembered["begin"]
+        place = known[coded.indices.to_numpy(zero_copy_only=False)]
+        length = np.diff(begin)
         n = length[place]
         upto = np.r_[0, np.cumsum(n)]
         ends = np.cumsum(sizes)

@@ -299,3 +299,29 @@ def test_words_that_a_worker_remembers_take_a_bounded_share_of_its_executor():
     held = sum(sys.getsizeof(g) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in g.items()) for g in encoder._known)
     op3._remembered.clear()
     assert held < 40e6
+
+
+def test_many_words_are_remembered_and_old_ones_forgotten(monkeypatch):
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    op3 = op03_token_output
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(letters[k // 26**i % 26] for i in range(4)) for k in range(300_000)]
+    parts = [pa.array([" ".join(words[at : at + 50_000])]) for at in range(0, len(words), 50_000)]
+    op3._remembered.clear()
+    encoder = op3.Encoder(TOKENIZER)
+    first = [encoder.encode(part, 2)[0].tolist() for part in parts]
+    encoder._model = None  # a word that comes again is not encoded again
+    assert [encoder.encode(part, 2)[0].tolist() for part in parts] == first
+    op3._remembered.clear()
+    monkeypatch.setattr(op3, "REMEMBERED", 40)
+    encoder, whole, rng = op3.Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER), random.Random(5)
+    for _ in range(40):
+        texts = ["".join(rng.choices(["Ab", "abc", "é", "É", "ß", ".", ",", " ", " ", "\n", "'s", "9", "!", "\t", "q" * rng.randint(1, 9)], k=rng.randint(0, 30))) for _ in range(8)]
+        ids, n = encoder.encode(pa.array(texts), 2)
+        assert ids.tolist() == [i for t in texts for i in [*whole.encode(t, add_special_tokens=False).ids, 2]]
+    assert len(encoder._known[0]["words"]) < 300
+    op3._remembered.clear()
