@@ -191,6 +191,20 @@ def test_claims_of_a_name_are_dealt_to_parts(spark):
     assert len(re.findall(r"hashpartitioning\(key#\d+, part#\d+", _plan(found))) == 2
 
 
+def test_references_are_read_once_and_their_claims_meet_in_many_tasks(spark):
+    refs = spark.range(300).selectExpr("concat('d', id) as path", "case id when 0 then 'New' when 1 then 'Both' else 'Open' end as name")
+    symbols = spark.range(42).selectExpr("id", "concat('p', id) as import_path", "case when id < 40 then 'open' else 'both' end as symbol_name")
+    claims = spark.range(80).selectExpr("id % 40 as subject_id", "concat('f', id % 40) as source_file", "'defines' as predicate")
+    found = drift.readme_symbols(refs, symbols, claims, spark.createDataFrame([("f0",)], "path string"))
+    assert _plan(found).count("Range (0, 300") == 1
+    gone = found.filter("detail like 'file gone: %'")
+    assert gone.count() == 298 * 78 and gone.distinct().count() == 298 * 39 and gone.select("path").distinct().count() == 298
+    assert gone.select(F.spark_partition_id()).distinct().count() > 30  # few bytes, but many rows are made of them
+    others = {tuple(r) for r in found.filter("detail not like 'file gone: %' and path in ('d0', 'd1', 'd2')").collect()}
+    assert others == {("d0", "New", "HIGH", "not found"), ("d1", "Both", "MEDIUM", "2 packages"), ("d2", "Open", "MEDIUM", "40 packages")}
+    assert found.count() == 298 * 78 + 300
+
+
 def test_text_views_are_dealt_to_tasks_by_their_rows(spark, tmp_path):
     from loamstone.plans.views import Model
 
